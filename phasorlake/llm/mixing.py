@@ -56,7 +56,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     return t.select("source", "source_size", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(common * F.col("_w")).alias("target"))
 
 
-def mix(sized: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, slice_rows: int = 20_000, narrow: DataFrame | None = None) -> DataFrame:
+def mix(sized: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, slice_rows: int = 3_000, narrow: DataFrame | None = None) -> DataFrame:
     """Add source_size, target and taken to ``sized`` (doc_id, source, size and any other columns but
     those that begin with ``_mix``). ``narrow``: the same rows with those three columns alone, where they
     are stored already."""
