@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,10 +38,16 @@ def scratch(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared scratch folder as Parquet and read it again: later jobs start from
-    the files, so a lost executor costs no upstream work."""
+    the files, so a lost executor costs no upstream work, and the write's own shuffle files are dropped
+    at its end."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -128,7 +136,7 @@ class Words:
     def joined(self, at: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
         """Codes of the k words from each of these words on."""
         h = np.full(len(at), salt, np.uint64)
-        step = _STEP * np.uint64(2 * salt + 1)
+        step = np.uint64(int(_STEP) * (2 * salt + 1) % 2**64)
         for j in range(k):
             h = h * step + self.code[at + j]
         return mixed(h)
@@ -147,7 +155,3 @@ def on_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Recor
                 yield from work(batch)
 
     return df.mapInArrow(each, schema)
-
-
-def clean(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
