@@ -131,7 +131,7 @@ class Words:
         if n < k:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         at = np.flatnonzero(self.row[: n - k + 1] == self.row[k - 1 :])
-        return self.joined(at, k, salt), at
+        return rolled(self.code, k, salt)[at], at
 
     def joined(self, at: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
         """Codes of the k words from each of these words on."""
@@ -142,6 +142,22 @@ class Words:
         return mixed(h)
 
 
+def rolled(code: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """A code of each k consecutive values: blocks of 1, 2, 4 ... values are joined as k's bits ask."""
+    step = int(_STEP) * (2 * salt + 1) % 2**64
+    block, size, out, done, left = code, 1, None, 0, k
+    while left:
+        if left & 1:
+            n = len(code) - done - size + 1
+            out = block[:n] if out is None else out[:n] * np.uint64(pow(step, size, 2**64)) + block[done : done + n]
+            done += size
+        left >>= 1
+        if left:
+            block = block[:-size] * np.uint64(pow(step, size, 2**64)) + block[size:]
+            size *= 2
+    return mixed(out + np.uint64(salt))
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -71,3 +71,12 @@ served AS (SELECT v, sum(sum(size)) OVER (ORDER BY v) AS upto FROM events GROUP
 cut AS (SELECT min(v) AS c FROM served WHERE upto >= (SELECT sum(size) FROM sized))
 SELECT doc_id, size, source_size, target, (size * (CASE WHEN v <= c THEN 1 ELSE 0 END + CASE WHEN v + p <= c THEN 1 ELSE 0 END + CASE WHEN v + p * 2 <= c THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM timed, cut"""
+
+ORACLES["op6_window_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(x) ORDER BY doc_id, s) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(s, s + 20)) AS i FROM again)),
+each AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t, count(*) AS n FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pii, quality, toxicity
+from . import mixing, neardup, pii, quality, toxicity, windows
 from .common import table
 from .oracles import ORACLES
 
@@ -27,6 +27,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_source_mixing": op3_source_mixing,
     "op5_quality": op5_quality,
+    "op6_window_dedup": op6_window_dedup,
     "op7_toxicity": op7_toxicity,
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
