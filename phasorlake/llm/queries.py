@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pii, quality, toxicity, windows
+from . import mixing, neardup, pii, quality, substrings, toxicity, windows
 from .common import table
 from .oracles import ORACLES
 
@@ -35,6 +35,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -42,5 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_window_dedup": op6_window_dedup,
     "op7_toxicity": op7_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
