@@ -13,9 +13,9 @@ Equal sets are one class from the start, whatever their number. Within the table
    and for any two classes they bound the similarity.
 2. Every member of a table key is verified against two of its members (that with the fewest such shingles,
    and one by digest). Links give components.
-3. Where a key still has members of different components, all pairs of those within the bound are
-   verified, found by an equality join on key and admissible set size. This leaves no pair of a key
-   unexamined, unless it is in one component already.
+3. Where a key still has members of different components, every pair of them that can still be similar
+   enough is verified, found by their rarest shingles and admissible sizes (``_across``). This leaves no
+   pair of a key unexamined, unless it is in one component already.
 
 Defined results: null and empty texts have empty sets and no links; a row with a null id has no links and
 is kept; repeated rows are one class; very long texts count whole; other columns are ignored.
@@ -115,6 +115,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("xs") + F.size("ys") - common) * percent).select("x", "y")
 
 
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of different components that can reach the similarity, among all of ``rest`` (rid, n,
+    label). A set's shingles are put in order of how many sets hold them, rarest first. Sets that are
+    similar enough share one of the first few, and the places of the first that they share bound what
+    they have in common: so a set asks only for the sizes that its place still allows."""
+    each = sets.join(rest, "rid").select("rid", "n", "label", F.explode("codes").alias("code"))
+    held = each.groupBy("code").agg(F.count("*").alias("m"))
+    lists = each.join(held, "code").groupBy("rid", "n", "label").agg(F.sort_array(F.collect_list(F.struct("m", "code"))).alias("t"))
+    head = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    low = F.ceil(F.col("n") * percent / 100).cast("long")
+    top = F.floor(((F.col("n") - F.col("i")) * (100 + percent) - F.col("n") * percent) / percent).cast("long")
+    places = lists.select("rid", "n", "label", F.posexplode(head).alias("i", "t")).select("rid", "n", "label", F.col("t.code").alias("code"), F.col("t.m").alias("m"), low.alias("low"), top.alias("top"))
+    places = stored(places.where("m > 1 and low <= top"), "places")
+    # in each list of a shingle, the component with most members isn't paired with itself
+    main = places.groupBy("code", "label").agg(F.count("*").alias("k")).groupBy("code").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("code", "main")
+    places = stored(places.join(main, "code").withColumn("is_main", F.col("label") == F.col("main")), "places")
+    x = places.select("code", F.col("rid").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"), "is_main", F.explode(F.when(F.col("low") <= F.least("n", "top"), F.sequence("low", F.least("n", "top")))).alias("yn"))
+    y = places.select("code", F.col("rid").alias("y"), F.col("n").alias("yn"), F.col("label").alias("yl"), F.col("top").alias("ytop"), F.col("is_main").alias("y_main"))
+    meet = (x["code"] == y["code"]) & (x["yn"] == y["yn"]) & (F.col("xl") != F.col("yl")) & (F.col("ytop") >= F.col("xn")) & ((F.col("xn") > y["yn"]) | (F.col("x") < F.col("y")))
+    some = x.where("not is_main").join(y, meet).select("x", "y")
+    return some.union(x.where("is_main").join(y.where("not y_main"), meet).select("x", "y")).distinct()
+
+
 def classes(documents: DataFrame, words: int = 3, percent: int = 85, halves: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sig = stored(signatures(documents, words, halves), "signatures")
@@ -151,14 +174,8 @@ def classes(documents: DataFrame, words: int = 3, percent: int = 85, halves: int
     named = stored(named, "named")
     apart = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
     rest = stored(named.join(apart, "key"), "rest")
-    # sizes that a partner of x, no larger than x, can have: from percent of n to what c allows
-    top = F.least(F.floor(F.col("c") * (100 + percent) / percent - F.col("n")).cast("long"), F.col("n"))
-    low = F.ceil(F.col("n") * percent / 100).cast("long")
-    x = rest.select("key", F.col("rid").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("label").alias("xl"), low.alias("low"), top.alias("top")).where("low <= top")
-    x = x.select("key", "x", "xn", "xc", "xl", F.explode(F.sequence("low", "top")).alias("yn"))
-    y = rest.select("key", F.col("rid").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), F.col("label").alias("yl"))
-    cross = x.join(y, (x["key"] == y["key"]) & (x["yn"] == y["yn"]) & (F.col("xl") != F.col("yl")) & ((F.col("xn") > y["yn"]) | (F.col("x") < F.col("y"))) & (F.least("xc", "yc") * 100 >= (F.col("xn") + y["yn"] - F.least("xc", "yc")) * percent))
-    more = _verified(cross.select("x", "y").distinct(), sets, percent)
+    cross = _across(rest.select("rid", "n", "label").distinct(), sets, percent)
+    more = _verified(cross, sets, percent)
     more = stored(more, "links")
     if not more.isEmpty():
         found = components(links.union(more))
