@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pii, quality, substrings, toxicity, windows
+from . import decontaminate, mixing, neardup, pii, quality, substrings, tokens, toxicity, windows
 from .common import table
 from .oracles import ORACLES
 
@@ -23,6 +23,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -43,9 +51,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_window_dedup": op6_window_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_token_counts": op8_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
