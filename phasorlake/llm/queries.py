@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, pii, quality, substrings, tokens, toxicity, windows
-from .common import table
+from . import decontaminate, media, mixing, neardup, pii, quality, substrings, tokens, toxicity, windows
+from .common import stored, table
 from .oracles import ORACLES
 
 
@@ -43,6 +43,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = stored(media.stored_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    return media.described(packed)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_window_dedup": op6_window_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_media": op9_media,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
