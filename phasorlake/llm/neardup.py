@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, mixed, on_batches, signed, stored, text_bytes
+from .common import LOWER, Words, dropped, mixed, on_batches, signed, stored, text_bytes
 from .components import components
 from .fitting import slices
 
@@ -174,11 +174,13 @@ def classes(documents: DataFrame, words: int = 3, percent: int = 85, halves: int
     named = stored(named, "named")
     apart = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
     rest = stored(named.join(apart, "key"), "rest")
+    dropped(tables, named)
     cross = _across(rest.select("rid", "n", "label").distinct(), sets, percent)
     more = _verified(cross, sets, percent)
     more = stored(more, "links")
     if not more.isEmpty():
         found = components(links.union(more))
+    dropped(sets, able, rest)
     final = groups.select("hi", "lo", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left").select("hi", "lo", F.coalesce("label", "rid").alias("label"))
     out = sig.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("hi")).alias("hi"), "lo").join(final, ["hi", "lo"], "left")
     component = F.coalesce("label", "doc_id")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_CODES, on_batches, rolled, signed, stored, tasks, text_bytes
+from .common import _BYTE_CODES, dropped, on_batches, rolled, signed, stored, tasks, text_bytes
 from .fitting import slices
 from .suffixes import common_prefixes, suffix_array
 from .windows import _flat
@@ -201,7 +201,9 @@ def remove_repeats(documents: DataFrame, window: int = 50, crowd: int = 2_000) -
     codes = stored(_minimizers(named, window), "minimizers")
     shared = stored(codes.groupBy("code").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("code"), "shared")
     marked = stored(codes.join(shared.hint("shuffle_hash"), "code", "left_semi").groupBy("doc_id").agg(F.collect_set("code").alias("codes")), "marked")
+    dropped(codes, shared)
     found = stored(named.select("doc_id", "text").join(marked.hint("shuffle_hash"), "doc_id"), "found")
+    dropped(marked)
     segments = stored(_segments(found, window), "segments")
     kinds = stored(segments.groupBy("code", "hi", "lo").agg(F.min("doc_id").alias("head")), "kinds")
     number = kinds.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
@@ -211,12 +213,14 @@ def remove_repeats(documents: DataFrame, window: int = 50, crowd: int = 2_000) -
     width = max(1, tasks(documents.sparkSession))
     few = bodies.where(F.col("m") <= crowd).repartition(width, "code").sortWithinPartitions("code").select("code", "hi", "lo", "head", "bytes")
     starts = stored(_searched(few, window).union(_compared(bodies.where(F.col("m") > crowd), window)), "starts").where(F.size("starts") > 0)
+    dropped(bodies)
     known = stored(kinds.select("hi", "lo", "head").join(starts, ["hi", "lo"], "left"), "known")
     each = segments.select("hi", "lo", "doc_id", "off", "n").join(known, ["hi", "lo"])
     whole = each.where("doc_id > head").select("doc_id", F.col("off").alias("begin"), (F.col("off") + F.col("n") + (window - 1)).alias("end"))
     parts = each.where("doc_id = head and starts is not null").select("doc_id", "off", F.explode("starts").alias("s")).select("doc_id", (F.col("off") + F.col("s")).alias("begin"), (F.col("off") + F.col("s") + window).alias("end"))
     ranges = stored(whole.union(parts).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("r")).select("doc_id", "r.begin", "r.end"), "ranges")
     cut = stored(_cut(found.select("doc_id", "text").join(ranges, "doc_id")).dropDuplicates(["doc_id"]), "cut")
+    dropped(found, segments, kinds, known, ranges)
     text = F.coalesce("text", F.lit(""))
     plain = documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     out = plain.join(cut, "doc_id", "left")

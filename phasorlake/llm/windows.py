@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, on_batches, rolled, signed, stored, text_bytes
+from .common import Words, dropped, on_batches, rolled, signed, stored, text_bytes
 from .fitting import slices
 
 #: A perfect difference set: every remainder modulo PERIOD is a difference of two of its members.
@@ -137,11 +137,15 @@ def remove_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
     shared = stored(anchors.groupBy("code").agg(F.count("*").alias("m")).where("m > 1").select("code"), "shared")
     marked = anchors.join(shared.hint("shuffle_hash"), "code", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
     marked = stored(marked.join(copies, "doc_id", "left_anti"), "marked")
+    dropped(anchors, shared)
     found = stored(named.select("doc_id", "text").join(marked.hint("shuffle_hash"), "doc_id"), "found")
+    dropped(marked)
     near = stored(_near(found, window), "windows")
     first = near.groupBy("hi", "lo").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("hi", "lo", "head")
     later = stored(near.join(first.hint("shuffle_hash"), ["hi", "lo"]).where("doc_id > head").groupBy("doc_id").agg(F.collect_list("s").alias("starts")), "later")
+    dropped(near)
     cut = stored(_cut(found.select("doc_id", "text").join(later, "doc_id", "left"), window).dropDuplicates(["doc_id"]), "cut")
+    dropped(found, later)
     none = hashlib.sha256(b"").hexdigest()
     whole = F.col("whole").isNotNull()
     out = seq.join(cut, "doc_id", "left").join(copies.select("doc_id", F.lit(True).alias("whole")), "doc_id", "left")
