@@ -24,17 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_CODES, dropped, on_batches, rolled, signed, stored, tasks, text_bytes
+from .common import _BYTE_CODES, dropped, mixed, on_batches, rolled, signed, stored, tasks, text_bytes
 from .fitting import slices
 from .suffixes import common_prefixes, suffix_array
-from .windows import _flat
+from .windows import _flat, owners
 
 GRAM, BLOCK = 16, 1 << 19
-_NONE = np.uint64(2**64 - 1)
 
 
 def runs(raw: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -79,31 +77,62 @@ def _minimizers(documents: DataFrame, window: int) -> DataFrame:
     return on_batches(documents.select("doc_id", "text"), work, "code long, doc_id long")
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
+def _digests(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A code of each run of bytes: differences of running sums of weighted byte codes, brought to the
+    run's own start."""
+    n = len(raw)
+    up, down = _powers(_STEP, n), _powers(_BACK, n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(_BYTE_CODES)[raw] * up[:-1])])
+    return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
+_STEP = 0xA24BAED4963EE407
+_BACK = pow(_STEP, -1, 2**64)
+
+
 def _segments(found: DataFrame, window: int) -> DataFrame:
-    """code, hi, lo, doc_id, off, n (windows), bytes of the runs with a marked minimizer.
-    ``found``: doc_id, text, codes."""
+    """code, lo, doc_id, off, n (windows) of the runs with a marked minimizer; code and lo are a 128-bit
+    code of the run's bytes. ``found``: doc_id, text, codes."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, limit=1 << 20):
+        for part in slices(batch):
             raw, at = text_bytes(part.column("text"))
             row, begin, n, code = runs(raw, at, window)
             marked, of = _flat(part.column("codes"))
             # a run is wanted where (row, code) is among the marked
-            wanted = np.zeros(len(code), bool)
-            both = np.lexsort((np.concatenate([np.zeros(len(marked), np.int8), np.ones(len(code), np.int8)]), np.concatenate([marked.view(np.uint64), code]), np.concatenate([of, row])))
-            is_run = both >= len(marked)
-            group_code, group_row = np.concatenate([marked.view(np.uint64), code])[both], np.concatenate([of, row])[both]
-            last = np.maximum.accumulate(np.where(~is_run, np.arange(len(both)), -1))
+            both_code, both_row = np.concatenate([marked.view(np.uint64), code]), np.concatenate([of, row])
+            order = np.lexsort((np.arange(len(both_code)) >= len(marked), both_code, both_row))
+            is_run = order >= len(marked)
+            last = np.maximum.accumulate(np.where(is_run, -1, np.arange(len(order))))
             ok = is_run & (last >= 0)
-            ok[ok] = (group_code[ok] == group_code[last[ok]]) & (group_row[ok] == group_row[last[ok]])
-            wanted[both[ok] - len(marked)] = True
+            ok[ok] = (both_code[order][ok] == both_code[order][last[ok]]) & (both_row[order][ok] == both_row[order][last[ok]])
+            wanted = np.zeros(len(code), bool)
+            wanted[order[ok] - len(marked)] = True
             row, begin, n, code = row[wanted], begin[wanted], n[wanted], code[wanted]
-            view = memoryview(np.ascontiguousarray(raw))
-            pieces = [bytes(view[b : b + k + window - 1]) for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
-            digest = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), np.int64).reshape(-1, 2)
-            yield pa.record_batch([pa.array(signed(code)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), part.column("doc_id").take(pa.array(row)), pa.array((begin - at[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(pieces, pa.binary())], names=["code", "hi", "lo", "doc_id", "off", "n", "bytes"])
+            if len(row):
+                lo = _digests(raw, begin, begin + n + window - 1)
+                yield pa.record_batch([pa.array(signed(code)), pa.array(signed(lo)), part.column("doc_id").take(pa.array(row)), pa.array((begin - at[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["code", "lo", "doc_id", "off", "n"])
+
+    return on_batches(found, work, "code long, lo long, doc_id long, off int, n int")
+
+
+def _bodies(found: DataFrame, window: int) -> DataFrame:
+    """code, lo, m, head, bytes of the picked segments. ``found``: doc_id, text, picked."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch):
+            raw, at = text_bytes(part.column("text"))
+            picked, of = part.column("picked"), owners(part.column("picked"))
+            code, lo, m, off, n = (picked.flatten().field(i) for i in range(5))
+            view, start = memoryview(np.ascontiguousarray(raw)), at[of] + off.to_numpy()
+            bodies = [bytes(view[a : a + k + window - 1]) for a, k in zip(start.tolist(), n.to_pylist(), strict=True)]
+            yield pa.record_batch([code, lo, m, part.column("doc_id").take(pa.array(of)), pa.array(bodies, pa.binary())], names=["code", "lo", "m", "head", "bytes"])
 
-    return on_batches(found, work, "code long, hi long, lo long, doc_id long, off int, n int, bytes binary")
+    return on_batches(found, work, "code long, lo long, m long, head long, bytes binary")
 
 
 def recurring(pieces: list[bytes], owner: np.ndarray, window: int) -> list[np.ndarray]:
@@ -134,40 +163,42 @@ def recurring(pieces: list[bytes], owner: np.ndarray, window: int) -> list[np.nd
 
 
 def _searched(shards: DataFrame, window: int) -> DataFrame:
-    """hi, lo, starts. ``shards``: code, hi, lo, head, bytes, where rows of a code are together."""
+    """code, lo, starts. ``shards``: code, lo, head, bytes, where rows of a code are together."""
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        starts = recurring([r[4] for r in rows], np.array([r[3] for r in rows]), window)
-        return pa.record_batch([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(starts, pa.list_(pa.int32()))], names=["hi", "lo", "starts"])
+        starts = recurring([r[3] for r in rows], np.array([r[2] for r in rows]), window)
+        some = [(r[0], r[1], s) for r, s in zip(rows, starts, strict=True) if len(s)]
+        code, lo, starts = zip(*some, strict=True) if some else ((), (), ())
+        return pa.record_batch([pa.array(code, pa.int64()), pa.array(lo, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], names=["code", "lo", "starts"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("code", "hi", "lo", "head", "bytes")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("code", "lo", "head", "bytes")), strict=True):
                 if size > BLOCK and r[0] != held[-1][0]:
                     yield block(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[3])
         if held:
             yield block(held)
 
-    return shards.mapInArrow(each, "hi long, lo long, starts array<int>")
+    return shards.mapInArrow(each, "code long, lo long, starts array<int>")
 
 
 def _compared(crowded: DataFrame, window: int) -> DataFrame:
-    """hi, lo, starts of the segments of crowded minimizers, by digests of their windows."""
+    """code, lo, starts of the segments of crowded minimizers, by digests of their windows."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for hi, lo, head, b in zip(*(batch.column(c).to_pylist() for c in ("hi", "lo", "head", "bytes")), strict=True):
+        for code, lo, head, b in zip(*(batch.column(c).to_pylist() for c in ("code", "lo", "head", "bytes")), strict=True):
             each = [hashlib.blake2b(b[s : s + window], digest_size=16).digest() for s in range(len(b) - window + 1)]
             n = len(each)
-            yield pa.record_batch([pa.array([hi] * n, pa.int64()), pa.array([lo] * n, pa.int64()), pa.array([head] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(each, pa.binary())], names=["hi", "lo", "head", "s", "w"])
+            yield pa.record_batch([pa.array([code] * n, pa.int64()), pa.array([lo] * n, pa.int64()), pa.array([head] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(each, pa.binary())], names=["code", "lo", "head", "s", "w"])
 
-    rows = stored(on_batches(crowded.select("hi", "lo", "head", "bytes"), work, "hi long, lo long, head long, s int, w binary"), "crowded")
+    rows = stored(on_batches(crowded.select("code", "lo", "head", "bytes"), work, "code long, lo long, head long, s int, w binary"), "crowded")
     least = rows.groupBy("w").agg(F.min("head").alias("least"), F.max("head").alias("most")).where("least < most").select("w", "least")
-    return rows.join(least, "w").where("head > least").groupBy("hi", "lo").agg(F.collect_list("s").alias("starts"))
+    return rows.join(least, "w").where("head > least").groupBy("code", "lo").agg(F.collect_list("s").alias("starts"))
 
 
 def _cut(found: DataFrame) -> DataFrame:
@@ -205,22 +236,26 @@ def remove_repeats(documents: DataFrame, window: int = 50, crowd: int = 2_000) -
     found = stored(named.select("doc_id", "text").join(marked.hint("shuffle_hash"), "doc_id"), "found")
     dropped(marked)
     segments = stored(_segments(found, window), "segments")
-    kinds = stored(segments.groupBy("code", "hi", "lo").agg(F.min("doc_id").alias("head")), "kinds")
+    kinds = stored(segments.groupBy("code", "lo").agg(F.min("doc_id").alias("head")), "kinds")
     number = kinds.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
-    sought = kinds.join(number, "code")
-    bodies = segments.select("code", "hi", "lo", F.col("doc_id").alias("head"), "bytes").join(sought, ["code", "hi", "lo", "head"]).dropDuplicates(["code", "hi", "lo"])
-    bodies = stored(bodies, "bodies")
+    sought = kinds.join(number.hint("shuffle_hash"), "code").select("code", "lo", "m", F.col("head").alias("doc_id"))
+    picked = segments.join(sought, ["code", "lo", "doc_id"]).groupBy("code", "lo", "m", "doc_id").agg(F.min(F.col("off").cast("long") * (1 << 31) + F.col("n")).alias("at"))
+    picked = picked.select("doc_id", F.struct("code", "lo", "m", F.floor(F.col("at") / (1 << 31)).cast("int").alias("off"), (F.col("at") % (1 << 31)).cast("int").alias("n")).alias("s"))
+    picked = picked.groupBy("doc_id").agg(F.collect_list("s").alias("picked"))
+    bodies = stored(_bodies(found.select("doc_id", "text").dropDuplicates(["doc_id"]).join(picked.hint("shuffle_hash"), "doc_id"), window), "bodies")
     width = max(1, tasks(documents.sparkSession))
-    few = bodies.where(F.col("m") <= crowd).repartition(width, "code").sortWithinPartitions("code").select("code", "hi", "lo", "head", "bytes")
-    starts = stored(_searched(few, window).union(_compared(bodies.where(F.col("m") > crowd), window)), "starts").where(F.size("starts") > 0)
+    few = bodies.where(F.col("m") <= crowd).repartition(width, "code").sortWithinPartitions("code").select("code", "lo", "head", "bytes")
+    starts = stored(_searched(few, window).union(_compared(bodies.where(F.col("m") > crowd), window)), "starts")
     dropped(bodies)
-    known = stored(kinds.select("hi", "lo", "head").join(starts, ["hi", "lo"], "left"), "known")
-    each = segments.select("hi", "lo", "doc_id", "off", "n").join(known, ["hi", "lo"])
+    known = kinds.join(starts, ["code", "lo"], "left")
+    each = stored(segments.join(known, ["code", "lo"]).where("doc_id > head or starts is not null"), "occurrences")
+    dropped(segments, kinds, starts)
     whole = each.where("doc_id > head").select("doc_id", F.col("off").alias("begin"), (F.col("off") + F.col("n") + (window - 1)).alias("end"))
-    parts = each.where("doc_id = head and starts is not null").select("doc_id", "off", F.explode("starts").alias("s")).select("doc_id", (F.col("off") + F.col("s")).alias("begin"), (F.col("off") + F.col("s") + window).alias("end"))
+    parts = each.where("doc_id = head").select("doc_id", "off", F.explode("starts").alias("s")).select("doc_id", (F.col("off") + F.col("s")).alias("begin"), (F.col("off") + F.col("s") + window).alias("end"))
     ranges = stored(whole.union(parts).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("r")).select("doc_id", "r.begin", "r.end"), "ranges")
+    dropped(each)
     cut = stored(_cut(found.select("doc_id", "text").join(ranges, "doc_id")).dropDuplicates(["doc_id"]), "cut")
-    dropped(found, segments, kinds, known, ranges)
+    dropped(found, ranges)
     text = F.coalesce("text", F.lit(""))
     plain = documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     out = plain.join(cut, "doc_id", "left")

@@ -66,11 +66,14 @@ def _anchors(documents: DataFrame, window: int) -> DataFrame:
     return on_batches(documents.select("doc_id", "text"), work, "code long, doc_id long, pos int")
 
 
+def owners(column: pa.Array) -> np.ndarray:
+    """The row of each value of a list column; null rows have none."""
+    return np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column and the row of each; null rows have none."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False), nan=0).astype(np.int64))
+    """The values of a list column and the row of each."""
+    return column.flatten().to_numpy(), owners(column)
 
 
 def _near(found: DataFrame, window: int) -> DataFrame:
