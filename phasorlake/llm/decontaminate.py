@@ -113,8 +113,8 @@ def _table(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.float64() if n == "coverage" else pa.int64()) for n in NAMES]))
 
 
-def _by_copy(documents: DataFrame, items: list[tuple[int, str]], share: float) -> DataFrame:
-    """Search the documents where they lie, with the items in every task."""
+def _searcher(items: list[tuple[int, str]], share: float):
+    """A function from texts to (row, item id, what the tiles cover) of every leak."""
     w = words_of(pa.array([t for _, t in items], pa.large_string()))
     code, at = w.runs(LEAST)
     order = np.argsort(code, kind="stable")
@@ -126,27 +126,38 @@ def _by_copy(documents: DataFrame, items: list[tuple[int, str]], share: float) -
     maybe[code & mask] = True
     ids, bodies = [i for i, _ in items], [w.code[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
+    def search(texts: pa.Array) -> list[tuple]:
+        d = words_of(texts)
+        seen, where = d.runs(LEAST)
+        hit = maybe[seen & mask]
+        seen, row = seen[hit], d.row[where[hit]]
+        low, high = np.searchsorted(code, seen, "left"), np.searchsorted(code, seen, "right")
+        n = high - low
+        place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row, item, start = np.repeat(row, n), of[place], pos[place]
+        # words of the item that some seed covers, at most
+        wide = int(length.max(initial=0)) + 1
+        covered = np.unique(((row * len(ids) + item) * wide + start)[:, None] + np.arange(LEAST))
+        pair, words = np.unique(covered // wide, return_counts=True)
+        found = []
+        for p in pair[words >= share * length[pair % len(ids)]].tolist():
+            r, i = divmod(p, len(ids))
+            got = _pair(d.code[d.first[r] : d.first[r + 1]], bodies[i], share)
+            if got:
+                found.append((r, ids[i], *got))
+        return found
+
+    return search
+
+
+def _by_copy(documents: DataFrame, items: list[tuple[int, str]], share: float) -> DataFrame:
+    """Search the documents where they lie, with the items in every task."""
+    search = _searcher(items, share)
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
-            d = words_of(part.column("text"))
-            seen, where = d.runs(LEAST)
-            hit = maybe[seen & mask]
-            seen, row = seen[hit], d.row[where[hit]]
-            low, high = np.searchsorted(code, seen, "left"), np.searchsorted(code, seen, "right")
-            n = high - low
-            place = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-            row, item, start = np.repeat(row, n), of[place], pos[place]
-            # words of the item that some seed covers, at most
-            spot = (row * len(ids) + item) * (int(length.max(initial=0)) + 1)
-            covered = np.unique((spot + start)[:, None] + np.arange(LEAST))
-            pair, words = np.unique(covered // (int(length.max(initial=0)) + 1), return_counts=True)
-            able = words >= share * length[pair % len(ids)]
-            rows = []
-            for p in pair[able].tolist():
-                r, i = divmod(p, len(ids))
-                got = _pair(d.code[d.first[r] : d.first[r + 1]], bodies[i], share)
-                if got:
-                    rows.append(dict(zip(NAMES, (part.column("doc_id")[r].as_py(), ids[i], *got), strict=True)))
+            ids = part.column("doc_id")
+            rows = [dict(zip(NAMES, (ids[r].as_py(), *rest), strict=True)) for r, *rest in search(part.column("text"))]
             if rows:
                 yield _table(rows)
 
@@ -175,13 +186,39 @@ def _by_join(documents: DataFrame, items: DataFrame, share: float) -> DataFrame:
     return on_batches(both.select("doc_id", "item_id", "text", "item_text"), work, OUT)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, bound: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id and what the tiles cover, of every pair in which enough of the item is covered."""
+def _items(benchmark: DataFrame, bound: int) -> tuple[DataFrame, list[tuple[int, str]] | None]:
+    """The items, and as a list too where they are few enough to be sent to the tasks."""
     items = benchmark.where("text is not null").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     if size > bound:
+        return items, None
+    return items, sorted(((r["item_id"], r["text"]) for r in items.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, bound: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id and what the tiles cover, of every pair in which enough of the item is covered."""
+    items, few = _items(benchmark, bound)
+    if few is None:
         return _by_join(documents, items, share).distinct()
-    rows = sorted((r["item_id"], r["text"]) for r in items.where("item_id is not null").collect())
-    if not rows:
+    if not few:
         return documents.sparkSession.createDataFrame([], OUT)
-    return _by_copy(documents, rows, share).distinct()
+    return _by_copy(documents, few, share).distinct()
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, bound: int = 1_000_000) -> DataFrame:
+    """The documents that hold no item of the benchmark, with all their columns."""
+    items, few = _items(benchmark, bound)
+    if few is None:
+        bad = _by_join(documents, items, share).select("doc_id").distinct()
+        return documents.join(bad.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
+    if not few:
+        return documents
+    search = _searcher(few, share)
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch):
+            keep = np.ones(part.num_rows, bool)
+            keep[[r for r, *_ in search(part.column("text"))]] = False
+            yield part.filter(pa.array(keep))
+
+    return on_batches(documents, work, documents.schema)

@@ -185,3 +185,10 @@ def classes(documents: DataFrame, words: int = 3, percent: int = 85, halves: int
     out = sig.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("hi")).alias("hi"), "lo").join(final, ["hi", "lo"], "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80, halves: int = 14) -> DataFrame:
+    """The documents without those that a smaller id of their group stands for, with all their columns.
+    Rows that share an id are one document, and stay or go together."""
+    gone = stored(classes(documents, words, percent, halves).where("not kept").select("doc_id").distinct(), "gone")
+    return documents.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
