@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -130,8 +131,15 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
     return on_batches(found, work, "doc_id long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+def _later(near: DataFrame) -> DataFrame:
+    """doc_id, starts: each document's windows that a smaller document holds."""
+    first = near.groupBy("hi", "lo").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("hi", "lo", "head")
+    return near.join(first.hint("shuffle_hash"), ["hi", "lo"]).where("doc_id > head").groupBy("doc_id").agg(F.collect_list("s").alias("starts"))
+
+
+def remove_repeats(documents: DataFrame, window: int = 20, rounds: int = 3) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document. Windows are compared in ``rounds``, each a
+    share of the codes, so that only that share is on its way between tasks at once."""
     named = documents.where("doc_id is not null")
     seq = stored(_sequences(documents), "sequences")
     heads = seq.where(F.col("n") >= window).where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("head"))
@@ -144,11 +152,11 @@ def remove_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
     found = stored(named.select("doc_id", "text").join(marked.hint("shuffle_hash"), "doc_id"), "found")
     dropped(marked)
     near = stored(_near(found, window), "windows")
-    first = near.groupBy("hi", "lo").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("hi", "lo", "head")
-    later = stored(near.join(first.hint("shuffle_hash"), ["hi", "lo"]).where("doc_id > head").groupBy("doc_id").agg(F.collect_list("s").alias("starts")), "later")
+    later = [stored(_later(near.where(F.pmod("hi", F.lit(rounds)) == r)), "later") for r in range(rounds)]
     dropped(near)
-    cut = stored(_cut(found.select("doc_id", "text").join(later, "doc_id", "left"), window).dropDuplicates(["doc_id"]), "cut")
-    dropped(found, later)
+    starts = reduce(DataFrame.union, later).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    cut = stored(_cut(found.select("doc_id", "text").join(starts, "doc_id", "left"), window).dropDuplicates(["doc_id"]), "cut")
+    dropped(found, *later)
     none = hashlib.sha256(b"").hexdigest()
     whole = F.col("whole").isNotNull()
     out = seq.join(cut, "doc_id", "left").join(copies.select("doc_id", F.lit(True).alias("whole")), "doc_id", "left")
