@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +96,11 @@ _BACK = pow(_STEP, -1, 2**64)
 
 
 def _segments(found: DataFrame, window: int) -> DataFrame:
-    """code, lo, doc_id, off, n (windows) of the runs with a marked minimizer; code and lo are a 128-bit
-    code of the run's bytes. ``found``: doc_id, text, codes."""
+    """code, lo, doc_id, off, n (windows), left, right of the runs with a marked minimizer; code and lo are a
+    128-bit code of the run's bytes. Where the minimizer's string stands once in the run, left and right are
+    codes of it with the SIDE bytes before and after, 0 where the run has not as many: runs that share a
+    window agree in one of the two. ``found``: doc_id, text, codes."""
+    side = (window - GRAM + 1) // 2
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
@@ -114,10 +118,29 @@ def _segments(found: DataFrame, window: int) -> DataFrame:
             wanted[order[ok] - len(marked)] = True
             row, begin, n, code = row[wanted], begin[wanted], n[wanted], code[wanted]
             if len(row):
-                lo = _digests(raw, begin, begin + n + window - 1)
-                yield pa.record_batch([pa.array(signed(code)), pa.array(signed(lo)), part.column("doc_id").take(pa.array(row)), pa.array((begin - at[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["code", "lo", "doc_id", "off", "n"])
+                end = begin + n + window - 1
+                lo, place = _digests(raw, begin, end), _once(raw, begin, end - GRAM + 1 - begin, code)
+                left, right = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+                has_left, has_right = np.flatnonzero(place - side >= begin), np.flatnonzero((place >= 0) & (place + GRAM + side <= end))
+                left[has_left] = _digests(raw, place[has_left] - side, place[has_left] + GRAM) | np.uint64(1)
+                right[has_right] = _digests(raw, place[has_right], place[has_right] + GRAM + side) & ~np.uint64(1)
+                yield pa.record_batch([pa.array(signed(code)), pa.array(signed(lo)), part.column("doc_id").take(pa.array(row)), pa.array((begin - at[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(left)), pa.array(signed(right)), pa.array(place < 0)], names=["code", "lo", "doc_id", "off", "n", "left", "right", "open"])
 
-    return on_batches(found, work, "code long, lo long, doc_id long, off int, n int")
+    return on_batches(found, work, "code long, lo long, doc_id long, off int, n int, left long, right long, open boolean")
+
+
+def _once(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Where in each run its minimizer's string begins; -1 where it does so more than once."""
+    gram = rolled(_BYTE_CODES[raw], GRAM, 5)
+    hits, first = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+    for a in range(0, len(begin), 20_000):
+        b, k = begin[a : a + 20_000], size[a : a + 20_000]
+        of = np.repeat(np.arange(len(b)), k)
+        at = np.repeat(b - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        same = np.flatnonzero(gram[at] == code[a : a + 20_000][of])
+        hits[a : a + len(b)] = np.bincount(of[same], minlength=len(b))
+        first[a + of[same][::-1]] = at[same][::-1]
+    return np.where(hits == 1, first, -1)
 
 
 def _bodies(found: DataFrame, window: int) -> DataFrame:
@@ -226,8 +249,9 @@ def _cut(found: DataFrame) -> DataFrame:
     return on_batches(found, work, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(documents: DataFrame, window: int = 50, crowd: int = 2_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+def remove_repeats(documents: DataFrame, window: int = 50, crowd: int = 2_000, rounds: int = 3) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document. Texts are sent to their marks in
+    ``rounds``, each a share of the documents, so that only that share is on its way at once."""
     named = documents.where("doc_id is not null")
     codes = stored(_minimizers(named, window), "minimizers")
     shared = stored(codes.groupBy("code").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("code"), "shared")
@@ -236,25 +260,33 @@ def remove_repeats(documents: DataFrame, window: int = 50, crowd: int = 2_000) -
     found = stored(named.select("doc_id", "text").join(marked.hint("shuffle_hash"), "doc_id"), "found")
     dropped(marked)
     segments = stored(_segments(found, window), "segments")
-    kinds = stored(segments.groupBy("code", "lo").agg(F.min("doc_id").alias("head")), "kinds")
-    number = kinds.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
-    sought = kinds.join(number.hint("shuffle_hash"), "code").select("code", "lo", "m", F.col("head").alias("doc_id"))
-    picked = segments.join(sought, ["code", "lo", "doc_id"]).groupBy("code", "lo", "m", "doc_id").agg(F.min(F.col("off").cast("long") * (1 << 31) + F.col("n")).alias("at"))
-    picked = picked.select("doc_id", F.struct("code", "lo", "m", F.floor(F.col("at") / (1 << 31)).cast("int").alias("off"), (F.col("at") % (1 << 31)).cast("int").alias("n")).alias("s"))
-    picked = picked.groupBy("doc_id").agg(F.collect_list("s").alias("picked"))
-    bodies = stored(_bodies(found.select("doc_id", "text").dropDuplicates(["doc_id"]).join(picked.hint("shuffle_hash"), "doc_id"), window), "bodies")
+    kinds = stored(segments.groupBy("code", "lo").agg(F.min("doc_id").alias("head"), F.min("left").alias("left"), F.min("right").alias("right"), F.max("open").alias("open")), "kinds")
+    # segments that can share a window with another: by a side, or where a run's place isn't certain
+    sides = kinds.select("code", "lo", F.explode(F.array("left", "right")).alias("key")).where("key != 0")
+    met = sides.join(sides.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key").hint("shuffle_hash"), "key", "left_semi").select("code", "lo")
+    loose = kinds.join(kinds.where("open").select("code").distinct(), "code", "left_semi").select("code", "lo")
+    able = stored(met.union(loose).distinct(), "able")
+    number = able.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
+    sought = able.join(number.hint("shuffle_hash"), "code").join(kinds.select("code", "lo", F.col("head").alias("doc_id")), ["code", "lo"])
+    picked = segments.select("code", "lo", "doc_id", "off", "n").join(sought.hint("shuffle_hash"), ["code", "lo", "doc_id"]).groupBy("code", "lo", "m", "doc_id").agg(F.min("off").alias("off"), F.min("n").alias("n"))
+    picked = stored(picked.select("doc_id", F.struct("code", "lo", "m", "off", "n").alias("s")).groupBy("doc_id").agg(F.collect_list("s").alias("picked")), "picked")
+    texts = found.select("doc_id", "text")
+    share = lambda df, r: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
+    bodies = [stored(_bodies(share(texts, r).dropDuplicates(["doc_id"]).join(share(picked, r).hint("shuffle_hash"), "doc_id"), window), "bodies") for r in range(rounds)]
+    dropped(able, picked)
+    bodies, parts_of = reduce(DataFrame.union, bodies), bodies
     width = max(1, tasks(documents.sparkSession))
     few = bodies.where(F.col("m") <= crowd).repartition(width, "code").sortWithinPartitions("code").select("code", "lo", "head", "bytes")
     starts = stored(_searched(few, window).union(_compared(bodies.where(F.col("m") > crowd), window)), "starts")
-    dropped(bodies)
-    known = kinds.join(starts, ["code", "lo"], "left")
-    each = stored(segments.join(known, ["code", "lo"]).where("doc_id > head or starts is not null"), "occurrences")
+    dropped(*parts_of)
+    known = kinds.select("code", "lo", "head").join(starts, ["code", "lo"], "left")
+    each = stored(segments.select("code", "lo", "doc_id", "off", "n").join(known, ["code", "lo"]).where("doc_id > head or starts is not null"), "occurrences")
     dropped(segments, kinds, starts)
     whole = each.where("doc_id > head").select("doc_id", F.col("off").alias("begin"), (F.col("off") + F.col("n") + (window - 1)).alias("end"))
     parts = each.where("doc_id = head").select("doc_id", "off", F.explode("starts").alias("s")).select("doc_id", (F.col("off") + F.col("s")).alias("begin"), (F.col("off") + F.col("s") + window).alias("end"))
     ranges = stored(whole.union(parts).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("r")).select("doc_id", "r.begin", "r.end"), "ranges")
     dropped(each)
-    cut = stored(_cut(found.select("doc_id", "text").join(ranges, "doc_id")).dropDuplicates(["doc_id"]), "cut")
+    cut = reduce(DataFrame.union, [stored(_cut(share(texts, r).join(share(ranges, r).hint("shuffle_hash"), "doc_id")).dropDuplicates(["doc_id"]), "cut") for r in range(rounds)])
     dropped(found, ranges)
     text = F.coalesce("text", F.lit(""))
     plain = documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
