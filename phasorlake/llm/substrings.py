@@ -36,21 +36,32 @@ from .windows import _flat, owners
 GRAM, BLOCK = 16, 1 << 19
 
 
-def runs(raw: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The least or largest of each ``width`` consecutive values."""
+    out, size = values, 1
+    while size * 2 <= width:
+        out = pick(out[:-size], out[size:])
+        size *= 2
+    rest = width - size
+    return pick(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def lows(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each GRAM-byte string, and the smallest of each window."""
+    if len(raw) < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    gram = rolled(_BYTE_CODES[raw], GRAM, 5)
+    return gram, _sliding(gram, window - GRAM + 1, np.minimum)
+
+
+def runs(low: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that share a minimizer: row, first window (in the batch's bytes), number of windows,
-    minimizer."""
+    minimizer. ``low``: the windows' minimizers."""
     none = np.zeros(0, np.int64)
-    if len(raw) < window:
+    if not len(low):
         return none, none, none, none.astype(np.uint64)
-    gram = rolled(_BYTE_CODES[raw], GRAM, 5)
-    low, size, left = gram, 1, window - GRAM + 1
-    while size * 2 <= left:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    if size < left:
-        low = np.minimum(low[: len(low) - (left - size)], low[left - size :])
     length = np.diff(at)
-    inside = np.zeros(len(raw) + 1, np.int32)
+    inside = np.zeros(int(at[-1]) + 1, np.int32)
     some = length >= window
     inside[at[:-1][some]] += 1
     inside[at[1:][some] - window + 1] -= 1
@@ -61,14 +72,15 @@ def runs(raw: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]
     new[starts] = True
     begin = np.flatnonzero(new)
     row = np.searchsorted(at, begin, side="right") - 1
-    stop = np.minimum(np.append(begin[1:], len(raw)), at[row + 1] - window + 1)
+    stop = np.minimum(np.append(begin[1:], at[-1]), at[row + 1] - window + 1)
     return row, begin, stop - begin, low[begin]
 
 
 def _minimizers(documents: DataFrame, window: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
-            row, _, _, code = runs(*text_bytes(part.column("text")), window)
+            raw, at = text_bytes(part.column("text"))
+            row, _, _, code = runs(lows(raw, window)[1], at, window)
             order = np.lexsort((code, row))
             row, code = row[order], code[order]
             new = np.ones(len(code), bool)
@@ -105,7 +117,8 @@ def _segments(found: DataFrame, window: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             raw, at = text_bytes(part.column("text"))
-            row, begin, n, code = runs(raw, at, window)
+            gram, low = lows(raw, window)
+            row, begin, n, code = runs(low, at, window)
             marked, of = _flat(part.column("codes"))
             # a run is wanted where (row, code) is among the marked
             both_code, both_row = np.concatenate([marked.view(np.uint64), code]), np.concatenate([of, row])
@@ -119,7 +132,7 @@ def _segments(found: DataFrame, window: int) -> DataFrame:
             row, begin, n, code = row[wanted], begin[wanted], n[wanted], code[wanted]
             if len(row):
                 end = begin + n + window - 1
-                lo, place = _digests(raw, begin, end), _once(raw, begin, end - GRAM + 1 - begin, code)
+                lo, place = _digests(raw, begin, end), _once(gram, low, begin, end - GRAM + 1 - begin, code)
                 left, right = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
                 has_left, has_right = np.flatnonzero(place - side >= begin), np.flatnonzero((place >= 0) & (place + GRAM + side <= end))
                 left[has_left] = _digests(raw, place[has_left] - side, place[has_left] + GRAM) | np.uint64(1)
@@ -129,17 +142,19 @@ def _segments(found: DataFrame, window: int) -> DataFrame:
     return on_batches(found, work, "code long, lo long, doc_id long, off int, n int, left long, right long, open boolean")
 
 
-def _once(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Where in each run its minimizer's string begins; -1 where it does so more than once."""
-    gram = rolled(_BYTE_CODES[raw], GRAM, 5)
-    hits, first = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
-    for a in range(0, len(begin), 20_000):
-        b, k = begin[a : a + 20_000], size[a : a + 20_000]
-        of = np.repeat(np.arange(len(b)), k)
-        at = np.repeat(b - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        same = np.flatnonzero(gram[at] == code[a : a + 20_000][of])
-        hits[a : a + len(b)] = np.bincount(of[same], minlength=len(b))
-        first[a + of[same][::-1]] = at[same][::-1]
+def _once(gram: np.ndarray, low: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Where in each run its minimizer's string begins; -1 where it does so more than once. Only strings
+    that are the smallest of some window around them come into question."""
+    width = len(gram) - len(low) + 1
+    pad = np.zeros(width - 1, np.uint64)
+    maybe = np.flatnonzero(gram == _sliding(np.concatenate([pad, low, pad]), width, np.maximum))
+    a = np.searchsorted(maybe, begin)
+    k = np.searchsorted(maybe, begin + size) - a
+    of = np.repeat(np.arange(len(begin)), k)
+    at = maybe[np.repeat(a - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+    same = np.flatnonzero(gram[at] == code[of])
+    hits, first = np.bincount(of[same], minlength=len(begin)), np.full(len(begin), -1)
+    first[of[same]] = at[same]
     return np.where(hits == 1, first, -1)
 
 
@@ -250,44 +265,67 @@ def _cut(found: DataFrame) -> DataFrame:
 
 
 def remove_repeats(documents: DataFrame, window: int = 50, crowd: int = 2_000, rounds: int = 3) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document. Texts are sent to their marks in
-    ``rounds``, each a share of the documents, so that only that share is on its way at once."""
-    named = documents.where("doc_id is not null")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document. Texts are sent to their marks, and
+    segments compared, in ``rounds``, each a share of the documents or codes, so that only that share is on
+    its way between tasks at once."""
+    named = documents.where("doc_id is not null").select("doc_id", "text")
+    of_documents = lambda df, r: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
+    of_codes = lambda df, r: df.where(F.pmod("code", F.lit(rounds)) == r)
+
+    def in_rounds(step, name: str) -> list[DataFrame]:
+        return [stored(step(r), name) for r in range(rounds)]
+
     codes = stored(_minimizers(named, window), "minimizers")
     shared = stored(codes.groupBy("code").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("code"), "shared")
-    marked = stored(codes.join(shared.hint("shuffle_hash"), "code", "left_semi").groupBy("doc_id").agg(F.collect_set("code").alias("codes")), "marked")
+    marked = stored(codes.join(shared.hint("shuffle_hash"), "code", "left_semi").groupBy("doc_id").agg(F.collect_list("code").alias("codes")), "marked")
     dropped(codes, shared)
-    found = stored(named.select("doc_id", "text").join(marked.hint("shuffle_hash"), "doc_id"), "found")
+    with_marks = lambda marks, r: of_documents(named, r).join(of_documents(marks, r).hint("shuffle_hash"), "doc_id")
+    segments_of = in_rounds(lambda r: _segments(with_marks(marked, r), window), "segments")
+    segments = reduce(DataFrame.union, segments_of)
     dropped(marked)
-    segments = stored(_segments(found, window), "segments")
-    kinds = stored(segments.groupBy("code", "lo").agg(F.min("doc_id").alias("head"), F.min("left").alias("left"), F.min("right").alias("right"), F.max("open").alias("open")), "kinds")
+    # equal runs: n and the sides are the same of all, the place is that in the smallest document
+    same = [F.any_value(c).alias(c) for c in ("n", "left", "right", "open")]
+    kinds_of = in_rounds(lambda r: of_codes(segments, r).groupBy("code", "lo").agg(F.min("doc_id").alias("head"), F.min_by("off", "doc_id").alias("off"), *same), "kinds")
+    kinds = reduce(DataFrame.union, kinds_of)
     # segments that can share a window with another: by a side, or where a run's place isn't certain
-    sides = kinds.select("code", "lo", F.explode(F.array("left", "right")).alias("key")).where("key != 0")
-    met = sides.join(sides.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key").hint("shuffle_hash"), "key", "left_semi").select("code", "lo")
-    loose = kinds.join(kinds.where("open").select("code").distinct(), "code", "left_semi").select("code", "lo")
-    able = stored(met.union(loose).distinct(), "able")
+    several = stored(kinds.groupBy("code").agg(F.count("*").alias("m"), F.max("open").alias("any_open")).where("m > 1").select("code", "any_open"), "several")
+    semi = lambda df, keys, on: df.join(keys.hint("shuffle_hash"), on, "left_semi")
+    loose = semi(kinds, several.where("any_open").select("code"), "code").select("code", "lo")
+    sides = stored(semi(kinds, several.where("not any_open").select("code"), "code").select("code", "lo", F.explode(F.array("left", "right")).alias("key")).where("key != 0"), "sides")
+
+    def met(r: int) -> DataFrame:
+        some = sides.where(F.pmod("key", F.lit(rounds)) == r)
+        return semi(some, some.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key").select("code", "lo")
+
+    met_of = in_rounds(met, "met")
+    dropped(sides)
+    able = stored(reduce(DataFrame.union, met_of, loose).distinct(), "able")
     number = able.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
-    sought = able.join(number.hint("shuffle_hash"), "code").join(kinds.select("code", "lo", F.col("head").alias("doc_id")), ["code", "lo"])
-    picked = segments.select("code", "lo", "doc_id", "off", "n").join(sought.hint("shuffle_hash"), ["code", "lo", "doc_id"]).groupBy("code", "lo", "m", "doc_id").agg(F.min("off").alias("off"), F.min("n").alias("n"))
-    picked = stored(picked.select("doc_id", F.struct("code", "lo", "m", "off", "n").alias("s")).groupBy("doc_id").agg(F.collect_list("s").alias("picked")), "picked")
-    texts = found.select("doc_id", "text")
-    share = lambda df, r: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
-    bodies = [stored(_bodies(share(texts, r).dropDuplicates(["doc_id"]).join(share(picked, r).hint("shuffle_hash"), "doc_id"), window), "bodies") for r in range(rounds)]
-    dropped(able, picked)
-    bodies, parts_of = reduce(DataFrame.union, bodies), bodies
+    sought = able.join(number.hint("shuffle_hash"), "code").join(kinds.select("code", "lo", "head", "off", "n"), ["code", "lo"])
+    picked = stored(sought.groupBy(F.col("head").alias("doc_id")).agg(F.collect_list(F.struct("code", "lo", "m", "off", "n")).alias("picked")), "picked")
+    dropped(several, able, *met_of)
+    bodies_of = in_rounds(lambda r: _bodies(with_marks(picked, r), window), "bodies")
+    bodies = reduce(DataFrame.union, bodies_of)
+    dropped(picked)
     width = max(1, tasks(documents.sparkSession))
     few = bodies.where(F.col("m") <= crowd).repartition(width, "code").sortWithinPartitions("code").select("code", "lo", "head", "bytes")
     starts = stored(_searched(few, window).union(_compared(bodies.where(F.col("m") > crowd), window)), "starts")
-    dropped(*parts_of)
-    known = kinds.select("code", "lo", "head").join(starts, ["code", "lo"], "left")
-    each = stored(segments.select("code", "lo", "doc_id", "off", "n").join(known, ["code", "lo"]).where("doc_id > head or starts is not null"), "occurrences")
-    dropped(segments, kinds, starts)
+    dropped(*bodies_of)
+
+    def occurrences(r: int) -> DataFrame:
+        known = of_codes(kinds, r).select("code", "lo", "head").join(of_codes(starts, r), ["code", "lo"], "left")
+        each = of_codes(segments, r).select("code", "lo", "doc_id", "off", "n").join(known, ["code", "lo"]).where("doc_id > head or starts is not null")
+        return each.select("doc_id", "head", "off", "n", "starts")
+
+    each_of = in_rounds(occurrences, "occurrences")
+    each = reduce(DataFrame.union, each_of)
+    dropped(starts, *kinds_of, *segments_of)
     whole = each.where("doc_id > head").select("doc_id", F.col("off").alias("begin"), (F.col("off") + F.col("n") + (window - 1)).alias("end"))
     parts = each.where("doc_id = head").select("doc_id", "off", F.explode("starts").alias("s")).select("doc_id", (F.col("off") + F.col("s")).alias("begin"), (F.col("off") + F.col("s") + window).alias("end"))
     ranges = stored(whole.union(parts).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("r")).select("doc_id", "r.begin", "r.end"), "ranges")
-    dropped(each)
-    cut = reduce(DataFrame.union, [stored(_cut(share(texts, r).join(share(ranges, r).hint("shuffle_hash"), "doc_id")).dropDuplicates(["doc_id"]), "cut") for r in range(rounds)])
-    dropped(found, ranges)
+    dropped(*each_of)
+    cut = reduce(DataFrame.union, in_rounds(lambda r: _cut(with_marks(ranges, r)).dropDuplicates(["doc_id"]), "cut"))
+    dropped(ranges)
     text = F.coalesce("text", F.lit(""))
     plain = documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     out = plain.join(cut, "doc_id", "left")
