@@ -70,7 +70,7 @@ def fit_predict(train: DataFrame, kind: str, test: DataFrame | None = None, labe
             best = (0.0, plan.copy({strength: steps[0]}).fit(rows), prepare)
             rows.unpersist()
             break
-        found = CrossValidator(estimator=plan, estimatorParamMaps=ParamGridBuilder().addGrid(strength, steps).build(), evaluator=measure, foldCol="fold", numFolds=n_folds).fit(rows)
+        found = CrossValidator(estimator=plan, estimatorParamMaps=ParamGridBuilder().addGrid(strength, steps).build(), evaluator=measure, foldCol="fold", numFolds=n_folds, parallelism=len(grid)).fit(rows)
         rows.unpersist()
         score = max(found.avgMetrics)
         if best is None or score > best[0]:

@@ -351,17 +351,17 @@ def t5_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c1_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supervised.fit_predict(fx.observations(spark, sf_dir), "logistic", grid=(1.0,))
+    return supervised.fit_predict(fx.observations(spark, sf_dir), "logistic")
 
 
 @query()
 def c2_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supervised.fit_predict(fx.observations(spark, sf_dir), "linear-svm", grid=(1.0,), max_iter=10)
+    return supervised.fit_predict(fx.observations(spark, sf_dir), "linear-svm")
 
 
 @query()
 def c3_rbf_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supervised.fit_predict(fx.observations(spark, sf_dir), "rbf-svm", grid=(1.0,), gammas=(1.0,), max_iter=10)
+    return supervised.fit_predict(fx.observations(spark, sf_dir), "rbf-svm")
 
 
 _MEANS = fx.RESULTS + ', m AS (SELECT modelname, "K", rank, "inner", avg(loglik) AS loglik, avg(nmi) AS nmi FROM res GROUP BY ALL)'

@@ -3,12 +3,13 @@ import math
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from phasorlake.functions import special
-from phasorlake.operators import hmm, kmeans, mixture, signal
+from phasorlake.operators import hmm, kmeans, mixture, signal, supervised
 from phasorlake.operators.families import Family
-from phasorlake.plans import engine
+from phasorlake.plans import engine, registry
 from phasorlake.sources import files
 
 
@@ -78,3 +79,23 @@ def test_files(spark, tmp_path):
     assert files.interleaved(m).orderBy("t", "channel").first()[:] == (0, 0, 1.0, 3.0)
     (tmp_path / "e.txt").write_text("1.5 2 1\n3,4,1\nonset duration amplitude\n")
     assert sorted(r.onset for r in files.read_events(spark, str(tmp_path / "e.txt")).collect()) == [1.5, 3.0]
+
+
+@pytest.mark.parametrize(("name", "gammas"), [("c1_logistic", 1), ("c2_linear_svm", 1), ("c3_rbf_svm", 3)])
+def test_supervised_queries_choose_over_folds(spark, monkeypatch, name, gammas):
+    seen = []
+
+    class Plan(supervised.CrossValidator):
+        def fit(self, rows):
+            strengths = [next(iter(m.values())) for m in self.getEstimatorParamMaps()]
+            folds = rows.groupBy("label", "fold").count().collect()
+            seen.append((len(set(strengths)), max(strengths) / min(strengths), self.getNumFolds(), {r["fold"] for r in folds}))
+            return type("Found", (), {"avgMetrics": [0.5], "bestModel": Model()})
+
+    class Model:
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.lit(0.0)).withColumn("probability", F.col("raw"))
+
+    monkeypatch.setattr(supervised, "CrossValidator", Plan)
+    registry.QUERIES[name](spark, SF)
+    assert [(n, round(r), f, ids) for n, r, f, ids in seen] == [(7, 1_000_000, 5, set(range(5)))] * gammas
