@@ -60,7 +60,7 @@ def frames(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
 
 
 def _clustered(df: DataFrame, method: str, init: str = "maxmin") -> DataFrame:
-    return rounded(kmeans.fit(df, 5, method, max_iter=8, init=init).assign(df).select("obs_id", "truth", "part", "sim"))
+    return rounded(kmeans.fit(df, 5, method, init=init).assign(df).select("obs_id", "truth", "part", "sim"))
 
 
 @query()
@@ -156,7 +156,7 @@ def d9_normal_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(df: DataFrame, family: Family, k: int = 3, init: str = "uniform") -> DataFrame:
-    m = mixture.fit(df, family, k, init, max_iter=8)
+    m = mixture.fit(df, family, k, init)
     return rounded(m.score(df).select("obs_id", "truth", "loglik", vec.argmax(F.col("post")).alias("part")), 4)
 
 
@@ -188,8 +188,8 @@ _fit_query("m11_complex_normal_fit", lambda s, d: (_complex(s, d), Family("Norma
 def i8_rank_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rank-2 fit, widened to rank 4 and fitted on."""
     o = fx.observations(spark, sf_dir)
-    small = mixture.fit(o, Family("ACG", (64,), rank=2), 2, "uniform", max_iter=4)
-    wide = mixture.fit(o, Family("ACG", (64,), rank=4), 2, small.theta, max_iter=4)
+    small = mixture.fit(o, Family("ACG", (64,), rank=2), 2, "uniform")
+    wide = mixture.fit(o, Family("ACG", (64,), rank=4), 2, small.theta)
     return rounded(wide.score(o).select("obs_id", "loglik"), 4)
 
 
@@ -224,8 +224,8 @@ def h6_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h8_hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal states on embeddings in sequences of 50: likelihood by sequence."""
     o = fx.observations(spark, sf_dir).select(F.floor(F.col("obs_id") / 50).alias("seq_id"), F.col("obs_id").alias("t"), "obs_id", "x")
-    start = mixture.fit(o, Family("Normal", (64,), rank=2), 2, max_iter=3)
-    return rounded(hmm.fit(o, start, 2, max_iter=4).score(o), 4)
+    start = mixture.fit(o, Family("Normal", (64,), rank=2), 2)
+    return rounded(hmm.fit(o, start, 2).score(o), 4)
 
 
 # -- evaluation -----------------------------------------------------------------------------------
@@ -397,6 +397,6 @@ def c15_mean_se(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def c5_rank_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fx.observations(spark, sf_dir).withColumn("subject", F.col("obs_id") % 7)
-    return sweep.rank_sweep({"train": o}, "ACG", 2, (1, 2), inner=1, max_iter=3)
+    return sweep.rank_sweep({"train": o}, "ACG", 2, (1, 2), inner=1)
 
 

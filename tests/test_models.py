@@ -1,3 +1,4 @@
+import inspect
 import itertools
 import math
 
@@ -99,3 +100,21 @@ def test_supervised_queries_choose_over_folds(spark, monkeypatch, name, gammas):
     monkeypatch.setattr(supervised, "CrossValidator", Plan)
     registry.QUERIES[name](spark, SF)
     assert [(n, round(r), f, ids) for n, r, f, ids in seen] == [(7, 1_000_000, 5, set(range(5)))] * gammas
+
+
+@pytest.mark.parametrize(("name", "fits"), [("k2_diametrical", 1), ("m10_normal_lowrank_fit", 2), ("i8_rank_growth", 2), ("h8_hmm_fit", 2), ("c5_rank_sweep", 1)])
+def test_registered_fits_run_to_their_stopping_rule(spark, monkeypatch, name, fits):
+    seen = []
+    for module in (kmeans, mixture, hmm):
+
+        def short(*args, fit=module.fit, **options):
+            given = inspect.signature(fit).bind(*args, **options)
+            given.apply_defaults()
+            # of starts by K-means the limit is the start's own
+            seen.append((fit.__module__, given.arguments["max_iter"], given.arguments.get("num_comparison", 0)))
+            return fit(*given.args[: list(given.arguments).index("max_iter")], max_iter=1)
+
+        monkeypatch.setattr(module, "fit", short)
+    registry.QUERIES[name](spark, SF)
+    assert len(seen) >= fits
+    assert all(limit >= 100 and limit > passes for _, limit, passes in seen)
