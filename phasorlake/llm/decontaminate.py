@@ -164,8 +164,8 @@ def _by_copy(documents: DataFrame, items: list[tuple[int, str]], share: float) -
     return on_batches(documents.select("doc_id", "text"), work, OUT)
 
 
-def _by_join(documents: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    """Seeds meet by code; candidate pairs meet as texts."""
+def _by_join(documents: DataFrame, items: DataFrame, share: float, with_text: bool = False) -> DataFrame:
+    """Seeds meet by code; candidate pairs meet as texts. ``with_text``: the document's text is the last column."""
     mine, theirs = _seeds(documents, "doc_id").select("code", "doc_id").distinct(), stored(_seeds(items, "item_id"), "seeds")
     hits = mine.join(theirs, "code").select("doc_id", "item_id", "n", F.explode(F.sequence("pos", F.col("pos") + (LEAST - 1))).alias("p"))
     pairs = stored(hits.distinct().groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("m")).where(F.col("m") >= F.col("n") * share).select("doc_id", "item_id").distinct(), "candidates")
@@ -175,15 +175,17 @@ def _by_join(documents: DataFrame, items: DataFrame, share: float) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             d, w = words_of(part.column("text")), words_of(part.column("item_text"))
-            rows = []
+            rows, at = [], []
             for r in range(part.num_rows):
                 got = _pair(d.code[d.first[r] : d.first[r + 1]], w.code[w.first[r] : w.first[r + 1]], share)
                 if got:
                     rows.append(dict(zip(NAMES, (part.column("doc_id")[r].as_py(), part.column("item_id")[r].as_py(), *got), strict=True)))
+                    at.append(r)
             if rows:
-                yield _table(rows)
+                found = _table(rows)
+                yield found.append_column("text", part.column("text").take(pa.array(at))) if with_text else found
 
-    return on_batches(both.select("doc_id", "item_id", "text", "item_text"), work, OUT)
+    return on_batches(both.select("doc_id", "item_id", "text", "item_text"), work, f"{OUT}, text string" if with_text else OUT)
 
 
 def _items(benchmark: DataFrame, bound: int) -> tuple[DataFrame, list[tuple[int, str]] | None]:
@@ -209,8 +211,10 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHA
     """The documents that hold no item of the benchmark, with all their columns."""
     items, few = _items(benchmark, bound)
     if few is None:
-        bad = _by_join(documents, items, share).select("doc_id").distinct()
-        return documents.join(bad.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
+        # an id can be null or shared with a document that holds no item
+        bad = _by_join(documents, items, share, with_text=True).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text"))
+        return documents.join(bad.hint("shuffle_hash"), same, "left_anti")
     if not few:
         return documents
     search = _searcher(few, share)

@@ -109,6 +109,18 @@ def test_both_ways_of_decontamination_agree(spark):
     assert rows(decontaminate.leaks(docs, items)) == rows(decontaminate.leaks(docs, items, bound=1))
 
 
+def test_both_ways_drop_the_same_documents(spark, odd):
+    clean = [(1, "a clean line that shares its id with a leaked one", "en", "a", 9), (None, "a clean line without an id", "en", "b", 9), (None, None, "en", "b", None)]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(clean, SCHEMA))
+    benchmark = spark.createDataFrame([(1, PASSAGE), (2, None), (None, "")], "item_id long, text string")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    expected = rows(docs.where(~F.col("text").eqNullSafe(PASSAGE)))
+    assert len(expected) == 8
+    for bound in (1_000_000, 1):
+        got = decontaminate.without_leaks(docs, benchmark, bound=bound)
+        assert got.columns == docs.columns and rows(got) == expected, bound
+
+
 @pytest.mark.parametrize(("name", "label"), [("op5_quality", "quality"), ("op7_toxicity", "toxic")])
 def test_held_out_accuracy(spark, name, label):
     sf = SF.replace("sf0.001", "sf0.01")
