@@ -343,7 +343,7 @@ def t4_signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t5_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.permutation_blocks(spark, signal.mean_coherence(fx.observations(spark, sf_dir)), np.arange(64) % 4, 200))
+    return rounded(stats.permutation_blocks(spark, signal.mean_coherence(fx.observations(spark, sf_dir)), np.arange(64) % 4))
 
 
 # -- supervised models and sweeps -----------------------------------------------------------------
@@ -397,6 +397,6 @@ def c15_mean_se(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def c5_rank_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fx.observations(spark, sf_dir).withColumn("subject", F.col("obs_id") % 7)
-    return sweep.rank_sweep({"train": o}, "ACG", 2, (1, 2), inner=1)
+    return sweep.rank_sweep({"train": o}, "ACG", 2, (1, 5, 10, 25, 50), inner=10)
 
 

@@ -8,9 +8,9 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from phasorlake.functions import special
-from phasorlake.operators import hmm, kmeans, mixture, signal, supervised
+from phasorlake.operators import hmm, kmeans, mixture, signal, stats, supervised
 from phasorlake.operators.families import Family
-from phasorlake.plans import engine, registry
+from phasorlake.plans import engine, registry, sweep
 from phasorlake.sources import files
 
 
@@ -118,3 +118,20 @@ def test_registered_fits_run_to_their_stopping_rule(spark, monkeypatch, name, fi
     registry.QUERIES[name](spark, SF)
     assert len(seen) >= fits
     assert all(limit >= 100 and limit > passes for _, limit, passes in seen)
+
+
+def test_permutations_and_ranks_are_the_surveyed(spark, monkeypatch):
+    seen = {}
+    for module, attr in ((stats, "permutation_blocks"), (sweep, "rank_sweep")):
+
+        def noted(*args, f=getattr(module, attr), **options):
+            given = inspect.signature(f).bind(*args, **options)
+            given.apply_defaults()
+            seen.update(given.arguments)
+            return spark.range(1)
+
+        monkeypatch.setattr(module, attr, noted)
+    for name in ("t5_permutation", "c5_rank_sweep"):
+        registry.QUERIES[name](spark, SF)
+    # rank 100 does not exist on 64 places
+    assert (seen["n"], seen["ranks"], seen["inner"]) == (1000, (1, 5, 10, 25, 50), 10)
