@@ -54,7 +54,7 @@ STAGES = [
     ("pii", masked),
     ("mixing", mixed),
 ]
-#: A classifier is fitted and similarity is searched: not for SQL. tests/llm holds each stage against brute force.
+#: A classifier is fitted and similarity is searched: not for SQL. tests/llm holds near duplicates against brute force, the rest on odd rows.
 ORACLE_SQL = None
 
 

@@ -51,6 +51,20 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {d: (len(sets[d]), top(d), top(d) == d) for d in sets}
 
 
+def test_pipeline_near_copies_equal_brute_force(spark, documents):
+    sets = _sets(documents, 5)
+    group = {d: {d} for d in sets}
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 10 * both >= 8 * len(sets[a] | sets[b]) and group[a] is not group[b]:
+            group[a] |= group[b]
+            for d in group[b]:
+                group[d] = group[a]
+    docs = common.table(spark, SF, "documents")
+    got = corpus_pipeline.without_near_copies(spark, docs, SF).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(d for d in sets if min(group[d]) == d)
+
+
 def test_byte_strings_equal_brute_force(spark, documents):
     seen, expected = set(), {}
     for r in sorted(documents, key=lambda r: r["doc_id"]):
