@@ -341,6 +341,12 @@ def t4_signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), side(F.col("d") > 0).alias("plus"), side(F.col("d") < 0).alias("minus"))
 
 
+@query()
+def t4_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = fx.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("a"), (F.col("l_discount").cast("double") * 500).alias("b"))
+    return rounded(_one_row(spark, stats.wilcoxon(li, "a", "b")))
+
+
 @query()
 def t5_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.permutation_blocks(spark, signal.mean_coherence(fx.observations(spark, sf_dir)), np.arange(64) % 4))

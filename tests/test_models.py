@@ -135,3 +135,16 @@ def test_permutations_and_ranks_are_the_surveyed(spark, monkeypatch):
         registry.QUERIES[name](spark, SF)
     # rank 100 does not exist on 64 places
     assert (seen["n"], seen["ranks"], seen["inner"]) == (1000, (1, 5, 10, 25, 50), 10)
+
+
+def test_wilcoxon_equals_brute_force(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("double(l_quantity) AS a", "double(l_discount) * 500 AS b").toPandas()
+    d = (li["a"] - li["b"])[lambda v: v != 0].to_numpy()
+    size, place, count = np.unique(np.abs(d), return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]
+    n, plus, minus = len(d), rank[d > 0].sum(), rank[d < 0].sum()
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (count**3 - count).sum() / 48)
+    z = (min(plus, minus) - n * (n + 1) / 4) / spread
+    got = registry.QUERIES["t4_wilcoxon"](spark, SF).first()
+    assert (got["n"], got["plus"], got["minus"]) == (n, plus, minus)
+    assert (got["z"], got["p"]) == pytest.approx((z, math.erfc(abs(z) / math.sqrt(2))), abs=1e-5)
