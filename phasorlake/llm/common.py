@@ -68,7 +68,6 @@ def tasks(spark: SparkSession) -> int:
 
 _BYTE_CODES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(4096, _STEP, np.uint64))
 
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
@@ -85,6 +84,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_PLACES: dict[int, np.ndarray] = {}
+
+
+def _places(n: int, salt: int) -> np.ndarray:
+    """A weight of each of the first n places in a word, without relation to each other; the table grows."""
+    if len(_PLACES.get(salt, ())) < n:
+        size = 1 << max(12, n.bit_length())
+        _PLACES[salt] = mixed((np.arange(size, dtype=np.uint64) + np.uint64(1)) * _STEP + np.uint64(salt)) | np.uint64(1)
+    return _PLACES[salt]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column as one array, and the n+1 places where its rows begin and end.
     A null row is empty."""
@@ -103,9 +113,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 class Words:
     """The words of a batch of texts: where each begins and ends in the batch's bytes, the row it
-    belongs to, a 64-bit code of its bytes, and ``first``: for each row the number of words before it."""
+    belongs to, a 64-bit code of its bytes (``twice``: ``other``, a second one with weights of its own), and
+    ``first``: for each row the number of words before it."""
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray, spaces: np.ndarray = SPACES, fold: np.ndarray | None = None):
+    def __init__(self, raw: np.ndarray, at: np.ndarray, spaces: np.ndarray = SPACES, fold: np.ndarray | None = None, twice: bool = False):
         self.raw = raw
         solid = np.zeros(len(raw) + 1, bool)
         np.logical_not(spaces[raw], out=solid[:-1])
@@ -121,15 +132,16 @@ class Words:
         self.stop = np.flatnonzero(stop)
         self.first = np.searchsorted(self.start, at)
         self.row = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
-        self.code = np.zeros(0, np.uint64)
+        self.code = self.other = np.zeros(0, np.uint64)
         if len(self.start):
             codes = _BYTE_CODES if fold is None else _BYTE_CODES[fold]
             inside = np.flatnonzero(solid[:-1])
             length = self.stop - self.start
             bounds = np.cumsum(length) - length
             step = np.arange(len(inside)) - np.repeat(bounds, length)
-            np.bitwise_and(step, 4095, out=step)
-            self.code = mixed(np.add.reduceat(codes[raw[inside]] * _POWERS[step], bounds) + length.astype(np.uint64))
+            of = lambda salt: mixed(np.add.reduceat(codes[raw[inside]] * _places(int(length.max()), salt)[step], bounds) + length.astype(np.uint64))
+            self.code = of(0)
+            self.other = of(1) if twice else self.other
 
     def __len__(self) -> int:
         return len(self.start)

@@ -1,180 +1,275 @@
 """Byte strings that a smaller document holds, by suffix arrays over shards.
 
-The windows of WINDOW bytes of a document fall into runs that share the smallest code of their GRAM-byte
-strings (their minimizer); equal windows have equal minimizers, so a run's windows can only recur in runs
-of the same minimizer, and shards are dealt by it. Three exact reductions come first: minimizers of one
-document go; equal runs (segments) of several documents become one row with its smallest document; and a
-minimizer with one segment needs no search, as all of it recurs.
-
-What is left, the different segments of a shared minimizer, is put together by shard, whole minimizers at a
-time, up to BLOCK bytes, and sorted by induced sorting; where neighbours in the suffix order have common
-prefixes of WINDOW or more they hold the same window, and its smallest document follows. Where more than
-``crowd`` different segments share a minimizer, its windows are compared by digest across the cluster
-instead, so no shard holds an unbounded group.
-
-Defined results: a null or empty text has 0 bytes; a row with a null id loses nothing; rows that share an id
-are taken for copies of one document; a document's own repeats stay; very long texts are searched whole;
-other columns are ignored.
+Texts are read once and kept in chunks of some megabytes; what tasks tell each other is packed, a row for
+each chunk and shard.
+
+The windows of WINDOW bytes of a document fall into runs that share the place of the smallest code of their
+GRAM-byte strings (their minimizer, of equal ones the leftmost). Equal windows have equal minimizers at equal
+distance, so a run's windows can only recur in runs of the same minimizer, and shards are dealt by it:
+
+1. A chunk sends its minimizers with the number of its documents that hold each, and gets back which others
+   hold too.
+2. It sends the runs of those with their bytes (segments), equal ones once, for the smallest of its
+   documents; larger documents of the chunk lose such a segment anyway. Where many documents hold a
+   minimizer, its runs are split by the distance of their windows from it, and dealt by the bytes that all
+   windows of a distance range share: the finest range is one window, so no shard holds an unbounded group.
+3. A shard puts equal segments together (codes, then bytes): all but the smallest document's recur whole.
+   The different segments of a key, whole keys at a time up to BLOCK bytes, are sorted by induced sorting;
+   where neighbours in the suffix order have common prefixes of WINDOW or more they hold the same window,
+   and the smallest document's stays.
+4. The chunk cuts what it gets back.
+
+A key's entries in a shard are one for each chunk at most that holds an equal segment, and no more different
+ones than ``crowds`` and the bytes beside the shared ones allow.
+
+Defined results: a null or empty text has 0 bytes; a row with a null id loses nothing and counts for no
+other; rows that share an id are documents of their own, of which none is smaller than another; a document's
+own repeats stay; very long texts are searched whole, a PIECE at a time; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_CODES, dropped, mixed, on_batches, rolled, signed, stored, tasks, text_bytes
+from .common import _BYTE_CODES, dropped, mixed, on_batches, rolled, stored, tasks, text_bytes
 from .fitting import slices
 from .suffixes import common_prefixes, suffix_array
-from .windows import _flat, owners
 
-GRAM, BLOCK = 16, 1 << 19
+GRAM = 24
+#: Bytes: of a chunk's texts, of the windows looked at together (and the bits of a place among them), of a
+#: block that is sorted, of the texts whose minimizers meet in a shard.
+CHUNK, PIECE, PLACE, BLOCK, SHARD = 1 << 22, 1 << 17, 18, 1 << 21, 1 << 26
+#: Numbers of documents from which a minimizer's runs are split in 3, 9 and single windows.
+CROWDS = (1 << 12, 1 << 16, 1 << 20)
+SEGMENT = np.dtype([("key", "<u8"), ("lo", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("off", "<i4"), ("n", "<i4"), ("place", "<i4")])
 
 
-def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """The least or largest of each ``width`` consecutive values."""
+def chunks(documents: DataFrame, size: int = CHUNK) -> DataFrame:
+    """chunk, bytes, doc_id (list), text (list): every row of ``documents``, in rows of up to ``size`` bytes of
+    text or one document."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch, limit=size) if batch.num_rows else ():
+                ids, text = part.column("doc_id"), part.column("text")
+                one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+                yield pa.record_batch([pa.array([k]), pa.array([int(text_bytes(text)[1][-1])]), one(ids), one(text)], names=["chunk", "bytes", "doc_id", "text"])
+                k += 1
+
+    return documents.select("doc_id", "text").mapInArrow(each, "chunk long, bytes long, doc_id array<long>, text array<string>")
+
+
+def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     out, size = values, 1
     while size * 2 <= width:
-        out = pick(out[:-size], out[size:])
+        out = np.minimum(out[:-size], out[size:])
         size *= 2
     rest = width - size
-    return pick(out[: len(out) - rest], out[rest:]) if rest else out
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def runs(raw: np.ndarray, at: np.ndarray, window: int, live: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share a minimizer: first window (in the batch's bytes), number of windows, place
+    of the minimizer, its code. ``live``: the rows that take part. The runs of a row end with each PIECE."""
+    gram = min(GRAM, window)
+    some = live & (np.diff(at) >= window)
+    edge = np.zeros(len(raw) + 1, np.int8)
+    np.add.at(edge, at[:-1][some], 1)
+    np.add.at(edge, at[1:][some] - window + 1, -1)
+    inside = np.cumsum(edge, dtype=np.int8) > 0
+    low_bits = np.uint64((1 << PLACE) - 1)
+    found = []
+    for lo in range(0, len(raw) - window + 1, PIECE):
+        part = raw[lo : lo + PIECE + window - 1]
+        code = rolled(_BYTE_CODES[part], gram, 5)
+        key = _sliding_min(code & ~low_bits | np.arange(len(code), dtype=np.uint64), window - gram + 1)
+        ok = inside[lo : lo + len(key)]
+        new = ok.copy()
+        new[1:] &= (key[1:] != key[:-1]) | ~ok[:-1]
+        last = ok.copy()
+        last[:-1] &= new[1:] | ~ok[1:]
+        begin = np.flatnonzero(new)
+        place = (key[begin] & low_bits).astype(np.int64)
+        found.append((begin + lo, np.flatnonzero(last) - begin + 1, place + lo, code[place]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (none, none, none, none.astype(np.uint64))
 
 
-def lows(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The code of each GRAM-byte string, and the smallest of each window."""
-    if len(raw) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    gram = rolled(_BYTE_CODES[raw], GRAM, 5)
-    return gram, _sliding(gram, window - GRAM + 1, np.minimum)
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
 
-def runs(low: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share a minimizer: row, first window (in the batch's bytes), number of windows,
-    minimizer. ``low``: the windows' minimizers."""
-    none = np.zeros(0, np.int64)
-    if not len(low):
-        return none, none, none, none.astype(np.uint64)
-    length = np.diff(at)
-    inside = np.zeros(int(at[-1]) + 1, np.int32)
-    some = length >= window
-    inside[at[:-1][some]] += 1
-    inside[at[1:][some] - window + 1] -= 1
-    inside = np.cumsum(inside)[: len(low)] > 0
-    new = inside.copy()
-    new[1:] &= (low[1:] != low[:-1]) | ~inside[:-1]
-    starts = at[:-1][some]
-    new[starts] = True
-    begin = np.flatnonzero(new)
-    row = np.searchsorted(at, begin, side="right") - 1
-    stop = np.minimum(np.append(begin[1:], at[-1]), at[row + 1] - window + 1)
-    return row, begin, stop - begin, low[begin]
-
-
-def _minimizers(documents: DataFrame, window: int) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch):
-            raw, at = text_bytes(part.column("text"))
-            row, _, _, code = runs(lows(raw, window)[1], at, window)
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order]
-            new = np.ones(len(code), bool)
-            new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
-            yield pa.record_batch([pa.array(signed(code[new])), part.column("doc_id").take(pa.array(row[new]))], names=["code", "doc_id"])
+_STEP = 0xA24BAED4963EE407
+_BACK = pow(_STEP, -1, 2**64)
 
-    return on_batches(documents.select("doc_id", "text"), work, "code long, doc_id long")
 
+def digests(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A code of each run of bytes: differences of running sums of weighted byte codes, brought to the run's
+    own start. ``begin`` in order; the sums are taken a PIECE at a time."""
+    out = np.empty(len(begin), np.uint64)
+    weight = mixed(_BYTE_CODES)
+    cuts = np.searchsorted(begin, np.arange(0, len(raw) + PIECE, PIECE))
+    for k in np.flatnonzero(np.diff(cuts)):
+        a, b, lo = begin[cuts[k] : cuts[k + 1]] - k * PIECE, end[cuts[k] : cuts[k + 1]] - k * PIECE, k * PIECE
+        part = raw[lo : lo + int(b.max())]
+        size = 1 << len(part).bit_length()
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weight[part] * _powers(_STEP, size)[: len(part)])])
+        out[cuts[k] : cuts[k + 1]] = mixed((sums[b] - sums[a]) * _powers(_BACK, size)[a] + (b - a).astype(np.uint64))
+    return out
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
+def split(begin: np.ndarray, n: np.ndarray, place: np.ndarray, parts: int, width: int) -> tuple[np.ndarray, ...]:
+    """Runs split by the distance of the minimizer from the window's start, in ``parts`` ranges of the ``width``
+    possible ones: index of the run, number of the range, least and largest distance of the range, first
+    window and number of windows."""
+    of = np.arange(width) * parts // width
+    edges = np.searchsorted(of, np.arange(parts + 1))
+    most, least = place - begin, place - begin - n + 1
+    high, low = of[most], of[least]
+    count = high - low + 1
+    run = np.repeat(np.arange(len(begin)), count)
+    number = np.repeat(high, count) - (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
+    a, b = np.maximum(edges[number], least[run]), np.minimum(edges[number + 1] - 1, most[run])
+    return run, number, edges[number], edges[number + 1] - 1, place[run] - b, b - a + 1
 
-def _digests(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A code of each run of bytes: differences of running sums of weighted byte codes, brought to the
-    run's own start."""
-    n = len(raw)
-    up, down = _powers(_STEP, n), _powers(_BACK, n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(_BYTE_CODES)[raw] * up[:-1])])
-    return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
+def _chunk_codes(text: pa.Array, ids: pa.Array, window: int) -> tuple[np.ndarray, ...]:
+    raw, at = text_bytes(text)
+    live = ids.is_valid().to_numpy(zero_copy_only=False)
+    return raw, at, *runs(raw, at, window, live)
 
-_STEP = 0xA24BAED4963EE407
-_BACK = pow(_STEP, -1, 2**64)
 
+def _row_of(at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.searchsorted(at, begin, side="right") - 1
 
-def _segments(found: DataFrame, window: int) -> DataFrame:
-    """code, lo, doc_id, off, n (windows), left, right of the runs with a marked minimizer; code and lo are a
-    128-bit code of the run's bytes. Where the minimizer's string stands once in the run, left and right are
-    codes of it with the SIDE bytes before and after, 0 where the run has not as many: runs that share a
-    window agree in one of the two. ``found``: doc_id, text, codes."""
-    side = (window - GRAM + 1) // 2
+
+def _by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the codes by shard, the shards met, and where each begins in that order (and the end)."""
+    shard = (codes % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    met, first = np.unique(shard[order], return_index=True)
+    return order, met, np.append(first, len(codes))
+
+
+def _minimizers(texts: DataFrame, window: int, shards: int) -> DataFrame:
+    """chunk, p, codes, docs: each chunk's different minimizers by shard, and how many documents (255 at most)
+    hold each."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch):
-            raw, at = text_bytes(part.column("text"))
-            gram, low = lows(raw, window)
-            row, begin, n, code = runs(low, at, window)
-            marked, of = _flat(part.column("codes"))
-            # a run is wanted where (row, code) is among the marked
-            both_code, both_row = np.concatenate([marked.view(np.uint64), code]), np.concatenate([of, row])
-            order = np.lexsort((np.arange(len(both_code)) >= len(marked), both_code, both_row))
-            is_run = order >= len(marked)
-            last = np.maximum.accumulate(np.where(is_run, -1, np.arange(len(order))))
-            ok = is_run & (last >= 0)
-            ok[ok] = (both_code[order][ok] == both_code[order][last[ok]]) & (both_row[order][ok] == both_row[order][last[ok]])
-            wanted = np.zeros(len(code), bool)
-            wanted[order[ok] - len(marked)] = True
-            row, begin, n, code = row[wanted], begin[wanted], n[wanted], code[wanted]
-            if len(row):
-                end = begin + n + window - 1
-                lo, place = _digests(raw, begin, end), _once(gram, low, begin, end - GRAM + 1 - begin, code)
-                left, right = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
-                has_left, has_right = np.flatnonzero(place - side >= begin), np.flatnonzero((place >= 0) & (place + GRAM + side <= end))
-                left[has_left] = _digests(raw, place[has_left] - side, place[has_left] + GRAM) | np.uint64(1)
-                right[has_right] = _digests(raw, place[has_right], place[has_right] + GRAM + side) & ~np.uint64(1)
-                yield pa.record_batch([pa.array(signed(code)), pa.array(signed(lo)), part.column("doc_id").take(pa.array(row)), pa.array((begin - at[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(left)), pa.array(signed(right)), pa.array(place < 0)], names=["code", "lo", "doc_id", "off", "n", "left", "right", "open"])
-
-    return on_batches(found, work, "code long, lo long, doc_id long, off int, n int, left long, right long, open boolean")
-
-
-def _once(gram: np.ndarray, low: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Where in each run its minimizer's string begins; -1 where it does so more than once. Only strings
-    that are the smallest of some window around them come into question."""
-    width = len(gram) - len(low) + 1
-    pad = np.zeros(width - 1, np.uint64)
-    maybe = np.flatnonzero(gram == _sliding(np.concatenate([pad, low, pad]), width, np.maximum))
-    a = np.searchsorted(maybe, begin)
-    k = np.searchsorted(maybe, begin + size) - a
-    of = np.repeat(np.arange(len(begin)), k)
-    at = maybe[np.repeat(a - (np.cumsum(k) - k), k) + np.arange(k.sum())]
-    same = np.flatnonzero(gram[at] == code[of])
-    hits, first = np.bincount(of[same], minlength=len(begin)), np.full(len(begin), -1)
-    first[of[same]] = at[same]
-    return np.where(hits == 1, first, -1)
-
-
-def _bodies(found: DataFrame, window: int) -> DataFrame:
-    """code, lo, m, head, bytes of the picked segments. ``found``: doc_id, text, picked."""
+        for chunk, ids, text in zip(batch.column("chunk"), batch.column("doc_id"), batch.column("text"), strict=True):
+            _, at, begin, _, _, code = _chunk_codes(text.values, ids.values, window)
+            row = _row_of(at, begin)
+            order = np.lexsort((row, code))
+            code, row = code[order], row[order]
+            new = np.ones(len(code), bool)
+            new[1:] = code[1:] != code[:-1]
+            another = new.copy()
+            another[1:] |= row[1:] != row[:-1]
+            first = np.flatnonzero(new)
+            docs = np.minimum(np.add.reduceat(another, first, dtype=np.int64), 255).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
+            code = code[first]
+            order, met, cut = _by_shard(code, shards)
+            code, docs = code[order], docs[order]
+            pieces = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.record_batch([pa.array([chunk.as_py()] * len(met), pa.int64()), pa.array(met.astype(np.int32)), pieces(code), pieces(docs)], names=["chunk", "p", "codes", "docs"])
+
+    return on_batches(texts.select("chunk", "doc_id", "text"), work, "chunk long, p int, codes binary, docs binary")
+
+
+def _levels(codes: DataFrame, crowds: tuple[int, ...]) -> DataFrame:
+    """chunk, p, levels: for each code that a chunk sent, 0 where one document alone holds it, else 1, and one
+    more for each of ``crowds`` that the number of documents reaches."""
+
+    def work(table: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(x, "<u8") for x in table.column("codes").to_pylist()]
+        code = np.concatenate(sent)
+        docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.uint8)
+        order = np.argsort(code)
+        first = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+        total = np.add.reduceat(docs[order], first, dtype=np.int64)
+        level = np.empty(len(code), np.uint8)
+        level[order] = np.repeat(np.where(total < 2, 0, 1 + np.searchsorted(crowds, total, "right")), np.diff(np.append(first, len(code))))
+        parts = np.split(level, np.cumsum([len(x) for x in sent])[:-1])
+        return pa.table({"chunk": table.column("chunk"), "p": table.column("p"), "levels": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    return codes.groupBy("p").applyInArrow(work, "chunk long, p int, levels binary")
+
+
+def _segments(found: DataFrame, window: int, shards: int) -> DataFrame:
+    """chunk, p, segments (SEGMENT records), body (their bytes), gone (row, begin, end of what recurs inside the
+    chunk; on one row). ``found``: chunk, doc_id, text, levels."""
+    width = window - min(GRAM, window) + 1
+
+    def one(ids: pa.Array, text: pa.Array, levels: np.ndarray) -> tuple:
+        raw, at, begin, n, place, code = _chunk_codes(text, ids, window)
+        codes, of = np.unique(code, return_inverse=True)
+        level = np.empty(len(codes), np.uint8)
+        level[_by_shard(codes, shards)[0]] = levels
+        level = level[of] if len(of) else level
+        kinds = []
+        for k in np.unique(level[level > 0]).tolist():
+            some = level == k
+            parts = (1, min(3, width), min(9, width), width)[k - 1]
+            run, number, near, far, first, count = split(begin[some], n[some], place[some], parts, width)
+            key, where = code[some][run], place[some][run]
+            if parts > 1:
+                order = np.argsort(where - near, kind="stable")
+                shared = np.empty(len(run), np.uint64)
+                shared[order] = digests(raw, (where - near)[order], (where - far + window)[order])
+                key = mixed(shared + (number + 64 * k).astype(np.uint64))
+            kinds.append((key, first, count, where - first if parts == 1 else np.full(len(run), -1)))
+        if not kinds:
+            return None
+        key, begin, n, place = (np.concatenate(c) for c in zip(*kinds, strict=True))
+        order = np.argsort(begin, kind="stable")
+        key, begin, n, place = key[order], begin[order], n[order], place[order]
+        seg = np.empty(len(key), SEGMENT)
+        row = _row_of(at, begin)
+        doc = ids.fill_null(0).to_numpy()[row]
+        for name, value in zip(SEGMENT.names, (key, digests(raw, begin, begin + n + window - 1), doc, row, begin - at[row], n, place), strict=True):
+            seg[name] = value
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((seg["doc"], seg["lo"], key, shard))
+        seg, shard, begin = seg[order], shard[order], begin[order]
+        new = np.ones(len(seg), bool)
+        new[1:] = (seg["key"][1:] != seg["key"][:-1]) | (seg["lo"][1:] != seg["lo"][:-1])
+        view = memoryview(np.ascontiguousarray(raw))
+        size = seg["n"] + window - 1
+        for i in np.flatnonzero(~new).tolist():  # equal codes: equal bytes too
+            a, b, k = int(begin[i - 1]), int(begin[i]), int(size[i])
+            new[i] = size[i - 1] != k or bytes(view[a : a + k]) != bytes(view[b : b + k])
+        least = seg["doc"][np.maximum.accumulate(np.where(new, np.arange(len(seg)), 0))]
+        sent = seg["doc"] == least
+        gone = seg[~sent]
+        gone = np.stack([gone["row"], gone["off"], gone["off"] + gone["n"] + window - 1], 1).astype("<i4")
+        return seg[sent], shard[sent], [view[a : a + k] for a, k in zip(begin[sent].tolist(), size[sent].tolist(), strict=True)], gone
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch):
-            raw, at = text_bytes(part.column("text"))
-            picked, of = part.column("picked"), owners(part.column("picked"))
-            code, lo, m, off, n = (picked.flatten().field(i) for i in range(5))
-            view, start = memoryview(np.ascontiguousarray(raw)), at[of] + off.to_numpy()
-            bodies = [bytes(view[a : a + k + window - 1]) for a, k in zip(start.tolist(), n.to_pylist(), strict=True)]
-            yield pa.record_batch([code, lo, m, part.column("doc_id").take(pa.array(of)), pa.array(bodies, pa.binary())], names=["code", "lo", "m", "head", "bytes"])
+        for chunk, ids, text, levels in zip(*(batch.column(c) for c in ("chunk", "doc_id", "text", "levels")), strict=True):
+            got = one(ids.values, text.values, np.frombuffer(b"".join(x["levels"].as_py() for x in levels), np.uint8))
+            if got is None:
+                continue
+            seg, shard, bodies, gone = got
+            met, first = np.unique(shard, return_index=True)
+            cut = np.append(first, len(seg)).tolist()
+            rows = [(seg[a:b].tobytes(), b"".join(bodies[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.record_batch([pa.array([chunk.as_py()] * len(met), pa.int64()), pa.array(met.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array([gone.tobytes()] + [b""] * (len(met) - 1), pa.binary())], names=["chunk", "p", "segments", "body", "gone"])
 
-    return on_batches(found, work, "code long, lo long, m long, head long, bytes binary")
+    return on_batches(found.select("chunk", "doc_id", "text", "levels"), work, "chunk long, p int, segments binary, body binary, gone binary")
 
 
-def recurring(pieces: list[bytes], owner: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each piece, the starts of its windows that a piece of a smaller owner holds too."""
+def recurring(pieces: list[bytes], owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, start in it) of every window that a piece of a smaller owner holds too, in order."""
     size = np.array([len(p) + 1 for p in pieces])
     begin = np.cumsum(size) - size
     t = np.zeros(int(size.sum()) + 1, np.int64)
@@ -185,149 +280,135 @@ def recurring(pieces: list[bytes], owner: np.ndarray, window: int) -> list[np.nd
     t[body] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 2
     sa = suffix_array(t, 258)
     common = common_prefixes(t, sa)
-    piece = np.minimum(np.repeat(np.arange(len(pieces)), size), len(pieces) - 1)
-    piece = np.append(piece, len(pieces) - 1)
+    piece = np.append(np.repeat(np.arange(len(pieces)), size), len(pieces) - 1)
     room = np.append(np.repeat(begin + size - 1, size), 0) - np.arange(len(t))
-    held = room[sa] >= window
-    group = np.cumsum(common[sa] < window)
-    here, group = sa[held], group[held]
-    if not len(here):
-        return [np.zeros(0, np.int32)] * len(pieces)
+    held = np.flatnonzero(room[sa] >= window)
+    here, group = sa[held], np.cumsum(common[sa] < window)[held]
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    if not len(here):
+        return here, here
     least = np.repeat(np.minimum.reduceat(owner[piece[here]], first), np.diff(np.append(first, len(here))))
     hit = np.sort(here[least < owner[piece[here]]])
-    cuts = np.searchsorted(hit, begin[1:])
-    return [(part - b).astype(np.int32) for part, b in zip(np.split(hit, cuts), begin, strict=True)]
-
-
-def _searched(shards: DataFrame, window: int) -> DataFrame:
-    """code, lo, starts. ``shards``: code, lo, head, bytes, where rows of a code are together."""
-
-    def block(rows: list[tuple]) -> pa.RecordBatch:
-        starts = recurring([r[3] for r in rows], np.array([r[2] for r in rows]), window)
-        some = [(r[0], r[1], s) for r, s in zip(rows, starts, strict=True) if len(s)]
-        code, lo, starts = zip(*some, strict=True) if some else ((), (), ())
-        return pa.record_batch([pa.array(code, pa.int64()), pa.array(lo, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], names=["code", "lo", "starts"])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("code", "lo", "head", "bytes")), strict=True):
-                if size > BLOCK and r[0] != held[-1][0]:
-                    yield block(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[3])
-        if held:
-            yield block(held)
-
-    return shards.mapInArrow(each, "code long, lo long, starts array<int>")
-
-
-def _compared(crowded: DataFrame, window: int) -> DataFrame:
-    """code, lo, starts of the segments of crowded minimizers, by digests of their windows."""
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for code, lo, head, b in zip(*(batch.column(c).to_pylist() for c in ("code", "lo", "head", "bytes")), strict=True):
-            each = [hashlib.blake2b(b[s : s + window], digest_size=16).digest() for s in range(len(b) - window + 1)]
-            n = len(each)
-            yield pa.record_batch([pa.array([code] * n, pa.int64()), pa.array([lo] * n, pa.int64()), pa.array([head] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(each, pa.binary())], names=["code", "lo", "head", "s", "w"])
-
-    rows = stored(on_batches(crowded.select("code", "lo", "head", "bytes"), work, "code long, lo long, head long, s int, w binary"), "crowded")
-    least = rows.groupBy("w").agg(F.min("head").alias("least"), F.max("head").alias("most")).where("least < most").select("w", "least")
-    return rows.join(least, "w").where("head > least").groupBy("code", "lo").agg(F.collect_list("s").alias("starts"))
+    return piece[hit], hit - begin[piece[hit]]
+
+
+def _able(pieces: list[bytes], key: np.ndarray, n: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
+    """Whether a segment can share a window with another of its key: one of the longer strings around the
+    minimizer, which all windows of a distance range hold, is another's too. Split runs are taken as they are."""
+    width = window - min(GRAM, window) + 1
+    parts = min(3, width)
+    whole = np.flatnonzero(place >= 0)
+    able = place < 0
+    size = np.array([len(p) for p in pieces])
+    base = np.cumsum(size) - size
+    at = base[whole]
+    run, number, near, far, _, _ = split(at, n[whole], at + place[whole], parts, width)
+    where = (at + place[whole])[run]
+    order = np.argsort(where - near, kind="stable")
+    code = np.empty(len(run), np.uint64)
+    code[order] = digests(np.frombuffer(b"".join(pieces), np.uint8), (where - near)[order], (where - far + window)[order])
+    code = mixed(code + key[whole][run] * np.uint64(2 * parts + 1) + number.astype(np.uint64))
+    _, of, count = np.unique(code, return_inverse=True, return_counts=True)
+    able[whole[run[count[of] > 1]]] = True
+    return able
+
+
+def _searched(segments: DataFrame, window: int) -> DataFrame:
+    """chunk, gone: row, begin and end of all that recurs. ``segments``: chunk, p, segments, body, gone."""
+
+    def work(table: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(x, SEGMENT) for x in table.column("segments").to_pylist()]
+        seg, body = np.concatenate(sent), b"".join(table.column("body").to_pylist())
+        chunk = np.repeat(np.arange(len(sent)), [len(x) for x in sent])
+        size = seg["n"].astype(np.int64) + window - 1
+        begin = np.cumsum(size) - size
+        order = np.lexsort((seg["doc"], seg["lo"], seg["key"]))
+        key, lo, doc = seg["key"][order], seg["lo"][order], seg["doc"][order]
+        piece = lambda i: body[begin[i] : begin[i] + size[i]]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1])
+        for i in np.flatnonzero(~new).tolist():
+            new[i] = piece(order[i - 1]) != piece(order[i])
+        first = np.flatnonzero(new)
+        kind = np.cumsum(new) - 1
+        head, key = doc[first], key[first]
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        several = np.repeat(np.diff(edges) > 1, np.diff(edges))
+        hits = [_block(b, key, head, order[first], piece, seg, window) for b in _blocks(np.flatnonzero(several), key, size[order[first]])]
+        of, low, high = (np.concatenate(c) for c in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 3
+        # the smallest document's own segments: what was hit in them; all others: whole
+        mine = np.flatnonzero(doc == head[kind])
+        a, b = np.searchsorted(of, kind[mine], "left"), np.searchsorted(of, kind[mine], "right")
+        part = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
+        whole, some = order[doc > head[kind]], order[np.repeat(mine, b - a)]
+        at = np.concatenate([whole, some])
+        start = np.concatenate([seg["off"][whole], seg["off"][some] + low[part]])
+        stop = np.concatenate([seg["off"][whole] + size[whole], seg["off"][some] + high[part]])
+        by = np.argsort(chunk[at], kind="stable")
+        ranges = np.stack([seg["row"][at], start, stop], 1)[by].astype("<i4")
+        cut = np.searchsorted(chunk[at][by], np.arange(len(sent) + 1))
+        gone = [x + ranges[a:b].tobytes() for x, a, b in zip(table.column("gone").to_pylist(), cut[:-1], cut[1:], strict=True)]
+        return pa.table({"chunk": table.column("chunk"), "gone": pa.array(gone, pa.binary())})
+
+    return segments.groupBy("p").applyInArrow(work, "chunk long, gone binary")
+
+
+def _blocks(some: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Kinds in order, whole keys together, up to BLOCK bytes or one key."""
+    if not len(some):
+        return
+    total = np.cumsum(size[some])
+    ends = np.flatnonzero(np.append(key[some][1:] != key[some][:-1], True)) + 1
+    a = 0
+    while a < len(some):
+        room = np.searchsorted(total[ends - 1], (total[a - 1] if a else 0) + BLOCK, "right")
+        b = int(ends[max(room - 1, np.searchsorted(ends, a, "right"))])
+        yield some[a:b]
+        a = b
+
+
+def _block(kinds: np.ndarray, key: np.ndarray, head: np.ndarray, entry: np.ndarray, piece, seg: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """kind, begin, end of the parts of segments that recur, in order of kind."""
+    pieces = [piece(i) for i in entry[kinds].tolist()]
+    able = np.flatnonzero(_able(pieces, key[kinds], seg["n"][entry[kinds]].astype(np.int64), seg["place"][entry[kinds]].astype(np.int64), window))
+    if not len(able):
+        return (np.zeros(0, np.int64),) * 3
+    of, start = recurring([pieces[i] for i in able.tolist()], head[kinds[able]], window)
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)))[: len(of)]
+    last = np.append(new[1:], True)[: len(of)]
+    return kinds[able[of[new]]], start[new], start[last] + window
 
 
 def _cut(found: DataFrame) -> DataFrame:
-    """doc_id, n_removed, n_spans, kept_sha256. ``found``: doc_id, text, begin and end of removed runs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. ``found``: doc_id, text, gone (lists of a chunk)."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch):
-            raw, at = text_bytes(part.column("text"))
-            begin, row = _flat(part.column("begin"))
-            end, _ = _flat(part.column("end"))
-            edge = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(edge, at[row] + begin, 1)
-            np.add.at(edge, at[row] + end, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            total = np.concatenate(([0], np.cumsum(gone)))
-            start = gone.copy()
-            start[1:] &= ~gone[:-1]
+        for ids, text, gone in zip(*(batch.column(c) for c in ("doc_id", "text", "gone")), strict=True):
+            raw, at = text_bytes(text.values)
+            row, begin, end = np.frombuffer(b"".join(x.as_py() for x in gone) if gone.is_valid else b"", "<i4").reshape(-1, 3).T.astype(np.int64)
+            edge = np.bincount(at[row] + begin, minlength=len(raw) + 1) - np.bincount(at[row] + end, minlength=len(raw) + 1)
+            out = np.cumsum(edge)[:-1] > 0
+            total = np.concatenate(([0], np.cumsum(out)))
+            start = out.copy()
+            start[1:] &= ~out[:-1]
             first = at[:-1][at[:-1] < at[1:]]
-            start[first] = gone[first]
+            start[first] = out[first]
             spans = np.concatenate(([0], np.cumsum(start)))
-            kept, place = raw[~gone].tobytes(), at - total[at]
+            kept, place = raw[~out].tobytes(), at - total[at]
             sha = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
-            yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(total[at]).astype(np.int64)), pa.array(np.diff(spans[at]).astype(np.int64)), pa.array(sha)], names=["doc_id", "n_removed", "n_spans", "kept_sha256"])
-
-    return on_batches(found, work, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def remove_repeats(documents: DataFrame, window: int = 50, crowd: int = 2_000, rounds: int = 3) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document. Texts are sent to their marks, and
-    segments compared, in ``rounds``, each a share of the documents or codes, so that only that share is on
-    its way between tasks at once."""
-    named = documents.where("doc_id is not null").select("doc_id", "text")
-    of_documents = lambda df, r: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
-    of_codes = lambda df, r: df.where(F.pmod("code", F.lit(rounds)) == r)
-
-    def in_rounds(step, name: str) -> list[DataFrame]:
-        return [stored(step(r), name) for r in range(rounds)]
-
-    codes = stored(_minimizers(named, window), "minimizers")
-    shared = stored(codes.groupBy("code").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("code"), "shared")
-    marked = stored(codes.join(shared.hint("shuffle_hash"), "code", "left_semi").groupBy("doc_id").agg(F.collect_list("code").alias("codes")), "marked")
-    dropped(codes, shared)
-    with_marks = lambda marks, r: of_documents(named, r).join(of_documents(marks, r).hint("shuffle_hash"), "doc_id")
-    segments_of = in_rounds(lambda r: _segments(with_marks(marked, r), window), "segments")
-    segments = reduce(DataFrame.union, segments_of)
-    dropped(marked)
-    # equal runs: n and the sides are the same of all, the place is that in the smallest document
-    same = [F.any_value(c).alias(c) for c in ("n", "left", "right", "open")]
-    kinds_of = in_rounds(lambda r: of_codes(segments, r).groupBy("code", "lo").agg(F.min("doc_id").alias("head"), F.min_by("off", "doc_id").alias("off"), *same), "kinds")
-    kinds = reduce(DataFrame.union, kinds_of)
-    # segments that can share a window with another: by a side, or where a run's place isn't certain
-    several = stored(kinds.groupBy("code").agg(F.count("*").alias("m"), F.max("open").alias("any_open")).where("m > 1").select("code", "any_open"), "several")
-    semi = lambda df, keys, on: df.join(keys.hint("shuffle_hash"), on, "left_semi")
-    loose = semi(kinds, several.where("any_open").select("code"), "code").select("code", "lo")
-    sides = stored(semi(kinds, several.where("not any_open").select("code"), "code").select("code", "lo", F.explode(F.array("left", "right")).alias("key")).where("key != 0"), "sides")
-
-    def met(r: int) -> DataFrame:
-        some = sides.where(F.pmod("key", F.lit(rounds)) == r)
-        return semi(some, some.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key").select("code", "lo")
-
-    met_of = in_rounds(met, "met")
-    dropped(sides)
-    able = stored(reduce(DataFrame.union, met_of, loose).distinct(), "able")
-    number = able.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
-    sought = able.join(number.hint("shuffle_hash"), "code").join(kinds.select("code", "lo", "head", "off", "n"), ["code", "lo"])
-    picked = stored(sought.groupBy(F.col("head").alias("doc_id")).agg(F.collect_list(F.struct("code", "lo", "m", "off", "n")).alias("picked")), "picked")
-    dropped(several, able, *met_of)
-    bodies_of = in_rounds(lambda r: _bodies(with_marks(picked, r), window), "bodies")
-    bodies = reduce(DataFrame.union, bodies_of)
-    dropped(picked)
-    width = max(1, tasks(documents.sparkSession))
-    few = bodies.where(F.col("m") <= crowd).repartition(width, "code").sortWithinPartitions("code").select("code", "lo", "head", "bytes")
-    starts = stored(_searched(few, window).union(_compared(bodies.where(F.col("m") > crowd), window)), "starts")
-    dropped(*bodies_of)
-
-    def occurrences(r: int) -> DataFrame:
-        known = of_codes(kinds, r).select("code", "lo", "head").join(of_codes(starts, r), ["code", "lo"], "left")
-        each = of_codes(segments, r).select("code", "lo", "doc_id", "off", "n").join(known, ["code", "lo"]).where("doc_id > head or starts is not null")
-        return each.select("doc_id", "head", "off", "n", "starts")
-
-    each_of = in_rounds(occurrences, "occurrences")
-    each = reduce(DataFrame.union, each_of)
-    dropped(starts, *kinds_of, *segments_of)
-    whole = each.where("doc_id > head").select("doc_id", F.col("off").alias("begin"), (F.col("off") + F.col("n") + (window - 1)).alias("end"))
-    parts = each.where("doc_id = head").select("doc_id", "off", F.explode("starts").alias("s")).select("doc_id", (F.col("off") + F.col("s")).alias("begin"), (F.col("off") + F.col("s") + window).alias("end"))
-    ranges = stored(whole.union(parts).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("r")).select("doc_id", "r.begin", "r.end"), "ranges")
-    dropped(*each_of)
-    cut = reduce(DataFrame.union, in_rounds(lambda r: _cut(with_marks(ranges, r)).dropDuplicates(["doc_id"]), "cut"))
-    dropped(ranges)
-    text = F.coalesce("text", F.lit(""))
-    plain = documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
-    out = plain.join(cut, "doc_id", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+            yield pa.record_batch([ids.values, *(pa.array(np.diff(x).astype(np.int64)) for x in (at, total[at], spans[at])), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return on_batches(found.select("doc_id", "text", "gone"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def remove_repeats(documents: DataFrame, window: int = 50, crowds: tuple[int, ...] = CROWDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    texts = stored(chunks(documents), "chunks")
+    held = texts.agg(F.sum("bytes")).first()[0] or 0
+    shards = max(tasks(documents.sparkSession), -(-held // SHARD))
+    levels = stored(_levels(_minimizers(texts, window, shards), crowds), "levels")
+    of_chunk = levels.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("p", "levels"))).alias("levels"))
+    segments = _segments(texts.join(of_chunk.hint("shuffle_hash"), "chunk"), window, shards)
+    gone = stored(_searched(segments, window), "gone")
+    dropped(levels)
+    return _cut(texts.join(gone.groupBy("chunk").agg(F.collect_list("gone").alias("gone")).hint("shuffle_hash"), "chunk", "left"))

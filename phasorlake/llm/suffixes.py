@@ -1,171 +1,132 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, of one block of symbols.
 
 Suffixes are of type S (smaller than the next one) or L. The S suffixes after an L one (leftmost-smaller,
-LMS) are sorted by their substrings up to the next such place, those substrings are named in order, and
-where names repeat the string of names is sorted the same way first. From sorted LMS suffixes all L
-suffixes follow in one pass over the buckets from the left, all S suffixes in one from the right.
+LMS) begin substrings that reach to the next such place; these are named in order, and where names repeat,
+the string of names is sorted the same way first. From sorted LMS suffixes all L suffixes follow in one scan
+of the order from the left, all S suffixes in one from the right.
 
-At the top the alphabet is bytes, and a pass takes a bucket at a time as arrays: what a bucket's suffixes
-induce goes to other buckets, but for those in front of an equal symbol, which are taken in further rounds.
-Below the top names are many and buckets short, so the passes are plain loops.
+A scan takes stretches of the order as arrays: up to the first place that the stretch itself fills.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: A stretch that ends sooner gives way to the next ONE_BY_ONE suffixes taken singly.
+SHORT, ONE_BY_ONE = 96, 512
+
 
 def types_of(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is of type S; the last symbol, smaller than all others, is."""
-    n = len(t)
-    s = np.ones(n, bool)
-    if n > 1:
-        differs = np.append(np.flatnonzero(t[:-1] != t[1:]), n - 1)
-        after = differs[np.searchsorted(differs, np.arange(n - 1))]
-        s[:-1] = t[after] < t[np.minimum(after + 1, n - 1)]
+    s = np.ones(len(t), bool)
+    differs = np.flatnonzero(t[:-1] != t[1:])
+    s[:-1] = np.repeat(t[differs] < t[differs + 1], np.diff(np.concatenate(([-1], differs))))
     return s
 
 
+def _runs(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    new = np.empty(len(c), bool)
+    new[:1] = True
+    np.not_equal(c[1:], c[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(c)))
+
+
+def _scan(t: np.ndarray, wanted: np.ndarray, sa: np.ndarray, place: np.ndarray) -> None:
+    """Each suffix in order puts the one before it, where that is wanted, at its symbol's next place."""
+    n, p, size = len(sa), 0, 256
+    while p < n:
+        if size < SHORT:
+            for p in range(p, min(p + ONE_BY_ONE, n)):
+                j = sa.item(p) - 1
+                if j >= 0 and wanted.item(j):
+                    c = t.item(j)
+                    to = place.item(c)
+                    sa[to] = j
+                    place[c] = to + 1
+            p, size = p + 1, 256
+            continue
+        q = min(p + size, n)
+        at = np.flatnonzero(sa[p:q] > 0)
+        before = sa[p:q][at] - 1
+        ok = np.flatnonzero(wanted[before])
+        if not len(ok):
+            p, size = q, size * 2
+            continue
+        m, at, before = len(ok), at[ok], before[ok]
+        c, order = np.divmod(np.sort(t[before] * m + np.arange(m)), m)
+        first, count = _runs(c)
+        to = np.arange(m) + np.repeat(place[c[first]] - first, count)
+        least = int(to.min())
+        if least < q:  # from there on the stretch wasn't complete when it was read
+            inside = np.flatnonzero(at[order] < least - p)
+            order, c, to = order[inside], c[inside], to[inside]
+            first, count = _runs(c)
+            q, size = least, 2 * (least - p)
+        else:
+            size *= 2
+        sa[to] = before[order]
+        place[c[first]] += count
+        p = q
+
+
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
-    """All suffixes in order, from the LMS ones in order within each symbol's bucket."""
+    """All suffixes in order, from the LMS ones in order."""
+    n = len(t)
     sizes = np.bincount(t, minlength=symbols)
     ends = np.cumsum(sizes)
-    large = np.bincount(t[~s], minlength=symbols)
-    sa = np.full(len(t), -1, np.int64)
+    sa = np.full(n, -1, np.int64)
     order = np.argsort(t[lms], kind="stable")
-    seeds = lms[order]
-    seed_at = np.concatenate(([0], np.cumsum(np.bincount(t[lms], minlength=symbols))))
-
-    head = ends - sizes
-    first = head.copy()
-
-    def push(at: np.ndarray, c: int, wanted: bool, place: np.ndarray, step: int) -> np.ndarray:
-        """Put those before ``at`` that are of the wanted type into their buckets; return those in c."""
-        before = at[at > 0] - 1
-        before = before[s[before] == wanted]
-        symbol = t[before]
-        order = np.argsort(symbol, kind="stable")
-        before, symbol = before[order], symbol[order]
-        count = np.bincount(symbol, minlength=symbols)
-        offset = np.arange(len(before)) - np.repeat(np.cumsum(count) - count, count)
-        sa[place[symbol] + step * offset] = before
-        place += step * count
-        return before[symbol == c]
-
-    for c in np.flatnonzero(sizes):
-        at = sa[first[c] : head[c]].copy()
-        while len(at):
-            at = push(at, c, False, head, 1)
-        own = seeds[seed_at[c] : seed_at[c + 1]]
-        if len(own):
-            push(own, c, False, head, 1)
-    tail = ends - 1
-    last = tail.copy()
-    sa[0] = len(t) - 1
-    for c in np.flatnonzero(sizes)[::-1]:
-        at = sa[tail[c] + 1 : last[c] + 1][::-1].copy()
-        while len(at):
-            at = push(at, c, True, tail, -1)
-        if large[c]:
-            push(sa[first[c] : first[c] + large[c]][::-1], c, True, tail, -1)
-    sa[0] = len(t) - 1
-    return sa
-
-
-def _order_names(t: list[int], symbols: int) -> list[int]:
-    """The suffix array of a list that ends in its only 0, by the same steps as plain loops."""
-    n = len(t)
-    if n == 1:
-        return [0]
-    s = bytearray(n)
-    s[-1] = 1
-    for i in range(n - 2, -1, -1):
-        a, b = t[i], t[i + 1]
-        s[i] = 1 if a < b else s[i + 1] if a == b else 0
-    sizes = [0] * symbols
-    for c in t:
-        sizes[c] += 1
-    starts, total = [], 0
-    for size in sizes:
-        starts.append(total)
-        total += size
-
-    def induce(lms: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = [a + b for a, b in zip(starts, sizes, strict=True)]
-        for i in reversed(lms):
-            c = t[i]
-            tail[c] -= 1
-            sa[tail[c]] = i
-        head = starts[:]
-        for j in sa_forward(sa):
-            if j > 0 and not s[j - 1]:
-                c = t[j - 1]
-                sa[head[c]] = j - 1
-                head[c] += 1
-        tail = [a + b for a, b in zip(starts, sizes, strict=True)]
-        for k in range(n - 1, -1, -1):
-            j = sa[k]
-            if j > 0 and s[j - 1]:
-                c = t[j - 1]
-                tail[c] -= 1
-                sa[tail[c]] = j - 1
-        return sa
-
-    def sa_forward(sa: list[int]):
-        for k in range(n):
-            yield sa[k]
-
-    lms = [i for i in range(1, n) if s[i] and not s[i - 1]]
-    if not lms:
-        return induce([])
-    after = {i: j for i, j in zip(lms, [*lms[1:], n - 1], strict=True)}
-    names, name, seen = {}, -1, None
-    for i in induce(lms):
-        if i in after:
-            piece = t[i : after[i] + 1]
-            if piece != seen or i == n - 1:
-                name += 1
-                seen = piece
-            names[i] = name
-    if name + 1 < len(lms):
-        lms = [lms[k] for k in _order_names([names[i] for i in lms], name + 1)]
-    else:
-        lms = sorted(lms, key=names.__getitem__)
-    return induce(lms)
+    c = t[lms][order]
+    seeds = np.bincount(c, minlength=symbols)
+    sa[(ends - np.cumsum(seeds))[c] + np.arange(len(c))] = lms[order]
+    _scan(t, ~s, sa, ends - sizes)
+    back = sa[::-1].copy()
+    back[(back >= 0) & s[back]] = -1
+    back[-1] = n - 1
+    _scan(t, s, back, n - ends)
+    back[-1] = n - 1
+    return back[::-1]
+
+
+def _ranks(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """For each LMS substring the number of smaller ones. As many symbols as fit in 63 bits are compared at
+    once; where one substring ends inside another it is the larger, as an S suffix follows L ones."""
+    length = np.append(np.diff(lms), 0) + 1
+    bits = int(t.max() + 1).bit_length()
+    each, end = 63 // bits, (1 << bits) - 1
+    rank, open_, k = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    while len(open_):
+        key = np.zeros(len(open_), np.int64)
+        for j in range(k, k + each):
+            key = key << bits | np.where(j < length[open_], t[np.minimum(lms[open_] + j, len(t) - 1)], end)
+        order = np.lexsort((key, rank[open_])) if k else np.argsort(key)
+        of, key, open_ = rank[open_][order], key[order], open_[order]
+        group = np.concatenate(([True], of[1:] != of[:-1]))
+        new = group | np.concatenate(([True], key[1:] != key[:-1]))
+        at = np.arange(len(open_))
+        begin = lambda flag: np.maximum.accumulate(np.where(flag, at, 0))
+        rank[open_] = of + begin(new) - begin(group)
+        k += each
+        tied = ~new | np.append(~new[1:], False)
+        open_ = open_[tied & (length[open_] >= k)]
+    return rank
 
 
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     """The starts of all suffixes in order. ``t`` ends in its only 0 and has values below ``symbols``."""
-    n = len(t)
-    if n == 1:
+    if len(t) == 1:
         return np.zeros(1, np.int64)
     s = types_of(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    sa = _induce(t, s, lms, symbols)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ranked = sa[is_lms[sa]]
-    length = np.zeros(n, np.int64)
-    length[lms] = np.append(np.diff(lms), 0) + 1
-    a, b = ranked[:-1], ranked[1:]
-    new = np.ones(len(ranked), bool)
-    new[1:] = length[a] != length[b]
-    left, k = np.flatnonzero(~new[1:]), 0
-    while len(left):  # pairs of equal length that agree so far
-        left = left[length[a[left]] > k]
-        if not len(left):
-            break
-        differ = t[a[left] + k] != t[b[left] + k]
-        new[1 + left[differ]] = True
-        left, k = left[~differ], k + 1
-    name = np.zeros(n, np.int64)
-    name[ranked] = np.cumsum(new) - 1
-    named = name[lms]
-    if int(new.sum()) < len(lms):
-        order = np.array(_order_names(named.tolist(), int(new.sum())))
-    else:
-        order = np.argsort(named)
+    rank = _ranks(t, lms)
+    order = np.argsort(rank, kind="stable")
+    first, count = _runs(rank[order])
+    if len(first) < len(lms):
+        names = np.empty(len(lms), np.int64)
+        names[order] = np.repeat(np.arange(len(first)), count)
+        order = suffix_array(names, len(first))
     return _induce(t, s, lms[order], symbols)
 
 
@@ -178,18 +139,18 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     at = np.arange(n)
-    found = phi >= 0
-    plain = found & (at > 0) & (phi > 0)
+    plain = (at > 0) & (phi > 0)
     plain[plain] = t[at[plain] - 1] == t[phi[plain] - 1]
-    left = np.flatnonzero(found & ~plain)
+    left = np.flatnonzero((phi >= 0) & ~plain)
+    other = phi[left]
     length = np.zeros(n, np.int64)
     k = 0
     while len(left):
-        other = phi[left]
-        inside = (left + k < n) & (other + k < n)
+        inside = np.flatnonzero(np.maximum(left, other) + k < n)
         left, other = left[inside], other[inside]
-        left = left[t[left + k] == t[other + k]]
+        same = np.flatnonzero(t[left + k] == t[other + k])
+        left, other = left[same], other[same]
         k += 1
         length[left] = k
     known = np.where(plain, -1, at + length)
-    return np.maximum(np.maximum.accumulate(known) - at, 0) * found
+    return np.maximum(np.maximum.accumulate(known) - at, 0) * (phi >= 0)

@@ -83,8 +83,10 @@ def test_byte_strings_equal_brute_force(spark, documents):
 
 def test_crowded_minimizers_give_the_same(spark):
     docs = common.table(spark, SF, "documents")
-    a, b = substrings.remove_repeats(docs), substrings.remove_repeats(docs, crowd=1)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    rows = lambda **k: sorted(map(tuple, substrings.remove_repeats(docs, **k).collect()))
+    expected = rows()
+    for crowds in ((1, 10**6, 10**6), (1, 1, 10**6), (1, 1, 1), (3, 6, 12)):
+        assert rows(crowds=crowds) == expected, crowds
 
 
 def test_media_round_trip(documents, spark):
