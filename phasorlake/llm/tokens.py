@@ -11,12 +11,14 @@ The vocabulary is a file that every worker reads once; nothing is trained and sp
 text.
 
 Defined results: a null or empty text has no tokens and no sections; repeated rows count alike; very long
-texts are encoded whole; other columns are ignored.
+texts are encoded whole, where LONG white space is a piece of its own as the split makes it (the split's own
+search for it would need a stack as deep as it is long); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import on_batches
+from .fitting import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as PATTERN means it, from this length on.
+LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @lru_cache(maxsize=2)
@@ -43,10 +48,20 @@ def encoder(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), length
 
 
+def encoded(text: str, encoding) -> list[int]:
+    """The tokens of a text. Of white space in front of a word, all but the last character is one piece."""
+    out, at = [], 0
+    for m in LONG.finditer(text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()]) + encoding._encode_single_piece(text[m.start() : stop])
+        at = stop
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def spans(text: str, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """First and last code point of each token."""
     encoding, length = encoder(path)
-    sizes = length[np.array(encoding.encode_ordinary(text), np.int64)]
+    sizes = length[np.array(encoded(text, encoding), np.int64)]
     end = np.cumsum(sizes)
     raw = np.frombuffer(text.encode(), np.uint8)
     point = np.cumsum((raw & 0xC0) != 0x80) - 1
@@ -79,17 +94,17 @@ def section_counts(documents: DataFrame, rule: str = "first", path: str = VOCABU
     """doc_id, n_tokens, n_chars, n_sections, n_crossing, most_tokens (of a section), section_tokens (each
     section's, comma-joined) of every document."""
 
+    def counted(t: str | None) -> tuple:
+        if not t:
+            return 0, 0, 0, 0, 0, ""
+        first, last = spans(t, path)
+        bounds = lines(t)
+        counts, crossing = allocate(first, last, bounds, rule)
+        return len(first), int(bounds[-1]), len(counts), crossing, int(counts.max()), ",".join(map(str, counts.tolist()))
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for t in batch.column("text").to_pylist():
-            if not t:
-                rows.append((0, 0, 0, 0, 0, ""))
-                continue
-            first, last = spans(t, path)
-            bounds = lines(t)
-            counts, crossing = allocate(first, last, bounds, rule)
-            rows.append((len(first), int(bounds[-1]), len(counts), crossing, int(counts.max()), ",".join(map(str, counts.tolist()))))
-        columns = list(zip(*rows, strict=True))
-        yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.string())], names=["doc_id", "n_tokens", "n_chars", "n_sections", "n_crossing", "most_tokens", "section_tokens"])
+        for part in slices(batch):
+            columns = list(zip(*map(counted, part.column("text").to_pylist()), strict=True))
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.string())], names=["doc_id", "n_tokens", "n_chars", "n_sections", "n_crossing", "most_tokens", "section_tokens"])
 
     return on_batches(documents.select("doc_id", "text"), work, "doc_id long, n_tokens long, n_chars long, n_sections long, n_crossing long, most_tokens long, section_tokens string")
