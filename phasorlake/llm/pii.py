@@ -8,8 +8,8 @@ expression, so positions are running sums of lengths and the words close by are
 between: the work is in proportion to the text, however many matches it has.
 
 Defined results: a null or empty text has no spans; a text is searched whole; positions are code points;
-repeated rows have equal results; other columns are carried along, but for ``spans`` and names that begin
-with ``_pii``, which are replaced.
+repeated rows have equal results; other columns are carried along, but for names that begin with ``_pii``
+and, by ``find``, ``spans``, which are replaced.
 """
 
 from __future__ import annotations
@@ -93,23 +93,41 @@ def _score(kind: str, near: Column) -> Column:
     return F.lit(PRIOR[kind]) + F.when(words(CONTEXT[kind]), BONUS).otherwise(0.0) - F.when(words(AGAINST), MALUS).otherwise(0.0)
 
 
+def _blocks(values: Column, size: int = 256) -> Column:
+    """An array cut into arrays of ``size``."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda k: F.slice(values, k * size + 1, F.lit(size)))
+
+
+def _running(values: Column, step, zero: Column, kind: str) -> Column:
+    """step over the values so far, for each place. An array grows by copying, so short ones alone are grown."""
+    last = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), zero)
+    return F.aggregate(values, F.array().cast(f"array<{kind}>"), lambda s, v: F.concat(s, F.array(step(last(s), v))))
+
+
+def with_running(df: DataFrame, name: str, values: Column, step, zero: Column, kind: str = "bigint") -> DataFrame:
+    """Add ``name``: step over the values of an array so far, for each of its places; null where ``values`` is.
+    Within blocks first, then the blocks' ends: work grows little faster than the array."""
+    whole = F.col(f"{name}_in")
+    df = df.withColumn(f"{name}_in", F.transform(F.when(F.size(values) > 0, _blocks(values)), lambda b: _running(b, step, zero, kind)))
+    ends = F.transform(whole, lambda b: F.element_at(b, -1))
+    df = df.withColumn(f"{name}_to", F.when(whole.isNotNull(), _running(ends, step, zero, kind)))
+    before = lambda i: F.when(i > 0, F.get(f"{name}_to", i - 1)).otherwise(zero)
+    done = F.flatten(F.transform(whole, lambda b, i: F.when(i > 0, F.transform(b, lambda v: step(before(i), v))).otherwise(b)))
+    return df.withColumn(name, done).drop(f"{name}_in", f"{name}_to")
+
+
 def find(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``spans``: array<struct<kind, start, end, score>> by kind in the order of PATTERNS, then start."""
     given = [c for c in df.columns if c != "spans"]
-    body, none = F.col("_pii_text"), F.lit(None)
+    body, none = F.col("_pii_text"), F.lit(0).cast("bigint")
     df = df.select(*given, F.coalesce(F.col(text), F.lit("")).alias("_pii_text"))
     found = {k: F.regexp_extract_all(body, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
     some = {k: F.when(F.contains(body, F.lit(NEEDS[k])), found[k]) if k in NEEDS else found[k] for k in PATTERNS}
     df = df.withColumns({f"_pii_m_{k}": F.when(F.size(some[k]) > 0, some[k]) for k in PATTERNS})
     df = df.withColumns({f"_pii_b_{k}": F.when(F.col(f"_pii_m_{k}").isNotNull(), F.split(body, p, -1)) for k, p in PATTERNS.items()})
-
-    def ends(k: str) -> Column:
-        m, b = F.col(f"_pii_m_{k}"), F.col(f"_pii_b_{k}")
-        last = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0).cast("bigint"))
-        step = lambda s, i: F.concat(s, F.array(last(s) + F.length(F.get(b, i)) + F.length(F.get(m, i))))
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.array().cast("array<bigint>"), step)
-
-    df = df.withColumns({f"_pii_e_{k}": F.when(F.col(f"_pii_m_{k}").isNotNull(), ends(k)) for k in PATTERNS})
+    for k in PATTERNS:
+        sizes = F.transform(f"_pii_m_{k}", (lambda k: lambda m, i: (F.length(m) + F.length(F.get(f"_pii_b_{k}", i))).cast("bigint"))(k))
+        df = with_running(df, f"_pii_e_{k}", sizes, lambda s, v: s + v, none)
 
     def kept(k: str) -> Column:
         m, b, e = (F.col(f"_pii_{x}_{k}") for x in "mbe")
@@ -143,22 +161,20 @@ def report(documents: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``text`` with each span replaced by its kind in brackets; of overlapping spans the one that starts
-    first is taken and reaches as far as any that it meets. A text without spans, or null, is unchanged."""
+    first is taken and reaches as far as any that it meets. A text without spans, or null, is unchanged, and
+    so is a column ``spans``."""
     given = df.columns
-    df = find(df, text).withColumn("_pii_sorted", F.sort_array(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))))
-    shape = "array<struct<start:bigint,end:bigint,kind:string>>"
-
-    def join(state: Column, s: Column) -> Column:
-        top = F.try_element_at(state, F.lit(-1))
-        meets = F.coalesce(s["start"] < top["end"], F.lit(False))
-        longer = F.struct(top["start"].alias("start"), F.greatest(top["end"], s["end"]).alias("end"), top["kind"].alias("kind"))
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        return F.when(meets, F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(longer))).otherwise(F.concat(state, F.array(one)))
-
-    df = df.withColumn("_pii_spans", F.aggregate("_pii_sorted", F.array().cast(shape), join))
-    s, body = F.col("_pii_spans"), F.col(text)
-    before = lambda i: F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(F.lit(0).cast("bigint"))
-    piece = lambda x, i: F.concat(F.substring(body, (before(i) + 1).cast("int"), (x["start"] - before(i)).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-    rest = F.substring(body, (F.try_element_at(s, F.lit(-1))["end"] + 1).cast("int"), F.length(body))
-    done = F.when(F.size(s) > 0, F.concat(F.array_join(F.transform(s, piece), ""), rest)).otherwise(body)
-    return df.select(*(done.alias(text) if c == text else F.col(c) for c in given if c != "spans"))
+    df = find(df.withColumnRenamed("spans", "_pii_given"), text)
+    df = df.withColumn("_pii_sorted", F.sort_array(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))))
+    # how far the spans up to each reach; one that starts no sooner than those before it end begins anew
+    df = with_running(df, "_pii_reach", F.transform("_pii_sorted", lambda s: s["end"]), lambda s, v: F.greatest(s, v), F.lit(0).cast("bigint"))
+    s, reach, body = F.col("_pii_sorted"), F.col("_pii_reach"), F.col(text)
+    anew = lambda i: F.coalesce(F.get(s, i)["start"] >= F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0)), F.lit(False))
+    df = df.withColumn("_pii_first", F.filter(F.sequence(F.lit(0), F.size(s) - 1), anew))
+    first = F.col("_pii_first")
+    # between two groups: the text from the reach before the later one's first span to its start
+    before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0).cast("bigint"))
+    piece = lambda i: F.concat(F.substring(body, (before(i) + 1).cast("int"), (F.get(s, i)["start"] - before(i)).cast("int")), F.lit("["), F.upper(F.get(s, i)["kind"]), F.lit("]"))
+    rest = F.substring(body, (F.element_at(reach, -1) + 1).cast("int"), F.length(body))
+    done = F.when(F.size(s) > 0, F.concat(F.array_join(F.transform(first, piece), ""), rest)).otherwise(body)
+    return df.select(*(done.alias(text) if c == text else F.col("_pii_given").alias(c) if c == "spans" else F.col(c) for c in given))
