@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,26 +47,41 @@ from .suffixes import common_prefixes, suffix_array
 GRAM = 24
 #: Bytes: of a chunk's texts, of the windows looked at together (and the bits of a place among them), of a
 #: block that is sorted, of the texts whose minimizers meet in a shard.
-CHUNK, PIECE, PLACE, BLOCK, SHARD = 1 << 22, 1 << 17, 18, 1 << 21, 1 << 26
+CHUNK, PIECE, PLACE, BLOCK, SHARD = 1 << 22, 1 << 17, 18, 1 << 20, 1 << 26
 #: Numbers of documents from which a minimizer's runs are split in 3, 9 and single windows.
 CROWDS = (1 << 12, 1 << 16, 1 << 20)
 SEGMENT = np.dtype([("key", "<u8"), ("lo", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("off", "<i4"), ("n", "<i4"), ("place", "<i4")])
 
 
+def _pressed(raw) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _restored(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def chunks(documents: DataFrame, size: int = CHUNK) -> DataFrame:
-    """chunk, bytes, doc_id (list), text (list): every row of ``documents``, in rows of up to ``size`` bytes of
-    text or one document."""
+    """chunk, bytes, doc_id (list), ends (of the texts), text (all, compressed): every row of ``documents``, in
+    rows of up to ``size`` bytes of text or one document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, limit=size) if batch.num_rows else ():
-                ids, text = part.column("doc_id"), part.column("text")
-                one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
-                yield pa.record_batch([pa.array([k]), pa.array([int(text_bytes(text)[1][-1])]), one(ids), one(text)], names=["chunk", "bytes", "doc_id", "text"])
+                ids = part.column("doc_id")
+                raw, at = text_bytes(part.column("text"))
+                ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                yield pa.record_batch([pa.array([k]), pa.array([len(raw)]), ids, pa.array([at.tobytes()]), pa.array([_pressed(raw.tobytes())])], names=["chunk", "bytes", "doc_id", "ends", "text"])
                 k += 1
 
-    return documents.select("doc_id", "text").mapInArrow(each, "chunk long, bytes long, doc_id array<long>, text array<string>")
+    return documents.select("doc_id", "text").mapInArrow(each, "chunk long, bytes long, doc_id array<long>, ends binary, text binary")
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """chunk, doc_id, the texts' bytes and where they begin and end."""
+    for chunk, ids, ends, text in zip(*(batch.column(c) for c in ("chunk", "doc_id", "ends", "text")), strict=True):
+        yield chunk.as_py(), ids.values, np.frombuffer(_restored(text.as_py()), np.uint8), np.frombuffer(ends.as_py(), np.int64)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -143,10 +159,8 @@ def split(begin: np.ndarray, n: np.ndarray, place: np.ndarray, parts: int, width
     return run, number, edges[number], edges[number + 1] - 1, place[run] - b, b - a + 1
 
 
-def _chunk_codes(text: pa.Array, ids: pa.Array, window: int) -> tuple[np.ndarray, ...]:
-    raw, at = text_bytes(text)
-    live = ids.is_valid().to_numpy(zero_copy_only=False)
-    return raw, at, *runs(raw, at, window, live)
+def _live(ids: pa.Array) -> np.ndarray:
+    return ids.is_valid().to_numpy(zero_copy_only=False)
 
 
 def _row_of(at: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -166,8 +180,8 @@ def _minimizers(texts: DataFrame, window: int, shards: int) -> DataFrame:
     hold each."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, text in zip(batch.column("chunk"), batch.column("doc_id"), batch.column("text"), strict=True):
-            _, at, begin, _, _, code = _chunk_codes(text.values, ids.values, window)
+        for chunk, ids, raw, at in _opened(batch):
+            begin, _, _, code = runs(raw, at, window, _live(ids))
             row = _row_of(at, begin)
             order = np.lexsort((row, code))
             code, row = code[order], row[order]
@@ -181,9 +195,9 @@ def _minimizers(texts: DataFrame, window: int, shards: int) -> DataFrame:
             order, met, cut = _by_shard(code, shards)
             code, docs = code[order], docs[order]
             pieces = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-            yield pa.record_batch([pa.array([chunk.as_py()] * len(met), pa.int64()), pa.array(met.astype(np.int32)), pieces(code), pieces(docs)], names=["chunk", "p", "codes", "docs"])
+            yield pa.record_batch([pa.array([chunk] * len(met), pa.int64()), pa.array(met.astype(np.int32)), pieces(code), pieces(docs)], names=["chunk", "p", "codes", "docs"])
 
-    return on_batches(texts.select("chunk", "doc_id", "text"), work, "chunk long, p int, codes binary, docs binary")
+    return on_batches(texts.select("chunk", "doc_id", "ends", "text"), work, "chunk long, p int, codes binary, docs binary")
 
 
 def _levels(codes: DataFrame, crowds: tuple[int, ...]) -> DataFrame:
@@ -206,12 +220,12 @@ def _levels(codes: DataFrame, crowds: tuple[int, ...]) -> DataFrame:
 
 
 def _segments(found: DataFrame, window: int, shards: int) -> DataFrame:
-    """chunk, p, segments (SEGMENT records), body (their bytes), gone (row, begin, end of what recurs inside the
-    chunk; on one row). ``found``: chunk, doc_id, text, levels."""
+    """chunk, p, segments (SEGMENT fields), body (their bytes; both compressed), gone (row, begin, end of what
+    recurs inside the chunk; on one row). ``found``: a chunk and its levels."""
     width = window - min(GRAM, window) + 1
 
-    def one(ids: pa.Array, text: pa.Array, levels: np.ndarray) -> tuple:
-        raw, at, begin, n, place, code = _chunk_codes(text, ids, window)
+    def one(ids: pa.Array, raw: np.ndarray, at: np.ndarray, levels: np.ndarray) -> tuple | None:
+        begin, n, place, code = runs(raw, at, window, _live(ids))
         codes, of = np.unique(code, return_inverse=True)
         level = np.empty(len(codes), np.uint8)
         level[_by_shard(codes, shards)[0]] = levels
@@ -255,17 +269,31 @@ def _segments(found: DataFrame, window: int, shards: int) -> DataFrame:
         return seg[sent], shard[sent], [view[a : a + k] for a, k in zip(begin[sent].tolist(), size[sent].tolist(), strict=True)], gone
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, text, levels in zip(*(batch.column(c) for c in ("chunk", "doc_id", "text", "levels")), strict=True):
-            got = one(ids.values, text.values, np.frombuffer(b"".join(x["levels"].as_py() for x in levels), np.uint8))
+        for (chunk, ids, raw, at), levels in zip(_opened(batch), batch.column("levels"), strict=True):
+            got = one(ids, raw, at, np.frombuffer(b"".join(x["levels"].as_py() for x in levels), np.uint8))
             if got is None:
                 continue
             seg, shard, bodies, gone = got
             met, first = np.unique(shard, return_index=True)
             cut = np.append(first, len(seg)).tolist()
-            rows = [(seg[a:b].tobytes(), b"".join(bodies[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([pa.array([chunk.as_py()] * len(met), pa.int64()), pa.array(met.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array([gone.tobytes()] + [b""] * (len(met) - 1), pa.binary())], names=["chunk", "p", "segments", "body", "gone"])
+            rows = [(_fields(seg[a:b]), _pressed(b"".join(bodies[a:b]))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.record_batch([pa.array([chunk] * len(met), pa.int64()), pa.array(met.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array([gone.tobytes()] + [b""] * (len(met) - 1), pa.binary())], names=["chunk", "p", "segments", "body", "gone"])
+
+    return on_batches(found.select("chunk", "doc_id", "ends", "text", "levels"), work, "chunk long, p int, segments binary, body binary, gone binary")
+
+
+def _fields(seg: np.ndarray) -> bytes:
+    return _pressed(b"".join(seg[name].tobytes() for name in SEGMENT.names))
+
 
-    return on_batches(found.select("chunk", "doc_id", "text", "levels"), work, "chunk long, p int, segments binary, body binary, gone binary")
+def _records(fields: bytes) -> np.ndarray:
+    raw, at = _restored(fields), 0
+    seg = np.empty(len(raw) // SEGMENT.itemsize, SEGMENT)
+    for name in SEGMENT.names:
+        kind = SEGMENT.fields[name][0]
+        seg[name] = np.frombuffer(raw, kind, len(seg), at)
+        at += len(seg) * kind.itemsize
+    return seg
 
 
 def recurring(pieces: list[bytes], owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,8 +345,8 @@ def _searched(segments: DataFrame, window: int) -> DataFrame:
     """chunk, gone: row, begin and end of all that recurs. ``segments``: chunk, p, segments, body, gone."""
 
     def work(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, SEGMENT) for x in table.column("segments").to_pylist()]
-        seg, body = np.concatenate(sent), b"".join(table.column("body").to_pylist())
+        sent = [_records(x) for x in table.column("segments").to_pylist()]
+        seg, body = np.concatenate(sent), b"".join(map(_restored, table.column("body").to_pylist()))
         chunk = np.repeat(np.arange(len(sent)), [len(x) for x in sent])
         size = seg["n"].astype(np.int64) + window - 1
         begin = np.cumsum(size) - size
@@ -380,11 +408,10 @@ def _block(kinds: np.ndarray, key: np.ndarray, head: np.ndarray, entry: np.ndarr
 
 
 def _cut(found: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. ``found``: doc_id, text, gone (lists of a chunk)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. ``found``: a chunk and lists of what is gone."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for ids, text, gone in zip(*(batch.column(c) for c in ("doc_id", "text", "gone")), strict=True):
-            raw, at = text_bytes(text.values)
+        for (_, ids, raw, at), gone in zip(_opened(batch), batch.column("gone"), strict=True):
             row, begin, end = np.frombuffer(b"".join(x.as_py() for x in gone) if gone.is_valid else b"", "<i4").reshape(-1, 3).T.astype(np.int64)
             edge = np.bincount(at[row] + begin, minlength=len(raw) + 1) - np.bincount(at[row] + end, minlength=len(raw) + 1)
             out = np.cumsum(edge)[:-1] > 0
@@ -396,9 +423,9 @@ def _cut(found: DataFrame) -> DataFrame:
             spans = np.concatenate(([0], np.cumsum(start)))
             kept, place = raw[~out].tobytes(), at - total[at]
             sha = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
-            yield pa.record_batch([ids.values, *(pa.array(np.diff(x).astype(np.int64)) for x in (at, total[at], spans[at])), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.record_batch([ids, *(pa.array(np.diff(x).astype(np.int64)) for x in (at, total[at], spans[at])), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return on_batches(found.select("doc_id", "text", "gone"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return on_batches(found.select("chunk", "doc_id", "ends", "text", "gone"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(documents: DataFrame, window: int = 50, crowds: tuple[int, ...] = CROWDS) -> DataFrame:
