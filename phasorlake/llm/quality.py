@@ -5,9 +5,10 @@ byte, through a learned table of byte vectors. Overlapping chunks of 512 bytes,
 after 384, cover the text; a chunk's value for a filter is its largest response, a text's features are the
 largest and the mean of its chunks' values, and a logistic unit combines them.
 
-Learning: whole texts of a bounded sample of labelled rows (``bound``), with Adam, on the driver; the
-sample is the same size at every input size. Scoring is a map over all documents in slices of bounded
-size.
+Learning: whole texts of a bounded sample of labelled rows (``bound``, and BYTES in all: the sample is thinned by
+digest where its texts are longer, and a text of more than a tenth of that is not learnt from), with Adam, on
+the driver; the sample is the same size at every input size. The rarer class weighs more, by the root of the
+classes' ratio. Scoring is a map over all documents in slices of bounded size.
 
 Defined results: a null or empty text is one window of padding; repeated rows score alike; without
 labelled rows of both classes the score is the share of the class seen, or 0.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 from .fitting import remainder, slices, training_rows
 
-BOUND = 2_500
+BOUND, BYTES = 2_500, 1 << 26
 DIM, STRIDE, WIDTH, FILTERS = 6, 4, 8, 24
 #: In strides: pooled blocks, blocks in a chunk, blocks from one chunk to the next.
 BLOCK, CHUNK, HOP = 32, 4, 3
@@ -82,8 +83,8 @@ def score_texts(net: dict, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(features @ net["out"] + net["out_bias"]).astype(np.float64)[:, 0]))
 
 
-def _gradients(net: dict, raw: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict:
-    """Of the mean logistic loss; only the windows that are some chunk's largest take part."""
+def _gradients(net: dict, raw: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the mean weighted logistic loss; only the windows that are some chunk's largest take part."""
     lay = Layout(raw, at)
     r = responses(net, lay)
     top = pooled(r, lay)
@@ -92,7 +93,7 @@ def _gradients(net: dict, raw: np.ndarray, at: np.ndarray, y: np.ndarray) -> dic
     peak = np.maximum.reduceat(chunks, starts, axis=0)
     features = np.concatenate([peak, np.add.reduceat(chunks, starts, axis=0) / n[:, None]], 1)
     z = (features @ net["out"] + net["out_bias"])[:, 0]
-    d = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
+    d = ((1 / (1 + np.exp(-z)) - y) * weight / len(y)).astype(np.float32)
     grad = {"out": features.T @ d[:, None], "out_bias": d.sum(keepdims=True)}
     df = d[:, None] * net["out"].T
     doc = np.repeat(np.arange(len(n)), n)
@@ -117,7 +118,9 @@ def _gradients(net: dict, raw: np.ndarray, at: np.ndarray, y: np.ndarray) -> dic
 
 def fit_network(texts: list[bytes], y: np.ndarray, seed: int = 5) -> dict:
     rng = np.random.default_rng(seed)
-    net = {"bytes": rng.normal(0, 0.5, (256, DIM)), "filters": rng.normal(0, (2 / (WIDTH * DIM)) ** 0.5, (WIDTH * DIM, FILTERS)), "bias": np.zeros(FILTERS), "out": rng.normal(0, 0.1, (2 * FILTERS, 1)), "out_bias": np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))])}
+    weight = np.where(y == 1, y.mean(), 1 - y.mean()) ** -0.5
+    weight /= weight.mean()
+    net = {"bytes": rng.normal(0, 0.5, (256, DIM)), "filters": rng.normal(0, (2 / (WIDTH * DIM)) ** 0.5, (WIDTH * DIM, FILTERS)), "bias": np.zeros(FILTERS), "out": rng.normal(0, 0.1, (2 * FILTERS, 1)), "out_bias": np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)) / 2])}
     net = {k: v.astype(np.float32) for k, v in net.items()}
     first, second, t = {k: np.zeros_like(v) for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}, 0
     for epoch in range(EPOCHS):
@@ -126,7 +129,7 @@ def fit_network(texts: list[bytes], y: np.ndarray, seed: int = 5) -> dict:
             chosen = order[b : b + GROUP]
             part = [texts[i] for i in chosen]
             at = np.concatenate(([0], np.cumsum([len(p) for p in part])))
-            g = _gradients(net, np.frombuffer(b"".join(part), np.uint8), at, y[chosen])
+            g = _gradients(net, np.frombuffer(b"".join(part), np.uint8), at, y[chosen], weight[chosen])
             t += 1
             for k in net:
                 first[k] = 0.9 * first[k] + 0.1 * g[k]
@@ -138,7 +141,12 @@ def fit_network(texts: list[bytes], y: np.ndarray, seed: int = 5) -> dict:
 
 def fit(documents: DataFrame, labels: DataFrame, learn, bound: int = BOUND) -> dict:
     sample = training_rows(labels, "quality", learn, bound)
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id", "text").collect()
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.where(F.octet_length("text") <= BYTES // 10)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > BYTES:
+        texts = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1_000_000)) < int(1_000_000 * BYTES / size))
+    rows = texts.orderBy("doc_id", "text").collect()
     y = np.array([r["y"] for r in rows], np.float32)
     if not 0 < y.sum() < len(y):
         return {"share": float(y.mean()) if len(y) else 0.0}
