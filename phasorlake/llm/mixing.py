@@ -6,12 +6,13 @@ its size is read again, up to ``repeats`` times, with later finish times. All qu
 of finish time until the budget (the size of all documents) is used up, so every source has then had
 about its target.
 
-The cumulative sums are taken in slices of the shuffled order, so no source, however large, meets in one
-task, and the final cut is found in one slice of the finish times.
+The cumulative sums are taken in slices of the shuffled order, and those of the slices in groups of slices, so
+no source, however large, meets in one task; the final cut is found in one slice of the finish times.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own, last
 in order; rows of equal finish time are served together; repeated rows are documents of their own, served
-in the same place; empty tables give empty results; other columns are carried along unchanged.
+in the same place, and all rows with a null id have one place; empty tables give empty results; other
+columns are carried along unchanged.
 """
 
 from __future__ import annotations
@@ -56,6 +57,18 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     return t.select("source", "source_size", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(common * F.col("_w")).alias("target"))
 
 
+def with_before(df: DataFrame, keys: list[str], at: str, value: str, out: str, group: int = 1_000) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the same keys with a smaller ``at``. Groups of ``at`` are
+    summed first, so one task sees a ``group``-th of the rows at most, or the rows of one group."""
+    grouped = df.withColumn("_mix_g", F.floor(F.col(at) / group))
+    totals = grouped.groupBy(*keys, "_mix_g").agg(F.sum(value).alias("_mix_t"))
+    sooner = lambda *by: F.coalesce(F.sum("_mix_t" if by[-1] == "_mix_g" else value).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*(F.col(k).alias(f"_mix_of_{k}") for k in keys), F.col("_mix_g").alias("_mix_og"), sooner(*keys, "_mix_g").alias("_mix_t"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_mix_of_{k}")) for k in keys), F.col("_mix_g") == F.col("_mix_og"))
+    inner = grouped.withColumn(out, sooner(*keys, "_mix_g", at))
+    return inner.join(totals, same).withColumn(out, F.col(out) + F.col("_mix_t")).select(*df.columns, out)
+
+
 def mix(sized: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, slice_rows: int = 3_000, narrow: DataFrame | None = None) -> DataFrame:
     """Add source_size, target and taken to ``sized`` (doc_id, source, size and any other columns but
     those that begin with ``_mix``). ``narrow``: the same rows with those three columns alone, where they
@@ -67,10 +80,9 @@ def mix(sized: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, re
     def sliced(df: DataFrame) -> DataFrame:
         return df.withColumn("_mix_h", place(F.col("doc_id"), seed)).withColumn("_mix_b", F.floor(F.col("_mix_h") / width).cast("long"))
 
-    parts = sliced(narrow).groupBy("source", "_mix_b").agg(F.sum("size").alias("_mix_n"))
+    parts = stored(sliced(narrow).groupBy("source", "_mix_b").agg(F.sum("size").alias("_mix_n")), "mix-slices")
     plan = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
-    earlier = F.coalesce(F.sum("_mix_n").over(Window.partitionBy("source").orderBy("_mix_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = stored(parts.withColumn("_mix_off", earlier).join(plan.withColumnRenamed("source", "_mix_s"), F.col("source").eqNullSafe(F.col("_mix_s"))).select(F.col("source").alias("_mix_s"), F.col("_mix_b").alias("_mix_sb"), "_mix_off", "source_size", "target"), "mix-offsets")
+    offsets = stored(with_before(parts, ["source"], "_mix_b", "_mix_n", "_mix_off").join(plan.withColumnRenamed("source", "_mix_s"), F.col("source").eqNullSafe(F.col("_mix_s"))).select(F.col("source").alias("_mix_s"), F.col("_mix_b").alias("_mix_sb"), "_mix_off", "source_size", "target"), "mix-offsets")
 
     def timed(df: DataFrame) -> DataFrame:
         """Virtual finish time of the first pass, and the time that a whole pass takes."""
@@ -82,7 +94,7 @@ def mix(sized: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, re
 
     times = F.array(*(F.col("_mix_v") + F.col("_mix_p") * i for i in range(repeats)))
     events = timed(narrow).where("size > 0").select("size", F.explode(times).alias("v")).withColumn("slot", F.floor(F.least(F.col("v"), F.lit(float(4 * repeats))) * slices).cast("long"))
-    slots = events.groupBy("slot").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    slots = with_before(stored(events.groupBy("slot").agg(F.sum("size").alias("n")), "mix-slots"), [], "slot", "n", "before")
     budget = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
     # the slot in which the budget runs out: only its events need their exact order
     last = slots.crossJoin(F.broadcast(budget)).where("before < budget and before + n >= budget").select(F.col("slot").alias("last"), "before", "budget")
