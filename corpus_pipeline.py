@@ -5,7 +5,8 @@ filter, the fourth masks personal data in the texts, the last keeps what the mix
 
 Defined results: a null or empty text is no copy, no leak, has nothing to mask and takes nothing in the mix,
 so it goes in the last stage; a row with a null id is no near duplicate of any; empty tables give empty
-results; columns beyond those of ``documents`` are carried along to the end.
+results; columns beyond those of ``documents`` are carried along to the end, but for names that begin with
+an underscore and, in the last stage, size, source_size, target and taken, which it sets.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ STAGES = [
     ("pii", masked),
     ("mixing", mixed),
 ]
-#: A classifier is fitted and similarity is searched: not for SQL. tests/llm holds near duplicates against brute force, the rest on odd rows.
+#: A classifier is fitted and similarity is searched: not for SQL. tests/llm holds each stage but the first
+#: against brute force, and the first against its labels.
 ORACLE_SQL = None
 
 
