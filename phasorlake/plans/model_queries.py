@@ -63,10 +63,124 @@ def _clustered(df: DataFrame, method: str, init: str = "maxmin") -> DataFrame:
     return rounded(kmeans.fit(df, 5, method, init=init).assign(df).select("obs_id", "truth", "part", "sim"))
 
 
-@query()
+def _farthest(k: int) -> str:
+    """far0, far1 ...: rows with their distance to the closest centre so far, and the centres c0, c1 ..."""
+    steps = ["far0 AS (SELECT obs_id, x, 1.0::DOUBLE AS d FROM obs), c0 AS (SELECT x AS c FROM far0 ORDER BY obs_id LIMIT 1)"]
+    for j in range(1, k):
+        steps.append(f"far{j} AS (SELECT obs_id, x, least({'d' if j > 1 else '1e300'}, greatest(1 - pow(list_dot_product(x, c), 2), 0)) AS d FROM far{j - 1}, c{j - 1}), c{j} AS (SELECT x AS c FROM far{j} ORDER BY d DESC, obs_id LIMIT 1)")
+    return ", ".join(steps)
+
+
+@query(f"WITH {fx.OBSERVATIONS}, {_farthest(5)}, cen AS ({' UNION ALL '.join(f'SELECT {j} AS k, c FROM c{j}' for j in range(5))}) SELECT k, i, {R('v')} AS value FROM (SELECT k, unnest(range(64)) AS i, unnest(c) AS v FROM cen)")
 def k1_spread_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = kmeans.spread_centres(fx.observations(spark, sf_dir), 5, "diametrical", farthest=True)
-    return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(c)], "k int, centre array<double>")
+    return rounded(spark.createDataFrame([(k, i, float(v)) for k, row in enumerate(c) for i, v in enumerate(row)], "k int, i int, value double"))
+
+
+# one pass from given centres: parts, the centres of their rows, and the parts by those
+
+_TOP = "row_number() OVER (PARTITION BY obs_id ORDER BY s DESC, k) AS n"
+_PARTED = f"{_CENTRES}, own AS (SELECT obs_id, k FROM (SELECT obs_id, k, {_TOP} FROM sim) WHERE n = 1)"
+_BY_NEW = f"SELECT obs_id, k::INT AS part, {R('s')} AS sim FROM (SELECT obs_id, k, s, {_TOP} FROM again) WHERE n = 1"
+_SUMMED = "new AS (SELECT k, list(v ORDER BY i) AS c FROM (SELECT k, i, sum(v) AS v FROM (SELECT k, unnest(range(len(x))) AS i, unnest(x) AS v FROM wx) GROUP BY k, i) GROUP BY k)"
+
+
+def _stepped(df: DataFrame, method: str, centres: np.ndarray) -> DataFrame:
+    return rounded(kmeans.fit(df, len(centres), method, max_iter=1, init=centres).assign(df).select("obs_id", "part", "sim"))
+
+
+@query(f"""WITH {_PARTED}, wx AS (SELECT own.k, list_transform(x, lambda v: v * list_dot_product(x, c)) AS x FROM own JOIN obs USING (obs_id) JOIN cen ON cen.k = own.k), {_SUMMED},
+again AS (SELECT obs_id, k, pow(list_dot_product(x, c), 2) / list_dot_product(c, c) AS s FROM obs, new) {_BY_NEW}""")
+def k2_diametrical_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.observations(spark, sf_dir)
+    return _stepped(o, "diametrical", first_of_each(o))
+
+
+def _powers(name: str, of: str, times: int = 13) -> str:
+    """A matrix (k, m: list of rows) brought to a high power by squaring, so that its rows point along its
+    leading eigenvector: name (k, v)."""
+    steps = [f"{name}0 AS (SELECT k, m FROM {of})"]
+    for j in range(times):
+        steps.append(f"{name}{j}t AS (SELECT k, m, list_sum(list_transform(m, lambda a: list_dot_product(a, a))) AS f FROM {name}{j}), {name}{j + 1} AS (SELECT k, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / f)) AS m FROM {name}{j}t)")
+    last = f"{name}{times}"
+    longest = f"list_sort(list_transform(m, lambda a: {{'n': list_dot_product(a, a), 'a': a}}))[-1]"
+    steps.append(f"{name} AS (SELECT k, list_transform(e.a, lambda u: u / sqrt(e.n)) AS v FROM (SELECT k, {longest} AS e FROM {last}))")
+    return ", ".join(steps)
+
+
+_GRAM = "cell AS (SELECT k, i, j, sum(a * b) AS v FROM (SELECT k, i, a, unnest(range(64)) AS j, unnest(x) AS b FROM (SELECT k, x, unnest(range(64)) AS i, unnest(x) AS a FROM wx)) GROUP BY k, i, j), line AS (SELECT k, i, list(v ORDER BY j) AS r FROM cell GROUP BY k, i), gram AS (SELECT k, list(r ORDER BY i) AS m FROM line GROUP BY k)"
+
+
+@query(f"""WITH {_PARTED}, wx AS (SELECT k, x FROM own JOIN obs USING (obs_id)), {_GRAM}, {_powers("lead", "gram")},
+again AS (SELECT obs_id, k, pow(list_dot_product(x, v), 2) AS s FROM obs, lead) {_BY_NEW}""")
+def k3_hyperplane_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.observations(spark, sf_dir)
+    return _stepped(o, "hyperplane", first_of_each(o))
+
+
+_FLIPPED = "flip AS (SELECT obs_id, list_transform(x, lambda v: v * sg) AS x FROM (SELECT obs_id, x, CASE WHEN len(list_filter(x, lambda v: v > 0)) > len(x) / 2 THEN -1 ELSE 1 END AS sg FROM obs))"
+_APART = "2 * list_dot_product(x, c) - list_dot_product(x, x) - list_dot_product(c, c)"
+
+
+@query(f"""WITH {_CENTRES}, {_FLIPPED}, near AS (SELECT obs_id, x, k, {_APART} AS s FROM flip, cen), own AS (SELECT obs_id, x, k FROM (SELECT obs_id, x, k, {_TOP} FROM near) WHERE n = 1),
+size AS (SELECT k, count(*) AS m FROM own GROUP BY k), wx AS (SELECT own.k, list_transform(x, lambda v: v / m) AS x FROM own JOIN size ON size.k = own.k), {_SUMMED},
+every AS (SELECT cen.k, coalesce(new.c, cen.c) AS c FROM cen LEFT JOIN new ON cen.k = new.k), again AS (SELECT obs_id, k, {_APART} AS s FROM flip, every) {_BY_NEW}""")
+def k6_least_squares_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.observations(spark, sf_dir)
+    flipped = o.withColumn("x", vec.flip_sign(F.col("x")))
+    return rounded(kmeans.fit(o, 10, "least_squares", max_iter=1, init=first_of_each(o)).assign(flipped).select("obs_id", "part", "sim"))
+
+
+def first_frames(df: DataFrame) -> np.ndarray:
+    rows = df.groupBy("truth").agg(F.min_by(F.struct("u1", "u2"), "obs_id").alias("u")).orderBy("truth").collect()
+    return np.stack([np.stack([r["u"]["u1"], r["u"]["u2"]], 1) for r in rows])
+
+
+def _frame_sql(scaled: bool) -> str:
+    """fr (obs_id, truth, u1, u2) and first (k, c1, c2), the first frame of each label."""
+    by = lambda v: "" if scaled else f" / sqrt({v})"
+    return fx.PHASES + f""", z AS (SELECT obs_id, theta, len(theta) AS n, list_sum(list_transform(theta, lambda v: cos(v * 2))) AS c, list_sum(list_transform(theta, lambda v: sin(v * 2))) AS s FROM ph),
+lam AS (SELECT obs_id, theta, (n + sqrt(c * c + s * s)) / 2 AS l1, (n - sqrt(c * c + s * s)) / 2 AS l2, atan2(s, c) / 2 AS h FROM z),
+fr AS (SELECT obs_id, truth, l1, l2, list_transform(theta, lambda v: cos(v - h){by("l1")}) AS u1, list_transform(theta, lambda v: sin(v - h){by("l2")}) AS u2 FROM lam JOIN obs USING (obs_id)),
+first AS (SELECT row_number() OVER (ORDER BY truth) - 1 AS k, arg_min(u1, obs_id) AS c1, arg_min(u2, obs_id) AS c2 FROM fr GROUP BY truth)"""
+
+
+_SQUARES = "pow(list_dot_product(u1, c1), 2) + pow(list_dot_product(u1, c2), 2) + pow(list_dot_product(u2, c1), 2) + pow(list_dot_product(u2, c2), 2)"
+_CHORD = f"-(4 - 2 * ({_SQUARES})) / sqrt(2.0::DOUBLE)"
+_Q = lambda a, b: f"pow(list_dot_product({a}, {a}), 2) + pow(list_dot_product({b}, {b}), 2)"
+_WEIGHTED = f"-({_Q('u1', 'u2')} + {_Q('c1', 'c2')} - 2 * ({_SQUARES})) / sqrt(2.0::DOUBLE)"
+
+
+def _frame_assign(scaled: bool, sim: str) -> str:
+    return f"WITH {_frame_sql(scaled)}, sim AS (SELECT obs_id, k, {sim} AS s FROM fr, first) SELECT obs_id, k::INT AS part, {R('s')} AS sim FROM (SELECT obs_id, k, s, {_TOP} FROM sim) WHERE n = 1"
+
+
+@query(_frame_assign(False, _CHORD))
+def k4_grassmann_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    return rounded(kmeans.Clusters("grassmann", first_frames(f)).assign(f).select("obs_id", "part", "sim"))
+
+
+@query(_frame_assign(True, _WEIGHTED))
+def k5_weighted_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir, scaled=True)
+    return rounded(kmeans.Clusters("weighted_grassmann", first_frames(f)).assign(f).select("obs_id", "part", "sim"))
+
+
+_COMPLEX = fx.OBSERVATIONS + """, cx AS (SELECT obs_id, truth, list_filter(x, lambda v, i: i % 2 = 1) AS re, list_filter(x, lambda v, i: i % 2 = 0) AS im FROM obs),
+ccen AS (SELECT row_number() OVER (ORDER BY truth) - 1 AS k, arg_min(re, obs_id) AS a, arg_min(im, obs_id) AS b FROM cx GROUP BY truth),
+csim AS (SELECT obs_id, k, pow(list_dot_product(re, a) + list_dot_product(im, b), 2) + pow(list_dot_product(im, a) - list_dot_product(re, b), 2) AS s FROM cx, ccen)"""
+
+
+def first_complex(df: DataFrame) -> np.ndarray:
+    rows = df.groupBy("truth").agg(F.min_by("x", "obs_id").alias("x")).orderBy("truth").collect()
+    return np.array([np.array(r["x"]["re"]) + 1j * np.array(r["x"]["im"]) for r in rows])
+
+
+@query(f"WITH {_COMPLEX} SELECT obs_id, k::INT AS part, {R('s')} AS sim FROM (SELECT obs_id, k, s, {_TOP} FROM csim) WHERE n = 1")
+def k2_complex_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.complex_observations(spark, sf_dir)
+    return rounded(kmeans.Clusters("diametrical", first_complex(c)).assign(c).select("obs_id", "part", "sim"))
 
 
 @query()
@@ -109,11 +223,16 @@ def k8_hyperplane_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(fx.observations(spark, sf_dir), "diametrical", "hyperplane")
 
 
-@query()
+_G = {"a": "list_dot_product(u1, c1)", "b": "list_dot_product(u1, c2)", "c": "list_dot_product(u2, c1)", "d": "list_dot_product(u2, c2)"}
+
+
+@query(f"""WITH {_frame_sql(False)}, one AS (SELECT u1 AS c1, u2 AS c2 FROM fr ORDER BY obs_id LIMIT 1), g AS (SELECT obs_id, {", ".join(f"{v} AS {k}" for k, v in _G.items())} FROM fr, one),
+t AS (SELECT obs_id, a * a + b * b + c * c + d * d AS tr, a * d - b * c AS det FROM g), e AS (SELECT obs_id, sqrt(tr + 2 * abs(det)) AS p, sqrt(greatest(tr - 2 * abs(det), 0)) AS m FROM t)
+SELECT obs_id, {R("sqrt(pow(acos(least(greatest((p + m) / 2, -1), 1)), 2) + pow(acos(least(greatest((p - m) / 2, -1), 1)), 2))", 5)} AS geodesic FROM e""")
 def k11_geodesic(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     first = f.orderBy("obs_id").select("u1", "u2").first()
-    return rounded(kmeans.geodesic(f, np.stack([first["u1"], first["u2"]], 1)).select("obs_id", "geodesic"))
+    return rounded(kmeans.geodesic(f, np.stack([first["u1"], first["u2"]], 1)).select("obs_id", "geodesic"), 5)
 
 
 # -- mixtures -------------------------------------------------------------------------------------
@@ -155,6 +274,176 @@ def d9_normal_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.densities(o).select("obs_id", F.posexplode("lp").alias("i", "value")))
 
 
+# covariances I (or gamma I) plus b times a vector with itself: determinant and form are known in closed form
+
+_B = [1.0 + k for k in range(10)]
+_b = "(k + 1.0::DOUBLE)"
+
+
+def _spikes(centres: np.ndarray, low: bool) -> dict[str, np.ndarray]:
+    b = np.array(_B)[: len(centres)]
+    pi = np.full(len(b), 1 / len(b))
+    if low:
+        return {"pi": pi, "M": (centres * np.sqrt(b)[:, None])[:, :, None]}
+    return {"pi": pi, "Psi": np.eye(centres.shape[1]) + b[:, None, None] * np.einsum("kp,kr->kpr", centres, centres.conj())}
+
+
+def _values(df: DataFrame, family: Family, theta: dict) -> DataFrame:
+    return rounded(mixture.Mixture(family, theta).densities(df).select("obs_id", F.posexplode("lp").alias("i", "value")))
+
+
+_ACG = f"{log_sphere(64, False)!r}::DOUBLE - 0.5 * ln(1 + {_b}) - 32 * ln(1 - {_b} / (1 + {_b}) * s)"
+_CACG = f"{log_sphere(32, True)!r}::DOUBLE - ln(1 + {_b}) - 32 * ln(1 - {_b} / (1 + {_b}) * s)"
+
+
+@query(f"WITH {_CENTRES} SELECT obs_id, k AS i, {R(_ACG)} AS value FROM sim")
+def d2_acg_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.observations(spark, sf_dir)
+    return _values(o, Family("ACG", (64,)), _spikes(first_of_each(o), False))
+
+
+@query(f"WITH {_CENTRES} SELECT obs_id, k AS i, {R(_ACG)} AS value FROM sim")
+def d3_acg_lowrank_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.observations(spark, sf_dir)
+    return _values(o, Family("ACG", (64,), rank=1), _spikes(first_of_each(o), True))
+
+
+_CWATSON = [log_sphere(32, True) - log_kummer(1.0, 32.0, v) for v in _KAPPA]
+
+
+@query(f"WITH {_COMPLEX} SELECT obs_id, k AS i, {R(f'list_extract({_CWATSON!r}, k + 1)::DOUBLE + list_extract({_KAPPA!r}, k + 1)::DOUBLE * s')} AS value FROM csim")
+def d1_complex_watson_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.complex_observations(spark, sf_dir)
+    return _values(c, Family("Watson", (32,), True), {"pi": np.full(10, 0.1), "mu": first_complex(c), "kappa": np.array(_KAPPA)})
+
+
+@query(f"WITH {_COMPLEX} SELECT obs_id, k AS i, {R(_CACG)} AS value FROM csim")
+def d2_complex_acg_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.complex_observations(spark, sf_dir)
+    return _values(c, Family("ACG", (32,), True), _spikes(first_complex(c), False))
+
+
+_NORMAL = lambda p, a, s: f"-{p} * {a} * ln(pi() / {a}) - {a} * ({p - 1} * ln(2.0::DOUBLE) + ln(2 + {_b})) - {a} * (list_dot_product(x, x) - {_b} / (2 + {_b}) * {s}) / 2"
+
+
+@query(f"WITH {_CENTRES} SELECT sim.obs_id, k AS i, {R(_NORMAL(64, '0.5::DOUBLE', 's'))} AS value FROM sim JOIN obs USING (obs_id)")
+def d8_normal_lowrank_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.observations(spark, sf_dir)
+    return _values(o, Family("Normal", (64,), rank=1), _spikes(first_of_each(o), True) | {"gamma": np.full(10, 2.0)})
+
+
+@query(f"WITH {_COMPLEX} SELECT csim.obs_id, k AS i, {R(_NORMAL(32, '1.0::DOUBLE', 's'))} AS value FROM csim JOIN obs USING (obs_id)")
+def d8_complex_normal_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.complex_observations(spark, sf_dir)
+    return _values(c, Family("Normal", (32,), True, rank=1), _spikes(first_complex(c), True) | {"gamma": np.full(10, 2.0)})
+
+
+_AXIS = "list_transform(c1, lambda v: v / sqrt(list_dot_product(c1, c1)))"
+_ON_AXIS = lambda scaled: f"{_frame_sql(scaled)}, ax AS (SELECT k, {_AXIS} AS c FROM first), w AS (SELECT obs_id, k, u1, u2, l1, l2, list_dot_product(u1, c) AS a, list_dot_product(u2, c) AS b FROM fr, ax)"
+_MACG = f"-ln(1 + {_b}) - 32 * ln(1 - {_b} / (1 + {_b}) * (a * a + b * b))"
+
+
+def _axes(df: DataFrame) -> np.ndarray:
+    c = first_frames(df)[:, :, 0]
+    return c / np.linalg.norm(c, axis=1, keepdims=True)
+
+
+@query(f"WITH {_ON_AXIS(False)} SELECT obs_id, k AS i, {R(_MACG)} AS value FROM w")
+def d4_macg_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    return _values(f, Family("MACG", (64, 2)), _spikes(_axes(f), False))
+
+
+@query(f"WITH {_ON_AXIS(False)} SELECT obs_id, k AS i, {R(_MACG)} AS value FROM w")
+def d5_macg_lowrank_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    return _values(f, Family("MACG", (64, 2), rank=1), _spikes(_axes(f), True))
+
+
+_HEAD = "-31.5::DOUBLE * ln(pow(u1[1] * u2[2] - u1[2] * u2[1], 2))"
+_WISHART = lambda g: f"{Family('SingularWishart', (64, 2)).wishart_constant()!r}::DOUBLE - (63 * ln({g}::DOUBLE) + ln({g} + {_b})) - (l1 + l2 - {_b} / ({g} + {_b}) * (a * a + b * b)) / {g} / 2 + {_HEAD}"
+
+
+@query(f"WITH {_ON_AXIS(True)} SELECT obs_id, k AS i, {R(_WISHART(2.0), 5)} AS value FROM w")
+def d6_wishart_lowrank_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir, scaled=True)
+    m = mixture.Mixture(Family("SingularWishart", (64, 2), rank=1), _spikes(_axes(f), True) | {"gamma": np.full(10, 2.0)})
+    return rounded(m.densities(f).select("obs_id", F.posexplode("lp").alias("i", "value")), 5)
+
+
+@query(f"WITH {_ON_AXIS(True)} SELECT obs_id, k AS i, {R(_WISHART(1.0), 5)} AS value FROM w")
+def d7_wishart_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir, scaled=True)
+    m = mixture.Mixture(Family("SingularWishart", (64, 2)), _spikes(_axes(f), False))
+    return rounded(m.densities(f).select("obs_id", F.posexplode("lp").alias("i", "value")), 5)
+
+
+@query(f"WITH {_WATSON} SELECT count(*) AS n, {R('sum(loglik)', 4)} AS loglik FROM ll")
+def d13_total_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.observations(spark, sf_dir)
+    return rounded(spark.createDataFrame([(o.count(), watson(o).loglik(o))], "n long, loglik double"), 4)
+
+
+# one pass of expectation-maximisation from given parameters
+
+_POST = lambda lp, src: f"lp AS MATERIALIZED (SELECT obs_id, k, {lp} AS lp FROM {src}), mx AS (SELECT obs_id, max(lp) AS m FROM lp GROUP BY obs_id), pw AS (SELECT obs_id, k, exp(lp - m) / sum(exp(lp - m)) OVER (PARTITION BY obs_id) AS p FROM lp JOIN mx USING (obs_id))"
+_MOMENT = "cell AS (SELECT k, i, j, sum(w * a * b) AS v FROM (SELECT k, w, i, a, unnest(range(64)) AS j, unnest(x) AS b FROM (SELECT k, w, x, unnest(range(64)) AS i, unnest(x) AS a FROM wx)) GROUP BY k, i, j)"
+
+
+def _one_pass(df: DataFrame, family: Family, theta: dict) -> tuple[np.ndarray, np.ndarray]:
+    got = mixture.em_pass(df, family, theta)
+    return got["weight"] / got["weight"].sum(), family.finish(got["moment"], got["weight"], theta)["Psi"]
+
+
+def _cells(spark: SparkSession, psi: np.ndarray) -> DataFrame:
+    return rounded(spark.createDataFrame([(k, i, j, float(m[i, j])) for k, m in enumerate(psi) for i in range(len(m)) for j in range(len(m))], "k int, i int, j int, value double"))
+
+
+def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    o = fx.observations(spark, sf_dir)
+    return o, _spikes(first_of_each(o)[:3], False)
+
+
+_POST3 = _CENTRES + ", " + _POST(_ACG, "sim WHERE k < 3")
+
+
+@query(f"WITH {_POST3} SELECT k::INT AS k, {R('avg(p)')} AS pi FROM pw GROUP BY k")
+def m1_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pi, _ = _one_pass(*(lambda o, t: (o, Family("ACG", (64,)), t))(*_three(spark, sf_dir)))
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(pi)], "k int, pi double"))
+
+
+@query(f"""WITH {_POST3}, wx AS (SELECT pw.k, p / (1 - (pw.k + 1.0::DOUBLE) / (pw.k + 2.0::DOUBLE) * s) AS w, x FROM pw JOIN sim ON sim.obs_id = pw.obs_id AND sim.k = pw.k JOIN obs ON obs.obs_id = pw.obs_id), {_MOMENT},
+t AS (SELECT k, sum(v) AS t FROM cell WHERE i = j GROUP BY k) SELECT cell.k::INT AS k, i, j, {R("v * 64 / t")} AS value FROM cell JOIN t ON t.k = cell.k""")
+def m5_acg_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, theta = _three(spark, sf_dir)
+    return _cells(spark, _one_pass(o, Family("ACG", (64,)), theta)[1])
+
+
+_FPOST = lambda scaled, lp: f"{_ON_AXIS(scaled)}, {_POST(lp, 'w WHERE k < 3')}, pk AS (SELECT k, sum(p) AS t FROM pw GROUP BY k), j AS (SELECT pw.k, p, t, u1, u2, a, b FROM pw JOIN w ON w.obs_id = pw.obs_id AND w.k = pw.k JOIN pk ON pk.k = pw.k)"
+
+
+@query(f"""WITH {_FPOST(False, _MACG)}, inv AS (SELECT *, {_b} / (1 + {_b}) / (1 - {_b} / (1 + {_b}) * (a * a + b * b)) AS g FROM j),
+wx AS (SELECT k, p AS w, u1 AS x FROM inv UNION ALL SELECT k, p, u2 FROM inv UNION ALL SELECT k, p * g, list_transform(list_zip(u1, u2), lambda z: z[1] * a + z[2] * b) FROM inv), {_MOMENT},
+t AS (SELECT k, sum(v) AS t FROM cell WHERE i = j GROUP BY k) SELECT cell.k::INT AS k, i, j, {R("v * 64 / t")} AS value FROM cell JOIN t ON t.k = cell.k""")
+def m7_macg_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    return _cells(spark, _one_pass(f, Family("MACG", (64, 2)), _spikes(_axes(f)[:3], False))[1])
+
+
+@query(f"WITH {_FPOST(True, _WISHART(1.0))}, wx AS (SELECT k, p / t / 2 AS w, u1 AS x FROM j UNION ALL SELECT k, p / t / 2, u2 FROM j), {_MOMENT} SELECT k::INT AS k, i, j, {R('v')} AS value FROM cell")
+def m9_wishart_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir, scaled=True)
+    return _cells(spark, _one_pass(f, Family("SingularWishart", (64, 2)), _spikes(_axes(f)[:3], False))[1])
+
+
+@query(f"""WITH {_CENTRES}, {_POST(f"-0.5::DOUBLE * ln(1 + {_b}) + {_b} / (1 + {_b}) * s / 2", "sim WHERE k < 3")}, pk AS (SELECT k, sum(p) AS t FROM pw GROUP BY k),
+wx AS (SELECT pw.k, p / t AS w, x FROM pw JOIN pk ON pk.k = pw.k JOIN obs USING (obs_id)), {_MOMENT} SELECT k::INT AS k, i, j, {R('v')} AS value FROM cell""")
+def m11_normal_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, theta = _three(spark, sf_dir)
+    return _cells(spark, _one_pass(o, Family("Normal", (64,)), theta)[1])
+
+
 def _fitted(df: DataFrame, family: Family, k: int = 3, init: str = "uniform") -> DataFrame:
     m = mixture.fit(df, family, k, init)
     return rounded(m.score(df).select("obs_id", "truth", "loglik", vec.argmax(F.col("post")).alias("part")), 4)
@@ -215,11 +504,29 @@ def h3_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hmm.likelihoods(fx.sequences(spark, sf_dir), _DELTA, _T))
 
 
-@query()
+def _viterbi(last: str) -> str:
+    """path (seq_id, n, t, state): scores forwards with the better state before each, then back from the end."""
+    go = lambda a, b: f"CASE WHEN f.x + ln({a}::DOUBLE) >= f.y + ln({b}::DOUBLE) THEN"
+    return f"""WITH RECURSIVE {fx.SEQUENCES}, o AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY t) AS n FROM seq),
+f AS (SELECT seq_id, n, ln(0.6::DOUBLE) + a AS x, ln(0.4::DOUBLE) + b AS y, 0 AS px, 0 AS py FROM o WHERE n = 1
+ UNION ALL SELECT o.seq_id, o.n, o.a + greatest(f.x + ln(0.9::DOUBLE), f.y + ln(0.2::DOUBLE)), o.b + greatest(f.x + ln(0.1::DOUBLE), f.y + ln(0.8::DOUBLE)), {go(0.9, 0.2)} 0 ELSE 1 END, {go(0.1, 0.8)} 0 ELSE 1 END FROM f JOIN o ON o.seq_id = f.seq_id AND o.n = f.n + 1),
+ends AS (SELECT seq_id, max(n) AS n FROM f GROUP BY seq_id),
+path AS (SELECT f.seq_id, f.n, CASE WHEN f.x >= f.y THEN 0 ELSE 1 END AS state FROM f JOIN ends ON ends.seq_id = f.seq_id AND ends.n = f.n
+ UNION ALL SELECT f.seq_id, f.n - 1, CASE WHEN path.state = 0 THEN f.px ELSE f.py END FROM path JOIN f ON f.seq_id = path.seq_id AND f.n = path.n WHERE f.n > 1)
+{last} FROM path JOIN o ON o.seq_id = path.seq_id AND o.n = path.n"""
+
+
+@query(_viterbi("SELECT o.seq_id, o.t, state::INT AS state"))
 def h6_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.viterbi(fx.sequences(spark, sf_dir), _DELTA, _T)
 
 
+@query(f"SELECT seq_id, t, i, CASE WHEN state = i THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM (SELECT *, unnest([0, 1]) AS i FROM ({_viterbi('SELECT o.seq_id, o.t, state')}))")
+def h7_path_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = hmm.viterbi(fx.sequences(spark, sf_dir), _DELTA, _T)
+    return path.select("seq_id", "t", F.posexplode(vec.one_hot(F.col("state"), 2)).alias("i", "value"))
+
+
 @query()
 def h8_hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal states on embeddings in sequences of 50: likelihood by sequence."""
@@ -265,7 +572,11 @@ def e5_mean_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.mean_loglik(watson(o).score(o).withColumn("subject", F.col("obs_id") % 7), ["subject"]))
 
 
-@query()
+_PERM = "SELECT a, b, c, d FROM (SELECT unnest(range(4)) AS a), (SELECT unnest(range(4)) AS b), (SELECT unnest(range(4)) AS c), (SELECT unnest(range(4)) AS d) WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d"
+_BEST = f"tab AS (SELECT t, k, coalesce(m, 0) AS m FROM (SELECT unnest(range(4)) AS t), (SELECT unnest(range(4)) AS k) LEFT JOIN raw ON raw.truth = t AND raw.part = k), won AS (SELECT a, b, c, d FROM (SELECT * FROM ({_PERM})) AS p JOIN tab x ON x.t = 0 AND x.k = a JOIN tab y ON y.t = 1 AND y.k = b JOIN tab z ON z.t = 2 AND z.k = c JOIN tab w ON w.t = 3 AND w.k = d ORDER BY x.m + y.m + z.m + w.m DESC LIMIT 1), map AS (SELECT unnest([0, 1, 2, 3]) AS truth, unnest([a, b, c, d]) AS component FROM won)"
+
+
+@query(f"WITH {fx.POSTERIORS}, raw AS (SELECT truth, k AS part, avg(m) AS m FROM (SELECT subject, truth, k, avg(p) AS m FROM long GROUP BY ALL) GROUP BY ALL), {_BEST} SELECT truth::INT AS truth, component::INT AS component FROM map")
 def e6_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = evaluate.match(fx.posteriors(spark, sf_dir), 4)
     return spark.createDataFrame([(c, int(j)) for c, j in enumerate(order)], "truth int, component int")
@@ -276,11 +587,16 @@ def e7_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.accuracy(fx.parts(spark, sf_dir), ["subject"]))
 
 
-@query()
+_LARGEST = lambda where: f"SELECT truth, position, arg_max(k, [p, -k]) AS part FROM (SELECT truth, position, k, avg(p) AS p FROM long WHERE {where} GROUP BY ALL) GROUP BY ALL"
+
+
+@query(f"""WITH {fx.POSTERIORS}, cnt AS (SELECT truth, part, count(*) AS n FROM ({_LARGEST("subject < 4")}) GROUP BY ALL), raw AS (SELECT truth, part, n / sum(n) OVER (PARTITION BY truth) AS m FROM cnt), {_BEST}
+SELECT 'accuracy' AS name, {R("avg(CASE WHEN map.truth = part.truth THEN 1.0 ELSE 0.0 END)")} AS value FROM part JOIN map ON map.component = part.part WHERE subject >= 4
+UNION ALL SELECT 'ensemble_accuracy', {R("avg(CASE WHEN map.truth = e.truth THEN 1.0 ELSE 0.0 END)")} FROM ({_LARGEST("subject >= 4")}) e JOIN map ON map.component = e.part""")
 def e8_posterior_to_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.posteriors(spark, sf_dir)
     got = evaluate.posterior_to_accuracy(p.where("subject < 4"), p.where("subject >= 4"), 4, ["position"])
-    return spark.createDataFrame([(k, float(v)) for k, v in got.items()], "name string, value double")
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in got.items()], "name string, value double"))
 
 
 @query(f"WITH {fx.POSTERIORS}, c AS (SELECT truth, part, count(*) AS n FROM part GROUP BY ALL) SELECT truth, part, n, {R('n / sum(n) OVER (PARTITION BY truth)')} AS share FROM c")
@@ -327,7 +643,13 @@ def _one_row(spark: SparkSession, got: dict) -> DataFrame:
     return spark.createDataFrame([tuple(float(v) for v in got.values())], ", ".join(f"{k} double" for k in got))
 
 
-@query()
+# both tails of a normal distribution, by the series of the error function whose terms are all positive; of
+# a t distribution with many degrees beyond 8, where nothing is left of six digits
+_ERF = lambda x: f"2 / sqrt(pi()) * exp(-pow({x}, 2)) * list_sum(list_transform(range(400), lambda i: exp((2 * i + 1) * ln({x}) + 2 * i * ln(2.0::DOUBLE) + lgamma(i + 1) - lgamma(2 * i + 2))))"
+_TAIL = "CASE WHEN abs(t) > 8 AND n > 100 THEN 0.0::DOUBLE END"
+
+
+@query(f"""WITH {fx.RESULTS}, d AS (SELECT count(*)::DOUBLE AS n, avg(d) AS m, stddev_samp(d) AS s FROM (SELECT nmi - "K" / 70.0::DOUBLE AS d FROM res)), t AS (SELECT n, m / (s / sqrt(n)) AS t FROM d) SELECT n, {R("t")} AS t, {_TAIL} AS p FROM t""")
 def t3_paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_one_row(spark, stats.paired_t(fx.results(spark, sf_dir).withColumn("other", F.col("K") / 70), "nmi", "other", 3)))
 
@@ -341,7 +663,9 @@ def t4_signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), side(F.col("d") > 0).alias("plus"), side(F.col("d") < 0).alias("minus"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT l_quantity::DOUBLE - l_discount::DOUBLE * 500 AS d FROM lineitem), c AS (SELECT d, count(*) OVER (PARTITION BY abs(d)) AS c, rank() OVER (ORDER BY abs(d)) AS r FROM d WHERE d <> 0),
+s AS (SELECT count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN r + (c - 1) / 2.0::DOUBLE ELSE 0 END) AS plus, sum(CASE WHEN d < 0 THEN r + (c - 1) / 2.0::DOUBLE ELSE 0 END) AS minus, sum(c::DOUBLE * c - 1) AS ties FROM c),
+z AS (SELECT *, (least(plus, minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s) SELECT n, plus, minus, {R("z")} AS z, {R(f"CASE WHEN abs(z) > 8 THEN 0 ELSE 1 - {_ERF('(abs(z) / sqrt(2.0::DOUBLE))')} END")} AS p FROM z""")
 def t4_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = fx.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("a"), (F.col("l_discount").cast("double") * 500).alias("b"))
     return rounded(_one_row(spark, stats.wilcoxon(li, "a", "b")))

@@ -53,7 +53,10 @@ def p3_global_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signal.regress_global(series(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {fx.SERIES}, r AS (SELECT *, sin(t / 10.0::DOUBLE) AS a, cos(t / 7.0::DOUBLE) AS b FROM series),
+z AS (SELECT {KEYS}, value, (a - avg(a) OVER w) / stddev_samp(a) OVER w AS a, (b - avg(b) OVER w) / stddev_samp(b) OVER w AS b FROM r WINDOW w AS (PARTITION BY subject, session, channel)),
+s AS (SELECT *, sum(a * a) OVER w AS aa, sum(b * b) OVER w AS bb, sum(a * b) OVER w AS ab, sum(a * value) OVER w AS ay, sum(b * value) OVER w AS zy FROM z WINDOW w AS (PARTITION BY subject, session, channel))
+SELECT {KEYS}, {R("value - a * (ay * bb - zy * ab) / (aa * bb - ab * ab) - b * (zy * aa - ay * ab) / (aa * bb - ab * ab)")} AS value FROM s""")
 def p4_nuisance_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
     nuisance = s.select("subject", "session", "t").distinct().withColumn("r", F.array(F.sin(F.col("t") / 10), F.cos(F.col("t") / 7)))
@@ -77,7 +80,10 @@ def p8_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signal.bandpass(series(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {fx.SERIES}, o AS (SELECT *, value - avg(value) OVER w AS x, row_number() OVER (w ORDER BY t) AS i, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY subject, session, channel)),
+h AS (SELECT a.subject, a.session, a.t, a.channel, any_value(a.x) AS re, sum(CASE WHEN a.i = b.i THEN 0 ELSE b.x * (cos(pi() * (a.i - b.i) / a.n) - cos(pi() * (a.i - b.i)) * CASE WHEN a.n % 2 = 0 THEN cos(pi() * (a.i - b.i) / a.n) ELSE 1 END) / sin(pi() * (a.i - b.i) / a.n) / a.n END) AS im
+ FROM o a JOIN o b ON a.subject = b.subject AND a.session = b.session AND a.channel = b.channel GROUP BY a.subject, a.session, a.t, a.channel)
+SELECT {KEYS}, {R("atan2(im, re)")} AS theta, {R("sqrt(re * re + im * im)")} AS amp FROM h""")
 def p9_analytic_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signal.analytic_phase(series(spark, sf_dir)))
 
@@ -88,8 +94,9 @@ def p10_phase_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(long(x, ["obs_id"], re=F.col("x.re"), im=F.col("x.im")))
 
 
-_FRAMES = fx.PHASES + """, z AS (SELECT *, len(theta) AS n, list_sum(list_transform(theta, lambda v: cos(v * 2))) AS c, list_sum(list_transform(theta, lambda v: sin(v * 2))) AS s FROM ph),
+_LAM = """z AS (SELECT *, len(theta) AS n, list_sum(list_transform(theta, lambda v: cos(v * 2))) AS c, list_sum(list_transform(theta, lambda v: sin(v * 2))) AS s FROM ph),
 lam AS (SELECT obs_id, (n + sqrt(c * c + s * s)) / 2 AS l1, (n - sqrt(c * c + s * s)) / 2 AS l2, atan2(s, c) / 2 AS h, unnest(range(n)) AS i, unnest(theta) AS v FROM z)"""
+_FRAMES = f"{fx.PHASES}, {_LAM}"
 
 
 @query(f"WITH {_FRAMES} SELECT obs_id, i, {R('l1')} AS l1, {R('l2')} AS l2, {R('cos(v - h) / sqrt(l1)')} AS u1, {R('sin(v - h) / sqrt(l2)')} AS u2 FROM lam")
@@ -114,14 +121,22 @@ def p15_phase_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signal.phase_controlled(series(spark, sf_dir)))
 
 
-@query()
+_U = lambda salt: f"((('0x' || substr(md5(id || ':0:{salt}'), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE"
+_CIRCLE = lambda truth, other: f"CASE WHEN truth = {truth} THEN sin(angle) ELSE {other} END"
+_NOISE = lambda salt: f"sqrt(-2 * ln({_U(salt)})) * cos(2 * pi() * {_U(salt + 1)}) * 0.025::DOUBLE"
+
+
+@query(f"""WITH ph AS (SELECT id AS obs_id, id // 1000 AS truth, list_transform([0, 1, 2], lambda i: [[0.0, 2.0, 4.0], [0.0, 1.0, 5.0]][id // 1000 + 1][i + 1]::DOUBLE + ([{_U(0)}, {_U(1)}, {_U(2)}][i + 1] - 0.5) * 0.5) AS theta FROM range(2000) AS x(id)),
+{_LAM} SELECT obs_id, (obs_id // 1000)::INT AS truth, i, {R('v')} AS theta, {R('l1')} AS l1, {R('cos(v - h) / sqrt(l1)')} AS u1, {R('sin(v - h) / sqrt(l2)')} AS u2 FROM lam""")
 def p16_noisy_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.coherence_frames(signal.noisy_phases(spark, [[0.0, 2.0, 4.0], [0.0, 1.0, 5.0]], 1000, 0.5))
+    f = signal.coherence_frames(signal.noisy_phases(spark, [[0.0, 2.0, 4.0], [0.0, 1.0, 5.0]], 1000, 0.5))
+    return rounded(long(f, ["obs_id", "truth", "l1"], theta=F.col("theta"), u1=F.col("u1"), u2=F.col("u2")))
 
 
-@query()
+@query(f"""WITH c AS (SELECT id, id // 1000 AS truth, 2 * pi() * {_U(0)} AS angle FROM range(2000) AS x(id)), y AS (SELECT id, truth, [cos(angle) + {_NOISE(1)}, {_CIRCLE(0, "0.0")} + {_NOISE(3)}, {_CIRCLE(1, "0.0")} + {_NOISE(5)}] AS y FROM c)
+SELECT id AS obs_id, truth::INT AS truth, unnest([0, 1, 2]) AS i, {R("unnest(y) / sqrt(list_dot_product(y, y))")} AS value FROM y""")
 def p17_great_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.great_circles(spark, 1000)
+    return rounded(signal.great_circles(spark, 1000).select("obs_id", "truth", F.posexplode("x").alias("i", "value")))
 
 
 _TASKS = ", ".join(f"('{t}', {n}, {s})" for t, n, s in signal.TASKS)
@@ -141,7 +156,7 @@ def p19_split_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.split_subjects(s, s.select("subject", F.col("subject").alias("split_order")), 60)
 
 
-@query()
+@query(f"""WITH {fx.SERIES}, d AS (SELECT DISTINCT subject, session, t, subject AS id FROM series) SELECT subject, session, t, CASE WHEN subject >= 6 THEN 'test2' WHEN (CASE WHEN {_U(0)} < 0.5 THEN 0 ELSE 1 END) = session THEN 'train' ELSE 'test1' END AS split FROM d""")
 def p20_split_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir).select("subject", "session", "t").distinct()
     return signal.split_sessions(s, s.select("subject").where("subject < 6"))
