@@ -111,8 +111,9 @@ def with_running(df: DataFrame, name: str, values: Column, step, zero: Column, k
     df = df.withColumn(f"{name}_in", F.transform(F.when(F.size(values) > 0, _blocks(values)), lambda b: _running(b, step, zero, kind)))
     ends = F.transform(whole, lambda b: F.element_at(b, -1))
     df = df.withColumn(f"{name}_to", F.when(whole.isNotNull(), _running(ends, step, zero, kind)))
-    before = lambda i: F.when(i > 0, F.get(f"{name}_to", i - 1)).otherwise(zero)
-    done = F.flatten(F.transform(whole, lambda b, i: F.when(i > 0, F.transform(b, lambda v: step(before(i), v))).otherwise(b)))
+    # an argument, not part of the lambda: that would be worked out for each place
+    before = F.concat(F.array(zero), F.slice(f"{name}_to", F.lit(1), F.size(f"{name}_to") - 1))
+    done = F.flatten(F.zip_with(whole, before, lambda b, o: F.transform(b, lambda v: step(o, v))))
     return df.withColumn(name, done).drop(f"{name}_in", f"{name}_to")
 
 
