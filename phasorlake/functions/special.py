@@ -19,15 +19,16 @@ def log_kummer(a: float, c: float, x: float, tol: float = 1e-13) -> float:
         return x + log_kummer(c - a, c, -x, tol)
     if x == 0:
         return 0.0
-    term = out = 0.0
-    j = 0
+    last, top, total, at, size = 0.0, 0.0, 1.0, 0, 256
     while True:
-        step = math.log((a + j) / (c + j)) + math.log(x / (j + 1))
-        term += step
-        out = max(out, term) + math.log1p(math.exp(-abs(out - term)))
-        j += 1
-        if step < 0 and term - out < math.log(tol) or j > 10_000_000:
-            return out
+        j = np.arange(at, at + size, dtype=float)
+        step = np.log((a + j) / (c + j) * x / (j + 1))
+        term = last + np.cumsum(step)
+        high = max(top, float(term.max()))
+        total = total * math.exp(top - high) + float(np.exp(term - high).sum())
+        last, top, at, size = float(term[-1]), high, at + size, min(size * 2, 1 << 20)
+        if step[-1] < 0 and last - top - math.log(total) < math.log(tol) or at > 10_000_000:
+            return top + math.log(total)
 
 
 def kummer_ratio(a: float, c: float, x: float) -> float:
@@ -36,7 +37,8 @@ def kummer_ratio(a: float, c: float, x: float) -> float:
 
 
 def solve_kummer(a: float, c: float, r: float, tol: float = 1e-10) -> float:
-    """The x at which kummer_ratio is r, by bisection inside known bounds."""
+    """The x at which kummer_ratio is r, by Newton's steps inside known bounds, or bisection where one leaves them.
+    The ratio g has the slope (1 - c / x) g + a / x - g^2."""
     r = min(max(r, 1e-9), 1 - 1e-9)
     if abs(r - a / c) < 1e-14:
         return 0.0
@@ -47,10 +49,18 @@ def solve_kummer(a: float, c: float, r: float, tol: float = 1e-10) -> float:
         low -= abs(low) + 1
     while kummer_ratio(a, c, high) < r:
         high += abs(high) + 1
+    x = (low + high) / 2
     while high - low > tol * max(1.0, abs(low), abs(high)):
-        mid = (low + high) / 2
-        low, high = (mid, high) if kummer_ratio(a, c, mid) < r else (low, mid)
-    return (low + high) / 2
+        g = kummer_ratio(a, c, x)
+        low, high = (x, high) if g < r else (low, x)
+        slope = (1 - c / x) * g + a / x - g * g if x else 0.0
+        new = x - (g - r) / slope if slope > 0 else low
+        if not low < new < high:
+            new = (low + high) / 2
+        if abs(new - x) <= tol / 4 * max(1.0, abs(x)):
+            return new
+        x = new
+    return x
 
 
 def beta_tail(a: float, b: float, x: float) -> float:

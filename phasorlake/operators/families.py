@@ -140,6 +140,8 @@ class Family:
         if self.name == "Normal":
             return -c * math.log(math.pi / a) - a * log_det - a * form
         out = self.wishart_constant() - q / 2 * log_det - np.trace(form, axis1=1, axis2=2) / 2
+        if "Psi" in theta:  # at full rank the data's own factor is left out, the same for all components
+            return out
         head = x[:, :q]
         return out + (q - p - 1) / 2 * np.linalg.slogdet(np.einsum("npq,nps->nqs", head, head))[1]
 

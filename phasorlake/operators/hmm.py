@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .families import Family, Params
-from .kernels import columns_of, kind_of
+from .kernels import FEW, columns_of, kind_of
 from .mixture import Mixture, moment_name, validate
 
 
@@ -134,7 +134,7 @@ def fit(df: DataFrame, mixture: Mixture, k: int, tol: float = 1e-8, max_iter: in
     shapes = {"loglik": (1,), "first": (k,), "pairs": (k, k), "weight": (k,), name: (k, p, p)}
     try:
         for _ in range(max_iter):
-            got = _sweep(ordered, family, theta, delta, t, kind, columns, shapes)
+            got = _sweep(ordered, family, theta, delta, t, kind, columns, shapes, width <= FEW)
             curve.append(float(got["loglik"][0]))
             if best is None or curve[-1] > max(best.curve, default=-np.inf):
                 best = Hmm(family, theta, delta, t)
@@ -150,7 +150,7 @@ def fit(df: DataFrame, mixture: Mixture, k: int, tol: float = 1e-8, max_iter: in
     return best
 
 
-def _sweep(ordered: DataFrame, family: Family, theta: Params, delta: np.ndarray, t: np.ndarray, kind: str, columns: list[str], shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+def _sweep(ordered: DataFrame, family: Family, theta: Params, delta: np.ndarray, t: np.ndarray, kind: str, columns: list[str], shapes: dict[str, tuple[int, ...]], few: bool) -> dict[str, np.ndarray]:
     names, name = sorted(shapes), moment_name(family)
     with np.errstate(divide="ignore"):
         log_delta, log_t = np.log(delta), np.log(t)
@@ -174,15 +174,19 @@ def _sweep(ordered: DataFrame, family: Family, theta: Params, delta: np.ndarray,
                 held.append(rows)
         if held:
             close()
-            flat = [sums[n].reshape(-1) for n in names]
-            every = np.concatenate(flat)
-            yield pd.DataFrame({"name": np.repeat(np.arange(len(names)), [len(v) for v in flat]), "place": np.concatenate([np.arange(len(v)) for v in flat]), "re": every.real, "im": every.imag})
-
-    got = ordered.mapInPandas(each, "name int, place long, re double, im double").groupBy("name", "place").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()
-    out = {}
-    for i, n in enumerate(names):
-        value = np.zeros(int(np.prod(shapes[n])), complex)
-        part = got[got["name"] == i]
-        value[part["place"].to_numpy(int)] = part["re"].to_numpy() + 1j * part["im"].to_numpy()
-        out[n] = (value if n.startswith("c_") else value.real).reshape(shapes[n])
-    return out
+            every = np.concatenate([sums[n].reshape(-1) for n in names])
+            if few:
+                yield pd.DataFrame({"sums": [every.tobytes()]})
+            else:
+                yield pd.DataFrame({"place": np.arange(len(every)), "re": every.real, "im": every.imag})
+
+    sizes = [int(np.prod(shapes[n])) for n in names]
+    total = np.zeros(sum(sizes), complex)
+    if few:  # the driver adds up what some tens of tasks give
+        for part in ordered.mapInPandas(each, "sums binary").toArrow().column("sums").to_pylist():
+            total += np.frombuffer(part, complex)
+    else:
+        got = ordered.mapInPandas(each, "place long, re double, im double").groupBy("place").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()
+        total[got["place"].to_numpy(int)] = got["re"].to_numpy() + 1j * got["im"].to_numpy()
+    parts = zip(names, np.split(total, np.cumsum(sizes)[:-1]), strict=True)
+    return {n: (v if n.startswith("c_") else v.real).reshape(shapes[n]) for n, v in parts}

@@ -1,4 +1,5 @@
-"""One pass over observations: Arrow batches to numpy, sums by partition, sums of sums in Spark.
+"""One pass over observations: Arrow batches to numpy, sums by partition, sums of sums in Spark; of a cached
+frame of FEW partitions, as small fits have, the driver adds the partitions' sums up itself.
 
 Observations are rows with ``x`` array<double> (real), ``x`` struct<re, im> of arrays (complex) or ``u1``,
 ``u2`` ... array<double> (frames). What a fit needs from the data are sums; a pass yields one row for each
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FEW = 64
 Kernel = Callable[[np.ndarray, pa.RecordBatch], dict[str, np.ndarray]]
 
 
@@ -50,34 +52,51 @@ def observations(batch: pa.RecordBatch, kind: str, columns: list[str]) -> np.nda
     return _matrix(x)
 
 
+def _few(df: DataFrame) -> bool:
+    """Whether the frame is cached (so that asking costs no work) and has no more than FEW partitions."""
+    if not df.is_cached:
+        return False
+    if not hasattr(df, "_partitions"):
+        df._partitions = df.rdd.getNumPartitions()
+    return df._partitions <= FEW
+
+
 def summed(df: DataFrame, kernel: Kernel, shapes: dict[str, tuple[int, ...]], extra: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
     """The sums over all rows of what ``kernel`` gives for a batch: arrays of the shapes; complex ones under
     names that begin with ``c_``."""
     kind, columns = kind_of(df), columns_of(df)
     names = sorted(shapes)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
                 for name, value in kernel(observations(batch, kind, columns), batch).items():
                     sums[name] = sums[name] + value if name in sums else np.asarray(value)
-        if sums:
-            flat = [np.asarray(sums[n]).reshape(-1).astype(complex) for n in names]
-            which = np.repeat(np.arange(len(names), dtype=np.int32), [len(v) for v in flat])
-            place = np.concatenate([np.arange(len(v), dtype=np.int64) for v in flat])
-            every = np.concatenate(flat)
-            yield pa.record_batch([pa.array(which), pa.array(place), pa.array(every.real.copy()), pa.array(every.imag.copy())], names=["name", "place", "re", "im"])
-
-    rows = df.select(*columns, *extra).mapInArrow(each, "name int, place long, re double, im double")
-    got = rows.groupBy("name", "place").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()
+        return np.concatenate([np.asarray(sums[n]).reshape(-1).astype(complex) for n in names]) if sums else None
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = sums_of(batches)
+        if every is not None:
+            yield pa.record_batch([pa.array([every.tobytes()])], names=["sums"])
+
+    def by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = sums_of(batches)
+        if every is not None:
+            yield pa.record_batch([pa.array(np.arange(len(every))), pa.array(every.real.copy()), pa.array(every.imag.copy())], names=["place", "re", "im"])
+
+    sizes = [int(np.prod(shapes[n])) for n in names]
+    total = np.zeros(sum(sizes), complex)
+    rows = df.select(*columns, *extra)
+    if _few(df):
+        for part in rows.mapInArrow(whole, "sums binary").toArrow().column("sums").to_pylist():
+            total += np.frombuffer(part, complex)
+    else:
+        got = rows.mapInArrow(by_place, "place long, re double, im double").groupBy("place").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()
+        total[got["place"].to_numpy(int)] = got["re"].to_numpy() + 1j * got["im"].to_numpy()
     out = {}
-    for i, name in enumerate(names):
-        value = np.zeros(int(np.prod(shapes[name])), complex)
-        part = got[got["name"] == i]
-        value[part["place"].to_numpy(int)] = part["re"].to_numpy() + 1j * part["im"].to_numpy()
-        value = value if name.startswith("c_") else value.real
-        out[name] = value.reshape(shapes[name])
+    for name, value in zip(names, np.split(total, np.cumsum(sizes)[:-1]), strict=True):
+        out[name] = (value if name.startswith("c_") else value.real).reshape(shapes[name])
     return out
 
 

@@ -124,8 +124,12 @@ def uniform_centres(df: DataFrame, k: int, method: str, seed: int) -> np.ndarray
 
 
 def _distance(x: np.ndarray, centres: np.ndarray, method: str) -> np.ndarray:
-    """To the closest centre, 0 at least."""
+    """To the closest centre, 0 at least. Of subspaces, for seeding, 2q less twice the norm of the shared part
+    (``similarities`` take its square), by the root of 2."""
     s = similarities(x, centres, method).max(1)
+    if method == "grassmann":
+        q = x.shape[2]
+        return np.clip((2 * q - 2 * np.sqrt(np.clip(q + s / np.sqrt(2), 0, None))) / np.sqrt(2), 0, None)
     return np.clip(1 - s if method in ("diametrical", "hyperplane") else -s, 0, None)
 
 
@@ -159,13 +163,14 @@ def spread_centres(df: DataFrame, k: int, method: str, seed: int = 0, farthest:
     return np.stack(chosen)
 
 
-def fit(df: DataFrame, k: int, method: str = "diametrical", max_iter: int = 10_000, num_repl: int = 1, init: str | np.ndarray = "++", tol: float = 1e-10, seed: int = 0, id_column: str = "obs_id") -> Clusters:
-    """The best of ``num_repl`` runs. init: ``++``, ``maxmin``, ``uniform``, ``hyperplane`` (a hyperplane run
+def fit(df: DataFrame, k: int, method: str = "diametrical", max_iter: int = 10_000, num_repl: int = 1, init: str | np.ndarray = "++", tol: float = 1e-10, seed: int = 0, id_column: str = "obs_id", flip: bool = True) -> Clusters:
+    """The best of ``num_repl`` runs. ``flip``: least squares of real vectors see them with most places negative. init: ``++``, ``maxmin``, ``uniform``, ``hyperplane`` (a hyperplane run
     first; for diametrical) or the centres."""
     if method not in METHODS:
         raise ValueError(f"no such method: {method}")
-    if method == "least_squares" and kind_of(df) == "real":
+    if flip and method == "least_squares" and kind_of(df) == "real":
         df = df.withColumn("x", vec.flip_sign(F.col("x")))
+    held = df.is_cached
     df = df.cache()
     best: Clusters | None = None
     try:
@@ -197,7 +202,8 @@ def fit(df: DataFrame, k: int, method: str = "diametrical", max_iter: int = 10_0
             if best is None or run.objective[-1] > best.objective[-1]:
                 best = run
     finally:
-        df.unpersist()
+        if not held:
+            df.unpersist()
     return best
 
 

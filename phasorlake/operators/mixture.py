@@ -18,7 +18,7 @@ from . import kmeans
 from .families import Family, Params, weights
 from .kernels import kind_of, mapped, summed
 
-#: Start -> K-means method; a name ends in ++ for seeding by distance and may end in _seg.
+#: Start -> K-means method; a name that ends in ++ takes the seeds as they are, and one may end in _seg.
 STARTS = {"dc": "diametrical", "gc": "grassmann", "wgc": "weighted_grassmann", "ls": "least_squares"}
 
 
@@ -93,9 +93,10 @@ def part_moments(df: DataFrame, family: Family, parts: kmeans.Clusters) -> tuple
     return got[name], got["size"]
 
 
-def start(df: DataFrame, family: Family, k: int, init: str, seed: int, id_column: str) -> Params:
-    """Parameters to start from: ``uniform``, or by K-means: dc, gc, wgc, ls, with ++ and with _seg (the
-    parts' own one-component fits)."""
+def start(df: DataFrame, family: Family, k: int, init: str, seed: int, id_column: str, tries: int = 10_001) -> Params:
+    """Parameters to start from: ``uniform``; by the parts of K-means from seeds spread by distance: dc, gc, wgc,
+    and ls (of the vectors as they are, tried again until the smallest part has a twentieth of the rows); by the
+    parts of such seeds alone: dc++, gc++, wgc++; all with _seg too (the parts' own one-component fits)."""
     if init == "uniform":
         theta = family.uniform(k, seed)
         if family.name == "Watson":
@@ -109,8 +110,17 @@ def start(df: DataFrame, family: Family, k: int, init: str, seed: int, id_column
     seen = df
     if kind_of(df) == "frame" and method in ("diametrical", "least_squares"):
         seen = df.withColumnRenamed("u1", "x").select(id_column, "x")
-    parts = kmeans.fit(seen, k, method, num_repl=1, init="++" if name.endswith("++") or method == "least_squares" else "uniform", max_iter=100, seed=seed, id_column=id_column)
-    gram, size = part_moments(df, family, parts)
+    if name.endswith("++"):
+        parts = kmeans.Clusters(method, kmeans.spread_centres(seen, k, method, seed, id_column=id_column))
+        gram, size = part_moments(df, family, parts)
+    else:
+        for again in range(tries):
+            parts = kmeans.fit(seen, k, method, init="++", max_iter=100_000, seed=seed + again * 1_000_003, id_column=id_column, flip=False)
+            gram, size = part_moments(df, family, parts)
+            if method != "least_squares" or size.min() >= 0.05 * size.sum():
+                break
+        else:
+            raise ValueError("no start in which the smallest part has a twentieth of the rows")
     theta = family.from_parts(gram, size, parts.centres)
     if init.endswith("_seg"):
         pi = theta["pi"]
@@ -119,7 +129,8 @@ def start(df: DataFrame, family: Family, k: int, init: str, seed: int, id_column
 
 
 def grow(df: DataFrame, family: Family, theta: Params) -> Params:
-    """Widen M to the family's rank: what M leaves of the posterior-weighted data gives the new columns."""
+    """Widen M to the family's rank: what a ridge projection on M leaves of the posterior-weighted data gives the
+    new columns."""
     have = theta["M"].shape[2]
     if have >= family.rank:
         return theta
@@ -132,13 +143,15 @@ def grow(df: DataFrame, family: Family, theta: Params) -> Params:
     got = summed(df, kernel, {"weight": (k,), name: (k, family.p, family.p)})
     wide = []
     for j in range(k):
-        basis = np.linalg.qr(theta["M"][j])[0]
-        rest = np.eye(family.p) - basis @ basis.conj().T
+        m, ridge = theta["M"][j], float(theta["gamma"][j]) if "gamma" in theta else 1.0
+        if "gamma" not in theta:  # to trace p, as the family's covariance is
+            m = m * np.sqrt(1 / (1 + (np.abs(m) ** 2).sum() / family.p))
+        rest = np.eye(family.p) - m @ np.linalg.solve(m.conj().T @ m + ridge * np.eye(have), m.conj().T)
         values, vectors = np.linalg.eigh(rest @ got[name][j] @ rest.conj().T)
         s = np.sqrt(np.clip(values[::-1], 0, None))
         new = family.rank - have
         noise = max(float(s[new:].mean()) if new < len(s) else 0.0, 1e-12)
-        wide.append(np.concatenate([theta["M"][j], vectors[:, ::-1][:, :new] * np.sqrt(np.clip(s[:new] - noise, 0, None) / noise) * 1e-1], 1))
+        wide.append(np.concatenate([m, vectors[:, ::-1][:, :new] * np.sqrt(np.clip(s[:new] - noise, 0, None) / noise)], 1))
     return theta | {"M": np.stack(wide)}
 
 
@@ -154,6 +167,7 @@ def stopped(curve: list[float], tol: float, num_comparison: int) -> bool:
 def fit(df: DataFrame, family: Family, k: int, init: str | Params = "uniform", tol: float = 1e-8, max_iter: int = 10_000, num_repl: int = 1, num_comparison: int = 10, inner_iter: int = 1, seed: int = 0, id_column: str = "obs_id") -> Mixture:
     """The best of ``num_repl`` runs by its best log-likelihood. ``init``: a start's name or parameters, of
     lower rank too. ``inner_iter``: passes with the same posteriors for ACG and MACG."""
+    held = df.is_cached
     df = df.cache()
     best: Mixture | None = None
     try:
@@ -184,5 +198,6 @@ def fit(df: DataFrame, family: Family, k: int, init: str | Params = "uniform", t
             if best is None or max(run.curve) > max(best.curve):
                 best = run
     finally:
-        df.unpersist()
+        if not held:
+            df.unpersist()
     return best

@@ -7,8 +7,11 @@ one session's samples in an Arrow batch.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -230,10 +233,29 @@ def standardise(df: DataFrame, keys: list[str], value: str = "value") -> DataFra
 
 
 def upper_covariance(df: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
-    """keys, i, j (i < j), cov: the sample covariance of array columns. Pairs are formed within a row, so
-    rows never meet; partial sums meet by (keys, i, j)."""
-    cells = df.select(*keys, F.posexplode(x).alias("i", "a"), F.col(x).alias("_x")).select(*keys, "i", "a", F.posexplode("_x").alias("j", "b")).where("i < j")
-    return cells.groupBy(*keys, "i", "j").agg(F.covar_samp("a", "b").alias("cov"))
+    """keys, i, j (i < j), cov: the sample covariance of array columns. A batch gives each of its groups' count,
+    means and co-moments about them; those meet by (keys, i, j)."""
+
+    def each(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.table({k: batch.column(k) for k in keys}).append_column("_at", pa.array(np.arange(batch.num_rows)))
+            values = np.stack(batch.column(x).to_numpy(zero_copy_only=False))
+            i, j = np.triu_indices(values.shape[1], 1)
+            for group in rows.group_by(keys).aggregate([("_at", "list")]).to_pylist():
+                v = values[group["_at_list"]]
+                m = v.mean(0)
+                c = (v - m).T @ (v - m)
+                same = [pa.array([group[k]] * len(i), batch.schema.field(k).type) for k in keys]
+                yield pa.record_batch([*same, pa.array(i), pa.array(j), pa.array(np.full(len(i), float(len(v)))), pa.array(m[i]), pa.array(m[j]), pa.array(c[i, j])], names=[*keys, "i", "j", "n", "a", "b", "c"])
+
+    kinds = dict(df.dtypes)
+    parts = df.select(*keys, x).mapInArrow(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", i long, j long, n double, a double, b double, c double")
+    total = lambda e: F.sum(e)
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    got = parts.groupBy(*keys, "i", "j").agg(total(n).alias("n"), total(n * a).alias("sa"), total(n * b).alias("sb"), total(n * a * b).alias("ab"), total("c").alias("c"))
+    return got.select(*keys, "i", "j", F.when(F.col("n") > 1, (F.col("c") + F.col("ab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
 def event_windows(series: DataFrame, events: DataFrame, n: int, step: float = 0.72, from_end: bool = False, keys: tuple[str, ...] = ("subject", "task")) -> DataFrame:
@@ -313,25 +335,39 @@ def great_circles(spark: SparkSession, n: int, scale: float = 0.1, seed: int = 0
     return rows.select("obs_id", "truth", F.transform("y", lambda v: v / F.sqrt(vec.norm2(F.col("y")))).alias("x"))
 
 
-def phase_controlled(df: DataFrame, k: int = 5, seed: int = 0, keys: list[str] = SERIES) -> DataFrame:
-    """Series whose channels share a phase inside one of k windows: channel c is coherent in window c mod k,
-    random elsewhere; the magnitudes of its spectrum are kept, and each window is demeaned."""
+def phase_controlled(df: DataFrame, k: int = 5, seed: int = 0, keys: list[str] = SERIES, pad: int = 10) -> DataFrame:
+    """Series whose channels are coherent in one of k windows each. The channels, in order, fall into k blocks
+    of equal width, the last one with the rest. In window w every frequency of a channel of block w gets the
+    channel's own phase, one for all scans; other channels get a random phase for each frequency.
+    Magnitudes are kept, ``pad`` samples a side are reflected through the end points and cut off again, and
+    each channel of a scan is demeaned as a whole. Random numbers follow from ``seed`` and the keys."""
     kinds = dict(df.dtypes)
+    n_channels = int(df.agg(F.max("channel")).first()[0] or 0) + 1
+    scan = [c for c in keys if c != "channel"]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        x, channel = rows["value"].to_numpy(), int(rows["channel"].iloc[0])
-        cuts = np.linspace(0, len(x), k + 1).astype(int)
-        out = np.empty(len(x))
-        for w, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            part = np.pad(x[a:b], min(10, b - a - 1), mode="reflect", reflect_type="odd")
-            f = np.fft.rfft(part)
-            shared = channel % k == w
-            rng = np.random.default_rng([seed, w] if shared else [seed, w, channel + 1])
-            y = np.fft.irfft(np.abs(f) * np.exp(1j * rng.uniform(0, 2 * np.pi, len(f))), len(part))
-            cut = min(10, b - a - 1)
-            y = y[cut : cut + b - a]
-            out[a:b] = y - y.mean()
-        return rows[[*keys, "t"]].assign(value=out)
+        channel, x = int(rows["channel"].iloc[0]), rows["value"].to_numpy()
+        y = controlled(x, channel, n_channels, k, seed, zlib.crc32(repr([rows[c].iloc[0] for c in scan]).encode()), pad)
+        return rows[[*keys, "t"]].assign(value=y)
 
     return df.select(*keys, "t", "value").groupBy(*keys).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "t")) + ", value double")
+
+
+def controlled(x: np.ndarray, channel: int, n_channels: int, k: int, seed: int, scan: int, pad: int = 10) -> np.ndarray:
+    """One channel of ``phase_controlled``."""
+    block = min(channel // max(n_channels // k, 1), k - 1)
+    shift = np.random.default_rng([seed, channel]).uniform(-np.pi, np.pi)
+    cuts = np.linspace(0, len(x), k + 1).astype(int)
+    out = np.empty(len(x))
+    for w, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        wide = min(pad, b - a - 1)
+        f = np.fft.fft(np.pad(x[a:b], wide, mode="reflect", reflect_type="odd"))
+        at = np.fft.fftfreq(len(f))
+        if block == w:
+            phase = np.where(at >= 0, shift, -shift)
+        else:
+            drawn = np.random.default_rng([seed, scan, w, channel]).uniform(-np.pi, np.pi, len(f) // 2 + 1)
+            phase = np.sign(at + (at == 0)) * drawn[np.rint(np.abs(at) * len(f)).astype(int)]
+        out[a:b] = np.fft.ifft(np.abs(f) * np.exp(1j * phase)).real[wide : wide + b - a]
+    return out - out.mean()

@@ -34,13 +34,19 @@ def paired_t(df: DataFrame, a: str, b: str, times: int = 1) -> dict[str, float]:
     return {"n": r["n"], "t": t, "p": min(1.0, times * t_two_sided(t, r["n"] - 1))}
 
 
-def ranked_differences(df: DataFrame, d: Column) -> DataFrame:
-    """d, r: differences other than 0 with the mean rank of their size. The rank needs one order over all
-    rows: sizes are counted first, so the window runs over different sizes alone."""
+def ranked_differences(df: DataFrame, d: Column, cuts: int = 200) -> DataFrame:
+    """d, r: differences other than 0 with the mean rank of their size. Sizes are counted first, then cut into
+    ranges at ``cuts`` approximate quantiles: ranks within a range start from the count of those before it, so
+    no task orders more than a range."""
     rows = df.select(d.alias("d")).where("d != 0")
     sizes = rows.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    mid = sizes.select("size", "c", (upto - (F.col("c") - 1) / 2).alias("r"))
+    bounds = sorted(set(sizes.approxQuantile("size", [i / cuts for i in range(1, cuts)], 1 / (4 * cuts))))
+    ranged = sizes.withColumn("range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("size"))) if bounds else F.lit(0))
+    totals = ranged.groupBy("range").agg(F.sum("c").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum("c").over(Window.partitionBy("range").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = ranged.withColumn("u", upto).join(F.broadcast(totals.select("range", before.alias("before"))), "range")
+    mid = placed.select("size", "c", (F.col("before") + F.col("u") - (F.col("c") - 1) / 2).alias("r"))
     return rows.join(mid, F.abs(rows["d"]) == mid["size"]).select("d", "r", "c")
 
 

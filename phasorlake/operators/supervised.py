@@ -5,7 +5,10 @@ values), so a linear machine on them is fitted like any other and no kernel matr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 
 from .kernels import mapped
 
+#: Numbers in a training set up to which it is sent to the tasks, one for each candidate and fold.
+SMALL = 4_000_000
+
 
 def random_features(df: DataFrame, gamma: float, width: int = 256, seed: int = 0) -> DataFrame:
     """x becomes ``width`` cosine features of exp(-gamma |x - y|^2)."""
@@ -46,15 +52,125 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(count, label).withColumn("weight", totals["_n"] / (totals["_k"] * F.col("_c"))).drop("_c")
 
 
-def fit_predict(train: DataFrame, kind: str, test: DataFrame | None = None, label: str = "truth", id_column: str = "obs_id", grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0), gammas: tuple[float, ...] = (0.01, 0.1, 1.0), n_folds: int = 5, max_iter: int = 50) -> DataFrame:
+def least(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, max_iter: int, memory: int = 10, tol: float = 1e-6) -> np.ndarray:
+    """Where f (value and gradient) is smallest, by limited-memory quasi-Newton steps that each lower it."""
+    value, slope = f(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(max_iter):
+        d, kept = -slope, []
+        for s, y in reversed(steps):
+            kept.append((s @ d) / (s @ y))
+            d = d - kept[-1] * y
+        if steps:
+            s, y = steps[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(steps, reversed(kept), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        if slope @ d >= 0:
+            d, steps = -slope, []
+        length = 1.0 if steps else min(1.0, 1 / max(np.abs(slope).sum(), 1e-12))
+        for _ in range(30):
+            new, new_slope = f(x + length * d)
+            if new <= value + 1e-4 * length * (slope @ d):
+                break
+            length /= 2
+        else:
+            return x
+        s, y = length * d, new_slope - slope
+        if s @ y > 1e-10 * np.linalg.norm(s) * np.linalg.norm(y):
+            steps = [*steps, (s, y)][-memory:]
+        done = abs(value - new) <= tol * max(abs(value), abs(new), 1e-6)
+        x, value, slope = x + s, new, new_slope
+        if done:
+            break
+    return x
+
+
+def fit_small(x: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int, kind: str, reg: float, max_iter: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from rows to the classes' scores (of logistic regression probabilities): the same losses and
+    penalties as the distributed fit, on scaled columns, with an intercept that isn't penalised."""
+    mean, sd = x.mean(0), x.std(0, ddof=1)
+    scale = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0)
+    wide = lambda v: np.concatenate([(v - mean) * scale, np.ones((len(v), 1))], 1)
+    z, hot, w = wide(x), np.eye(classes)[label], weight[:, None] / weight.sum()
+
+    def soft(m: np.ndarray) -> np.ndarray:
+        e = np.exp(m - m.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    def loss(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        b = flat.reshape(-1, classes)
+        m, penalised = z @ b, np.concatenate([b[:-1], np.zeros((1, classes))])
+        if kind == "logistic":
+            top = m.max(1, keepdims=True)
+            value = (w[:, 0] * (top[:, 0] + np.log(np.exp(m - top).sum(1)) - (m * hot).sum(1))).sum()
+            g = w * (soft(m) - hot)
+        else:
+            sign = 2 * hot - 1
+            short = 1 - sign * m
+            value, g = (w * np.maximum(short, 0)).sum(), -w * sign * (short > 0)
+        return value + reg / 2 * (penalised**2).sum(), (z.T @ g + reg * penalised).reshape(-1)
+
+    b = least(loss, np.zeros(z.shape[1] * classes), max_iter).reshape(-1, classes)
+    return lambda v: soft(wide(v) @ b) if kind == "logistic" else wide(v) @ b
+
+
+def small_set(rows: DataFrame, limit: int) -> dict[str, np.ndarray] | None:
+    """The training rows (label, raw, fold, weight) as arrays, where they are no more than ``limit`` numbers."""
+    first = rows.select("raw").first()
+    if first is None or rows.count() * len(first["raw"]) > limit:
+        return None
+    got = rows.select("label", vector_to_array("raw").alias("raw"), "fold", "weight").toPandas()
+    return {"x": np.stack(got["raw"]), "label": got["label"].to_numpy(int), "fold": got["fold"].to_numpy(int), "weight": got["weight"].to_numpy(float)}
+
+
+def accuracies(spark, held: dict[str, np.ndarray], kind: str, steps: list[float], n_folds: int, max_iter: int) -> DataFrame:
+    """candidate, fold, accuracy: each penalty fitted without each fold, and tried on it; a task for each pair."""
+    x, label, fold, weight = held["x"], held["label"], held["fold"], held["weight"]
+    classes = int(label.max()) + 1
+
+    def each(frames):
+        for frame in frames:
+            for candidate, f in zip(frame["candidate"], frame["fold"], strict=True):
+                learn = fold != f
+                predict = fit_small(x[learn], label[learn], weight[learn], classes, kind, steps[candidate], max_iter)
+                yield pd.DataFrame({"candidate": [candidate], "fold": [f], "accuracy": [float((predict(x[~learn]).argmax(1) == label[~learn]).mean())]})
+
+    pairs = [(c, f) for c in range(len(steps)) for f in range(n_folds)]
+    return spark.createDataFrame(pairs, "candidate int, fold int").repartition(len(pairs), "candidate", "fold").mapInPandas(each, "candidate int, fold int, accuracy double")
+
+
+def _scored(df: DataFrame, predict, kind: str, label: str, id_column: str) -> DataFrame:
+    import pyarrow as pa
+
+    def work(v: np.ndarray, _) -> list[pa.Array]:
+        s = predict(v)
+        pred = s.argmax(1)
+        prob = s if kind == "logistic" else np.eye(s.shape[1])[pred]
+        return [pa.array(pred.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * s.shape[1]), pa.array(prob.reshape(-1)))]
+
+    return mapped(df, work, "pred int, prob array<double>").select(id_column, label, "pred", "prob")
+
+
+def fit_predict(train: DataFrame, kind: str, test: DataFrame | None = None, label: str = "truth", id_column: str = "obs_id", grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0), gammas: tuple[float, ...] = (0.01, 0.1, 1.0), n_folds: int = 5, max_iter: int = 50, small: int = SMALL) -> DataFrame:
     """id, label, pred int, prob array<double> (one-hot for the machines) of ``test``, or of ``train`` itself.
-    The penalty's inverse strength is chosen from ``grid`` by accuracy over the folds."""
+    The penalty's inverse strength is chosen from ``grid`` by accuracy over the folds. A training set of up to
+    ``small`` numbers goes to the tasks, one for each penalty and fold; a larger one is fitted where it lies."""
     test = train if test is None else test
     best = None
     for gamma in gammas if kind == "rbf-svm" else (None,):
         prepare = lambda d, g=gamma: d if g is None else random_features(d, g)
         rows = balanced(folds(prepare(train), label, n_folds, id_column), label).select(id_column, F.col(label).cast("double").alias("label"), array_to_vector("x").alias("raw"), "fold", "weight").cache()
         n = rows.count()
+        held = small_set(rows, small)
+        if held is not None:
+            rows.unpersist()
+            steps = [1 / (c * n) for c in grid]
+            mean = {r["candidate"]: r["m"] for r in accuracies(train.sparkSession, held, kind, steps, n_folds, max_iter).groupBy("candidate").agg(F.avg("accuracy").alias("m")).collect()}
+            top = max(mean, key=lambda c: (round(mean[c], 9), -c))
+            if best is None or mean[top] > best[0]:
+                best = (mean[top], fit_small(held["x"], held["label"], held["weight"], int(held["label"].max()) + 1, kind, steps[top], max_iter), prepare)
+            continue
         if kind == "logistic":
             model = LogisticRegression(featuresCol="features", weightCol="weight", maxIter=max_iter, standardization=False)
             strength, steps = model.regParam, [1 / (c * n) for c in grid]
@@ -76,6 +192,8 @@ def fit_predict(train: DataFrame, kind: str, test: DataFrame | None = None, labe
         if best is None or score > best[0]:
             best = (score, found.bestModel, prepare)
     _, model, prepare = best
+    if held is not None:
+        return _scored(prepare(test), model, kind, label, id_column)
     out = model.transform(prepare(test).select(id_column, F.col(label), array_to_vector("x").alias("raw")))
     pred = F.col("prediction").cast("int")
     classes = int(train.agg(F.max(label)).first()[0]) + 1

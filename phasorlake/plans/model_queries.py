@@ -361,7 +361,7 @@ def d5_macg_lowrank_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HEAD = "-31.5::DOUBLE * ln(pow(u1[1] * u2[2] - u1[2] * u2[1], 2))"
-_WISHART = lambda g: f"{Family('SingularWishart', (64, 2)).wishart_constant()!r}::DOUBLE - (63 * ln({g}::DOUBLE) + ln({g} + {_b})) - (l1 + l2 - {_b} / ({g} + {_b}) * (a * a + b * b)) / {g} / 2 + {_HEAD}"
+_WISHART = lambda g, head=_HEAD: f"{Family('SingularWishart', (64, 2)).wishart_constant()!r}::DOUBLE - (63 * ln({g}::DOUBLE) + ln({g} + {_b})) - (l1 + l2 - {_b} / ({g} + {_b}) * (a * a + b * b)) / {g} / 2 + {head}"
 
 
 @query(f"WITH {_ON_AXIS(True)} SELECT obs_id, k AS i, {R(_WISHART(2.0), 5)} AS value FROM w")
@@ -371,7 +371,7 @@ def d6_wishart_lowrank_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.densities(f).select("obs_id", F.posexplode("lp").alias("i", "value")), 5)
 
 
-@query(f"WITH {_ON_AXIS(True)} SELECT obs_id, k AS i, {R(_WISHART(1.0), 5)} AS value FROM w")
+@query(f"WITH {_ON_AXIS(True)} SELECT obs_id, k AS i, {R(_WISHART(1.0, '0'), 5)} AS value FROM w")
 def d7_wishart_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir, scaled=True)
     m = mixture.Mixture(Family("SingularWishart", (64, 2)), _spikes(_axes(f), False))
@@ -431,7 +431,7 @@ def m7_macg_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, _one_pass(f, Family("MACG", (64, 2)), _spikes(_axes(f)[:3], False))[1])
 
 
-@query(f"WITH {_FPOST(True, _WISHART(1.0))}, wx AS (SELECT k, p / t / 2 AS w, u1 AS x FROM j UNION ALL SELECT k, p / t / 2, u2 FROM j), {_MOMENT} SELECT k::INT AS k, i, j, {R('v')} AS value FROM cell")
+@query(f"WITH {_FPOST(True, _WISHART(1.0, '0'))}, wx AS (SELECT k, p / t / 2 AS w, u1 AS x FROM j UNION ALL SELECT k, p / t / 2, u2 FROM j), {_MOMENT} SELECT k::INT AS k, i, j, {R('v')} AS value FROM cell")
 def m9_wishart_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir, scaled=True)
     return _cells(spark, _one_pass(f, Family("SingularWishart", (64, 2)), _spikes(_axes(f)[:3], False))[1])

@@ -86,20 +86,27 @@ def test_files(spark, tmp_path):
 def test_supervised_queries_choose_over_folds(spark, monkeypatch, name, gammas):
     seen = []
 
-    class Plan(supervised.CrossValidator):
-        def fit(self, rows):
-            strengths = [next(iter(m.values())) for m in self.getEstimatorParamMaps()]
-            folds = rows.groupBy("label", "fold").count().collect()
-            seen.append((len(set(strengths)), max(strengths) / min(strengths), self.getNumFolds(), {r["fold"] for r in folds}))
-            return type("Found", (), {"avgMetrics": [0.5], "bestModel": Model()})
-
-    class Model:
-        def transform(self, rows):
-            return rows.withColumn("prediction", F.lit(0.0)).withColumn("probability", F.col("raw"))
-
-    monkeypatch.setattr(supervised, "CrossValidator", Plan)
-    registry.QUERIES[name](spark, SF)
-    assert [(n, round(r), f, ids) for n, r, f, ids in seen] == [(7, 1_000_000, 5, set(range(5)))] * gammas
+    def noted(spark, held, kind, steps, n_folds, max_iter, f=supervised.accuracies):
+        seen.append((len(set(steps)), round(max(steps) / min(steps)), n_folds, set(held["fold"])))
+        return f(spark, held, kind, steps[:1], 2, 2)
+
+    monkeypatch.setattr(supervised, "accuracies", noted)
+    assert registry.QUERIES[name](spark, SF).count() == 500
+    assert seen == [(7, 1_000_000, 5, set(range(5)))] * gammas
+
+
+@pytest.mark.parametrize("kind", ["logistic", "linear-svm"])
+def test_small_training_sets_are_fitted_alike(spark, kind):
+    rng = np.random.default_rng(3)
+    truth = rng.integers(0, 3, 300)
+    x = rng.normal(size=(300, 4)) + 2.5 * np.eye(3, 4)[truth]
+    df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(truth, x))], "obs_id long, truth int, x array<double>")
+    train, test = df.where("obs_id < 200"), df.where("obs_id >= 200")
+    got = {s: {r["obs_id"]: (r["pred"], r["truth"]) for r in supervised.fit_predict(train, kind, test, grid=(1.0,), small=s).collect()} for s in (0, supervised.SMALL)}
+    same = np.mean([got[0][i][0] == got[supervised.SMALL][i][0] for i in got[0]])
+    assert len(got[0]) == 100 and same >= 0.95 and np.mean([p == t for p, t in got[supervised.SMALL].values()]) > 0.85
+    everything = supervised.fit_predict(train, kind, test)
+    assert np.mean([r["pred"] == r["truth"] for r in everything.collect()]) > 0.85
 
 
 @pytest.mark.parametrize(("name", "fits"), [("k2_diametrical", 1), ("m10_normal_lowrank_fit", 2), ("i8_rank_growth", 2), ("h8_hmm_fit", 2), ("c5_rank_sweep", 1)])
