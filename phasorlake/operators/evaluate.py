@@ -45,6 +45,24 @@ def nmi_soft(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("mi", (2 * F.col("mi") / (F.col("ma") + F.col("mb"))).alias("nmi"))
 
 
+def nmi_by(df: DataFrame, keys: list[str], truth: str, post: str) -> DataFrame:
+    """keys, mi, nmi of a label and a posterior column within each group: the label counts as a posterior of 0
+    and 1. Cells are summed by (keys, label, component) and (keys, component, component)."""
+    long = df.select(*keys, F.col(truth).alias("_t"), F.posexplode(post).alias("i", "p"), F.col(post).alias("_q"))
+    mixed = long.groupBy(*keys, F.col("_t").cast("long").alias("x"), F.col("i").cast("long").alias("y")).agg(F.sum("p").alias("n"))
+    soft = long.select(*keys, F.col("i").cast("long").alias("x"), "p", F.posexplode("_q").alias("y", "q")).groupBy(*keys, "x", F.col("y").cast("long").alias("y")).agg(F.sum(F.col("p") * F.col("q")).alias("n"))
+    hard = df.groupBy(*keys, F.col(truth).cast("long").alias("x"), F.col(truth).cast("long").alias("y")).agg(F.count("*").cast("double").alias("n"))
+
+    def information(cells: DataFrame, name: str) -> DataFrame:
+        share = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
+        side = lambda c: F.sum("n").over(Window.partitionBy(*keys, c)) / F.sum("n").over(Window.partitionBy(*keys))
+        return cells.where("n > 0").select(*keys, (share * F.log(share / (side("x") * side("y")))).alias("v")).groupBy(*keys).agg(F.sum("v").alias(name))
+
+    parts = [information(mixed, "mi"), information(soft, "mp"), information(hard, "mt")]
+    both = parts[0].join(parts[1], keys).join(parts[2], keys) if keys else parts[0].crossJoin(parts[1]).crossJoin(parts[2])
+    return both.select(*keys, "mi", (2 * F.col("mi") / (F.col("mp") + F.col("mt"))).alias("nmi"))
+
+
 def window_truth(t: Column, k: int, length: int = 1200) -> Column:
     """The block that a time belongs to: k equal blocks of a scan."""
     return F.floor(t / (length / k)).cast("int")

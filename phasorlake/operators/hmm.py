@@ -20,6 +20,29 @@ from .kernels import FEW, columns_of, kind_of
 from .mixture import Mixture, moment_name, validate
 
 
+def layout(n: int, lengths: int | list[int] = 0) -> list[int]:
+    """The lengths of sequences that n rows in order are cut into: 0 one sequence, a number equal ones, a list
+    as it is or, where its sum divides n, again and again."""
+    if isinstance(lengths, int):
+        lengths = [lengths or n]
+    if sum(lengths) <= 0 or n % sum(lengths):
+        raise ValueError(f"sequences of {lengths} don't make up {n} rows")
+    return list(lengths) * (n // sum(lengths))
+
+
+def sequenced(df: DataFrame, lengths: int | list[int] = 0, id_column: str = "obs_id") -> DataFrame:
+    """Add seq_id and t to rows whose ids count from 0: each id falls into the period of the lengths."""
+    n = df.count()
+    every = layout(n, lengths)
+    period = [lengths or n] if isinstance(lengths, int) else list(lengths)
+    starts = [sum(period[:i]) for i in range(len(period))]
+    at = F.col(id_column) % sum(period)
+    place = F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= at)) - 1
+    whole = F.floor(F.col(id_column) / sum(period)) * len(period)
+    assert len(every) % len(period) == 0
+    return df.withColumn("seq_id", (whole + place).cast("long")).withColumn("t", (at - F.get(F.array(*map(F.lit, starts)), place)).cast("long"))
+
+
 def transitions(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """T and delta from posteriors: products of neighbours summed over a sequence and divided by its length,
     averaged over sequences, rows to 1; delta is the mean of the first posteriors. ``df``: seq_id, t, post."""

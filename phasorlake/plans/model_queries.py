@@ -730,3 +730,42 @@ def c5_rank_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.rank_sweep({"train": o}, "ACG", 2, (1, 5, 10, 25, 50), inner=10)
 
 
+@query("""SELECT vec_id AS obs_id, (vec_id // 50) * 3 + CASE WHEN vec_id % 50 < 10 THEN 0 WHEN vec_id % 50 < 30 THEN 1 ELSE 2 END AS seq_id, vec_id % 50 - CASE WHEN vec_id % 50 < 10 THEN 0 WHEN vec_id % 50 < 30 THEN 10 ELSE 30 END AS t FROM embeddings""")
+def h1_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.sequenced(fx.observations(spark, sf_dir).select("obs_id"), [10, 20, 20])
+
+
+@query(f"""WITH {fx.RESULTS} SELECT CASE modelname WHEN 'A' THEN 'first' WHEN 'N' THEN 'second' ELSE modelname END AS modelname, count(*) AS n FROM res GROUP BY 1 UNION ALL SELECT 'other', count(*) FROM (SELECT DISTINCT "K" FROM res)""")
+def c12_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = fx.results(spark, sf_dir)
+    named = sweep.labelled(res, "modelname", {"A": "first", "N": "second"}).groupBy("modelname").agg(F.count("*").alias("n"))
+    other = res.select("K").distinct().agg(F.count("*").alias("n")).withColumn("modelname", F.lit("other"))
+    return sweep.collected([named, other]).select("modelname", "n")
+
+
+_GRID = "g AS (SELECT id // 40 AS i, id % 40 AS j, (id // 40 + 0.5::DOUBLE) / 40 * pi() AS f, (id % 40 + 0.5::DOUBLE) / 40 * 2 * pi() AS h FROM range(1600) AS x(id))"
+_ON = "pow(sin(f) * cos(h), 2)", "pow(cos(f), 2)"
+
+
+@query(f"""WITH {_GRID}, lp AS (SELECT i, j, 0 AS k, ln(0.3::DOUBLE) + {log_sphere(3, False) - log_kummer(0.5, 1.5, 4.0)!r}::DOUBLE + 4 * {_ON[0]} AS lp FROM g UNION ALL SELECT i, j, 1, ln(0.7::DOUBLE) + {log_sphere(3, False) - log_kummer(0.5, 1.5, -2.0)!r}::DOUBLE - 2 * {_ON[1]} FROM g),
+s AS (SELECT *, (lp - min(lp) OVER (PARTITION BY k)) / (max(lp) OVER (PARTITION BY k) - min(lp) OVER (PARTITION BY k)) AS d FROM lp) SELECT i, j, k, {R("d")} AS density, d > 0.95 AS inside FROM s""")
+def c17_density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mixture.Mixture(Family("Watson", (3,)), {"pi": np.array([0.3, 0.7]), "mu": np.array([[1.0, 0, 0], [0, 0, 1.0]]), "kappa": np.array([4.0, -2.0])})
+    return rounded(sweep.grid_density(m, sweep.sphere_grid(spark, 40)))
+
+
+_POSTBY = fx.POSTERIORS + """, mixed AS (SELECT subject, truth AS x, k AS y, sum(p) AS n FROM long GROUP BY ALL), soft AS (SELECT a.subject, a.k AS x, b.k AS y, sum(a.p * b.p) AS n FROM long a JOIN long b USING (obs_id) GROUP BY ALL), hard AS (SELECT subject, truth AS x, truth AS y, count(*)::DOUBLE AS n FROM post GROUP BY ALL)"""
+_INFO = lambda cells: f"SELECT subject, sum(s * ln(s / (a * b))) AS v FROM (SELECT subject, n / sum(n) OVER (PARTITION BY subject) AS s, sum(n) OVER (PARTITION BY subject, x) / sum(n) OVER (PARTITION BY subject) AS a, sum(n) OVER (PARTITION BY subject, y) / sum(n) OVER (PARTITION BY subject) AS b FROM {cells} WHERE n > 0) GROUP BY subject"
+
+
+@query(f"WITH {_POSTBY} SELECT m.subject, {R('m.v')} AS mi, {R('2 * m.v / (p.v + t.v)')} AS nmi FROM ({_INFO('mixed')}) m JOIN ({_INFO('soft')}) p USING (subject) JOIN ({_INFO('hard')}) t USING (subject)")
+def e2_nmi_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.nmi_by(fx.posteriors(spark, sf_dir), ["subject"], "truth", "post"))
+
+
+@query()
+def e13_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model fitted on half of the rows and scored on both halves, by subject."""
+    o = fx.observations(spark, sf_dir).withColumn("truth", F.col("truth") % 4).withColumn("subject", F.col("obs_id") % 7)
+    halves = {name: o.where(F.col("obs_id") % 2 == k) for k, name in enumerate(("train", "test1"))}
+    return rounded(sweep.run(halves, "ACG", 4, rank=2)[1], 4)

@@ -7,12 +7,14 @@ summation.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..operators import evaluate, kmeans
 from . import engine
 
 
@@ -66,3 +68,77 @@ def rank_sweep(sets: dict[str, DataFrame], modelname: str, k: int, ranks: tuple[
                 scored = model.score(df).groupBy(F.col(subject).alias("Subject")).agg(F.avg("loglik").alias("loglik"))
                 rows.append(scored.select(F.lit(modelname).alias("modelname"), F.lit(k).alias("K"), F.lit(str(rank)).alias("rank"), F.lit(run).alias("inner"), F.lit(name).alias("Set"), "Subject", F.round("loglik", 4).alias("loglik")))
     return collected(rows)
+
+
+def posterior_rows(model, df: DataFrame) -> DataFrame:
+    """Rows with loglik and post: of clusters the similarity and the part as a posterior of 0 and 1."""
+    scored = engine.score(df, model)
+    if isinstance(model, kmeans.Clusters):
+        return scored.withColumnRenamed("sim", "loglik").withColumn("post", vec.one_hot(F.col("part"), len(model.centres)))
+    return scored
+
+
+def run(sets: dict[str, DataFrame], modelname: str, k: int, rank: int | str = 0, inner: int = 0, truth: str = "truth", subject: str = "subject", **options) -> tuple[object, DataFrame]:
+    """Fit on the set ``train``, score every set: the model, and rows modelname, K, rank, inner, Set, Subject,
+    loglik, NMI (of posteriors and truth), entropy, entropy_pi, accuracy (of rows, after matching components to
+    classes on the train set)."""
+    model = engine.train(sets["train"], k, modelname, rank=rank, seed=inner, **options)
+    rows = {name: posterior_rows(model, df) for name, df in sets.items()}
+    classes = int(sets["train"].agg(F.max(truth)).first()[0]) + 1
+    order = evaluate.match(rows["train"].withColumn("post", padded(F.col("post"), max(k, classes))), max(k, classes), truth, subject)
+    named = F.create_map(*(F.lit(int(v)) for c, j in enumerate(order) for v in (j, c)))
+    out = []
+    for name, df in rows.items():
+        mean = df.groupBy(subject).agg(F.avg("loglik").alias("loglik"), F.avg((named[vec.argmax(F.col("post"))] == F.col(truth)).cast("double")).alias("accuracy"))
+        info = evaluate.nmi_by(df, [subject], truth, "post")
+        got = mean.join(info, subject).join(evaluate.entropies(df, [subject]), subject)
+        labels = [F.lit(v).alias(n) for n, v in (("modelname", modelname), ("K", k), ("rank", str(rank)), ("inner", inner), ("Set", name))]
+        out.append(got.select(*labels, F.col(subject).alias("Subject"), "loglik", F.col("nmi").alias("NMI"), "entropy", "entropy_pi", "accuracy"))
+    return model, collected(out)
+
+
+def padded(post, k: int):
+    """A posterior with zeros up to k components."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.coalesce(F.get(post, j), F.lit(0.0)))
+
+
+def cluster_sweep(df: DataFrame, modelname: str, k: int, inits: tuple[str, ...] = ("++", "uniform"), inner: int = 100, truth: str = "truth") -> DataFrame:
+    """modelname, K, init_method, inner, objective, NMI of each restart of each start."""
+    out = []
+    for init in inits:
+        for r in range(inner):
+            model = engine.train(df, k, modelname, init=init, seed=r)
+            info = evaluate.nmi(model.assign(df), "part", truth)
+            out.append(info.select(F.lit(modelname).alias("modelname"), F.lit(k).alias("K"), F.lit(init).alias("init_method"), F.lit(r).alias("inner"), F.lit(model.objective[-1]).alias("objective"), F.col("nmi").alias("NMI")))
+    return collected(out)
+
+
+def noise_sweep(make, levels: tuple[float, ...], modelname: str, k: int, repeats: int = 5, **options) -> DataFrame:
+    """level, noise, repeat, Set, NMI: a model fitted and scored at each noise level. ``make``: a function of
+    (noise, seed) that gives a set with truth and the observation."""
+    out = []
+    for level, noise in enumerate(levels):
+        for r in range(repeats):
+            sets = {"train": make(noise, 2 * r), "test": make(noise, 2 * r + 1)}
+            model = engine.train(sets["train"], k, modelname, seed=r, **options)
+            for name, df in sets.items():
+                info = evaluate.nmi_by(posterior_rows(model, df), [], "truth", "post")
+                out.append(info.select(F.lit(level).alias("level"), F.lit(float(noise)).alias("noise"), F.lit(r).alias("repeat"), F.lit(name).alias("Set"), F.col("nmi").alias("NMI")))
+    return collected(out)
+
+
+def sphere_grid(spark, n: int) -> DataFrame:
+    """i, j, x: the midpoints of a grid of n by n steps of the two angles on the unit sphere."""
+    theta, phi = (F.col("j") + 0.5) / n * F.lit(2 * math.pi), (F.col("i") + 0.5) / n * F.lit(math.pi)
+    cells = spark.range(n * n).select(F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("j"))
+    return cells.select("i", "j", F.array(F.sin(phi) * F.cos(theta), F.sin(phi) * F.sin(theta), F.cos(phi)).alias("x"))
+
+
+def grid_density(model, grid: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """i, j, k, density (ln of the weighted component, from 0 to 1 over its grid), inside (above the threshold)."""
+    pi = F.array(*(F.lit(float(v)) for v in model.theta["pi"]))
+    lp = model.densities(grid).select("i", "j", F.posexplode("lp").alias("k", "lp"))
+    lp = lp.select("i", "j", "k", (F.col("lp") + F.log(F.get(pi, F.col("k")))).alias("lp"))
+    ends = lp.groupBy("k").agg(F.min("lp").alias("low"), F.max("lp").alias("high"))
+    value = (F.col("lp") - F.col("low")) / (F.col("high") - F.col("low"))
+    return lp.join(F.broadcast(ends), "k").select("i", "j", "k", value.alias("density"), (value > threshold).alias("inside"))
