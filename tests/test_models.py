@@ -7,10 +7,10 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from phasorlake.functions import special
+from phasorlake.functions import filters, special
 from phasorlake.operators import hmm, kmeans, mixture, signal, stats, supervised
 from phasorlake.operators.families import Family
-from phasorlake.plans import engine, registry, sweep
+from phasorlake.plans import engine, fixtures, registry, sweep
 from phasorlake.sources import files
 
 
@@ -155,3 +155,63 @@ def test_wilcoxon_equals_brute_force(spark):
     got = registry.QUERIES["t4_wilcoxon"](spark, SF).first()
     assert (got["n"], got["plus"], got["minus"]) == (n, plus, minus)
     assert (got["z"], got["p"]) == pytest.approx((z, math.erfc(abs(z) / math.sqrt(2))), abs=1e-5)
+
+
+def test_bandpass_equals_convolution_and_passes_its_band():
+    b, a = filters.butter_bandpass(2, 0.03, 0.07, 1 / 0.72)
+    gain = lambda f: abs(np.polyval(b[::-1], z := np.exp(-2j * np.pi * f * 0.72)) / np.polyval(a[::-1], z))
+    assert gain(np.sqrt(0.03 * 0.07)) == pytest.approx(1, abs=0.02) and gain(0.03) == pytest.approx(0.5**0.5, abs=1e-6) and gain(0.07) == pytest.approx(0.5**0.5, abs=1e-6)
+    assert gain(0.005) < 0.05 and gain(0.4) < 0.05
+    x = np.random.default_rng(4).normal(size=300)
+    # the filter's answer to one impulse, folded with the signal, from rest
+    impulse = filters._run(b, a, np.eye(1, 300)[0], np.zeros(len(a) - 1))
+    np.testing.assert_allclose(filters._run(b, a, x, np.zeros(len(a) - 1)), np.convolve(impulse, x)[:300], atol=1e-10)
+    np.testing.assert_allclose(filters.filtfilt(b, a, x), filters.filtfilt(b, a, x[::-1])[::-1], atol=0.2)
+    assert filters.reflected(np.arange(5.0), 2).tolist() == [2, 1, 0, 1, 2, 3, 4, 3, 2]
+
+
+def test_signal_queries_without_sql_equal_numpy(spark):
+    rows = fixtures.series(spark, SF).where("subject = 3 and session = 1").toPandas()
+    wide = rows.pivot(index="t", columns="channel", values="value").sort_index()
+    pick = lambda name: registry.QUERIES[name](spark, SF).where("subject = 3 and session = 1").toPandas().pivot(index="t", columns="channel", values="value").sort_index().to_numpy()
+    b, a = filters.butter_bandpass(2, 0.03, 0.07, 1 / 0.72)
+    n = min(100, len(wide) - 1)
+    expected = np.stack([filters.filtfilt(b, a, np.pad(c, n, mode="reflect"))[n : n + len(c)] for c in wide.to_numpy().T], 1)
+    np.testing.assert_allclose(pick("p8_bandpass"), expected, atol=1e-6)
+    # another phase for each frequency keeps the energy
+    np.testing.assert_allclose((pick("p14_randomise_phase") ** 2).sum(0), (wide.to_numpy() ** 2).sum(0), rtol=1e-3)
+    made = pick("p15_phase_controlled")
+    np.testing.assert_allclose(made.mean(0), 0, atol=1e-5)
+    x = np.array([r["x"] for r in fixtures.observations(spark, SF).select("x").collect()])
+    s = np.linalg.svd(x, compute_uv=False) ** 2
+    got = registry.QUERIES["p29_explained"](spark, SF).orderBy("component").toPandas()["share"].to_numpy()
+    np.testing.assert_allclose(got, np.cumsum(s) / s.sum() * 100)
+
+
+def test_channels_of_a_window_share_their_phases():
+    t = np.arange(1200)
+    x = [np.sin(t / 9 + c) + 0.3 * np.cos(t / 23 * (c % 3 + 1)) for c in range(20)]
+    y = np.array([signal.controlled(v, c, 20, 5, 0, 7) for c, v in enumerate(x)])
+    again = np.array([signal.controlled(v, c, 20, 5, 0, 8) for c, v in enumerate(x)])
+    # blocks of four channels; in its own window a channel is the same in every scan, elsewhere it isn't
+    for c in range(20):
+        own = slice(240 * (c // 4), 240 * (c // 4 + 1))
+        differ = np.abs((y[c] - y[c].mean()) - (again[c] - again[c].mean()))
+        assert np.ptp(y[c][own] - again[c][own]) < 1e-9 and np.median(differ) > 1e-3
+
+
+def test_sweeps_give_their_rows(spark):
+    make = lambda noise, seed: signal.coherence_frames(signal.noisy_phases(spark, [[0.0, 2.0, 4.0], [0.0, 1.0, 5.0]], 60, noise, seed)).select("obs_id", "truth", "u1", "u2")
+    rows = sweep.noise_sweep(make, (0.2, 3.0), "MACG", 2, repeats=1, init="gc").toPandas()
+    assert len(rows) == 4 and rows.query("level == 0")["NMI"].min() > 0.8 > rows.query("level == 1")["NMI"].max()
+    rows = sweep.cluster_sweep(make(0.2, 0), "grassmann", 2, inner=2).toPandas()
+    assert len(rows) == 4 and rows["NMI"].max() > 0.9
+    sets = {name: make(0.2, k).withColumn("subject", F.col("obs_id") % 3) for k, name in enumerate(("train", "test1"))}
+    rows = sweep.run(sets, "MACG", 2, init="gc")[1].toPandas()
+    assert len(rows) == 6 and rows["accuracy"].min() > 0.9 and rows["NMI"].min() > 0.6
+
+
+def test_layouts():
+    assert hmm.layout(12) == [12] and hmm.layout(12, 4) == [4, 4, 4] and hmm.layout(12, [1, 5]) == [1, 5, 1, 5]
+    with pytest.raises(ValueError):
+        hmm.layout(12, 5)
