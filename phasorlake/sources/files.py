@@ -3,15 +3,29 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """t, channel, value of a comma-separated matrix file, one line for each t. Line order within a file is
-    kept by reading each file's lines with their number, so a file is one task's work."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda v: F.trim(v) != "")).alias("t", "line"))
-    return lines.select("t", F.posexplode(F.split("line", ",")).alias("channel", "v")).select("t", "channel", F.trim("v").cast("double").alias("value"))
+    """t, channel, value of comma-separated matrix files, one line for each t from 0 on in each file; blank lines
+    don't count. Lines are numbered within the blocks that Spark reads, and blocks start from the count of those
+    before them in their file."""
+    at = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("id")).where(F.trim("value") != "")
+    block = ["file_path", "file_block_start"]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = lines.groupBy(*block).agg(F.count("*").alias("n")).select(*block, before.alias("before"))
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("id")) - 1
+    numbered = lines.withColumn("place", place).join(F.broadcast(starts), block).select((F.col("before") + F.col("place")).alias("t"), "value")
+    return numbered.select("t", F.posexplode(F.split("value", ",")).alias("channel", "v")).select("t", "channel", F.trim("v").cast("double").alias("value"))
+
+
+def write_matrix(df: DataFrame, path: str) -> None:
+    """t, channel, value as comma-separated lines in order of t, columns in order of channel."""
+    wide = df.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("channel", "value"))).alias("r"))
+    line = F.array_join(F.transform("r", lambda c: c["value"].cast("string")), ",")
+    wide.select("t", line.alias("value")).orderBy("t").select("value").write.mode("overwrite").text(path)
 
 
 def interleaved(matrix: DataFrame) -> DataFrame:
@@ -35,6 +49,22 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def unfinished(results: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``wanted`` (a sweep's settings) that no result has yet: where a sweep goes on."""
+    return wanted.join(results.select(*keys).distinct(), keys, "left_anti")
+
+
+def write_posterior(df: DataFrame, path: str, id_column: str = "obs_id") -> None:
+    """obs_id, k, prob of scored rows."""
+    df.select(id_column, F.posexplode("post").alias("k", "prob")).write.mode("overwrite").parquet(path)
+
+
+def read_posterior(spark: SparkSession, path: str, id_column: str = "obs_id") -> DataFrame:
+    """obs_id, post."""
+    rows = spark.read.parquet(path).groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("k", "prob"))).alias("p"))
+    return rows.select(id_column, F.transform("p", lambda c: c["prob"]).alias("post"))
+
+
 PARAMS = "name string, place array<int>, re double, im double"
 
 

@@ -215,3 +215,24 @@ def test_layouts():
     assert hmm.layout(12) == [12] and hmm.layout(12, 4) == [4, 4, 4] and hmm.layout(12, [1, 5]) == [1, 5, 1, 5]
     with pytest.raises(ValueError):
         hmm.layout(12, 5)
+
+
+def test_matrices_results_and_posteriors_survive_their_files(spark, tmp_path):
+    cells = spark.createDataFrame([(t, c, t * 10.5 + c) for t in range(300) for c in range(3)], "t long, channel int, value double")
+    files.write_matrix(cells, str(tmp_path / "out"))
+    rows = lambda df: sorted(map(tuple, df.select("t", "channel", "value").collect()))
+    (tmp_path / "one.csv").write_text("\n".join(",".join(str(t * 10.5 + c) for c in range(3)) for t in range(300)) + "\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert rows(files.read_matrix(spark, str(tmp_path / "one.csv"))) == rows(cells)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(lines) == sorted((tmp_path / "one.csv").read_text().split())
+    posts = spark.createDataFrame([(i, [0.1 * i, 1 - 0.1 * i]) for i in range(5)], "obs_id long, post array<double>")
+    files.write_posterior(posts, str(tmp_path / "post"))
+    assert sorted(map(tuple, files.read_posterior(spark, str(tmp_path / "post")).collect())) == sorted(map(tuple, posts.collect()))
+    done = spark.createDataFrame([(1, 0), (1, 1), (5, 0)], "rank int, inner int")
+    files.append_results(done, str(tmp_path / "res"))
+    wanted = spark.createDataFrame([(r, i) for r in (1, 5) for i in (0, 1)], "rank int, inner int")
+    assert [tuple(r) for r in files.unfinished(spark.read.parquet(str(tmp_path / "res")), wanted, ["rank", "inner"]).collect()] == [(5, 1)]
