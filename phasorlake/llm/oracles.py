@@ -80,3 +80,59 @@ gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(s, s + 20))
 each AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t, count(*) AS n FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _clusters(rounds: int = 5, k: int = 40) -> str:
+    """Chained rounds: every vector against every centroid, then floors of the means."""
+    fit = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE {fit})",
+        f"c0 AS MATERIALIZED (SELECT i, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS i, v FROM kept) WHERE i < {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"d{n} AS MATERIALIZED (SELECT r, vec_id, x.v AS v, min(struct_pack(d := list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, i := i)) AS b FROM kept x, c{n} c GROUP BY ALL)")
+        if n < rounds:
+            mean = "list(CASE WHEN s % n < 0 THEN (s - (s % n + n)) // n ELSE (s - s % n) // n END::DOUBLE ORDER BY e)"
+            steps.append(f"s{n} AS (SELECT i, e, sum(y)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT b.i AS i, unnest(v)::BIGINT AS y, unnest(range(64)) AS e FROM d{n}) GROUP BY i, e)")
+            steps.append(f"m{n} AS (SELECT i, {mean} AS v FROM s{n} GROUP BY i)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.i, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (i))")
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, b.i::INT AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.i)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia,
+           sha256(array_to_string(list_transform(c{rounds}.v, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+    FROM d{rounds} JOIN c{rounds} ON c{rounds}.i = b.i"""
+
+
+ORACLES["op11_sort_means"] = _clusters()
+
+# the remainder table of the checksum is worked out from its polynomial
+_CRC_TABLE = "SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, s: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295)"
+_TURNED = "((k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT)"
+
+
+def _jump(shards: int) -> str:
+    step = f"struct_pack(k := {_TURNED.replace('k *', 's.k *')}, b := s.j, j := floor((s.j + 1)::DOUBLE * (2147483648::DOUBLE / ({_TURNED.replace('k *', 's.k *')} // 8589934592 + 1)::DOUBLE))::BIGINT)"
+    begin = "struct_pack(k := (CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616::HUGEINT ELSE coalesce(doc_id, 0)::HUGEINT END), b := -1::BIGINT, j := 0::BIGINT)"
+    return f"list_reduce(list_prepend({begin}, list_transform(range({shards}), lambda i: {begin})), lambda s, i: CASE WHEN s.j < {shards} THEN {step} ELSE s END).b"
+
+
+ORACLES["op12_jump_sharding"] = f"""
+WITH t AS MATERIALIZED ({_CRC_TABLE}),
+     d AS MATERIALIZED (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, {_CRC} AS text_crc32, {_jump(8)}::INT AS shard, {_jump(9)}::INT AS grown_shard FROM documents, t)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM d"""
+
+ORACLES["op13_hard_negatives"] = """
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, c.r AS cr, c.vec_id AS vec_id, a.label = c.label AS own,
+         coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::BIGINT AS score
+  FROM e a, e c WHERE a.vec_id % 100 = 0),
+p AS MATERIALIZED (SELECT * FROM s WHERE own AND ar <> cr QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, cr) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INT AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.ar = p.ar AND NOT n.own AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.ar, p.cr ORDER BY n.score DESC, n.vec_id, n.cr)
+QUALIFY row_number() OVER w <= 10"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, mixing, neardup, pii, quality, substrings, tokens, toxicity, windows
+from . import centroids, decontaminate, media, mixing, neardup, negatives, pii, quality, sharding, substrings, tokens, toxicity, windows
 from .common import stored, table
 from .oracles import ORACLES
 
@@ -52,6 +52,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -63,5 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_media": op9_media,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_sort_means": op11_sort_means,
+    "op12_jump_sharding": op12_jump_sharding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
