@@ -94,7 +94,7 @@ class Tree:
 
 
 def tree(x: np.ndarray, label: np.ndarray, leaf: int = LEAF) -> Tree:
-    """Split by label, then at the median along the direction from a far row to the row farthest from that."""
+    """Split by label, then along the direction from a far row to the row farthest from that."""
     order = np.argsort(label, kind="stable")
     y = x[order].astype(np.float64)
     kinds, starts = np.unique(label[order], return_index=True)
@@ -113,18 +113,21 @@ def tree(x: np.ndarray, label: np.ndarray, leaf: int = LEAF) -> Tree:
             tops.append(me)
         else:
             nodes[parent][2 + side] = me
-        if b - a > leaf and apart.max() > 0:
+        if b - a > leaf:
             one = here[int(apart.argmax())]
             gap = here - one
             other = here[int(np.einsum("ij,ij->i", gap, gap).argmax())]
             along = here @ (other - one)
-            by = np.argpartition(along, (b - a) // 2)
+            near = along < (one + other) @ (other - one) / 2
+            n = int(near.sum())
+            # half-way between the two, or where that cuts off little (equal rows too), at the median
+            if min(n, b - a - n) * 16 >= b - a:
+                by = np.argsort(~near, kind="stable")
+            else:
+                n = (b - a) // 2
+                by = np.argpartition(along, n)
             order[a:b], y[a:b] = order[a:b][by], here[by]
-            middle = a + (b - a) // 2
-            stack += [(a, middle, k, me, 0), (middle, b, k, me, 1)]
-        elif b - a > leaf:  # equal rows: leaves of their number
-            middle = a + (b - a) // 2
-            stack += [(a, middle, k, me, 0), (middle, b, k, me, 1)]
+            stack += [(a, a + n, k, me, 0), (a + n, b, k, me, 1)]
     column = lambda i, kind: np.array([n[i] for n in nodes], kind)
     centre = np.stack([n[5] for n in nodes]) if nodes else np.zeros((0, x.shape[1]))
     return Tree(order, column(0, np.int64), column(1, np.int64), column(2, np.int64), column(3, np.int64), column(4, np.int64), centre, column(6, float), np.linalg.norm(centre, axis=1), tops)
