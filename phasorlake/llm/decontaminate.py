@@ -2,9 +2,10 @@
 
 Words are runs of letters and digits, A-Z folded. Seeds, runs of LEAST words that a document shares with a
 benchmark item, give candidate pairs: those whose seeds could cover the threshold share of the item. In a
-candidate pair the longest common run of unmarked words is found by Karp-Rabin hashes of falling length,
-marked on both sides, and so on down to LEAST words; tiles don't overlap and may stand in any order, so
-reordered passages count. An item is leaked where its tiles cover the threshold share of its words.
+candidate pair the longest common run of unmarked words is marked on both sides, again and again, down to LEAST
+words; runs are found and measured by Karp-Rabin hashes, and compared as words before they are marked. Tiles don't
+overlap and may stand in any order, so reordered passages count. An item is leaked where its tiles cover the threshold
+share of its words.
 
 A benchmark of up to ``bound`` seeds, checked first, is sent to the tasks, and documents are searched where
 they lie. A larger one is joined: seeds of both sides meet by code, only candidate pairs meet as texts.
@@ -17,6 +18,7 @@ searched whole; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -38,53 +40,70 @@ def words_of(column: pa.Array) -> Words:
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(start in doc, start in item, length) of the tiles, longest first; of equal ones that which starts
-    first in the item, then in the document, is taken."""
-    free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
+    first in the item, then in the document, is taken.
+
+    Every common run of free words lies inside a maximal match of the whole texts. So these are found once and wait
+    in order of length; where tiles have taken words of the longest one since, what they left of it goes back with
+    its new length."""
+    d, i, n = _matches(doc, item, least)
+    order = np.lexsort((d, i, -n))
+    waiting = list(zip((-n[order]).tolist(), i[order].tolist(), d[order].tolist(), strict=True))  # sorted, so a heap
+    free_d, free_i, left = np.ones(len(doc), bool), np.ones(len(item), bool), len(item)
     found: list[tuple[int, int, int]] = []
-    size = 1 << max(len(item).bit_length() - 1, 0)
-    while size >= least:
-        longest = _matches(doc, item, free_d, free_i, size)
-        longest.sort(key=lambda m: (-m[2], m[1], m[0]))
-        for d, i, n in longest:
-            # a longer tile may have taken a part since
-            if free_d[d : d + n].all() and free_i[i : i + n].all():
-                free_d[d : d + n] = free_i[i : i + n] = False
-                found.append((d, i, n))
-        # what is left of an occluded match can still be as long as this size
-        if not longest:
-            size = size // 2 if size // 2 >= least or size == least else least
-            if size < least:
-                break
+    while waiting and left >= least:
+        n, i, d = heappop(waiting)
+        free = free_d[d : d - n] & free_i[i : i - n] & (doc[d : d - n] == item[i : i - n])
+        if free.all():
+            free_d[d : d - n] = free_i[i : i - n] = False
+            left += n
+            found.append((d, i, -n))
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], free, [False]))))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heappush(waiting, (a - b, i + a, d + a))
     return found
 
 
-def _matches(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal common runs of free words that are ``size`` long at least."""
-    if min(len(doc), len(item)) < size:
-        return []
-
-    def open_runs(free: np.ndarray) -> np.ndarray:
-        taken = np.concatenate(([0], np.cumsum(~free)))
-        return np.flatnonzero(taken[size:] == taken[:-size])
-
-    at_d, at_i = open_runs(free_d), open_runs(free_i)
-    if not len(at_d) or not len(at_i):
-        return []
-    hash_d, hash_i = rolled(doc, size)[at_d], rolled(item, size)[at_i]
-    order = np.argsort(hash_i, kind="stable")
-    low, high = np.searchsorted(hash_i[order], hash_d, "left"), np.searchsorted(hash_i[order], hash_d, "right")
-    out, ends = [], {}
-    for d, a, b in zip(at_d[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-        for i in at_i[order[a:b]].tolist():
-            if ends.get(d - i, -1) > d:  # inside the match that began earlier on this diagonal
-                continue
-            n = 0
-            while d + n < len(doc) and i + n < len(item) and free_d[d + n] and free_i[i + n] and doc[d + n] == item[i + n]:
-                n += 1
-            if n >= size:
-                out.append((d, i, n))
-                ends[d - i] = d + n
-    return out
+def _matches(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in doc and item, and lengths, of all maximal common runs of ``least`` words or more. A match begins
+    where seeds are equal and the words before differ, so of repeated words only the first places are looked at; it
+    is measured by hashes of halving length."""
+    none = np.zeros(0, np.int64)
+    if min(len(doc), len(item)) < least:
+        return none, none, none
+    seed_d, seed_i = rolled(doc, least), rolled(item, least)
+    kinds, of = np.unique(item, return_inverse=True)
+    before_i = np.concatenate(([0], of[:-1] + 1))[: len(seed_i)]  # 0: nothing before
+    at = np.searchsorted(kinds, doc)
+    known = kinds[np.minimum(at, len(kinds) - 1)] == doc
+    before_d = np.concatenate(([-1], np.where(known, at + 1, -1)[:-1]))[: len(seed_d)]
+    by = np.lexsort((before_i, seed_i))
+    codes, begin = np.unique(seed_i[by], return_index=True)
+    end = np.append(begin[1:], len(by))
+    slot = np.searchsorted(codes, seed_d)
+    hit = np.flatnonzero((slot < len(codes)) & (codes[np.minimum(slot, len(codes) - 1)] == seed_d))
+    slot = slot[hit]
+    # the places of a seed are in order of the word before them: those with the document's own are passed over
+    key = np.repeat(np.arange(len(codes)), end - begin) * (len(kinds) + 2) + before_i[by]
+    own = slot * (len(kinds) + 2) + before_d[hit]
+    low, high = begin[slot], end[slot]
+    skip_from = np.where(before_d[hit] > 0, np.searchsorted(key, own, "left"), high)
+    skip_to = np.where(before_d[hit] > 0, np.searchsorted(key, own, "right"), high)
+    parts = []
+    for a, b in ((low, skip_from), (skip_to, high)):
+        n = b - a
+        parts.append((np.repeat(hit, n), by[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]))
+    d, i = (np.concatenate(v) for v in zip(*parts, strict=True))
+    n = np.full(len(d), least, np.int64)
+    size = 1 << max(min(len(item), len(doc)).bit_length() - 1, 0)
+    while size and len(d):
+        hash_d, hash_i = rolled(doc, size), rolled(item, size)
+        go = np.flatnonzero((d + n < len(hash_d)) & (i + n < len(hash_i)))
+        go = go[hash_d[(d + n)[go]] == hash_i[(i + n)[go]]]
+        n[go] += size
+        size //= 2
+    return d, i, n
 
 
 def _pair(doc: np.ndarray, item: np.ndarray, share: float) -> tuple | None:
@@ -130,7 +149,12 @@ def _searcher(items: list[tuple[int, str]], share: float):
         d = words_of(texts)
         seen, where = d.runs(LEAST)
         hit = maybe[seen & mask]
+        # a seed counts once in a text, however often it stands there
         seen, row = seen[hit], d.row[where[hit]]
+        order = np.lexsort((seen, row))
+        seen, row = seen[order], row[order]
+        new = np.concatenate((np.ones(min(len(row), 1), bool), (seen[1:] != seen[:-1]) | (row[1:] != row[:-1])))
+        seen, row = seen[new], row[new]
         low, high = np.searchsorted(code, seen, "left"), np.searchsorted(code, seen, "right")
         n = high - low
         place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())

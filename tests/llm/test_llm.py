@@ -5,6 +5,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, same
 from pyspark.sql import functions as F
@@ -168,6 +169,39 @@ def test_tiles_catch_reordered_passages():
     assert sorted(n for *_, n in found) == [8, 16]
 
 
+def test_what_a_tile_leaves_of_a_match_waits_in_order():
+    item = np.arange(19)
+    doc = np.array([13, 14, 15, 16, 17, 18, 99, 15, 16, 17, 18, 98, 8, 9, 10, 11, 12, 13, 97])
+    assert sorted(n for *_, n in decontaminate.tiles(doc.astype(np.uint64), item.astype(np.uint64))) == [5, 6]
+
+
+@pytest.mark.parametrize("words", [2, 3, 4, 5, 8, 15, 30])
+def test_tiling_equals_plain_tiling(words):
+    """Of short texts over few words, as many as give other tiles when remainders are dropped or out of order."""
+    rng = np.random.default_rng(words)
+    for _ in range(750):
+        item = rng.integers(0, words, rng.integers(1, 40))
+        doc = rng.integers(0, words, rng.integers(1, 60))
+        for _ in range(rng.integers(0, 4)):  # passages of the item in any order
+            a, at = rng.integers(0, len(item)), rng.integers(0, len(doc))
+            piece = item[a : a + rng.integers(1, 20)][: len(doc) - at]
+            doc[at : at + len(piece)] = piece
+        found = decontaminate.tiles(doc.astype(np.uint64), item.astype(np.uint64))
+        assert all((doc[d : d + n] == item[i : i + n]).all() for d, i, n in found)
+        assert sum(n for *_, n in found) == _plain_tiling(doc, item, decontaminate.LEAST)
+
+
+def test_repeated_words_cost_in_proportion():
+    took = []
+    for n in (100_000, 800_000):
+        began = time.perf_counter()
+        assert [t[2] for t in decontaminate.tiles(np.zeros(n, np.uint64), np.zeros(300, np.uint64))] == [300]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5, took
+    search = decontaminate._searcher([(1, "a " * 300), (2, "b c d e f")], 0.5)
+    assert search(pa.array(["a " * 1_000_000])) == [(0, 1, 300, 300, 1, 300, 1.0)]
+
+
 def _plain_words(text):
     return re.findall(r"[A-Za-z0-9\x80-\xff]+".encode("latin-1"), (text or "").encode())
 
