@@ -1,24 +1,49 @@
 """One pass over observations: Arrow batches to numpy, sums by partition, sums of sums in Spark; of a cached
-frame of FEW partitions, as small fits have, the driver adds the partitions' sums up itself.
+frame whose partitions' sums are few numbers in all, as small fits have, the driver adds them up itself.
 
 Observations are rows with ``x`` array<double> (real), ``x`` struct<re, im> of arrays (complex) or ``u1``,
 ``u2`` ... array<double> (frames). What a fit needs from the data are sums; a pass yields one row for each
 number of a partition's sums, and Spark adds them up, so the driver gets the sums alone, whatever the
-number of rows or partitions."""
+number of rows or partitions.
+
+A fit is a generator: it yields an ``Ask`` for sums and is sent them. ``together`` runs many fits over the same
+rows, restarts or models of any order, with one pass for all that still ask: a fit that ends leaves the pass."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEW = 64
+#: Numbers that the driver takes from all partitions of a pass to add up; where they would be more, Spark does.
+FEW = 1 << 22
+#: Numbers that a pass sums up in each task; fits beyond wait for their turn.
+WIDE = 1 << 24
 Kernel = Callable[[np.ndarray, pa.RecordBatch], dict[str, np.ndarray]]
 
 
+@dataclass
+class Ask:
+    """The sums over all rows of what ``kernel`` gives for a batch: arrays of the shapes; complex ones under
+    names that begin with ``c_``."""
+
+    kernel: Kernel
+    shapes: dict[str, tuple[int, ...]]
+
+    @property
+    def size(self) -> int:
+        return sum(int(np.prod(s)) * (2 if n.startswith("c_") else 1) for n, s in self.shapes.items())
+
+
+Sums = dict[str, np.ndarray]
+Fit = Generator[Ask, Sums, Any]
+
+
 def kind_of(df: DataFrame) -> str:
     names = df.columns
     if "u1" in names:
@@ -52,54 +77,109 @@ def observations(batch: pa.RecordBatch, kind: str, columns: list[str]) -> np.nda
     return _matrix(x)
 
 
-def _few(df: DataFrame) -> bool:
-    """Whether the frame is cached (so that asking costs no work) and has no more than FEW partitions."""
+def few(df: DataFrame, numbers: int) -> bool:
+    """Whether the frame is cached (so that asking for its partitions costs no work) and ``numbers`` from each are no
+    more than FEW in all."""
     if not df.is_cached:
         return False
     if not hasattr(df, "_partitions"):
         df._partitions = df.rdd.getNumPartitions()
-    return df._partitions <= FEW
+    return df._partitions * numbers <= FEW
 
 
-def summed(df: DataFrame, kernel: Kernel, shapes: dict[str, tuple[int, ...]], extra: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
-    """The sums over all rows of what ``kernel`` gives for a batch: arrays of the shapes; complex ones under
-    names that begin with ``c_``."""
-    kind, columns = kind_of(df), columns_of(df)
-    names = sorted(shapes)
-
-    def sums_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows:
-                for name, value in kernel(observations(batch, kind, columns), batch).items():
-                    sums[name] = sums[name] + value if name in sums else np.asarray(value)
-        return np.concatenate([np.asarray(sums[n]).reshape(-1).astype(complex) for n in names]) if sums else None
+def totals(df: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], numbers: int, driver: bool) -> np.ndarray:
+    """The sum over partitions of what ``sums`` gives for each: ``numbers`` doubles, or None."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = sums_of(batches)
+        every = sums(batches)
         if every is not None:
             yield pa.record_batch([pa.array([every.tobytes()])], names=["sums"])
 
     def by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = sums_of(batches)
+        every = sums(batches)
         if every is not None:
-            yield pa.record_batch([pa.array(np.arange(len(every))), pa.array(every.real.copy()), pa.array(every.imag.copy())], names=["place", "re", "im"])
-
-    sizes = [int(np.prod(shapes[n])) for n in names]
-    total = np.zeros(sum(sizes), complex)
-    rows = df.select(*columns, *extra)
-    if _few(df):
-        for part in rows.mapInArrow(whole, "sums binary").toArrow().column("sums").to_pylist():
-            total += np.frombuffer(part, complex)
+            yield pa.record_batch([pa.array(np.arange(len(every))), pa.array(every)], names=["place", "value"])
+
+    total = np.zeros(numbers)
+    if driver:
+        for part in df.mapInArrow(whole, "sums binary").toArrow().column("sums").to_pylist():
+            total += np.frombuffer(part)
     else:
-        got = rows.mapInArrow(by_place, "place long, re double, im double").groupBy("place").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()
-        total[got["place"].to_numpy(int)] = got["re"].to_numpy() + 1j * got["im"].to_numpy()
-    out = {}
-    for name, value in zip(names, np.split(total, np.cumsum(sizes)[:-1]), strict=True):
-        out[name] = (value if name.startswith("c_") else value.real).reshape(shapes[name])
+        got = df.mapInArrow(by_place, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+        total[got["place"].to_numpy(int)] = got["value"].to_numpy()
+    return total
+
+
+def flat(sums: Sums, shapes: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """One array of doubles; the parts of complex numbers one after the other."""
+    out = []
+    for name in sorted(shapes):
+        value = np.ascontiguousarray(np.asarray(sums[name]).reshape(-1), complex if name.startswith("c_") else float)
+        out.append(value.view(float))
+    return np.concatenate(out)
+
+
+def shaped(values: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> Sums:
+    out, at = {}, 0
+    for name in sorted(shapes):
+        n = int(np.prod(shapes[name])) * (2 if name.startswith("c_") else 1)
+        part = values[at : at + n]
+        out[name] = (part.view(complex) if name.startswith("c_") else part).reshape(shapes[name])
+        at += n
     return out
 
 
+def asked(df: DataFrame, asks: list[Ask]) -> list[Sums]:
+    """The sums that each asks for, in one pass."""
+    kind, columns = kind_of(df), columns_of(df)
+    ends = np.cumsum([a.size for a in asks])
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = observations(batch, kind, columns)
+                got = np.concatenate([flat(a.kernel(x, batch), a.shapes) for a in asks])
+                total = got if total is None else total + got
+        return total
+
+    driver = few(df, int(ends[-1]))
+    total = totals(df.select(*columns), sums_of, int(ends[-1]), driver)
+    return [shaped(v, a.shapes) for v, a in zip(np.split(total, ends[:-1]), asks, strict=True)]
+
+
+def summed(df: DataFrame, kernel: Kernel, shapes: dict[str, tuple[int, ...]]) -> Sums:
+    return asked(df, [Ask(kernel, shapes)])[0]
+
+
+def together(df: DataFrame, fits: list[Fit]) -> list[Any]:
+    """What each fit returns. In every pass those that still run are served, the first ones of them up to WIDE
+    numbers; a fit that runs has its turn in every pass until it ends."""
+    results: list[Any] = [None] * len(fits)
+    asks: dict[int, Ask] = {}
+
+    def on(i: int, sums: Sums | None) -> None:
+        try:
+            asks[i] = fits[i].send(sums)
+        except StopIteration as end:
+            results[i] = end.value
+            asks.pop(i, None)
+
+    waiting = list(range(len(fits)))
+    while waiting or asks:
+        while waiting and (not asks or sum(a.size for a in asks.values()) * (len(asks) + 1) <= WIDE * len(asks)):
+            on(waiting.pop(0), None)
+        if asks:
+            served = list(asks)
+            for i, sums in zip(served, asked(df, [asks[i] for i in served]), strict=True):
+                on(i, sums)
+    return results
+
+
+def alone(df: DataFrame, fit: Fit) -> Any:
+    return together(df, [fit])[0]
+
+
 def mapped(df: DataFrame, work: Callable[[np.ndarray, pa.RecordBatch], list[pa.Array]], added: str) -> DataFrame:
     """Add columns that ``work`` computes from a batch. ``added``: their schema; old columns of those names go."""
     kind, columns = kind_of(df), columns_of(df)

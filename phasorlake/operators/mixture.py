@@ -8,15 +8,17 @@ the next different one by less than ``tol`` of its size, or the newest is the sm
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kmeans
 from .families import Family, Params, weights
-from .kernels import kind_of, mapped, summed
+from .kernels import Ask, Fit, Sums, alone, asked, columns_of, kind_of, mapped, observations, summed, together
 
 #: Start -> K-means method; a name that ends in ++ takes the seeds as they are, and one may end in _seg.
 STARTS = {"dc": "diametrical", "gc": "grassmann", "wgc": "weighted_grassmann", "ls": "least_squares"}
@@ -66,8 +68,8 @@ def validate(df: DataFrame, family: Family) -> None:
         raise ValueError(f"{bad} observations are not normalised for {family.name}")
 
 
-def em_pass(df: DataFrame, family: Family, outer: Params, inner: Params | None = None) -> dict[str, np.ndarray]:
-    """loglik, weight (K) and moment (K, p, p) under the posteriors of ``outer``; forms by ``inner``."""
+def em_ask(family: Family, outer: Params, inner: Params | None = None) -> Ask:
+    """For loglik, weight (K) and moment (K, p, p) under the posteriors of ``outer``; forms by ``inner``."""
     k, p, name = len(outer["pi"]), family.p, moment_name(family)
     inner = outer if inner is None else inner
 
@@ -75,8 +77,15 @@ def em_pass(df: DataFrame, family: Family, outer: Params, inner: Params | None =
         total, post = weights(family.log_pdf(x, outer) + np.log(outer["pi"]))
         return {"loglik": np.array([total.sum()]), "weight": post.sum(0), name: family.moments(x, post, inner)}
 
-    got = summed(df, kernel, {"loglik": (1,), "weight": (k,), name: (k, p, p)})
-    return {"loglik": got["loglik"][0], "weight": got["weight"], "moment": got[name]}
+    return Ask(kernel, {"loglik": (1,), "weight": (k,), name: (k, p, p)})
+
+
+def em_sums(got: Sums, family: Family) -> Sums:
+    return {"loglik": got["loglik"][0], "weight": got["weight"], "moment": got[moment_name(family)]}
+
+
+def em_pass(df: DataFrame, family: Family, outer: Params, inner: Params | None = None) -> Sums:
+    return em_sums(asked(df, [em_ask(family, outer, inner)])[0], family)
 
 
 def part_moments(df: DataFrame, family: Family, parts: kmeans.Clusters) -> tuple[np.ndarray, np.ndarray]:
@@ -93,16 +102,21 @@ def part_moments(df: DataFrame, family: Family, parts: kmeans.Clusters) -> tuple
     return got[name], got["size"]
 
 
+def uniform_start(family: Family, k: int, seed: int) -> Fit:
+    """Random parameters; the concentration of Watson components is fitted on all rows."""
+    theta = family.uniform(k, seed)
+    if family.name == "Watson":
+        one = em_sums((yield em_ask(family, theta)), family)
+        theta["kappa"] = np.full(k, float(family._watson(one["moment"].sum(0) / one["weight"].sum())["kappa"]))
+    return theta
+
+
 def start(df: DataFrame, family: Family, k: int, init: str, seed: int, id_column: str, tries: int = 10_001) -> Params:
     """Parameters to start from: ``uniform``; by the parts of K-means from seeds spread by distance: dc, gc, wgc,
     and ls (of the vectors as they are, tried again until the smallest part has a twentieth of the rows); by the
     parts of such seeds alone: dc++, gc++, wgc++; all with _seg too (the parts' own one-component fits)."""
     if init == "uniform":
-        theta = family.uniform(k, seed)
-        if family.name == "Watson":
-            one = em_pass(df, family, theta)
-            theta["kappa"] = np.full(k, float(family._watson(one["moment"].sum(0) / one["weight"].sum())["kappa"]))
-        return theta
+        return alone(df, uniform_start(family, k, seed))
     name = init.removesuffix("_seg")
     method = STARTS.get(name.removesuffix("++"))
     if method is None:
@@ -128,7 +142,7 @@ def start(df: DataFrame, family: Family, k: int, init: str, seed: int, id_column
     return theta
 
 
-def grow(df: DataFrame, family: Family, theta: Params) -> Params:
+def growing(family: Family, theta: Params) -> Fit:
     """Widen M to the family's rank: what a ridge projection on M leaves of the posterior-weighted data gives the
     new columns."""
     have = theta["M"].shape[2]
@@ -140,7 +154,7 @@ def grow(df: DataFrame, family: Family, theta: Params) -> Params:
         post = weights(family.log_pdf(x, theta) + np.log(theta["pi"]))[1]
         return {"weight": post.sum(0), name: family.moments(x, post**2, None)}
 
-    got = summed(df, kernel, {"weight": (k,), name: (k, family.p, family.p)})
+    got = yield Ask(kernel, {"weight": (k,), name: (k, family.p, family.p)})
     wide = []
     for j in range(k):
         m, ridge = theta["M"][j], float(theta["gamma"][j]) if "gamma" in theta else 1.0
@@ -155,6 +169,10 @@ def grow(df: DataFrame, family: Family, theta: Params) -> Params:
     return theta | {"M": np.stack(wide)}
 
 
+def grow(df: DataFrame, family: Family, theta: Params) -> Params:
+    return alone(df, growing(family, theta))
+
+
 def stopped(curve: list[float], tol: float, num_comparison: int) -> bool:
     if len(curve) <= num_comparison:
         return False
@@ -164,40 +182,86 @@ def stopped(curve: list[float], tol: float, num_comparison: int) -> bool:
     return close or recent[-1] == min(recent)
 
 
-def fit(df: DataFrame, family: Family, k: int, init: str | Params = "uniform", tol: float = 1e-8, max_iter: int = 10_000, num_repl: int = 1, num_comparison: int = 10, inner_iter: int = 1, seed: int = 0, id_column: str = "obs_id") -> Mixture:
-    """The best of ``num_repl`` runs by its best log-likelihood. ``init``: a start's name or parameters, of
-    lower rank too. ``inner_iter``: passes with the same posteriors for ACG and MACG."""
+def training(family: Family, theta: Params, tol: float = 1e-8, max_iter: int = 10_000, num_comparison: int = 10, inner_iter: int = 1) -> Fit:
+    """Expectation-maximisation from parameters, of lower rank too; gives the best mixture of its passes."""
+    if family.rank and "M" in theta:
+        theta = yield from growing(family, theta)
+    run, top = Mixture(family, theta), -np.inf
+    for _ in range(max_iter):
+        got = em_sums((yield em_ask(family, theta)), family)
+        run.curve.append(float(got["loglik"]))
+        if np.isnan(run.curve[-1]):
+            raise FloatingPointError("the log-likelihood is not a number")
+        if run.curve[-1] > top:
+            top, run.theta = run.curve[-1], theta
+        if stopped(run.curve, tol, num_comparison):
+            break
+        pi = got["weight"] / got["weight"].sum() if len(theta["pi"]) > 1 else theta["pi"]
+        new = family.finish(got["moment"], got["weight"], theta)
+        for _ in range(inner_iter - 1):
+            if family.name not in ("ACG", "MACG"):
+                break
+            again = em_sums((yield em_ask(family, theta, new | {"pi": theta["pi"]})), family)
+            new = family.finish(again["moment"], again["weight"], theta)
+        theta = new | {"pi": pi}
+    return run
+
+
+def check_params(family: Family, k: int, theta: Params) -> None:
+    """Raise where given parameters don't have the family's names, shapes or kind of numbers."""
+    p = family.p
+    names = {"mu", "kappa"} if family.name == "Watson" else {"Psi"} if not family.rank else {"M", "gamma"} if family.name in ("SingularWishart", "Normal") else {"M"}
+    if missing := (names | {"pi"}) - set(theta):
+        raise ValueError(f"{family.name} lacks the parameters {sorted(missing)}")
+    shapes = {"pi": (k,), "mu": (k, p), "kappa": (k,), "gamma": (k,), "Psi": (k, p, p)}
+    for name in sorted(names | {"pi"}):
+        value = np.asarray(theta[name])
+        if name == "M":
+            if value.ndim != 3 or value.shape[:2] != (k, p) or not 0 < value.shape[2] <= family.rank:
+                raise ValueError(f"M has shape {value.shape}, not ({k}, {p}, 1 to {family.rank})")
+        elif value.shape != shapes[name]:
+            raise ValueError(f"{name} has shape {value.shape}, not {shapes[name]}")
+        if np.iscomplexobj(value) and (not family.is_complex or name in ("pi", "kappa", "gamma")):
+            raise ValueError(f"{name} is complex")
+    if abs(float(np.sum(theta["pi"])) - 1) > 1e-6 or np.min(theta["pi"]) < 0:
+        raise ValueError("pi is no distribution")
+
+
+def fit(df: DataFrame, family: Family, k: int, init: str | Params = "uniform", tol: float = 1e-8, max_iter: int = 10_000, num_repl: int = 1, num_comparison: int = 10, inner_iter: int = 1, seed: int = 0, id_column: str = "obs_id", train: Callable[[Params], Fit] | None = None) -> Mixture:
+    """The best of ``num_repl`` runs by its best log-likelihood; they share their passes. ``init``: a start's name
+    or parameters, of lower rank too. ``inner_iter``: passes with the same posteriors for ACG and MACG. ``train``: a
+    fit from parameters in place of EM."""
     held = df.is_cached
     df = df.cache()
-    best: Mixture | None = None
     try:
         validate(df, family)
-        for r in range(num_repl):
-            theta = dict(init) if isinstance(init, dict) else start(df, family, k, init, seed + r, id_column)
-            if family.rank and "M" in theta:
-                theta = grow(df, family, theta)
-            run = Mixture(family, theta)
-            top = -np.inf
-            for _ in range(max_iter):
-                got = em_pass(df, family, theta)
-                run.curve.append(float(got["loglik"]))
-                if np.isnan(run.curve[-1]):
-                    raise FloatingPointError("the log-likelihood is not a number")
-                if run.curve[-1] > top:
-                    top, run.theta = run.curve[-1], theta
-                if stopped(run.curve, tol, num_comparison):
-                    break
-                pi = got["weight"] / got["weight"].sum() if k > 1 else theta["pi"]
-                new = family.finish(got["moment"], got["weight"], theta)
-                for _ in range(inner_iter - 1):
-                    if family.name not in ("ACG", "MACG"):
-                        break
-                    again = em_pass(df, family, theta, new | {"pi": theta["pi"]})
-                    new = family.finish(again["moment"], again["weight"], theta)
-                theta = new | {"pi": pi}
-            if best is None or max(run.curve) > max(best.curve):
-                best = run
+        if isinstance(init, dict):
+            check_params(family, k, init)
+        starts = [dict(init) if isinstance(init, dict) else start(df, family, k, init, seed + r, id_column) for r in range(num_repl)]
+        em = lambda theta: training(family, theta, tol, max_iter, num_comparison, inner_iter)
+        runs = together(df, [(train or em)(theta) for theta in starts])
     finally:
         if not held:
             df.unpersist()
-    return best
+    return max(runs, key=lambda m: max(m.curve, default=-np.inf))
+
+
+def mean_logliks(df: DataFrame, models: list[Mixture], by: str) -> DataFrame:
+    """model (its place in the list), ``by``, loglik: means by group under every model, in one pass over the rows."""
+    kind, columns = kind_of(df), columns_of(df)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = observations(batch, kind, columns)
+            groups = batch.column(by).dictionary_encode()
+            of = np.asarray(groups.indices.fill_null(len(groups.dictionary)))
+            n = len(groups.dictionary) + 1
+            names = pa.concat_arrays([groups.dictionary, pa.nulls(1, groups.dictionary.type)])
+            for i, m in enumerate(models):
+                total = weights(m.family.log_pdf(x, m.theta) + np.log(m.theta["pi"]))[0]
+                yield pa.record_batch([pa.array(np.full(n, i, np.int32)), names, pa.array(np.bincount(of, total, n)), pa.array(np.bincount(of, minlength=n))], names=["model", by, "s", "n"])
+
+    sums = df.select(by, *columns).mapInArrow(each, f"model int, `{by}` {dict(df.dtypes)[by]}, s double, n long").where("n > 0")
+    return sums.groupBy("model", by).agg((F.sum("s") / F.sum("n")).alias("loglik"))

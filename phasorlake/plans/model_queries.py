@@ -727,7 +727,7 @@ def c15_mean_se(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def c5_rank_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fx.observations(spark, sf_dir).withColumn("subject", F.col("obs_id") % 7)
-    return sweep.rank_sweep({"train": o}, "ACG", 2, (1, 5, 10, 25, 50), inner=10)
+    return sweep.rank_sweep({"train": o}, "ACG", (2, 3), (1, 5, 10, 25, 50), inner=10, tol=1e-7)
 
 
 @query("""SELECT vec_id AS obs_id, (vec_id // 50) * 3 + CASE WHEN vec_id % 50 < 10 THEN 0 WHEN vec_id % 50 < 30 THEN 1 ELSE 2 END AS seq_id, vec_id % 50 - CASE WHEN vec_id % 50 < 10 THEN 0 WHEN vec_id % 50 < 30 THEN 10 ELSE 30 END AS t FROM embeddings""")

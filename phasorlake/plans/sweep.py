@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import evaluate, kmeans
+from ..operators import evaluate, kernels, kmeans, mixture
 from . import engine
 
 
@@ -56,20 +56,46 @@ def collected(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def rank_sweep(sets: dict[str, DataFrame], modelname: str, k: int, ranks: tuple[int, ...], inner: int = 1, subject: str = "subject", **options) -> DataFrame:
-    """Fit each rank on the set ``train``, starting from the parameters of the next lower one, and give each
-    set's mean log-likelihood by subject."""
+def rank_sweep(sets: dict[str, DataFrame], modelname: str, ks: int | tuple[int, ...], ranks: tuple[int, ...], inner: int = 1, subject: str = "subject", **options) -> DataFrame:
+    """Fit each order and rank on the set ``train``, ``inner`` times, each rank from the parameters of the next lower
+    one, and give each set's mean log-likelihood by subject.
+
+    Every order and restart is a chain of fits, and all chains share their passes over the data, each at the rank that
+    it has reached; what has stopped leaves the pass. All models are then scored in one pass over each set."""
+    orders = (ks,) if isinstance(ks, int) else ks
+    o = engine.Options(**options)
+    families = {rank: engine.family_of(sets["train"], modelname, rank, o) for rank in sorted(ranks)}
+
+    def chain(k: int, run: int) -> kernels.Fit:
+        theta, out = None, []
+        for rank, family in families.items():
+            start = theta if theta is not None else (yield from mixture.uniform_start(family, k, run))
+            model = yield from engine.trainer(family, o)(start)
+            theta = model.theta
+            out.append((k, rank, run, model))
+        return out
+
+    spread = spread_out(sets["train"]).cache()
+    try:
+        mixture.validate(spread, next(iter(families.values())))
+        fitted = [m for chain_ in kernels.together(spread, [chain(k, run) for k in orders for run in range(inner)]) for m in chain_]
+    finally:
+        spread.unpersist()
+    names = sets["train"].sparkSession.createDataFrame([(i, modelname, k, str(rank), run) for i, (k, rank, run, _) in enumerate(fitted)], "model int, modelname string, K int, rank string, inner int")
     rows = []
-    for run in range(inner):
-        model = None
-        for rank in sorted(ranks):
-            model = engine.train(sets["train"], k, modelname, rank=rank, params=model.theta if model else None, seed=run, **options)
-            for name, df in sets.items():
-                scored = model.score(df).groupBy(F.col(subject).alias("Subject")).agg(F.avg("loglik").alias("loglik"))
-                rows.append(scored.select(F.lit(modelname).alias("modelname"), F.lit(k).alias("K"), F.lit(str(rank)).alias("rank"), F.lit(run).alias("inner"), F.lit(name).alias("Set"), "Subject", F.round("loglik", 4).alias("loglik")))
+    for name, df in sets.items():
+        scored = mixture.mean_logliks(df, [m for *_, m in fitted], subject).join(F.broadcast(names), "model")
+        rows.append(scored.select("modelname", "K", "rank", "inner", F.lit(name).alias("Set"), F.col(subject).alias("Subject"), F.round("loglik", 4).alias("loglik")))
     return collected(rows)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """The observations alone; a frame of fewer partitions than cores, which is small, is spread over them."""
+    out = df.select(*kernels.columns_of(df))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out
+
+
 def posterior_rows(model, df: DataFrame) -> DataFrame:
     """Rows with loglik and post: of clusters the similarity and the part as a posterior of 0 and 1."""
     scored = engine.score(df, model)
