@@ -131,3 +131,12 @@ def assignment(cost: np.ndarray) -> np.ndarray:
         if owner[j] != n:
             out[owner[j]] = j
     return out
+
+
+def signed_rank_two_sided(n: int, w: float) -> float:
+    """P of a smaller sum of n signed ranks of at most ``w`` when signs are by chance: of the 2^n choices of ranks, how
+    many have which sum, one rank after the other, in whole numbers."""
+    ways = [1]
+    for rank in range(1, n + 1):
+        ways = [(ways[s] if s < len(ways) else 0) + (ways[s - rank] if s >= rank else 0) for s in range(len(ways) + rank)]
+    return min(1.0, 2 * sum(ways[: int(w) + 1]) / (1 << n))

@@ -13,7 +13,7 @@ alone. No task holds more than a piece, or the summaries of one sequence, K x K
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -350,70 +350,88 @@ def _unpacked(raw: bytes, family: Family) -> np.ndarray:
     return (x.view(complex) if family.is_complex else x).reshape(-1, *family.shape)
 
 
+@dataclass
+class State:
+    """What a step of training asks the sums of."""
+
+    family: Family
+    theta: Params
+    delta: np.ndarray
+    t: np.ndarray
+
+
+def _shapes(m: State) -> dict[str, tuple[int, ...]]:
+    k, p = len(m.delta), m.family.p
+    return {"loglik": (1,), "first": (k,), "pairs": (k, k), "weight": (k,), moment_name(m.family): (k, p, p)}
+
+
 @dataclass
 class Sequences:
-    """Observations in order, cached: a row for each piece, ``number`` null of whole sequences."""
+    """Observations in order, cached: a row for each piece; ``part`` where a sequence has several."""
 
     pieces: DataFrame
     cut: bool
-    family: Family
 
-    def sums(self, theta: Params, delta: np.ndarray, t: np.ndarray) -> Sums:
-        """loglik, first (states of the sequences' first rows), pairs (transitions), weight (states) and the family's
-        moment, by forward and backward passes."""
-        family, k = self.family, len(delta)
-        log_delta, log_t = logs(delta, t)
-        name, p = moment_name(family), family.p
-        shapes = {"loglik": (1,), "first": (k,), "pairs": (k, k), "weight": (k,), name: (k, p, p)}
+    def sums(self, models: list[State]) -> list[Sums]:
+        """For each model loglik, first (states of the sequences' first rows), pairs (transitions), weight (states) and
+        the family's moment, by forward and backward passes; all models in one pass over the pieces."""
+        shapes = [_shapes(m) for m in models]
+        log = [logs(m.delta, m.t) for m in models]
 
         def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                of = [summary(family.log_pdf(_unpacked(raw, family), theta), log_t, False) for raw in batch.column("data").to_pylist()]
-                yield pa.record_batch([batch.column("seq_id"), batch.column("piece"), pa.array(of, pa.binary())], names=["seq_id", "piece", "summary"])
+                of = [[summary(m.family.log_pdf(_unpacked(raw, m.family), m.theta), log_t, False) for m, (_, log_t) in zip(models, log, strict=True)] for raw in batch.column("data").to_pylist()]
+                yield pa.record_batch([batch.column("seq_id"), batch.column("piece"), pa.array(of, pa.list_(pa.binary()))], names=["seq_id", "piece", "summaries"])
 
         def around(rows: pd.DataFrame) -> pd.DataFrame:
-            rows, ms = _summaries(rows)
-            before, after, now = [None], [None], None
-            for m in ms[:-1]:
-                now = chained(entered(m, now, log_delta, log_t, False), m[1:], False)
-                now = now - lse(now, 0)
-                before.append(now.tobytes())
-            now = np.zeros(k)
-            for m in ms[:0:-1]:
-                now = lse(log_t + (m[0] + lse(m[1:] + now, 1)), 1)
-                now = now - now.max()
-                after.append(now.tobytes())
-            return pd.DataFrame({"of": rows["piece"], "before": before, "after": after[::-1]})
+            rows = rows.sort_values("piece")
+            before, after = [[] for _ in range(len(rows))], [[] for _ in range(len(rows))]
+            for i, (log_delta, log_t) in enumerate(log):
+                _, ms = _summaries(pd.DataFrame({"piece": rows["piece"], "summary": [s[i] for s in rows["summaries"]]}))
+                now = None
+                for n, m in enumerate(ms):
+                    before[n].append(None if now is None else now.tobytes())
+                    now = chained(entered(m, now, log_delta, log_t, False), m[1:], False)
+                    now = now - lse(now, 0)
+                now = np.zeros(len(log_delta))
+                for n in range(len(ms) - 1, -1, -1):
+                    after[n].append(None if n == len(ms) - 1 else now.tobytes())
+                    now = lse(log_t + (ms[n][0] + lse(ms[n][1:] + now, 1)), 1)
+                    now = now - now.max()
+            return pd.DataFrame({"of": rows["piece"], "before": before, "after": after})
+
+        def one(m: State, log_delta: np.ndarray, log_t: np.ndarray, x: np.ndarray, before: bytes | None, after: bytes | None) -> Sums:
+            lp = m.family.log_pdf(x, m.theta)
+            enter = None if before is None else np.frombuffer(before)
+            start = log_delta if enter is None else chained(enter, log_t, False)
+            value, post, pairs = smoothed(lp, start, log_t, None if after is None else np.frombuffer(after))
+            if enter is not None:  # the transition into the piece
+                move = np.exp(enter)[:, None] * np.exp(log_t)
+                into = move.sum(0)
+                pairs = pairs + move / np.where(into > 0, into, 1) * post[0]
+            first = post[0] if enter is None else np.zeros(len(log_delta))
+            return {"loglik": np.array([value]), "first": first, "pairs": pairs, "weight": post.sum(0), moment_name(m.family): m.family.moments(x, post, m.theta)}
 
         def added(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
             total = None
             for batch in batches:
                 for raw, before, after in zip(*(batch.column(c).to_pylist() for c in ("data", "before", "after")), strict=True):
-                    x = _unpacked(raw, family)
-                    lp = family.log_pdf(x, theta)
-                    enter = None if before is None else np.frombuffer(before)
-                    start = log_delta if enter is None else chained(enter, log_t, False)
-                    value, post, pairs = smoothed(lp, start, log_t, None if after is None else np.frombuffer(after))
-                    first = post[0] if enter is None else np.zeros(k)
-                    if enter is not None:  # the transition into the piece
-                        move = np.exp(enter)[:, None] * np.exp(log_t)
-                        into = move.sum(0)
-                        pairs = pairs + move / np.where(into > 0, into, 1) * post[0]
-                    got = flat({"loglik": np.array([value]), "first": first, "pairs": pairs, "weight": post.sum(0), name: family.moments(x, post, theta)}, shapes)
-                    total = got if total is None else total + got
+                    got = [flat(one(m, *log[i], _unpacked(raw, m.family), before and before[i], after and after[i]), shapes[i]) for i, m in enumerate(models)]
+                    total = np.concatenate(got) if total is None else total + np.concatenate(got)
             return total
 
+        none = F.lit(None).cast("array<binary>")
+        rows = self.pieces.select("data", none.alias("before"), none.alias("after"))
         if self.cut:
-            cut = self.pieces.where("part").select("seq_id", "piece", "data").mapInArrow(summaries, f"seq_id {_type(self.pieces, 'seq_id')}, piece long, summary binary")
-            sides = cut.groupBy("seq_id").applyInPandas(around, "of long, before binary, after binary")
+            cut = self.pieces.where("part").select("seq_id", "piece", "data").mapInArrow(summaries, f"seq_id {_type(self.pieces, 'seq_id')}, piece long, summaries array<binary>")
+            sides = cut.groupBy("seq_id").applyInPandas(around, "of long, before array<binary>, after array<binary>")
             rows = self.pieces.join(sides, F.col("piece") == F.col("of"), "left").select("data", "before", "after")
-        else:
-            rows = self.pieces.select("data", F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("after"))
-        numbers = sum(int(np.prod(s)) * (2 if n.startswith("c_") else 1) for n, s in shapes.items())
-        return shaped(totals(rows, added, numbers, few(self.pieces, numbers)), shapes)
+        sizes = [sum(int(np.prod(s)) * (2 if n.startswith("c_") else 1) for n, s in one.items()) for one in shapes]
+        total = totals(rows, added, sum(sizes), few(self.pieces, sum(sizes)))
+        return [shaped(v, one) for v, one in zip(np.split(total, np.cumsum(sizes)[:-1]), shapes, strict=True)]
 
 
-def cut_up(df: DataFrame, family: Family, rows: int = ROWS) -> Sequences:
+def cut_up(df: DataFrame, rows: int = ROWS) -> Sequences:
     """Store a frame's observations (seq_id, t, the observation) in order; sequences that turn out to lie in one piece
     are whole."""
     kind, columns = kind_of(df), columns_of(df)
@@ -425,47 +443,86 @@ def cut_up(df: DataFrame, family: Family, rows: int = ROWS) -> Sequences:
 
     held = kept(in_order(df, *columns).mapInArrow(each, f"seq_id {_type(df, 'seq_id')}, piece long, part boolean, data binary"), "sequences")
     several = held.where("part").groupBy("seq_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("seq_id").alias("s"))
-    pieces = held.join(several, F.col("seq_id").eqNullSafe(F.col("s")), "left").withColumn("part", F.col("part") & F.col("s").isNotNull()).drop("s") if held.where("part").limit(1).count() else held
-    pieces = pieces.cache()
-    return Sequences(pieces, pieces.where("part").limit(1).count() > 0, family)
+    cut = several.limit(1).count() > 0
+    if cut:
+        pieces = held.join(several, F.col("seq_id").eqNullSafe(F.col("s")), "left").withColumn("part", F.col("s").isNotNull()).drop("s")
+    else:
+        pieces = held.withColumn("part", F.lit(False))
+    return Sequences(pieces.cache(), cut)
 
 
-def fit(df: DataFrame, mixture: Mixture, k: int, tol: float = 1e-8, max_iter: int = 100, num_comparison: int = 10, lr: float = 0.0, decrease_lr_on_plateau: bool = False, rows: int = ROWS) -> Hmm:
-    """From a mixture's parameters by Baum-Welch, or with ``lr`` by gradient steps of that rate, whose gradients are
-    the sums of the same pass. ``df``: seq_id, t and the observation."""
-    family = mixture.family
-    validate(df, family)
-    t, delta = transitions(mixture.score(df), k, rows)
-    sequences = cut_up(df, family, rows)
-    theta, curve, best = mixture.theta, [], None
+#: Yields what it asks the sums of, is sent them, returns a model.
+Training = Generator[State, Sums, Hmm]
+
+
+def training(family: Family, theta: Params, delta: np.ndarray, t: np.ndarray, tol: float = 1e-8, max_iter: int = 100, num_comparison: int = 10, lr: float = 0.0, decrease_lr_on_plateau: bool = False) -> Training:
+    """Baum-Welch from parameters, or with ``lr`` gradient steps of that rate, whose gradients are the same sums."""
+    best = Hmm(family, theta, delta, t)
+    curve: list[float] = []
     adam = gradient.Adam(lr)
     plateau = gradient.Plateau(adam, tol, num_comparison, decrease_lr_on_plateau)
     free = gradient.to_free(family, theta | {"pi": delta}) | {"T": gradient.logits(t)} if lr else {}
-    try:
-        for _ in range(max_iter):
-            if lr:
-                theta = gradient.to_natural(family, {n: v for n, v in free.items() if n != "T"})
-                delta, t = theta["pi"], gradient.soft(free["T"])
-            got = sequences.sums(theta, delta, t)
-            curve.append(float(got["loglik"][0]))
-            if np.isnan(curve[-1]):
-                raise FloatingPointError("the log-likelihood is not a number")
-            if best is None or curve[-1] > max(curve[:-1]):
-                best = Hmm(family, theta, delta, t)
-            best.curve = curve[:]
-            if lr:
-                up = gradient.emission(family, free, theta, got["weight"], got[moment_name(family)])
-                up |= {"pi": got["first"] - got["first"].sum() * delta, "T": got["pairs"] - got["pairs"].sum(1, keepdims=True) * t}
-                free = adam.step(free, up)
-                if plateau.reached(curve):
-                    break
-                continue
-            recent = curve[-num_comparison:]
-            if len(curve) > num_comparison and (max(recent) - sorted(recent)[-2]) / abs(max(recent)) < tol:
+    for _ in range(max_iter):
+        if lr:
+            theta = gradient.to_natural(family, {n: v for n, v in free.items() if n != "T"})
+            delta, t = theta["pi"], gradient.soft(free["T"])
+        got = yield State(family, theta, delta, t)
+        curve.append(float(got["loglik"][0]))
+        if np.isnan(curve[-1]):
+            raise FloatingPointError("the log-likelihood is not a number")
+        if curve[-1] == max(curve):
+            best = Hmm(family, theta, delta, t)
+        if lr:
+            up = gradient.emission(family, free, theta, got["weight"], got[moment_name(family)])
+            up |= {"pi": got["first"] - got["first"].sum() * delta, "T": got["pairs"] - got["pairs"].sum(1, keepdims=True) * t}
+            free = adam.step(free, up)
+            if plateau.reached(curve):
                 break
-            delta = got["first"] / got["first"].sum()
-            t = got["pairs"] / np.maximum(got["pairs"].sum(1, keepdims=True), 1e-300)
-            theta = family.finish(got[moment_name(family)], got["weight"], theta) | {"pi": got["weight"] / got["weight"].sum()}
+            continue
+        recent = curve[-num_comparison:]
+        if len(curve) > num_comparison and (max(recent) - sorted(recent)[-2]) / abs(max(recent)) < tol:
+            break
+        delta = got["first"] / got["first"].sum()
+        t = got["pairs"] / np.maximum(got["pairs"].sum(1, keepdims=True), 1e-300)
+        theta = family.finish(got[moment_name(family)], got["weight"], theta) | {"pi": got["weight"] / got["weight"].sum()}
+    best.curve = curve
+    return best
+
+
+def trained(sequences: Sequences, fits: list[Training]) -> list[Hmm]:
+    """Run fits with one pass for all that still ask."""
+    results: list[Hmm | None] = [None] * len(fits)
+    asks: dict[int, State] = {}
+
+    def on(i: int, sums: Sums | None) -> None:
+        try:
+            asks[i] = fits[i].send(sums)
+        except StopIteration as end:
+            results[i] = end.value
+            asks.pop(i, None)
+
+    for i in range(len(fits)):
+        on(i, None)
+    while asks:
+        served = list(asks)
+        for i, sums in zip(served, sequences.sums([asks[i] for i in served]), strict=True):
+            on(i, sums)
+    return results
+
+
+def fit_all(df: DataFrame, mixtures: list[Mixture], tol: float = 1e-8, max_iter: int = 100, num_comparison: int = 10, lr: list[float] | None = None, decrease_lr_on_plateau: bool = False, rows: int = ROWS) -> list[Hmm]:
+    """A model from each mixture's parameters; all share their passes. ``lr``: each one's rate, 0 for Baum-Welch."""
+    for m in mixtures:
+        validate(df, m.family)
+    starts = [transitions(m.score(df), len(m.theta["pi"]), rows) for m in mixtures]
+    sequences = cut_up(df, rows)
+    try:
+        return trained(sequences, [training(m.family, m.theta, delta, t, tol, max_iter, num_comparison, rate, decrease_lr_on_plateau) for m, (t, delta), rate in zip(mixtures, starts, lr or [0.0] * len(mixtures), strict=True)])
     finally:
         sequences.pieces.unpersist()
-    return best
+
+
+def fit(df: DataFrame, mixture: Mixture, k: int, tol: float = 1e-8, max_iter: int = 100, num_comparison: int = 10, lr: float = 0.0, decrease_lr_on_plateau: bool = False, rows: int = ROWS) -> Hmm:
+    """From a mixture's parameters by Baum-Welch, or with ``lr`` by gradient steps of that rate. ``df``: seq_id, t and
+    the observation."""
+    return fit_all(df, [mixture], tol, max_iter, num_comparison, [lr], decrease_lr_on_plateau, rows)[0]

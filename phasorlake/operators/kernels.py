@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Numbers that the driver takes from all partitions of a pass to add up; where they would be more, Spark does.
-FEW = 1 << 22
+FEW = 1 << 24
 #: Numbers that a pass sums up in each task; fits beyond wait for their turn.
 WIDE = 1 << 24
 Kernel = Callable[[np.ndarray, pa.RecordBatch], dict[str, np.ndarray]]
@@ -129,8 +129,8 @@ def shaped(values: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> Sums:
     return out
 
 
-def asked(df: DataFrame, asks: list[Ask]) -> list[Sums]:
-    """The sums that each asks for, in one pass."""
+def asked(df: DataFrame, asks: list[Ask], extra: tuple[str, ...] = ()) -> list[Sums]:
+    """The sums that each asks for, in one pass. ``extra``: columns that kernels read from the batch."""
     kind, columns = kind_of(df), columns_of(df)
     ends = np.cumsum([a.size for a in asks])
 
@@ -144,7 +144,7 @@ def asked(df: DataFrame, asks: list[Ask]) -> list[Sums]:
         return total
 
     driver = few(df, int(ends[-1]))
-    total = totals(df.select(*columns), sums_of, int(ends[-1]), driver)
+    total = totals(df.select(*columns, *extra), sums_of, int(ends[-1]), driver)
     return [shaped(v, a.shapes) for v, a in zip(np.split(total, ends[:-1]), asks, strict=True)]
 
 
@@ -152,7 +152,7 @@ def summed(df: DataFrame, kernel: Kernel, shapes: dict[str, tuple[int, ...]]) ->
     return asked(df, [Ask(kernel, shapes)])[0]
 
 
-def together(df: DataFrame, fits: list[Fit]) -> list[Any]:
+def together(df: DataFrame, fits: list[Fit], extra: tuple[str, ...] = ()) -> list[Any]:
     """What each fit returns. In every pass those that still run are served, the first ones of them up to WIDE
     numbers; a fit that runs has its turn in every pass until it ends."""
     results: list[Any] = [None] * len(fits)
@@ -171,7 +171,7 @@ def together(df: DataFrame, fits: list[Fit]) -> list[Any]:
             on(waiting.pop(0), None)
         if asks:
             served = list(asks)
-            for i, sums in zip(served, asked(df, [asks[i] for i in served]), strict=True):
+            for i, sums in zip(served, asked(df, [asks[i] for i in served], extra), strict=True):
                 on(i, sums)
     return results
 

@@ -114,7 +114,7 @@ def randomise_phase(df: DataFrame, keys: list[str] = SERIES, seed: int = 0) -> D
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        rng = np.random.default_rng([seed, *(abs(hash(str(rows[k].iloc[0]))) % 2**31 if not isinstance(rows[k].iloc[0], (int, np.integer)) else int(rows[k].iloc[0]) for k in keys)])
+        rng = np.random.default_rng([seed, *(zlib.crc32(str(rows[k].iloc[0]).encode()) for k in keys)])
         f = np.fft.fft(rows["value"].to_numpy())
         return rows[[*keys, "t"]].assign(value=np.abs(np.fft.ifft(f * np.exp(1j * rng.uniform(0, 2 * np.pi, len(f))))))
 
@@ -317,8 +317,13 @@ def _uniform(column: Column, seed: int, salt: int) -> Column:
 
 def noisy_phases(spark: SparkSession, centres: list[list[float]], n: int, noise: float, seed: int = 0) -> DataFrame:
     """obs_id, truth, theta: ``n`` rows for each centre of phases, with uniform noise of total width ``noise``."""
-    p = len(centres[0])
     rows = spark.range(n * len(centres)).select(F.col("id").alias("obs_id"), F.floor(F.col("id") / n).cast("int").alias("truth"))
+    return noisy(rows, centres, noise, seed)
+
+
+def noisy(rows: DataFrame, centres: list[list[float]], noise: float, seed: int = 0) -> DataFrame:
+    """obs_id, truth, theta of rows with obs_id and truth, the number of their centre."""
+    p = len(centres[0])
     table = F.array(*(vec.literal(c) for c in centres))
     noisy = [F.get(F.get(table, F.col("truth")), F.lit(i)) + (_uniform(F.col("obs_id"), seed, i) - 0.5) * noise for i in range(p)]
     return rows.select("obs_id", "truth", F.array(*noisy).alias("theta"))
@@ -327,6 +332,11 @@ def noisy_phases(spark: SparkSession, centres: list[list[float]], n: int, noise:
 def great_circles(spark: SparkSession, n: int, scale: float = 0.1, seed: int = 0) -> DataFrame:
     """obs_id, truth, x: two noisy great circles on the sphere, to unit length."""
     rows = spark.range(2 * n).select(F.col("id").alias("obs_id"), F.floor(F.col("id") / n).cast("int").alias("truth"))
+    return on_circles(rows, scale, seed)
+
+
+def on_circles(rows: DataFrame, scale: float = 0.1, seed: int = 0) -> DataFrame:
+    """obs_id, truth, x of rows with obs_id and truth, 0 or 1 for the circle."""
     u = lambda s: _uniform(F.col("obs_id"), seed, s)
     normal = lambda s: F.sqrt(-2 * F.log(u(s))) * F.cos(2 * np.pi * u(s + 1)) * (scale / 4)
     angle = 2 * np.pi * u(0)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import normal_two_sided, t_two_sided
+from ..functions.special import normal_two_sided, signed_rank_two_sided, t_two_sided
 
 
 def hotelling(df: DataFrame, re: Column, im: Column, mu: complex = 0) -> DataFrame:
@@ -50,14 +50,28 @@ def ranked_differences(df: DataFrame, d: Column, cuts: int = 200) -> DataFrame:
     return rows.join(mid, F.abs(rows["d"]) == mid["size"]).select("d", "r", "c")
 
 
-def wilcoxon(df: DataFrame, a: str, b: str, times: int = 1) -> dict[str, float]:
-    """Signed-rank sums and two-sided p by the normal approximation with its correction for ties."""
-    rows = ranked_differences(df, F.col(a) - F.col(b))
-    r = rows.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("minus"), F.sum((F.col("c") * F.col("c") - 1).cast("double")).alias("ties")).first()
+#: Differences up to which the signed-rank distribution is counted out, where none are 0 or equal.
+COUNTED = 50
+
+
+def wilcoxon(df: DataFrame, a: str, b: str, times: int = 1, method: str = "auto") -> dict[str, float]:
+    """Signed-rank sums and two-sided p: ``exact`` by the distribution of the sums, ``approx`` by the normal one with
+    its correction for ties, ``auto`` exact for COUNTED differences at most if none are 0 or of equal size. Without a
+    difference other than 0, p is 1."""
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"no such method: {method}")
+    d = F.col(a) - F.col(b)
+    rows = ranked_differences(df, d)
+    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("r")).otherwise(0.0)), F.lit(0.0))
+    r = rows.agg(F.count("*").alias("n"), side(F.col("d") > 0).alias("plus"), side(F.col("d") < 0).alias("minus"), F.coalesce(F.sum((F.col("c") * F.col("c") - 1).cast("double")), F.lit(0.0)).alias("ties")).first()
     n, w = r["n"], min(r["plus"], r["minus"])
+    if method == "auto":
+        whole = n <= COUNTED and r["ties"] == 0 and df.where(d == 0).limit(1).count() == 0
+        method = "exact" if whole else "approx"
     variance = n * (n + 1) * (2 * n + 1) / 24 - r["ties"] / 48
-    z = (w - n * (n + 1) / 4) / math.sqrt(variance)
-    return {"n": n, "plus": r["plus"], "minus": r["minus"], "z": z, "p": min(1.0, times * normal_two_sided(z))}
+    z = (w - n * (n + 1) / 4) / math.sqrt(variance) if variance > 0 else 0.0
+    p = signed_rank_two_sided(n, w) if method == "exact" else normal_two_sided(z)
+    return {"n": n, "plus": r["plus"], "minus": r["minus"], "z": z, "p": min(1.0, times * p)}
 
 
 def permutation_blocks(spark, matrix: np.ndarray, network: np.ndarray, n: int = 1000, seed: int = 0) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.special import log_kummer, log_sphere
-from ..operators import evaluate, hmm, kmeans, mixture, signal, stats, supervised
+from ..operators import evaluate, gradient, hmm, kmeans, mixture, signal, stats, supervised
 from ..operators.families import Family
+from . import engine, phase_runs, sweep
 from . import fixtures as fx
-from . import sweep
 from .fixtures import rounded
 
 QUERIES: dict = {}
@@ -444,6 +444,32 @@ def m11_normal_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, _one_pass(o, Family("Normal", (64,)), theta)[1])
 
 
+@query(f"""WITH {_POST3}, d AS (SELECT pw.k, p / (1 - {_b.replace("k", "pw.k")} / (1 + {_b.replace("k", "pw.k")}) * s) * list_dot_product(x, c) AS w, p, x FROM pw JOIN sim ON sim.obs_id = pw.obs_id AND sim.k = pw.k JOIN obs ON obs.obs_id = pw.obs_id JOIN cen ON cen.k = pw.k),
+v AS (SELECT k, i, sum(w * y) * sqrt({_b}) / (1 + {_b}) AS v, sum(p) AS weight FROM (SELECT k, w, p, unnest(range(64)) AS i, unnest(x) AS y FROM d) GROUP BY k, i), c AS (SELECT k, unnest(range(64)) AS i, unnest(c) AS c FROM cen WHERE k < 3),
+along AS (SELECT k, sum(v * c) AS a FROM v JOIN c USING (k, i) GROUP BY k),
+g AS (SELECT k, i, sqrt({_b}) * c AS m, 2 * (-0.5 * weight * sqrt({_b}) * c / (1 + {_b}) + 32 * (v - c * {_b} * a / (1 + {_b}))) AS g FROM v JOIN c USING (k, i) JOIN along USING (k)),
+f AS (SELECT k, -1 AS i, ln(1 / 3.0::DOUBLE) AS m, weight - sum(weight) OVER () / 3 AS g FROM (SELECT k, any_value(weight) AS weight FROM v GROUP BY k)), every AS (FROM g UNION ALL FROM f)
+SELECT k::INT AS k, i::INT AS i, {R("g")} AS gradient, {R("m + 0.1 * g / (abs(g) + 1e-8)")} AS moved FROM every""")
+def l2_gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradients of three low-rank components and (i = -1) of the logarithms of pi, and the first step at rate 0.1."""
+    o = fx.observations(spark, sf_dir)
+    family, theta = Family("ACG", (64,), rank=1), _spikes(first_of_each(o)[:3], True)
+    got, free = mixture.em_pass(o, family, theta), gradient.to_free(family, theta)
+    up = gradient.emission(family, free, theta, got["weight"], got["moment"]) | {"pi": got["weight"] - got["weight"].sum() * theta["pi"]}
+    moved = gradient.Adam(0.1).step(free, up)
+    rows = [(k, i, float(up["M"][k, i, 0]), float(moved["M"][k, i, 0])) for k in range(3) for i in range(64)]
+    rows += [(k, -1, float(up["pi"][k]), float(moved["pi"][k])) for k in range(3)]
+    return rounded(spark.createDataFrame(rows, "k int, i int, gradient double, moved double"))
+
+
+@query()
+def l2_gradient_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture trained by gradient steps with a cut of the rate, two restarts in the same passes."""
+    o = fx.observations(spark, sf_dir)
+    m = engine.train(o, 2, "ACG", rank=2, LR=0.1, decrease_lr_on_plateau=True, num_repl=2, tol=1e-7)
+    return rounded(m.score(o).select("obs_id", "truth", "loglik", vec.argmax(F.col("post")).alias("part")), 4)
+
+
 def _fitted(df: DataFrame, family: Family, k: int = 3, init: str = "uniform") -> DataFrame:
     m = mixture.fit(df, family, k, init)
     return rounded(m.score(df).select("obs_id", "truth", "loglik", vec.argmax(F.col("post")).alias("part")), 4)
@@ -504,6 +530,19 @@ def h3_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hmm.likelihoods(fx.sequences(spark, sf_dir), _DELTA, _T))
 
 
+_ONE = fx.SEQUENCES.replace("seq AS (", "each_ AS (") + ", seq AS (SELECT 0::BIGINT AS seq_id, t, p, a, b FROM each_)"
+
+
+def one_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.sequences(spark, sf_dir).withColumn("seq_id", F.lit(0).cast("long"))
+
+
+@query(ORACLE_SQL["h3_forward"].replace(fx.SEQUENCES, _ONE))
+def h3_one_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows as one sequence, in pieces of 1,000."""
+    return rounded(hmm.likelihoods(one_sequence(spark, sf_dir), _DELTA, _T, rows=1_000))
+
+
 def _viterbi(last: str) -> str:
     """path (seq_id, n, t, state): scores forwards with the better state before each, then back from the end."""
     go = lambda a, b: f"CASE WHEN f.x + ln({a}::DOUBLE) >= f.y + ln({b}::DOUBLE) THEN"
@@ -521,6 +560,11 @@ def h6_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.viterbi(fx.sequences(spark, sf_dir), _DELTA, _T)
 
 
+@query(ORACLE_SQL["h6_viterbi"].replace(fx.SEQUENCES, _ONE))
+def h6_one_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.viterbi(one_sequence(spark, sf_dir), _DELTA, _T, rows=1_000)
+
+
 @query(f"SELECT seq_id, t, i, CASE WHEN state = i THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM (SELECT *, unnest([0, 1]) AS i FROM ({_viterbi('SELECT o.seq_id, o.t, state')}))")
 def h7_path_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = hmm.viterbi(fx.sequences(spark, sf_dir), _DELTA, _T)
@@ -671,6 +715,30 @@ def t4_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_one_row(spark, stats.wilcoxon(li, "a", "b")))
 
 
+_TWELVE = fx.OBSERVATIONS + """, pair AS (SELECT obs_id % 12 AS g, avg(x[1]) AS a, avg(x[2] + 0.02::DOUBLE) AS b FROM obs GROUP BY ALL), dif AS (SELECT a - b AS d FROM pair)"""
+
+
+def _twelve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return fx.observations(spark, sf_dir).groupBy((F.col("obs_id") % 12).alias("g")).agg(F.avg(x[0]).alias("a"), F.avg(x[1] + 0.02).alias("b"))
+
+
+# every choice of signs of twelve ranks
+@query(f"""WITH {_TWELVE}, r AS (SELECT d, row_number() OVER (ORDER BY abs(d)) AS r FROM dif), s AS (SELECT count(*) AS n, sum(r) FILTER (d > 0) AS plus, sum(r) FILTER (d < 0) AS minus FROM r),
+signs AS (SELECT (SELECT sum(r * ((c >> (r - 1)) & 1)) FROM r) AS w FROM range(4096) AS x(c))
+SELECT n::DOUBLE AS n, coalesce(plus, 0)::DOUBLE AS plus, coalesce(minus, 0)::DOUBLE AS minus, {R("(least(coalesce(plus, 0), coalesce(minus, 0)) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE)")} AS z,
+{R("least(1, 2 * (SELECT count(*) FROM signs WHERE w <= least(coalesce(plus, 0), coalesce(minus, 0))) / 4096.0::DOUBLE)")} AS p FROM s""")
+def t4_exact_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_one_row(spark, stats.wilcoxon(_twelve(spark, sf_dir), "a", "b")))
+
+
+# both tails of a t distribution with eleven degrees, a finite sum in the cosine of an angle
+@query(f"""WITH {_TWELVE}, t AS (SELECT count(*)::DOUBLE AS n, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM dif), h AS (SELECT *, atan(abs(t) / sqrt(11.0::DOUBLE)) AS h FROM t)
+SELECT n, {R("t")} AS t, {R("least(1, 3 * (1 - 2 / pi() * (h + sin(h) * (cos(h) + 2 / 3.0::DOUBLE * pow(cos(h), 3) + 8 / 15.0::DOUBLE * pow(cos(h), 5) + 16 / 35.0::DOUBLE * pow(cos(h), 7) + 128 / 315.0::DOUBLE * pow(cos(h), 9)))))")} AS p FROM h""")
+def t3_few_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_one_row(spark, stats.paired_t(_twelve(spark, sf_dir), "a", "b", 3)))
+
+
 @query()
 def t5_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.permutation_blocks(spark, signal.mean_coherence(fx.observations(spark, sf_dir)), np.arange(64) % 4))
@@ -679,19 +747,26 @@ def t5_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- supervised models and sweeps -----------------------------------------------------------------
 
 
+def _held_out(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Four fifths of the rows are learnt from, with the choice of parameters over their folds; all are predicted."""
+    o = fx.observations(spark, sf_dir)
+    held = F.col("obs_id") % 5 == 0
+    return supervised.fit_predict(o.where(~held), kind, o).withColumn("held_out", held)
+
+
 @query()
 def c1_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supervised.fit_predict(fx.observations(spark, sf_dir), "logistic")
+    return _held_out(spark, sf_dir, "logistic")
 
 
 @query()
 def c2_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supervised.fit_predict(fx.observations(spark, sf_dir), "linear-svm")
+    return _held_out(spark, sf_dir, "linear-svm")
 
 
 @query()
 def c3_rbf_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supervised.fit_predict(fx.observations(spark, sf_dir), "rbf-svm")
+    return _held_out(spark, sf_dir, "rbf-svm")
 
 
 _MEANS = fx.RESULTS + ', m AS (SELECT modelname, "K", rank, "inner", avg(loglik) AS loglik, avg(nmi) AS nmi FROM res GROUP BY ALL)'
@@ -769,3 +844,19 @@ def e13_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fx.observations(spark, sf_dir).withColumn("truth", F.col("truth") % 4).withColumn("subject", F.col("obs_id") % 7)
     halves = {name: o.where(F.col("obs_id") % 2 == k) for k, name in enumerate(("train", "test1"))}
     return rounded(sweep.run(halves, "ACG", 4, rank=2)[1], 4)
+
+
+@query()
+def c7_phase_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase-controlled scans made from the embeddings, a model fitted on the first by EM and by gradient steps, with
+    and without a hidden Markov model, from random and from grown starts."""
+    o = fx.observations(spark, sf_dir).withColumn("scan", F.col("obs_id") % 3).withColumn("t", F.floor(F.col("obs_id") / 3))
+    n = o.groupBy("scan").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    long = o.select("scan", "t", F.posexplode("x").alias("channel", "value"))
+    made = signal.phase_controlled(long, 5, keys=["scan", "channel"])
+    phases = signal.gathered(signal.analytic_phase(made, ["scan", "channel"], 10), ["scan", "t"], "theta", "theta")
+    x = signal.features_for(phases, "ACG", ["scan", "t"]).withColumn("obs_id", F.col("scan") * n + F.col("t"))
+    x = x.withColumn("truth", F.least(F.floor(F.col("t") * 5 / n), F.lit(4)).cast("int")).select("obs_id", "truth", "x").cache()
+    out = phase_runs.sweep(phase_runs.scan_slices(x, n), "ACG", 5, ("random", "ALL"), (1, 5), (0.0, 0.1), 1, tol=1e-5, max_iter=2_000)
+    x.unpersist()
+    return rounded(out, 4)

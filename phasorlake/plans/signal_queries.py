@@ -126,17 +126,24 @@ _CIRCLE = lambda truth, other: f"CASE WHEN truth = {truth} THEN sin(angle) ELSE
 _NOISE = lambda salt: f"sqrt(-2 * ln({_U(salt)})) * cos(2 * pi() * {_U(salt + 1)}) * 0.025::DOUBLE"
 
 
-@query(f"""WITH ph AS (SELECT id AS obs_id, id // 1000 AS truth, list_transform([0, 1, 2], lambda i: [[0.0, 2.0, 4.0], [0.0, 1.0, 5.0]][id // 1000 + 1][i + 1]::DOUBLE + ([{_U(0)}, {_U(1)}, {_U(2)}][i + 1] - 0.5) * 0.5) AS theta FROM range(2000) AS x(id)),
-{_LAM} SELECT obs_id, (obs_id // 1000)::INT AS truth, i, {R('v')} AS theta, {R('l1')} AS l1, {R('cos(v - h) / sqrt(l1)')} AS u1, {R('sin(v - h) / sqrt(l2)')} AS u2 FROM lam""")
+_TWO = fx.PHASES + """, two AS (SELECT obs_id AS id, truth % 2 AS truth, theta FROM ph JOIN obs USING (obs_id)), cen AS (SELECT truth, arg_min(theta[1:3], id) AS c FROM two GROUP BY truth)"""
+
+
+@query(f"""WITH {_TWO.replace("ph AS", "given AS").replace("FROM ph", "FROM given")}, ph AS (SELECT id AS obs_id, two.truth, list_transform([0, 1, 2], lambda i: c[i + 1] + ([{_U(0)}, {_U(1)}, {_U(2)}][i + 1] - 0.5) * 0.5) AS theta FROM two JOIN cen ON cen.truth = two.truth),
+{_LAM} SELECT obs_id, truth::INT AS truth, i, {R('v')} AS theta, {R('l1')} AS l1, {R('cos(v - h) / sqrt(l1)')} AS u1, {R('sin(v - h) / sqrt(l2)')} AS u2 FROM lam""")
 def p16_noisy_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = signal.coherence_frames(signal.noisy_phases(spark, [[0.0, 2.0, 4.0], [0.0, 1.0, 5.0]], 1000, 0.5))
+    """Phases around those of the first row of each of two classes."""
+    p = fx.phases(spark, sf_dir).withColumn("truth", (F.col("truth") % 2).cast("int"))
+    centres = [list(r["c"]) for r in p.groupBy("truth").agg(F.min_by(F.slice("theta", 1, 3), "obs_id").alias("c")).orderBy("truth").collect()]
+    f = signal.coherence_frames(signal.noisy(p.select("obs_id", "truth"), centres, 0.5))
     return rounded(long(f, ["obs_id", "truth", "l1"], theta=F.col("theta"), u1=F.col("u1"), u2=F.col("u2")))
 
 
-@query(f"""WITH c AS (SELECT id, id // 1000 AS truth, 2 * pi() * {_U(0)} AS angle FROM range(2000) AS x(id)), y AS (SELECT id, truth, [cos(angle) + {_NOISE(1)}, {_CIRCLE(0, "0.0")} + {_NOISE(3)}, {_CIRCLE(1, "0.0")} + {_NOISE(5)}] AS y FROM c)
+@query(f"""WITH c AS (SELECT vec_id AS id, label % 2 AS truth, 2 * pi() * {_U(0).replace("id ||", "vec_id ||")} AS angle FROM embeddings), y AS (SELECT id, truth, [cos(angle) + {_NOISE(1)}, {_CIRCLE(0, "0.0")} + {_NOISE(3)}, {_CIRCLE(1, "0.0")} + {_NOISE(5)}] AS y FROM c)
 SELECT id AS obs_id, truth::INT AS truth, unnest([0, 1, 2]) AS i, {R("unnest(y) / sqrt(list_dot_product(y, y))")} AS value FROM y""")
 def p17_great_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signal.great_circles(spark, 1000).select("obs_id", "truth", F.posexplode("x").alias("i", "value")))
+    rows = fx.observations(spark, sf_dir).select("obs_id", (F.col("truth") % 2).cast("int").alias("truth"))
+    return rounded(signal.on_circles(rows).select("obs_id", "truth", F.posexplode("x").alias("i", "value")))
 
 
 _TASKS = ", ".join(f"('{t}', {n}, {s})" for t, n, s in signal.TASKS)

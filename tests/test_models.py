@@ -82,31 +82,90 @@ def test_files(spark, tmp_path):
     assert sorted(r.onset for r in files.read_events(spark, str(tmp_path / "e.txt")).collect()) == [1.5, 3.0]
 
 
-@pytest.mark.parametrize(("name", "gammas"), [("c1_logistic", 1), ("c2_linear_svm", 1), ("c3_rbf_svm", 3)])
-def test_supervised_queries_choose_over_folds(spark, monkeypatch, name, gammas):
+@pytest.mark.parametrize(("name", "candidates"), [("c1_logistic", 7), ("c2_linear_svm", 6), ("c3_rbf_svm", 25)])
+def test_supervised_queries_choose_over_folds(spark, monkeypatch, name, candidates):
     seen = []
 
-    def noted(spark, held, kind, steps, n_folds, max_iter, f=supervised.accuracies):
-        seen.append((len(set(steps)), round(max(steps) / min(steps)), n_folds, set(held["fold"])))
-        return f(spark, held, kind, steps[:1], 2, 2)
-
-    monkeypatch.setattr(supervised, "accuracies", noted)
-    assert registry.QUERIES[name](spark, SF).count() == 500
-    assert seen == [(7, 1_000_000, 5, set(range(5)))] * gammas
-
-
-@pytest.mark.parametrize("kind", ["logistic", "linear-svm"])
-def test_small_training_sets_are_fitted_alike(spark, kind):
-    rng = np.random.default_rng(3)
-    truth = rng.integers(0, 3, 300)
-    x = rng.normal(size=(300, 4)) + 2.5 * np.eye(3, 4)[truth]
+    def noted(rows, fits, extra, f=supervised.kernels.together):
+        seen.append(len(fits))
+        return f(rows, fits, extra)
+
+    monkeypatch.setattr(supervised.kernels, "together", noted)
+    monkeypatch.setattr(supervised, "descent", lambda x, max_iter, f=supervised.descent: f(x, 2))
+    got = registry.QUERIES[name](spark, SF).toPandas()
+    assert len(got) == 500 and got["held_out"].sum() == 100 and seen == [5 * candidates, 1]
+
+
+def _classes(n=300, p=4, seed=3):
+    rng = np.random.default_rng(seed)
+    truth = rng.integers(0, 3, n)
+    return truth, rng.normal(size=(n, p)) + 2.5 * np.eye(3, p)[truth]
+
+
+def _objective(kind, model, x, truth, penalty):
+    """Half the squared coefficients plus the penalty times the loss, row by row; hinges rounded at their corner."""
+    count = np.bincount(truth)
+    total = (model.beta[:-1] ** 2).sum() / 2
+    for m, y in zip(model.wide(x) @ model.beta, truth):
+        w = len(truth) / (len(count) * count[y])
+        if kind == "logistic":
+            total += penalty * w * (np.log(np.exp(m - m.max()).sum()) + m.max() - m[y])
+            continue
+        for i, (a, b) in enumerate(itertools.combinations(range(len(count)), 2)):
+            if y in (a, b):
+                short = 1 - m[i] * (1 if y == a else -1)
+                total += penalty * w * (0 if short < 0 else short**2 / 0.1 if short < 0.05 else short - 0.025)
+    return total
+
+
+@pytest.mark.parametrize("kind", supervised.KINDS)
+def test_supervised_fits_reach_their_optimum(spark, kind):
+    truth, x = _classes(120)
+    df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(truth, x))], "obs_id long, truth int, x array<double>")
+    options = {"gammas": ("scale",), "width": 12} if kind == "rbf-svm" else {}
+    chosen, model = supervised.fit(df.repartition(7), kind, grid=(0.3,), max_iter=500, **options)
+    assert chosen["C"] == 0.3
+    low = _objective(kind, model, x, truth, 0.3)
+    rng = np.random.default_rng(0)
+    for _ in range(60):  # no step in any direction goes lower
+        step = rng.normal(size=model.beta.shape) * rng.choice([1e-1, 1e-2, 1e-3])
+        other = supervised.Model(model.kind, 3, model.mean, model.scale, model.beta + step, model.features)
+        assert _objective(kind, other, x, truth, 0.3) > low - 1e-6 * low
+    _, again = supervised.fit(df.coalesce(1), kind, grid=(0.3,), max_iter=500, **options)
+    np.testing.assert_allclose(model.prob(x), again.prob(x), atol=1e-3)
+    if kind != "rbf-svm":
+        np.testing.assert_allclose(model.mean, x.mean(0))
+        np.testing.assert_allclose(model.scale, 1 / x.std(0))
+
+
+@pytest.mark.parametrize("kind", supervised.KINDS)
+def test_cross_validation_over_the_whole_grid(spark, kind):
+    truth, x = _classes()
     df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(truth, x))], "obs_id long, truth int, x array<double>")
     train, test = df.where("obs_id < 200"), df.where("obs_id >= 200")
-    got = {s: {r["obs_id"]: (r["pred"], r["truth"]) for r in supervised.fit_predict(train, kind, test, grid=(1.0,), small=s).collect()} for s in (0, supervised.SMALL)}
-    same = np.mean([got[0][i][0] == got[supervised.SMALL][i][0] for i in got[0]])
-    assert len(got[0]) == 100 and same >= 0.95 and np.mean([p == t for p, t in got[supervised.SMALL].values()]) > 0.85
-    everything = supervised.fit_predict(train, kind, test)
-    assert np.mean([r["pred"] == r["truth"] for r in everything.collect()]) > 0.85
+    options = {"width": 24, "max_iter": 15} if kind == "rbf-svm" else {"max_iter": 30}
+    chosen, model = supervised.fit(train, kind, **options)
+    assert chosen["C"] in supervised.PENALTIES[kind] and chosen["accuracy"] > 0.85
+    # the accuracy of the chosen candidate, one fold after the other
+    fold = {r["obs_id"]: r["fold"] for r in supervised.folded(train, 5, "obs_id").collect()}
+    right = []
+    for f in range(5):
+        learn = train.join(spark.createDataFrame([(i, v) for i, v in fold.items()], "obs_id long, f int"), "obs_id")
+        _, one = supervised.fit(learn.where(F.col("f") != f), kind, grid=(chosen["C"],), gammas=(chosen["gamma"],), **options)
+        held = [i for i, v in fold.items() if v == f]
+        right.append(np.mean(one.prob(x[held]).argmax(1) == truth[held]))
+    assert np.mean(right) == pytest.approx(chosen["accuracy"], abs=0.011)
+    got = supervised.predict(test, model).collect()
+    assert np.mean([r["pred"] == r["truth"] for r in got]) > 0.85 and all(abs(sum(r["prob"]) - 1) < 1e-9 for r in got)
+
+
+def test_odd_training_sets(spark):
+    schema = "obs_id long, truth int, x array<double>"
+    one = spark.createDataFrame([(i, 1, [1.0, 2.0]) for i in range(6)] + [(9, None, [0.0, 0.0])], schema)
+    for kind in supervised.KINDS:  # one class, constant columns, a row without a label
+        assert {r["pred"] for r in supervised.fit_predict(one, kind, max_iter=3).collect()} == {1}
+    with pytest.raises(ValueError):
+        supervised.fit(spark.createDataFrame([], schema), "logistic")
 
 
 @pytest.mark.parametrize(("name", "fits"), [("k2_diametrical", 1), ("m10_normal_lowrank_fit", 2), ("i8_rank_growth", 2), ("h8_hmm_fit", 2), ("c5_rank_sweep", 1)])

@@ -145,7 +145,7 @@ def test_stopped_fits_leave_the_pass(spark, monkeypatch):
         return seen
 
     passes, asked = [], kernels.asked
-    monkeypatch.setattr(kernels, "asked", lambda df, asks: passes.append(len(asks)) or asked(df, asks))
+    monkeypatch.setattr(kernels, "asked", lambda df, asks, extra: passes.append(len(asks)) or asked(df, asks, extra))
     expected = (20.0, [190j, 20j])
     assert kernels.together(df, [counts(1), counts(3), counts(0), counts(2)]) == [[expected], [expected] * 3, [], [expected] * 2]
     assert passes == [3, 2, 1]
@@ -319,7 +319,7 @@ def test_sequence_gradients_equal_finite_differences(spark, switching):
             out += np.logaddexp.reduce(a)
         return out
 
-    got = hmm.cut_up(df, family, 6).sums(theta, delta, t)
+    got = hmm.cut_up(df, 6).sums([hmm.State(family, theta, np.array([0.5, 0.5]), t), hmm.State(family, theta, delta, t)])[1]
     assert got["loglik"][0] == pytest.approx(at(delta, t))
     up_t, up_d = got["pairs"] - got["pairs"].sum(1, keepdims=True) * t, got["first"] - got["first"].sum() * delta
     for i in range(2):
