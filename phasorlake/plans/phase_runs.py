@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import hmm, kernels, mixture
-from ..operators.families import Family, Params
+from ..operators.families import Params
 from ..operators.mixture import Mixture, weights
 from ..sources import files
 from . import engine
@@ -136,7 +136,7 @@ def sweep(sets: dict[str, DataFrame], modelname: str, k: int = 5, experiments: t
     try:
         classes = int(held["train"].agg(F.max("truth")).first()[0]) + 1
         for r in sorted({s.inner for s in every}):
-            new = list(_restart(held, [s for s in every if s.inner == r], k, classes, o, path, id_column))
+            new = list(_restart(held, [s for s in every if s.inner == r], min(ranks), k, classes, o, path, id_column))
             rows += new
             if path:
                 files.append_results(spark.createDataFrame([tuple(x[c] for c in _names()) for x in new], RESULT), f"{path}/results")
@@ -157,7 +157,7 @@ def _stored(spark, path: str, schema: str) -> DataFrame | None:
     return spark.read.schema(schema).parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
 
 
-def _restart(sets: dict[str, DataFrame], wanted: list[Setting], k: int, classes: int, o: engine.Options, path: str | None, id_column: str) -> Iterator[dict]:
+def _restart(sets: dict[str, DataFrame], wanted: list[Setting], lowest: int, k: int, classes: int, o: engine.Options, path: str | None, id_column: str) -> Iterator[dict]:
     """The rows of one restart's settings: mixtures together, then what follows them."""
     train, spark = sets["train"], sets["train"].sparkSession
     # a hidden Markov model whose mixture is stored already still needs that mixture
@@ -173,8 +173,8 @@ def _restart(sets: dict[str, DataFrame], wanted: list[Setting], k: int, classes:
     def chain(members: list[Setting]) -> kernels.Fit:
         theta, out = None, []
         for s in members:
-            if theta is None and s.experiment == "ALL" and path and s.rank > min(families):
-                theta = _params(spark, path, s, families)
+            if theta is None and s.experiment == "ALL" and path and s.rank > lowest:
+                theta = _params(spark, path, s)
             if theta is not None:
                 given.add(s)
             options = engine.replace(_tied(s, o), LR=s.LR)
@@ -213,7 +213,7 @@ def _key(s: Setting) -> str:
     return f"{s.modelname}_rank{s.rank}_LR{s.LR}_inner{s.inner}"
 
 
-def _params(spark, path: str, s: Setting, families: dict[int, Family]) -> Params | None:
+def _params(spark, path: str, s: Setting) -> Params | None:
     """The stored parameters of the next lower rank."""
     held = _stored(spark, f"{path}/params", f"{files.PARAMS}, of string")
     if held is None:

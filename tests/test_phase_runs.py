@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phasorlake.functions import special
-from phasorlake.operators import stats
+from phasorlake.operators import hmm, stats
 from phasorlake.plans import phase_runs
 
 
@@ -59,8 +59,14 @@ def test_a_sweep_equals_its_runs(scans):
         for name, value in row.items():
             found = got[tuple(getattr(s, c) for c in phase_runs.KEYS)][name]
             assert found == pytest.approx(value, rel=1e-3, abs=1e-6) if isinstance(value, float) else found == value, (s, name)
-    path = got["ACG", "ALL", 2, 0.1, 0, True]
-    assert path["init_method"] == "no" and path["train_NMI"] > 0.5 and path["test1_loglik"] > got["ACG", "ALL", 2, 0.1, 0, False]["test1_loglik"]
+    chained = got["ACG", "ALL", 1, 0.1, 0, True]
+    alone = hmm.fit(scans["train"], models[0.1, 1], 3, 1e-4, 40, 5, 0.1)
+    assert chained["init_method"] == "no" and chained["train_loglik"] == pytest.approx(alone.curve[-1], rel=1e-3)
+    for name, df in scans.items():
+        loglik, nmi = phase_runs.scored_paths(df, alone, 3)
+        assert chained[f"{name}_NMI"] == pytest.approx(nmi, abs=1e-3) and (name == "train" or chained[f"{name}_loglik"] == pytest.approx(loglik, rel=1e-3))
+    # windows last, so neighbours tell more than a row alone
+    assert chained["test1_loglik"] > got["ACG", "ALL", 1, 0.1, 0, False]["test1_loglik"]
 
 
 def test_a_resumed_sweep_equals_a_whole_one(scans, tmp_path):
