@@ -45,7 +45,7 @@ def folded(df: DataFrame, n: int, id_column: str) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(id_column)), F.lit(n)).cast("int"))
 
 
-def descent(x: np.ndarray, max_iter: int, memory: int = 10, tol: float = 1e-8) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+def descent(x: np.ndarray, max_iter: int, tol: float, memory: int = 10) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
     """Where a function is smallest, by limited-memory quasi-Newton steps that each lower it. Yields the places whose
     value and gradient it wants."""
     value, slope = yield x
@@ -147,7 +147,7 @@ def loss(kind: str, m: np.ndarray, label: np.ndarray, weight: np.ndarray, classe
     return float((weight[:, None] * value).sum()), -weight[:, None] * sign * bent / ROUND
 
 
-def fitting(data: Data, kind: str, penalty: float, fold: int | None, max_iter: int, label: str, features: tuple[np.ndarray, np.ndarray] | None) -> Fit:
+def fitting(data: Data, kind: str, penalty: float, fold: int | None, max_iter: int, tol: float, label: str, features: tuple[np.ndarray, np.ndarray] | None) -> Fit:
     """A model that learns from the rows outside of ``fold``: half the squared coefficients plus ``penalty`` times the
     sum of the losses is smallest."""
     mean, scale, weight = data.without(fold)
@@ -166,7 +166,7 @@ def fitting(data: Data, kind: str, penalty: float, fold: int | None, max_iter: i
 
         return Ask(kernel, {"value": (1,), "slope": shape})
 
-    walk = descent(np.zeros(shape[0] * shape[1]), max_iter)
+    walk = descent(np.zeros(shape[0] * shape[1]), max_iter, tol)
     at = next(walk)
     while True:
         beta = at.reshape(shape)
@@ -203,7 +203,7 @@ def hits(rows: DataFrame, models: list[Model], of: list[int], label: str) -> np.
     return np.array([g["right"][0] for g in got])
 
 
-def fit(train: DataFrame, kind: str, label: str = "truth", id_column: str = "obs_id", grid: tuple[float, ...] | None = None, gammas: tuple[float | str, ...] = WIDTHS, n_folds: int = 5, max_iter: int = 100, width: int = 256, seed: int = 0) -> tuple[dict, Model]:
+def fit(train: DataFrame, kind: str, label: str = "truth", id_column: str = "obs_id", grid: tuple[float, ...] | None = None, gammas: tuple[float | str, ...] = WIDTHS, n_folds: int = 5, max_iter: int = 50, tol: float = 1e-6, width: int = 256, seed: int = 0) -> tuple[dict, Model]:
     """The best parameters (C, of the radial kernel gamma; accuracy over the folds) and the model fitted with them on
     all rows. Of equal candidates the first counts. A gamma of ``scale`` is 1 / the number of columns."""
     if kind not in KINDS:
@@ -223,12 +223,12 @@ def fit(train: DataFrame, kind: str, label: str = "truth", id_column: str = "obs
         best: dict = {"C": grid[0], "gamma": next(iter(maps)), "accuracy": None}
         if len(grid) * len(maps) > 1 and seen:
             every = [(g, c, f) for g in maps for c in grid for f in seen]
-            models = kernels.together(rows, [fitting(data, kind, c, f, max_iter, label, maps[g]) for g, c, f in every], ("fold", label))
+            models = kernels.together(rows, [fitting(data, kind, c, f, max_iter, tol, label, maps[g]) for g, c, f in every], ("fold", label))
             right = hits(rows, models, [f for *_, f in every], label).reshape(-1, len(seen))
             mean = np.round((right / sizes[seen]).mean(1), 9)
             g, c, _ = every[int(mean.argmax()) * len(seen)]
             best = {"C": c, "gamma": g, "accuracy": float(mean.max())}
-        return best, kernels.together(rows, [fitting(data, kind, best["C"], None, max_iter, label, maps[best["gamma"]])], ("fold", label))[0]
+        return best, kernels.together(rows, [fitting(data, kind, best["C"], None, max_iter, tol, label, maps[best["gamma"]])], ("fold", label))[0]
     finally:
         rows.unpersist()
 

@@ -130,7 +130,7 @@ _TWO = fx.PHASES + """, two AS (SELECT obs_id AS id, truth % 2 AS truth, theta F
 
 
 @query(f"""WITH {_TWO.replace("ph AS", "given AS").replace("FROM ph", "FROM given")}, ph AS (SELECT id AS obs_id, two.truth, list_transform([0, 1, 2], lambda i: c[i + 1] + ([{_U(0)}, {_U(1)}, {_U(2)}][i + 1] - 0.5) * 0.5) AS theta FROM two JOIN cen ON cen.truth = two.truth),
-{_LAM} SELECT obs_id, truth::INT AS truth, i, {R('v')} AS theta, {R('l1')} AS l1, {R('cos(v - h) / sqrt(l1)')} AS u1, {R('sin(v - h) / sqrt(l2)')} AS u2 FROM lam""")
+{_LAM} SELECT obs_id, truth::INT AS truth, i, {R('v')} AS theta, {R('l1')} AS l1, {R('cos(v - h) / sqrt(l1)')} AS u1, {R('sin(v - h) / sqrt(l2)')} AS u2 FROM lam JOIN two ON two.id = lam.obs_id""")
 def p16_noisy_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases around those of the first row of each of two classes."""
     p = fx.phases(spark, sf_dir).withColumn("truth", (F.col("truth") % 2).cast("int"))

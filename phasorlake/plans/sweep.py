@@ -75,12 +75,12 @@ def rank_sweep(sets: dict[str, DataFrame], modelname: str, ks: int | tuple[int,
             out.append((k, rank, run, model))
         return out
 
-    spread = spread_out(sets["train"]).cache()
+    train = sets["train"].select(*kernels.columns_of(sets["train"])).cache()
     try:
-        mixture.validate(spread, next(iter(families.values())))
-        fitted = [m for chain_ in kernels.together(spread, [chain(k, run) for k in orders for run in range(inner)]) for m in chain_]
+        mixture.validate(train, next(iter(families.values())))
+        fitted = [m for chain_ in kernels.together(train, [chain(k, run) for k in orders for run in range(inner)]) for m in chain_]
     finally:
-        spread.unpersist()
+        train.unpersist()
     names = sets["train"].sparkSession.createDataFrame([(i, modelname, k, str(rank), run) for i, (k, rank, run, _) in enumerate(fitted)], "model int, modelname string, K int, rank string, inner int")
     rows = []
     for name, df in sets.items():
@@ -89,13 +89,6 @@ def rank_sweep(sets: dict[str, DataFrame], modelname: str, ks: int | tuple[int,
     return collected(rows)
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """The observations alone; a frame of fewer partitions than cores, which is small, is spread over them."""
-    out = df.select(*kernels.columns_of(df))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out
-
-
 def posterior_rows(model, df: DataFrame) -> DataFrame:
     """Rows with loglik and post: of clusters the similarity and the part as a posterior of 0 and 1."""
     scored = engine.score(df, model)

@@ -91,7 +91,7 @@ def test_supervised_queries_choose_over_folds(spark, monkeypatch, name, candidat
         return f(rows, fits, extra)
 
     monkeypatch.setattr(supervised.kernels, "together", noted)
-    monkeypatch.setattr(supervised, "descent", lambda x, max_iter, f=supervised.descent: f(x, 2))
+    monkeypatch.setattr(supervised, "descent", lambda x, max_iter, tol, f=supervised.descent: f(x, 2, tol))
     got = registry.QUERIES[name](spark, SF).toPandas()
     assert len(got) == 500 and got["held_out"].sum() == 100 and seen == [5 * candidates, 1]
 
@@ -123,7 +123,7 @@ def test_supervised_fits_reach_their_optimum(spark, kind):
     truth, x = _classes(120)
     df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(truth, x))], "obs_id long, truth int, x array<double>")
     options = {"gammas": ("scale",), "width": 12} if kind == "rbf-svm" else {}
-    chosen, model = supervised.fit(df.repartition(7), kind, grid=(0.3,), max_iter=500, **options)
+    chosen, model = supervised.fit(df.repartition(7), kind, grid=(0.3,), max_iter=500, tol=1e-10, **options)
     assert chosen["C"] == 0.3
     low = _objective(kind, model, x, truth, 0.3)
     rng = np.random.default_rng(0)
@@ -131,7 +131,7 @@ def test_supervised_fits_reach_their_optimum(spark, kind):
         step = rng.normal(size=model.beta.shape) * rng.choice([1e-1, 1e-2, 1e-3])
         other = supervised.Model(model.kind, 3, model.mean, model.scale, model.beta + step, model.features)
         assert _objective(kind, other, x, truth, 0.3) > low - 1e-6 * low
-    _, again = supervised.fit(df.coalesce(1), kind, grid=(0.3,), max_iter=500, **options)
+    _, again = supervised.fit(df.coalesce(1), kind, grid=(0.3,), max_iter=500, tol=1e-10, **options)
     np.testing.assert_allclose(model.prob(x), again.prob(x), atol=1e-3)
     if kind != "rbf-svm":
         np.testing.assert_allclose(model.mean, x.mean(0))
@@ -168,7 +168,7 @@ def test_odd_training_sets(spark):
         supervised.fit(spark.createDataFrame([], schema), "logistic")
 
 
-@pytest.mark.parametrize(("name", "fits"), [("k2_diametrical", 1), ("m10_normal_lowrank_fit", 2), ("i8_rank_growth", 2), ("h8_hmm_fit", 2), ("c5_rank_sweep", 1)])
+@pytest.mark.parametrize(("name", "fits"), [("k2_diametrical", 1), ("m10_normal_lowrank_fit", 2), ("i8_rank_growth", 2), ("h8_hmm_fit", 2)])
 def test_registered_fits_run_to_their_stopping_rule(spark, monkeypatch, name, fits):
     seen = []
     for module in (kmeans, mixture, hmm):
