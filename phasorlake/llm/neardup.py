@@ -23,6 +23,7 @@ is kept; repeated rows are one class; very long texts count whole; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Words, dropped, mixed, on_batches, signed, stored, text_bytes
 from .components import components
 from .fitting import slices
+from .windows import keyed
 
 ROWS = 3
 
@@ -59,8 +61,9 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(at.astype(np.int64)), pa.array(signed(np.ascontiguousarray(values)))).cast(pa.list_(pa.int64()))
 
 
-def signatures(documents: DataFrame, words: int, halves: int) -> DataFrame:
-    """doc_id, n, hi, lo (a 128-bit code of the set), a, b (the half-keys of both collections)."""
+def signatures(rows: DataFrame, words: int, halves: int) -> DataFrame:
+    """doc_id, row, n, hi, lo (a 128-bit code of the set), a, b (the half-keys of both collections).
+    ``rows``: doc_id, text, row."""
     rng = np.random.Generator(np.random.PCG64(99))
     odd = rng.integers(0, 2**63, 2 * halves * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, 2 * halves * ROWS, dtype=np.uint64)
@@ -82,23 +85,23 @@ def signatures(documents: DataFrame, words: int, halves: int) -> DataFrame:
                         key = key * odd[0] + np.minimum.reduceat(code * odd[i] + add[i], starts)
                     keys[h, some] = mixed(key)
             flat = lambda k: _lists(k.T.reshape(-1), np.arange(part.num_rows + 1) * halves)
-            yield pa.record_batch([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(signed(hi)), pa.array(signed(lo)), flat(keys[:halves]), flat(keys[halves:])], names=["doc_id", "n", "hi", "lo", "a", "b"])
+            yield pa.record_batch([part.column("doc_id"), part.column("row"), pa.array(n.astype(np.int64)), pa.array(signed(hi)), pa.array(signed(lo)), flat(keys[:halves]), flat(keys[halves:])], names=["doc_id", "row", "n", "hi", "lo", "a", "b"])
 
-    return on_batches(documents.select("doc_id", "text"), work, "doc_id long, n long, hi long, lo long, a array<long>, b array<long>")
+    return on_batches(rows.select("doc_id", "row", "text"), work, "doc_id long, row long, n long, hi long, lo long, a array<long>, b array<long>")
 
 
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
-def set_rows(documents: DataFrame, words: int) -> DataFrame:
-    """rid, codes: the full sets."""
+def set_rows(texts: DataFrame, words: int) -> DataFrame:
+    """rid, codes: the full sets of rid, text."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             code, at = shingles(*text_bytes(part.column("text")), words)
-            yield pa.record_batch([part.column("doc_id"), _lists(code, at)], names=["rid", "codes"])
+            yield pa.record_batch([part.column("rid"), _lists(code, at)], names=["rid", "codes"])
 
-    return on_batches(documents.select("doc_id", "text"), work, "rid long, codes array<long>")
+    return on_batches(texts.select("rid", "text"), work, "rid long, codes array<long>")
 
 
 def _bounded(percent: int) -> Column:
@@ -115,44 +118,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("xs") + F.size("ys") - common) * percent).select("x", "y")
 
 
+#: Bands of sizes for each step by the similarity asked for.
+BANDS = 8
+
+
 def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(x, y): pairs of different components that can reach the similarity, among all of ``rest`` (rid, n,
     label). A set's shingles are put in order of how many sets hold them, rarest first. Sets that are
     similar enough share one of the first few, and the places of the first that they share bound what
-    they have in common: so a set asks only for the sizes that its place still allows."""
+    they have in common: so a set asks only for the sizes that its place still allows. Sizes meet by bands,
+    BANDS + 1 of them at most for each place whatever the size, and are then compared.
+
+    Shingles of one set alone come first, unseen: they only shift the places of the others."""
     each = sets.join(rest, "rid").select("rid", "n", "label", F.explode("codes").alias("code"))
-    held = each.groupBy("code").agg(F.count("*").alias("m"))
-    lists = each.join(held, "code").groupBy("rid", "n", "label").agg(F.sort_array(F.collect_list(F.struct("m", "code"))).alias("t"))
-    head = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    # written out, so that the join reads both sides anew and a shingle that many sets hold is split
+    held = stored(each.groupBy("code").agg(F.count("*").alias("m")).where("m > 1"), "held")
+    lists = each.join(held.hint("merge"), "code").groupBy("rid", "n", "label").agg(F.sort_array(F.collect_list(F.struct("m", "code"))).alias("t"))
+    alone = F.col("n") - F.size("t")
     low = F.ceil(F.col("n") * percent / 100).cast("long")
+    head = F.slice("t", F.lit(1), F.greatest(F.col("n") - low + 1 - alone, F.lit(0)).cast("int"))
     top = F.floor(((F.col("n") - F.col("i")) * (100 + percent) - F.col("n") * percent) / percent).cast("long")
-    places = lists.select("rid", "n", "label", F.posexplode(head).alias("i", "t")).select("rid", "n", "label", F.col("t.code").alias("code"), F.col("t.m").alias("m"), low.alias("low"), top.alias("top"))
-    places = stored(places.where("m > 1 and low <= top"), "places")
+    places = lists.select("rid", "n", "label", alone.alias("alone"), F.posexplode(head).alias("i", "t"))
+    places = places.select("rid", "n", "label", (F.col("i") + F.col("alone")).alias("i"), F.col("t.code").alias("code"))
+    places = stored(places.select("rid", "n", "label", "code", low.alias("low"), top.alias("top")).where("low <= top"), "places")
     # in each list of a shingle, the component with most members isn't paired with itself
     main = places.groupBy("code", "label").agg(F.count("*").alias("k")).groupBy("code").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("code", "main")
-    places = stored(places.join(main, "code").withColumn("is_main", F.col("label") == F.col("main")), "places")
-    x = places.select("code", F.col("rid").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"), "is_main", F.explode(F.when(F.col("low") <= F.least("n", "top"), F.sequence("low", F.least("n", "top")))).alias("yn"))
-    y = places.select("code", F.col("rid").alias("y"), F.col("n").alias("yn"), F.col("label").alias("yl"), F.col("top").alias("ytop"), F.col("is_main").alias("y_main"))
-    meet = (x["code"] == y["code"]) & (x["yn"] == y["yn"]) & (F.col("xl") != F.col("yl")) & (F.col("ytop") >= F.col("xn")) & ((F.col("xn") > y["yn"]) | (F.col("x") < F.col("y")))
+    main = stored(main, "main")
+    marked = stored(places.join(main.hint("merge"), "code").withColumn("is_main", F.col("label") == F.col("main")), "places")
+    dropped(held, places, main)
+    band = lambda size: F.floor(F.log(size.cast("double")) * (BANDS / math.log(100 / min(percent, 99))))
+    high = F.least("n", "top")
+    x = marked.select("code", F.col("rid").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"), "low", high.alias("high"), "is_main", F.explode(F.sequence(band(F.col("low")), band(high))).alias("band"))
+    y = marked.select("code", F.col("rid").alias("y"), F.col("n").alias("yn"), F.col("label").alias("yl"), F.col("top").alias("ytop"), F.col("is_main").alias("y_main"), band(F.col("n")).alias("band"))
+    meet = (x["code"] == y["code"]) & (x["band"] == y["band"]) & F.col("yn").between(F.col("low"), F.col("high")) & (F.col("xl") != F.col("yl")) & (F.col("ytop") >= F.col("xn")) & ((F.col("xn") > F.col("yn")) | (F.col("x") < F.col("y")))
     some = x.where("not is_main").join(y, meet).select("x", "y")
     return some.union(x.where("is_main").join(y.where("not y_main"), meet).select("x", "y")).distinct()
 
 
 def classes(documents: DataFrame, words: int = 3, percent: int = 85, halves: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    sig = stored(signatures(documents, words, halves), "signatures")
-    groups = sig.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rid"), F.any_value("n").alias("n"))
-    groups = stored(groups, "classes")
+    return _classes(keyed(documents), words, percent, halves).drop("row")
+
+
+def _classes(rows: DataFrame, words: int, percent: int, halves: int) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept of rows doc_id, text, row."""
+    sig = stored(signatures(rows, words, halves), "signatures")
+    groups = sig.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.any_value("n").alias("n"))
+    # classes have numbers of their own, fixed when written: rows that share an id may head several
+    groups = stored(groups.select("hi", "lo", "head.*", "n", F.monotonically_increasing_id().alias("rid")), "classes")
     # one row for each class, with its half-keys
-    heads = groups.select("rid", "hi", "lo", "n").join(sig.select(F.col("doc_id").alias("rid"), "hi", "lo", "a", "b").dropDuplicates(["rid", "hi", "lo"]), ["rid", "hi", "lo"])
+    heads = groups.join(sig.select("doc_id", "row", "hi", "lo", "a", "b").dropDuplicates(["doc_id", "row", "hi", "lo"]), ["doc_id", "row", "hi", "lo"])
     first = heads.select("rid", "n", "b", F.posexplode("a").alias("i", "ka"))
     shared = first.groupBy("i", "ka").agg(F.count("*").alias("m")).where("m > 1").select("i", "ka")
     tables = first.join(shared, ["i", "ka"]).select("rid", "n", F.explode(F.transform("b", lambda k, j: F.xxhash64("i", "ka", j, k))).alias("key"))
     tables = stored(tables, "tables")
     crowd = tables.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     tables = stored(tables.join(crowd, "key"), "tables")
-    live = tables.select("rid").distinct()
-    sets = stored(set_rows(documents.where("doc_id is not null").join(live.select(F.col("rid").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"), words).dropDuplicates(["rid"]), "sets")
+    live = tables.select("rid").distinct().join(groups.select("rid", "doc_id", "row"), "rid")
+    sets = stored(set_rows(rows.where("doc_id is not null").join(live.hint("shuffle_hash"), ["doc_id", "row"]), words).dropDuplicates(["rid"]), "sets")
     # shingles that one live class alone holds
     alone = sets.select("rid", F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("m"), F.min("rid").alias("rid")).where("m = 1").groupBy("rid").agg(F.count("*").alias("u"))
     able = stored(sets.select("rid", F.size("codes").cast("long").alias("n")).join(alone, "rid", "left").select("rid", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c")).where(F.col("c") * 100 >= F.col("n") * percent), "able")
@@ -181,14 +204,19 @@ def classes(documents: DataFrame, words: int = 3, percent: int = 85, halves: int
     if not more.isEmpty():
         found = components(links.union(more))
     dropped(sets, able, rest)
-    final = groups.select("hi", "lo", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left").select("hi", "lo", F.coalesce("label", "rid").alias("label"))
-    out = sig.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("hi")).alias("hi"), "lo").join(final, ["hi", "lo"], "left")
+    # a component goes by the smallest id in it
+    member = groups.select("hi", "lo", "rid", "doc_id").join(found.withColumnRenamed("node", "rid"), "rid")
+    member = stored(member.select("hi", "lo", "label", "doc_id"), "members")
+    smallest = stored(member.groupBy("label").agg(F.min("doc_id").alias("smallest")), "smallest")
+    alike = member.join(smallest.hint("merge"), "label").select("hi", "lo", "smallest")
+    final = groups.select("hi", "lo", "doc_id").join(alike, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("smallest", "doc_id").alias("label"))
+    out = sig.select("doc_id", "row", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("hi")).alias("hi"), "lo").join(final, ["hi", "lo"], "left")
     component = F.coalesce("label", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80, halves: int = 14) -> DataFrame:
     """The documents without those that a smaller id of their group stands for, with all their columns.
-    Rows that share an id are one document, and stay or go together."""
-    gone = stored(classes(documents, words, percent, halves).where("not kept").select("doc_id").distinct(), "gone")
-    return documents.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
+    Rows that share an id are told apart by their texts; equal rows stay or go together."""
+    gone = stored(_classes(keyed(documents), words, percent, halves).where("not kept").select("doc_id", "row").distinct(), "gone")
+    return documents.join(gone.hint("shuffle_hash"), (documents["doc_id"] == gone["doc_id"]) & (F.xxhash64(documents["doc_id"], documents["text"]) == gone["row"]), "left_anti").select(*documents.columns)
