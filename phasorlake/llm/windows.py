@@ -142,8 +142,10 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
 
 
 def _later(near: DataFrame) -> DataFrame:
-    """doc_id, row, starts: each document's windows that a smaller document holds."""
+    """doc_id, row, starts: each document's windows that a smaller document holds. The heads are written out, so
+    that a window of very many documents is split over tasks in the join."""
     first = near.groupBy("hi", "lo").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("hi", "lo", "head")
+    first = stored(first, "first")
     return near.join(first.hint("shuffle_hash"), ["hi", "lo"]).where("doc_id > head").groupBy("doc_id", "row").agg(F.collect_list("s").alias("starts"))
 
 
