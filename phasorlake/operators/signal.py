@@ -207,6 +207,22 @@ def drop_initial(df: DataFrame, tasks: DataFrame) -> DataFrame:
     return df.join(tasks.select("task", "skip"), "task").where("t >= skip").drop("skip")
 
 
+def subject_order(subjects: DataFrame, excluded: DataFrame | None = None, seed: int = 0, rows: int = 1_000_000) -> DataFrame:
+    """subject, split_order: the subjects that aren't excluded, each once, numbered without gaps in an order that ``seed``
+    draws. Digests give each subject a number between 0 and 1; stretches of these numbers, of about ``rows`` subjects,
+    are sorted side by side and start from the count of those before, so sizes of splits are exact and no task sorts
+    the whole. Equal digests go by subject; nulls are left out."""
+    names = subjects.select("subject").where("subject is not null").distinct()
+    if excluded is not None:
+        names = names.join(excluded.select("subject"), "subject", "left_anti")
+    stretches = names.count() // rows + 1
+    drawn = names.withColumn("_u", _uniform(F.col("subject"), seed, 16)).withColumn("_s", F.floor(F.col("_u") * stretches))
+    sizes = drawn.groupBy("_s").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_s").orderBy("_u", "subject")) - 1
+    return drawn.withColumn("_place", place).join(starts, "_s").select("subject", (F.col("_before") + F.col("_place")).alias("split_order"))
+
+
 def split_subjects(df: DataFrame, subjects: DataFrame, train: int, fold: int | None = None) -> DataFrame:
     """Add split by the subjects' order: the first ``train`` train, or with ``fold`` the fold of a fifth tests."""
     n = subjects.count()

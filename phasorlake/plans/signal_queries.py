@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import signal
+from ..operators import long_series, signal
 from . import fixtures as fx
 from .fixtures import rounded, series, table
 
@@ -75,11 +75,35 @@ def p6_parcellate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signal.parcellate(series(spark, sf_dir), atlas))
 
 
-@query()
+#: The second-order band-pass by the bilinear map, its numerator being g (1, 0, -2, 0, 1), and one sample after another
+#: through it, forwards and backwards. A constant input leaves the state g (-1, -1, 1, 1).
+_WARP = lambda f: f"2 / 0.72::DOUBLE * tan(pi() * {f} * 0.72::DOUBLE)"
+_PASS = lambda name, source: f"""{name} AS (SELECT id, 0 AS k, -g * e[1] AS z1, -g * e[1] AS z2, g * e[1] AS z3, g * e[1] AS z4, 0.0::DOUBLE AS y FROM {source}, coef
+ UNION ALL SELECT s.id, k + 1, z2 - a1 * (g * e[k + 1] + z1), z3 - 2 * g * e[k + 1] - a2 * (g * e[k + 1] + z1), z4 - a3 * (g * e[k + 1] + z1), g * e[k + 1] - a4 * (g * e[k + 1] + z1), g * e[k + 1] + z1 FROM {name} JOIN {source} s USING (id), coef WHERE k < len(e))"""
+_BANDPASS = f"""WITH RECURSIVE {fx.SERIES}, w AS (SELECT {_WARP("0.07")} - {_WARP("0.03")} AS w, ({_WARP("0.07")}) * ({_WARP("0.03")}) AS q, 2 / 0.72::DOUBLE AS c),
+terms AS (SELECT c ** 4 AS t4, sqrt(2) * w * c ** 3 AS t3, (2 * q + w * w) * c * c AS t2, sqrt(2) * w * q * c AS t1, q * q AS t0, w * w * c * c AS top FROM w),
+coef AS (SELECT top / (t4 + t3 + t2 + t1 + t0) AS g, (-4 * t4 - 2 * t3 + 2 * t1 + 4 * t0) / (t4 + t3 + t2 + t1 + t0) AS a1, (6 * t4 - 2 * t2 + 6 * t0) / (t4 + t3 + t2 + t1 + t0) AS a2,
+ (-4 * t4 + 2 * t3 - 2 * t1 + 4 * t0) / (t4 + t3 + t2 + t1 + t0) AS a3, (t4 - t3 + t2 - t1 + t0) / (t4 + t3 + t2 + t1 + t0) AS a4 FROM terms),
+x AS (SELECT subject, session, channel, list(value ORDER BY t) AS x, list(t ORDER BY t) AS ts, count(*) AS n, least(100, count(*) - 1) AS p FROM series GROUP BY ALL),
+r AS (SELECT row_number() OVER () AS id, subject, session, channel, ts, n, p, list_transform(range(-p, n + p), lambda j: x[(CASE WHEN j < 0 THEN -j WHEN j > n - 1 THEN 2 * (n - 1) - j ELSE j END) + 1]) AS y FROM x),
+e AS (SELECT id, list_concat(list_concat(list_transform(range(15), lambda j: 2 * y[1] - y[16 - j]), y), list_transform(range(15), lambda j: 2 * y[len(y)] - y[len(y) - 1 - j])) AS e FROM r),
+{_PASS("once", "e")}, back AS (SELECT id, list(y ORDER BY k DESC) AS e FROM once WHERE k > 0 GROUP BY id),
+{_PASS("twice", "back")}, done AS (SELECT id, list(y ORDER BY k DESC) AS y FROM twice WHERE k > 0 GROUP BY id),
+flat AS (SELECT subject, session, channel, unnest(ts) AS t, unnest(done.y[16 + p : 15 + p + n]) AS value FROM r JOIN done USING (id))
+SELECT {KEYS}, {R("value")} AS value FROM flat"""
+
+
+@query(_BANDPASS)
 def p8_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signal.bandpass(series(spark, sf_dir)))
 
 
+@query(_BANDPASS)
+def p8_long_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of series cut into pieces."""
+    return rounded(long_series.bandpass(series(spark, sf_dir)))
+
+
 @query(f"""WITH {fx.SERIES}, o AS (SELECT *, value - avg(value) OVER w AS x, row_number() OVER (w ORDER BY t) AS i, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY subject, session, channel)),
 h AS (SELECT a.subject, a.session, a.t, a.channel, any_value(a.x) AS re, sum(CASE WHEN a.i = b.i THEN 0 ELSE b.x * (cos(pi() * (a.i - b.i) / a.n) - cos(pi() * (a.i - b.i)) * CASE WHEN a.n % 2 = 0 THEN cos(pi() * (a.i - b.i) / a.n) ELSE 1 END) / sin(pi() * (a.i - b.i) / a.n) / a.n END) AS im
  FROM o a JOIN o b ON a.subject = b.subject AND a.session = b.session AND a.channel = b.channel GROUP BY a.subject, a.session, a.t, a.channel)
@@ -163,6 +187,15 @@ def p19_split_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.split_subjects(s, s.select("subject", F.col("subject").alias("split_order")), 60)
 
 
+@query(f"""WITH u AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_nationkey <> 7), o AS (SELECT id, row_number() OVER (ORDER BY {_U(16)}, id) - 1 AS split_order FROM u)
+SELECT id AS subject, split_order, CASE WHEN split_order >= 203 THEN 'test' ELSE 'train' END AS split FROM o""")
+def s16_subject_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in a seeded order, without those of a nation; the first 203 train."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), "c_nationkey")
+    order = signal.subject_order(c, c.where("c_nationkey = 7"))
+    return order.withColumn("split", F.when(F.col("split_order") >= 203, "test").otherwise("train"))
+
+
 @query(f"""WITH {fx.SERIES}, d AS (SELECT DISTINCT subject, session, t, subject AS id FROM series) SELECT subject, session, t, CASE WHEN subject >= 6 THEN 'test2' WHEN (CASE WHEN {_U(0)} < 0.5 THEN 0 ELSE 1 END) = session THEN 'train' ELSE 'test1' END AS split FROM d""")
 def p20_split_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir).select("subject", "session", "t").distinct()
