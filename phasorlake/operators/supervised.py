@@ -6,8 +6,10 @@ of rows, and the fit of the chosen candidate is one more of the same kind.
 
 Columns are scaled by the mean and deviation of the rows that a fit learns from, classes weigh alike, an intercept isn't
 penalised. Machines are one against one, by votes, of equal votes the lower class; their hinge is rounded over the last
-ROUND of its margin, so that it has a gradient everywhere. The radial kernel is replaced by random cosine features of it
-(their inner products approach the kernel's values), so no kernel matrix over rows is formed."""
+ROUND of its margin, so that it has a gradient everywhere. The radial kernel goes by features at landmarks (``landmarks``):
+exact where there are as many as different rows, with a known error beyond, and no kernel matrix over rows is formed.
+Landmarks are picked from all rows that are learnt from, labels unseen; a fold's fit has the span of more rows than its
+own, which leaves its optimum where it is."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, landmarks
 from .kernels import Ask, Fit, Sums, mapped
 
 ROUND = 0.05
@@ -30,16 +32,6 @@ PENALTIES = {"logistic": _WIDE, "linear-svm": _WIDE[:-1], "rbf-svm": (0.01, 0.1,
 WIDTHS = ("scale", 0.001, 0.01, 0.1, 1.0)
 
 
-def random_map(p: int, gamma: float, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and shifts of ``width`` cosine features of exp(-gamma |x - y|^2)."""
-    rng = np.random.default_rng(seed)
-    return rng.normal(size=(p, width)) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, width)
-
-
-def cosines(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(2 / len(b)) * np.cos(x @ w + b)
-
-
 def folded(df: DataFrame, n: int, id_column: str) -> DataFrame:
     """Add fold, by a digest of the id: of any class each fold gets about its share, without an order of the rows."""
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(id_column)), F.lit(n)).cast("int"))
@@ -109,12 +101,12 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     beta: np.ndarray
-    features: tuple[np.ndarray, np.ndarray] | None = None
+    features: landmarks.Features | None = None
 
     def wide(self, x: np.ndarray) -> np.ndarray:
         """Scaled columns, or the features of them, and the intercept's."""
         z = (x - self.mean) * self.scale
-        return np.concatenate([z if self.features is None else cosines(z, *self.features), np.ones((len(x), 1))], 1)
+        return np.concatenate([z if self.features is None else self.features(z), np.ones((len(x), 1))], 1)
 
     def prob(self, x: np.ndarray) -> np.ndarray:
         """(n, classes): probabilities, of machines 1 for the class with the most votes."""
@@ -129,7 +121,7 @@ class Model:
         return np.eye(self.classes)[votes.argmax(1)]
 
 
-def loss(kind: str, m: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int) -> tuple[float, np.ndarray]:
+def loss(kind: str, m: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int, corner: float = ROUND) -> tuple[float, np.ndarray]:
     """The weighted loss of scores, and its gradient by them."""
     if kind == "logistic":
         top = m.max(1, keepdims=True)
@@ -142,17 +134,18 @@ def loss(kind: str, m: np.ndarray, label: np.ndarray, weight: np.ndarray, classe
     pairs = np.array(list(combinations(range(classes), 2))).reshape(-1, 2)
     sign = (label[:, None] == pairs[:, 0]).astype(float) - (label[:, None] == pairs[:, 1])
     short = np.where(sign != 0, 1 - sign * m, 0.0)
-    bent = np.clip(short, 0, ROUND)
-    value = bent**2 / (2 * ROUND) + np.maximum(short - ROUND, 0)
-    return float((weight[:, None] * value).sum()), -weight[:, None] * sign * bent / ROUND
+    bent = np.clip(short, 0, corner)
+    value = bent**2 / (2 * corner) + np.maximum(short - corner, 0)
+    return float((weight[:, None] * value).sum()), -weight[:, None] * sign * bent / corner
 
 
-def fitting(data: Data, kind: str, penalty: float, fold: int | None, max_iter: int, tol: float, label: str, features: tuple[np.ndarray, np.ndarray] | None) -> Fit:
+def fitting(data: Data, kind: str, penalty: float, fold: int | None, max_iter: int, tol: float, label: str, marks: landmarks.Landmarks | None, corner: float = ROUND) -> Fit:
     """A model that learns from the rows outside of ``fold``: half the squared coefficients plus ``penalty`` times the
     sum of the losses is smallest."""
     mean, scale, weight = data.without(fold)
     columns = data.classes if kind == "logistic" else data.classes * (data.classes - 1) // 2
-    shape = ((len(mean) if features is None else len(features[1])) + 1, columns)
+    features = None if marks is None else marks.features(mean, scale)
+    shape = ((len(mean) if features is None else features.width) + 1, columns)
     model = Model("logistic" if kind == "logistic" else "machine", data.classes, mean, scale, np.zeros(shape), features)
     per = 1 / (penalty * sum(data.count[f] @ weight for f in range(len(data.count)) if f != fold))
 
@@ -161,7 +154,7 @@ def fitting(data: Data, kind: str, penalty: float, fold: int | None, max_iter: i
             of, kind_ = np.asarray(batch.column(label)).astype(int), np.asarray(batch.column("fold"))
             keep = kind_ != (-1 if fold is None else fold)
             z = model.wide(x[keep])
-            value, g = loss(kind, z @ beta, of[keep], weight[of[keep]], data.classes)
+            value, g = loss(kind, z @ beta, of[keep], weight[of[keep]], data.classes, corner)
             return {"value": np.array([value]), "slope": z.T @ g}
 
         return Ask(kernel, {"value": (1,), "slope": shape})
@@ -203,9 +196,9 @@ def hits(rows: DataFrame, models: list[Model], of: list[int], label: str) -> np.
     return np.array([g["right"][0] for g in got])
 
 
-def fit(train: DataFrame, kind: str, label: str = "truth", id_column: str = "obs_id", grid: tuple[float, ...] | None = None, gammas: tuple[float | str, ...] = WIDTHS, n_folds: int = 5, max_iter: int = 50, tol: float = 1e-6, width: int = 256, seed: int = 0) -> tuple[dict, Model]:
-    """The best parameters (C, of the radial kernel gamma; accuracy over the folds) and the model fitted with them on
-    all rows. Of equal candidates the first counts. A gamma of ``scale`` is 1 / the number of columns."""
+def fit(train: DataFrame, kind: str, label: str = "truth", id_column: str = "obs_id", grid: tuple[float, ...] | None = None, gammas: tuple[float | str, ...] = WIDTHS, n_folds: int = 5, max_iter: int = 50, tol: float = 1e-6, width: int = 256, corner: float = ROUND) -> tuple[dict, Model]:
+    """The best parameters (C, of the radial kernel gamma and its error with ``width`` landmarks at most; accuracy over the
+    folds) and the model fitted with them on all rows. Of equal candidates the first counts. A gamma of ``scale`` is 1 / the number of columns."""
     if kind not in KINDS:
         raise ValueError(f"no such kind: {kind}")
     grid = grid or PENALTIES[kind]
@@ -217,18 +210,23 @@ def fit(train: DataFrame, kind: str, label: str = "truth", id_column: str = "obs
         if not ends["n"]:
             raise ValueError("no rows to learn from")
         data = described(rows, ends["top"] + 1, n_folds, label, ends["p"])
-        maps = {g: random_map(ends["p"], 1 / ends["p"] if g == "scale" else float(g), width, seed) for g in gammas} if kind == "rbf-svm" else {None: None}
+        maps: dict = {None: None}
+        if kind == "rbf-svm":
+            mean, scale, _ = data.without(None)
+            maps = dict(zip(gammas, landmarks.pick(rows, [1 / ends["p"] if g == "scale" else float(g) for g in gammas], mean, scale, width), strict=True))
         sizes = data.count.sum(1)
         seen = [f for f in range(n_folds) if 0 < sizes[f] < ends["n"]]
         best: dict = {"C": grid[0], "gamma": next(iter(maps)), "accuracy": None}
         if len(grid) * len(maps) > 1 and seen:
             every = [(g, c, f) for g in maps for c in grid for f in seen]
-            models = kernels.together(rows, [fitting(data, kind, c, f, max_iter, tol, label, maps[g]) for g, c, f in every], ("fold", label))
+            models = kernels.together(rows, [fitting(data, kind, c, f, max_iter, tol, label, maps[g], corner) for g, c, f in every], ("fold", label))
             right = hits(rows, models, [f for *_, f in every], label).reshape(-1, len(seen))
             mean = np.round((right / sizes[seen]).mean(1), 9)
             g, c, _ = every[int(mean.argmax()) * len(seen)]
             best = {"C": c, "gamma": g, "accuracy": float(mean.max())}
-        return best, kernels.together(rows, [fitting(data, kind, best["C"], None, max_iter, tol, label, maps[best["gamma"]])], ("fold", label))[0]
+        if kind == "rbf-svm":
+            best["error"] = maps[best["gamma"]].error
+        return best, kernels.together(rows, [fitting(data, kind, best["C"], None, max_iter, tol, label, maps[best["gamma"]], corner)], ("fold", label))[0]
     finally:
         rows.unpersist()
 
