@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import long_series, signal
+from ..sources import files, scratch
 from . import fixtures as fx
 from .fixtures import rounded, series, table
 
@@ -266,3 +269,13 @@ def p29_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p30_block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     networks = spark.range(64).select(F.col("id").alias("roi"), (F.col("id") % 8).alias("network"))
     return rounded(signal.block_means(_matrix(spark, signal.mean_coherence(fx.observations(spark, sf_dir))), networks))
+
+
+@query(f"""WITH {fx.STIMULI} SELECT task, condition, {R("onset")} AS onset, {R("duration")} AS duration, subject::DOUBLE AS amplitude FROM ev
+WHERE (task = 'click' AND condition IN ('c0', 'c2')) OR (task = 'purchase' AND condition = 'c1')""")
+def s12_event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event lists are written by task and condition, and those of some tasks' conditions found again."""
+    events, _ = fx.stimuli(spark, sf_dir)
+    where = f"{scratch.folder(spark)}/events-{uuid.uuid4().hex}"
+    events.select("task", "condition", F.concat_ws(" ", "onset", "duration", "subject").alias("value")).write.partitionBy("task", "condition").text(where)
+    return rounded(files.find_events(spark, where, {"click": ("c0", "c2"), "purchase": ("c1", "none")}, "task={task}/condition={condition}/*"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,13 +36,43 @@ def interleaved(matrix: DataFrame) -> DataFrame:
     return pick(0, "first").join(pick(1, "second"), ["t", "channel"])
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """onset, duration, amplitude of event lists; separated by blanks or commas, other lines are left out."""
+# fixed values: event lists of each task that count as its conditions
+CONDITIONS = {
+    "EMOTION": ("fear", "neut"),
+    "GAMBLING": ("loss", "win"),
+    "LANGUAGE": ("math", "story"),
+    "MOTOR": ("lf", "lh", "rf", "rh", "t"),
+    "RELATIONAL": ("relation", "match"),
+    "SOCIAL": ("mental", "rnd"),
+    "WM": ("0bk_body", "0bk_faces", "0bk_places", "0bk_tools", "2bk_body", "2bk_faces", "2bk_places", "2bk_tools"),
+}
+
+
+def _events(lines: DataFrame, *more: str) -> DataFrame:
     parts = F.split(F.trim("value"), r"[\s,]+")
-    rows = spark.read.text(path).select(*(F.get(parts, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("onset", "duration", "amplitude"))))
+    rows = lines.select(*more, *(F.get(parts, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("onset", "duration", "amplitude"))))
     return rows.where("onset is not null and duration is not null")
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """onset, duration, amplitude of event lists; separated by blanks or commas, other lines are left out."""
+    return _events(spark.read.text(path))
+
+
+def find_events(spark: SparkSession, root: str, conditions: dict[str, tuple[str, ...]] = CONDITIONS, template: str = "{subject}/EVs/{task}/{condition}.txt") -> DataFrame:
+    """The event lists below ``root`` that are a task's conditions: what the template names, then onset, duration, amplitude.
+    A name in braces stands for a part of the path without a slash, * for any; other files aren't opened, as the condition is
+    on paths alone. A task or condition without a file gives no rows, a root without any file an AnalysisException."""
+    names = re.findall(r"{(\w+)}", template)
+    parts = re.split(r"{\w+}", template)
+    pattern = "([^/]+)".join(re.escape(p).replace(r"\*", "[^/]*") for p in parts) + "$"
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    found = {n: F.regexp_extract(path, "/" + pattern, i + 1) for i, n in enumerate(names)}
+    wanted = F.concat(found["task"], F.lit("/"), found["condition"]).isin([f"{t}/{c}" for t, every in conditions.items() for c in every])
+    lines = spark.read.text(f"{root}/{'*'.join(parts)}").where(wanted)
+    return _events(lines.select("value", *(c.alias(n) for n, c in found.items())), *names)
+
+
 def write_observations(df: DataFrame, path: str, by: tuple[str, ...] = ("split", "task")) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
