@@ -277,13 +277,14 @@ def upper_covariance(df: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
 def event_windows(series: DataFrame, events: DataFrame, n: int, step: float = 0.72, from_end: bool = False, keys: tuple[str, ...] = ("subject", "task")) -> DataFrame:
     """The first ``n`` volumes after each event: volume floor(onset / step) and on; negative ones count as 0, events
     whose window leaves the scan are left out, overlaps repeat. Events become rows for each volume and meet
-    the series by equality. ``from_end``: onsets are one step earlier."""
+    the series by equality. ``from_end``: onsets are one step earlier. Series and lengths grow with the scans, and how far
+    rows are exploded can't be told from a plan, so the joins are merges, never broadcasts."""
     onset = F.col("onset") - (step if from_end else 0.0)
     length = series.groupBy(*keys).agg((F.max("t") + 1).alias("_len"))
     first = F.greatest(F.floor(onset / step), F.lit(0)).cast("long")
-    rows = events.join(length, list(keys)).withColumn("_first", first).where((F.col("_first") < F.col("_len")) & (F.col("_first") + n <= F.col("_len")))
+    rows = events.hint("merge").join(length.hint("merge"), list(keys)).withColumn("_first", first).where((F.col("_first") < F.col("_len")) & (F.col("_first") + n <= F.col("_len")))
     rows = rows.select(*keys, "condition", "onset", F.posexplode(F.sequence("_first", F.col("_first") + (n - 1))).alias("offset", "t"))
-    return rows.join(series, [*keys, "t"])
+    return rows.hint("merge").join(series.hint("merge"), [*keys, "t"])
 
 
 def task_vector(times: DataFrame, events: DataFrame, step: float = 0.72, keys: tuple[str, ...] = ("subject", "task")) -> DataFrame:
@@ -291,7 +292,7 @@ def task_vector(times: DataFrame, events: DataFrame, step: float = 0.72, keys: t
     last = F.floor((F.col("onset") + F.col("duration")) / step).cast("long")
     inside = events.select(*keys, (F.floor(F.col("onset") / step) + 1).cast("long").alias("_a"), last.alias("_b")).where("_a <= _b")
     marks = inside.select(*keys, F.explode(F.sequence("_a", "_b")).alias("t")).distinct().withColumn("active", F.lit(1))
-    return times.select(*keys, F.col("t").cast("long").alias("t")).join(marks, [*keys, "t"], "left").withColumn("active", F.coalesce("active", F.lit(0)))
+    return times.select(*keys, F.col("t").cast("long").alias("t")).hint("merge").join(marks.hint("merge"), [*keys, "t"], "left").withColumn("active", F.coalesce("active", F.lit(0)))
 
 
 def mean_coherence(df: DataFrame) -> np.ndarray:
