@@ -98,3 +98,13 @@ def test_wilcoxon_chooses_its_distribution(spark):
         assert got["p"] == pytest.approx(special.normal_two_sided(got["z"]))
     assert stats.wilcoxon(pairs(range(1, 60)), "a", "b", method="exact")["p"] == pytest.approx(2 / 2**59)
     assert stats.wilcoxon(pairs([0, 0]), "a", "b")["p"] == 1 and stats.wilcoxon(pairs([]), "a", "b")["n"] == 0
+
+
+def test_exact_wilcoxon_of_copied_rows_equals_its_sql(spark, duck, tmp_path):
+    """Vectors that come twice, six places apart, so that groups' differences are equal."""
+    from phasorlake.plans import registry
+
+    duck.execute(f"copy (select vec_id, (select embedding from embeddings o where o.vec_id = e.vec_id % 6) as embedding, label from embeddings e where vec_id < 12) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    got = registry.QUERIES["t4_exact_wilcoxon"](spark, str(tmp_path)).first()
+    sql = registry.ORACLE_SQL["t4_exact_wilcoxon"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet'")
+    assert tuple(got) == pytest.approx(duck.execute(sql).fetchone(), abs=1e-9)
