@@ -25,6 +25,12 @@ def doubles(a: Column) -> Column:
     return a.cast("array<double>")
 
 
+def divided(a: Column | str, by: Column) -> Column:
+    """Entries by a number of the row. It is bound by a lambda of its own: in that of the entries it would be worked out
+    for each of them."""
+    return F.get(F.transform(F.array(by), lambda n: F.transform(a, lambda v: v / n)), 0)
+
+
 def literal(values: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 

@@ -29,7 +29,7 @@ def r(expression: str, digits: int = 6) -> str:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """obs_id, truth, x (64 numbers of unit length)."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obs_id"), F.col("label").cast("int").alias("truth"), vec.doubles(F.col("embedding")).alias("y"))
-    return e.select("obs_id", "truth", F.transform("y", lambda v: v / F.sqrt(vec.norm2(F.col("y")))).alias("x"))
+    return e.select("obs_id", "truth", vec.divided("y", F.sqrt(vec.norm2(F.col("y")))).alias("x"))
 
 
 OBSERVATIONS = "obs AS (SELECT vec_id AS obs_id, label::INT AS truth, list_transform(embedding::DOUBLE[], lambda v: v / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda u: u * u)))) AS x FROM embeddings)"
@@ -65,7 +65,7 @@ def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
     cut = lambda rest: F.array(*(F.pow(vec.total(F.filter(x, (lambda k: lambda _, i: rest(i) == k)(k))), F.lit(2.0)) for k in range(4)))
     a = o.select("obs_id", (F.col("truth") % 4).alias("truth"), (F.col("obs_id") % 7).alias("subject"), F.floor(F.col("obs_id") / 7).alias("position"), cut(lambda i: i % 4).alias("a"), cut(lambda i: F.floor(i / 16)).alias("b"))
-    part = lambda c: F.transform(c, lambda v: v / vec.total(F.col(c)))
+    part = lambda c: vec.divided(c, vec.total(F.col(c)))
     return a.select("obs_id", "truth", "subject", "position", part("a").alias("post"), part("b").alias("other"))
 
 
