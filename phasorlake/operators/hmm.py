@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import kept
 from . import gradient
 from .families import Family, Params
-from .kernels import Sums, columns_of, few, flat, kind_of, observations, shaped, totals
+from .kernels import Sums, columns_of, few, flat, kind_of, numbers_in, observations, shaped, totals
 from .mixture import Mixture, moment_name, validate
 
 #: Rows of a piece at most; rows whose matrices are multiplied at once.
@@ -426,7 +426,7 @@ class Sequences:
             cut = self.pieces.where("part").select("seq_id", "piece", "data").mapInArrow(summaries, f"seq_id {_type(self.pieces, 'seq_id')}, piece long, summaries array<binary>")
             sides = cut.groupBy("seq_id").applyInPandas(around, "of long, before array<binary>, after array<binary>")
             rows = self.pieces.join(sides, F.col("piece") == F.col("of"), "left").select("data", "before", "after")
-        sizes = [sum(int(np.prod(s)) * (2 if n.startswith("c_") else 1) for n, s in one.items()) for one in shapes]
+        sizes = [sum(numbers_in(n, s) for n, s in one.items()) for one in shapes]
         total = totals(rows, added, sum(sizes), few(self.pieces, sum(sizes)))
         return [shaped(v, one) for v, one in zip(np.split(total, np.cumsum(sizes)[:-1]), shapes, strict=True)]
 

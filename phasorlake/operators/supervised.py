@@ -228,7 +228,7 @@ def fit(train: DataFrame, kind: str, label: str = "truth", id_column: str = "obs
             best["error"] = maps[best["gamma"]].error
         return best, kernels.together(rows, [fitting(data, kind, best["C"], None, max_iter, tol, label, maps[best["gamma"]], corner)], ("fold", label))[0]
     finally:
-        rows.unpersist()
+        kernels.release(rows)
 
 
 def predict(df: DataFrame, model: Model) -> DataFrame:

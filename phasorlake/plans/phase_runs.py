@@ -142,7 +142,7 @@ def sweep(sets: dict[str, DataFrame], modelname: str, k: int = 5, experiments: t
                 files.append_results(spark.createDataFrame([tuple(x[c] for c in _names()) for x in new], RESULT), f"{path}/results")
     finally:
         for df in held.values():
-            df.unpersist()
+            kernels.release(df)
     if path:
         return spark.read.schema(RESULT).parquet(f"{path}/results")
     return spark.createDataFrame([tuple(x[c] for c in _names()) for x in rows], RESULT)

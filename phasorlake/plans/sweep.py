@@ -80,7 +80,7 @@ def rank_sweep(sets: dict[str, DataFrame], modelname: str, ks: int | tuple[int,
         mixture.validate(train, next(iter(families.values())))
         fitted = [m for chain_ in kernels.together(train, [chain(k, run) for k in orders for run in range(inner)]) for m in chain_]
     finally:
-        train.unpersist()
+        kernels.release(train)
     names = sets["train"].sparkSession.createDataFrame([(i, modelname, k, str(rank), run) for i, (k, rank, run, _) in enumerate(fitted)], "model int, modelname string, K int, rank string, inner int")
     rows = []
     for name, df in sets.items():
