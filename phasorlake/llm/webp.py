@@ -2,13 +2,18 @@
 
 Pixels are uint32 arrays of shape (height, width), alpha in the top byte, then red, green, blue. A stream
 is read least bit first; prefix codes are canonical. Where only the green channel takes bits and there is
-no colour cache (grey images), symbols are decoded for all bit positions at once and the chain of positions
-that are symbols is followed in strides; else a plain loop reads symbol by symbol.
+no colour cache (most grey images), many images are read side by side, a symbol of each at a time; else a plain
+loop reads symbol by symbol.
+
+Grey images are written with subtract-green, literals and back references. A predictor by blocks, a palette
+with its pixels bundled and a colour cache are tried where their estimates are shorter, and kept where their
+files are.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +31,18 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 LITERALS, LENGTHS, DISTANCES, MOST_COPY = 256, 24, 40, 4096
-_HASH = 0x1E35A7BD
+#: The farthest back reference of the format, the shortest that grey images take, and the longest code that they have.
+MOST_BACK, LEAST_COPY, LONGEST = (1 << 20) - 120, 5, 11
+#: Images that are no longer read side by side, but one after the other. Samples of an image from which repeats are found by
+#: all four.
+FEW, LONG = 256, 1 << 15
+#: Blocks of the predictor are 2^PREDICTED a side; colour caches that are tried; a file's bits that an estimate has to save.
+PREDICTED, CACHES, WORTH = 5, (2,), 64
+#: Samples that are split into tokens together: what they need has to stay near the core.
+GROUPED = 1 << 17
+#: Above any two literals of a table's entry.
+COPIED = 1 << 22
+_HASH, _NEAR = 0x1E35A7BD, np.array(NEAR)
 
 
 # -- prefix codes ---------------------------------------------------------------------------------
@@ -60,20 +76,57 @@ def code_lengths(counts: list[int], limit: int = 15) -> list[int]:
         weights = {s: (w >> 1) + 1 for s, w in weights.items()}
 
 
-def canonical(lengths: list[int] | np.ndarray) -> np.ndarray:
+def _reversed(bits: int) -> np.ndarray:
+    """Each number of so many bits with its first bit lowest."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
+_REVERSED, _REVERSED_LONGEST = _reversed(15), _reversed(LONGEST)
+_REVERSED_LIST = _REVERSED.tolist()
+
+
+def canonical(lengths: list[int] | np.ndarray) -> list[int]:
     """Each symbol's code with its first bit lowest."""
-    lengths = np.asarray(lengths)
-    codes = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    used = used[np.argsort(lengths[used], kind="stable")]
-    code = last = 0
-    for s, n in zip(used.tolist(), lengths[used].tolist(), strict=True):
+    codes, code, last = [0] * len(lengths), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= n - last
-        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
+        codes[s] = _REVERSED_LIST[code] >> (15 - n)
         code, last = code + 1, n
     return codes
 
 
+def _order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of lengths, the symbols in the order of their codes, and how much of 2^15 each takes; unused ones 0."""
+    order = np.argsort(np.where(lengths > 0, lengths, 16), 1, kind="stable")
+    n = np.take_along_axis(lengths, order, 1)
+    return order, np.where(n > 0, 1 << (15 - n), 0)
+
+
+def canonical_all(lengths: np.ndarray) -> np.ndarray:
+    """``canonical`` of each row."""
+    order, room = _order(lengths)
+    codes, n = np.zeros_like(lengths), np.take_along_axis(lengths, order, 1)
+    # reversed at 15 bits, a code is in the lowest ones
+    np.put_along_axis(codes, order, np.where(n > 0, _REVERSED[np.minimum(np.cumsum(room, 1) - room, (1 << 15) - 1)], 0), 1)
+    return codes
+
+
+def _tables(lengths: np.ndarray) -> np.ndarray:
+    """For rows of full codes of LONGEST bits at most, or of one symbol that takes none: symbol * 16 + length by the
+    next LONGEST bits."""
+    order, room = _order(lengths)
+    entries = order * 16 + np.take_along_axis(lengths, order, 1)
+    one = np.flatnonzero(np.count_nonzero(lengths, 1) == 1)
+    room[one, 0], entries[one, 0] = 1 << 15, order[one, 0] * 16
+    if (room.sum(1) != 1 << 15).any():
+        raise ValueError("not a full prefix code")
+    rows = np.repeat(entries.reshape(-1), (room >> (15 - LONGEST)).reshape(-1)).astype(np.int32).reshape(len(lengths), -1)
+    return rows[:, _REVERSED_LONGEST]
+
+
 class Table:
     """A code as a table over the next ``bits`` bits: symbol * 16 + length. A code of one symbol takes no bits."""
 
@@ -82,18 +135,14 @@ class Table:
         used = np.flatnonzero(lengths)
         self.single = int(used[0]) if len(used) == 1 else None
         if self.single is not None:
-            self.bits, self.entries = 0, np.array([self.single * 16], np.int32)
+            self.bits, self.entries = 0, [self.single * 16]
             return
         if not len(used) or int((2 ** (15 - lengths[used])).sum()) != 1 << 15:
             raise ValueError("not a full prefix code")
         self.bits = int(lengths.max())
-        self.entries = np.zeros(1 << self.bits, np.int32)
-        codes = canonical(lengths)
-        for n in range(1, self.bits + 1):
-            symbols = used[lengths[used] == n]
-            if len(symbols):
-                at = codes[symbols][:, None] + (np.arange(1 << (self.bits - n)) << n)
-                self.entries[at] = (symbols * 16 + n)[:, None]
+        self.entries = [0] * (1 << self.bits)
+        for s, n, code in zip(used.tolist(), lengths[used].tolist(), [c for c, n in zip(canonical(lengths.tolist()), lengths.tolist(), strict=True) if n], strict=True):
+            self.entries[code :: 1 << n] = [s * 16 + n] * (1 << (self.bits - n))
 
 
 @lru_cache(maxsize=1024)
@@ -121,25 +170,35 @@ class Reader:
 
     def symbol(self, table: Table) -> int:
         b = self.at >> 3
-        entry = int(table.entries[(int.from_bytes(self.data[b : b + 3], "little") >> (self.at & 7)) & ((1 << table.bits) - 1)])
+        entry = table.entries[(int.from_bytes(self.data[b : b + 3], "little") >> (self.at & 7)) & ((1 << table.bits) - 1)]
         self.at += entry & 15
         return entry >> 4
 
     def table(self, symbols: int) -> Table:
         """A code over so many symbols."""
+        got = self.lengths(symbols)
+        return _short(got) if isinstance(got, tuple) else Table(np.array(got, np.int64))
+
+    def lengths(self, symbols: int) -> tuple[int, ...] | list[int]:
+        """The lengths of a code over so many symbols, or the one or two of a code in short form."""
         if self.read(1):
             two = self.read(1)
             first = self.read(8 if self.read(1) else 1)
             chosen = (first, self.read(8)) if two else (first,)
             if max(chosen) >= symbols:
                 raise ValueError("a symbol outside the alphabet")
-            return _short(chosen)
-        order = np.zeros(19, np.int64)
-        for s in LENGTH_ORDER[: 4 + self.read(4)]:
-            order[s] = self.read(3)
+            return chosen
+        order = [0] * 19
+        shown = 4 + self.read(4)
+        for k in range(0, shown, 8):
+            few = min(8, shown - k)
+            bits = self.read(3 * few)
+            for s in LENGTH_ORDER[k : k + few]:
+                order[s] = bits & 7
+                bits >>= 3
         left = 2 + self.read(2 + 2 * self.read(3)) if self.read(1) else symbols
-        table = Table(order)
-        entries, mask, data = table.entries.tolist(), (1 << table.bits) - 1, self.data
+        table = _inner(tuple(order))
+        entries, mask, data = table.entries, (1 << table.bits) - 1, self.data
         at, place, last, got = self.at, 0, 8, []
         while place < symbols and left:
             left -= 1
@@ -160,7 +219,12 @@ class Reader:
         if place > symbols:
             raise ValueError("too many code lengths")
         self.at = at
-        return Table(np.array(got, np.int64))
+        return got + [0] * (symbols - place)
+
+
+@lru_cache(maxsize=4096)
+def _inner(lengths: tuple[int, ...]) -> Table:
+    return Table(np.array(lengths, np.int64))
 
 
 def _extra(symbol: int) -> tuple[int, int]:
@@ -171,7 +235,7 @@ def _extra(symbol: int) -> tuple[int, int]:
     return n, ((2 + (symbol & 1)) << n) + 1
 
 
-_EXTRA = np.array([_extra(s) for s in range(DISTANCES)], np.int64)
+_EXTRA = [_extra(s) for s in range(DISTANCES)]
 
 
 def _distance(code: int, width: int) -> int:
@@ -191,10 +255,6 @@ def _image(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
         groups = int(block.max()) + 1
     cache = 1 << cache_bits if cache_bits else 0
     tables = [[r.table(n) for n in (LITERALS + LENGTHS + cache, 256, 256, 256, DISTANCES)] for _ in range(groups)]
-    green, red, blue, alpha, _ = tables[0]
-    if groups == 1 and not cache and None not in (red.single, blue.single, alpha.single) and green.single is None:
-        grey = _green(r, tables[0], width, height)
-        return (grey << 8) | ((alpha.single << 24) | (red.single << 16) | blue.single)
     return _pixels(r, tables, width, height, cache_bits, block, shift)
 
 
@@ -226,70 +286,123 @@ def _pixels(r: Reader, tables: list[list[Table]], width: int, height: int, cache
     return np.array(out, np.uint32).reshape(height, width)
 
 
-def _green(r: Reader, tables: list[Table], width: int, height: int) -> np.ndarray:
-    """The green channel where no other takes bits."""
-    n, green, far = width * height, tables[0], tables[4]
-    first = r.at >> 3
-    most = (n * green.bits + (r.at & 7)) // 8 + 16
-    raw = np.frombuffer(r.data[first : first + most] + bytes(16), np.uint8).astype(np.uint32)
-    words = raw[:-3] | (raw[1:-2] << np.uint32(8)) | (raw[2:-1] << np.uint32(16)) | (raw[3:] << np.uint32(24))
-    windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
-    entry = green.entries[windows & np.uint32((1 << green.bits) - 1)]
-    after = np.arange(len(entry), dtype=np.int32) + (entry & 15)
-    copies = np.flatnonzero(entry >= LITERALS * 16)
-    run = back = None
-    if len(copies):
-        last = len(entry) - 1
-        bits, base = _EXTRA[(entry[copies] >> 4) - LITERALS].T
-        read = lambda at, k: windows[np.minimum(at, last)].astype(np.int64) & ((1 << np.minimum(k, 24)) - 1)
-        run = base + read(after[copies], bits)
-        at = after[copies] + bits
-        code = far.entries[windows[np.minimum(at, last)] & np.uint32((1 << far.bits) - 1)]
-        at = at + (code & 15)
-        bits, base = _EXTRA[code >> 4].T
-        back = base + read(at, bits)
-        after[copies] = at + bits
-    np.minimum(after, len(after) - 1, out=after)
-    # the chain of symbols: strides of 8 by doubling, each stride's symbols from its start
-    step = after
-    for _ in range(3):
-        step = step[step]
-    hops, starts, p, end = step.tolist() if len(step) < 65536 else step, [], r.at & 7, len(after) - 1
-    for _ in range((n >> 3) + 1):
-        starts.append(p)
+def _greens(files: list[_Open]) -> list[np.ndarray]:
+    """The green channels of topmost images, which end their streams, where no other channel takes bits: a symbol of each
+    image at a time, and those of the last FEW images one image after the other."""
+    if not files:
+        return []
+    data = [f.reader.data for f in files]
+    sizes = np.array([f.width * f.height for f in files])
+    raw = b"".join(data)
+    words = np.ndarray((len(raw) - 3,), "<u4", raw, strides=(1,))
+    byte = np.cumsum([0, *map(len, data)])
+    p = byte[:-1] * 8 + [f.reader.at for f in files]
+    stream = byte[1:] * 8 - 64
+    tables = np.concatenate([_tables(np.array([f.lengths[k] for f in files])) for k in (0, 1)]).reshape(-1)
+    mask = (1 << LONGEST) - 1
+    green = np.arange(len(files)) << LONGEST
+    far = green + (len(files) << LONGEST)
+    stop = np.cumsum(sizes)
+    begin, width = stop - sizes, np.array([f.width for f in files])
+    out, o = np.zeros(int(stop[-1]), np.uint8), begin.copy()
+    lanes = np.arange(len(files))
+    bits_of, base_of = np.array(_EXTRA).T
+    read, most = lambda at: words[at >> 3].astype(np.int64) >> (at & 7), len(words) * 8 - 1
+    while len(lanes) >= FEW:
+        entry = tables[green + (read(p) & mask)]
+        p = p + (entry & 15)
+        symbol = entry >> 4
+        copy = np.flatnonzero(symbol >= LITERALS)
+        if len(copy):
+            size, here, q = symbol[copy] - LITERALS, o[copy], p[copy]
+            length = base_of[size] + (read(q) & ((1 << bits_of[size]) - 1))
+            q = q + bits_of[size]
+            entry = tables[far[copy] + (read(np.minimum(q, most)) & mask)]
+            q = q + (entry & 15)
+            code = entry >> 4
+            d = base_of[code] + (read(np.minimum(q, most)) & ((1 << bits_of[code]) - 1))
+            p[copy] = q + bits_of[code]
+            near = np.minimum(d, len(NEAR)) - 1
+            d = np.where(d > len(NEAR), d - len(NEAR), np.maximum(1, _NEAR[near, 0] + _NEAR[near, 1] * width[copy]))
+            if (d > here - begin[copy]).any() or (here + length > stop[copy]).any():
+                raise ValueError("a copy reaches outside the image")
+            k = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            back = np.repeat(d, length)
+            to = np.repeat(here, length)
+            plain = symbol < LITERALS
+            out[o[plain]] = symbol[plain]
+            out[to + k] = out[to - back + k % back]
+            o = o + 1
+            o[copy] += length - 1
+        else:
+            out[o] = symbol
+            o = o + 1
+        if (p > stream).any():
+            raise ValueError("the stream ends early")
+        left = o < stop
+        if not left.all():
+            lanes, p, o, green, far, begin, stop, width, stream = (v[left] for v in (lanes, p, o, green, far, begin, stop, width, stream))
+    for i, lane in enumerate(lanes.tolist()):
+        f = files[lane]
+        f.reader.at = int(p[i] - byte[lane] * 8)
+        _rest(f, *(tables[t[i] : t[i] + mask + 1].tolist() for t in (green, far)), out[begin[i] : stop[i]], int(o[i] - begin[i]))
+    stop = np.cumsum(sizes)
+    return [out[b - n : b].reshape(f.height, f.width) for f, n, b in zip(files, sizes.tolist(), stop.tolist(), strict=True)]
+
+
+def _pairs(entries: list[int]) -> list[int]:
+    """A table of LONGEST bits with a second literal where both codes are within them: the length of both, 16 if there are
+    two, the symbol * 32 and the second * 16384; COPIED more for symbols that are no literals."""
+    one = np.array(entries)
+    size, symbol = one & 15, one >> 4
+    then = one[np.arange(len(one)) >> size]
+    two = (symbol < LITERALS) & (then >> 4 < LITERALS) & (size + (then & 15) <= LONGEST)
+    whole = size + symbol * 32 + np.where(symbol < LITERALS, 0, COPIED)
+    return np.where(two, whole + (then & 15) + 16 + (then >> 4 << 14), whole).tolist()
+
+
+def _rest(f: _Open, entries: list[int], near: list[int], out: np.ndarray, done: int) -> None:
+    """What is left of a green channel after its first ``done`` pixels."""
+    data, p, n, mask = f.reader.data, f.reader.at, len(out), (1 << LONGEST) - 1
+    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
+    words = (raw[:-2] | (raw[1:-1] << np.uint32(8)) | (raw[2:] << np.uint32(16))).tolist()
+    held, end = bytearray(out[:done]), (len(data) - 8) * 8
+    add = held.append
+    entries = _pairs(entries)
+    while done < n:
         if p >= end:
-            break
-        p = hops[p]
-    at = np.empty((len(starts), 8), np.int64)
-    at[:, 0] = starts
-    for k in range(1, 8):
-        at[:, k] = after[at[:, k - 1]]
-    at = at.reshape(-1)
-    symbol = entry[at] >> 4
-    size = np.ones(len(at), np.int64)
-    is_copy = np.flatnonzero(symbol >= LITERALS)
-    if len(is_copy):
-        which = np.searchsorted(copies, at[is_copy])
-        size[is_copy] = run[which]
-    stop = np.cumsum(size)
-    used = int(np.searchsorted(stop, n)) + 1
-    if used > len(at) or stop[used - 1] != n:
-        raise ValueError("the symbols do not fill the image")
-    out = np.zeros(n, np.uint32)
-    begin = stop[:used] - size[:used]
-    plain = symbol[:used] < LITERALS
-    out[begin[plain]] = symbol[:used][plain]
-    for t, w in zip(is_copy.tolist(), which.tolist() if len(is_copy) else [], strict=True):
-        if t >= used:
-            break
-        a, length, d = int(begin[t]), int(run[w]), _distance(int(back[w]), width)
-        if d > a:
+            raise ValueError("the stream ends early")
+        e = entries[words[p >> 3] >> (p & 7) & mask]
+        p += e & 15
+        if e < COPIED:
+            add(e >> 5 & 511)
+            if e & 16:
+                add(e >> 14)
+                done += 2
+            else:
+                done += 1
+            continue
+        s = (e >> 5) & 511
+        bits, base = _EXTRA[s - LITERALS]
+        length = base + (words[p >> 3] >> (p & 7) & ((1 << bits) - 1))
+        p += bits
+        if p > end:
+            raise ValueError("the stream ends early")
+        e = near[words[p >> 3] >> (p & 7) & mask]
+        p += e & 15
+        bits, base = _EXTRA[e >> 4]
+        if p + bits > end:
+            raise ValueError("the stream ends early")
+        b = p >> 3
+        d = _distance(base + ((words[b] | words[b + 3] << 24) >> (p & 7) & ((1 << bits) - 1)), f.width)
+        p += bits
+        if d > done or done + length > n:
             raise ValueError("a copy reaches outside the image")
-        out[a : a + length] = np.resize(out[a - d : a], length) if d < length else out[a - d : a - d + length]
-    r.at = first * 8 + int(after[at[used - 1]])
-    if r.at > (len(r.data) - 8) * 8:
+        held += held[done - d : done - d + length] if d >= length else (held[done - d :] * (length // d + 1))[:length]
+        done += length
+    if p > end + LONGEST:
         raise ValueError("the stream ends early")
-    return out.reshape(height, width)
+    out[:] = held[:n]  # the second of the last two may lie outside
 
 
 # -- transforms -----------------------------------------------------------------------------------
@@ -365,7 +478,30 @@ def _guess(out: list[list[int]], modes: np.ndarray, shift: int, y: int, x: int)
     return predicted(int(modes[y >> shift, x >> shift] >> 8) & 15, out[y][x - 1], out[y - 1][x], out[y - 1][x - 1], corner)
 
 
+def _unpredict_by_runs(p: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
+    """``_unpredict`` where all modes are left, top and top left: a block's row at a time."""
+    height, width = p.shape
+    q = np.ascontiguousarray(p, "<u4").view(np.uint8).reshape(height, width, 4).copy()
+    q[0, 0, 3:] += np.uint8(255)
+    q[0] = np.cumsum(q[0], axis=0, dtype=np.uint8)
+    for y in range(1, height):
+        row, up = q[y], q[y - 1]
+        row[0] += up[0]
+        for b, mode in enumerate(modes[y >> shift].tolist()):
+            lo, hi = max(b << shift, 1), min((b + 1) << shift, width)
+            if mode == 2:
+                row[lo:hi] += up[lo:hi]
+            elif mode == 4:
+                row[lo:hi] += up[lo - 1 : hi - 1]
+            else:
+                row[lo:hi] = np.cumsum(row[lo - 1 : hi], axis=0, dtype=np.uint8)[1:]
+    return q.reshape(height, -1).view("<u4").astype(np.uint32)
+
+
 def _unpredict(p: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
+    kinds = (modes >> np.uint32(8)) & np.uint32(15)
+    if np.isin(kinds, (1, 2, 4)).all():
+        return _unpredict_by_runs(p, kinds, shift)
     out: list[list[int]] = []
     for y, row in enumerate(p.tolist()):
         out.append([])
@@ -407,8 +543,40 @@ def _unbundle(p: np.ndarray, palette: np.ndarray, width: int) -> np.ndarray:
     return full[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file."""
+@dataclass
+class _Open:
+    """A file of which all is read but its topmost image's pixels. ``lengths`` of the codes of green and of distances, where
+    ``_greens`` can read it, and the other channels' values."""
+
+    reader: Reader
+    width: int
+    height: int
+    undo: list[tuple]
+    lengths: tuple[list[int], list[int]] | None = None
+    others: tuple[int, ...] = ()
+    pixels: np.ndarray | None = None
+
+    def finished(self) -> np.ndarray:
+        p = self.pixels.astype(np.uint32)
+        for kind, blocks, shift in reversed(self.undo):
+            if kind == PREDICTOR:
+                p = _unpredict(p, blocks, shift)
+            elif kind == CROSS_COLOUR:
+                p = _cross(p, blocks, shift, 1)
+            elif kind == PALETTE:
+                p = _unbundle(p, blocks, shift)
+            else:
+                green = (p >> np.uint32(8)) & np.uint32(255)
+                p = _add(p, (green << np.uint32(16)) | green)
+        return p
+
+
+def _written(chosen: tuple[int, ...] | list[int], symbols: int) -> list[int]:
+    """A code in short form by its lengths."""
+    return [int(s in chosen) for s in range(symbols)] if isinstance(chosen, tuple) else chosen
+
+
+def _opened(data: bytes) -> _Open:
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or len(data) < 25 or data[20] != 0x2F:
         raise ValueError("not a lossless WebP file")
     r = Reader(data[21 : 20 + int.from_bytes(data[16:20], "little")])
@@ -431,23 +599,60 @@ def decode(data: bytes) -> np.ndarray:
             inner = -(-inner // (1 << _bundle(size)))
         else:
             undo.append((kind, None, 0))
-    p = _image(r, inner, height, True).astype(np.uint32)
-    for kind, blocks, shift in reversed(undo):
-        if kind == PREDICTOR:
-            p = _unpredict(p, blocks, shift)
-        elif kind == CROSS_COLOUR:
-            p = _cross(p, blocks, shift, 1)
-        elif kind == PALETTE:
-            p = _unbundle(p, blocks, shift)
-        else:
-            green = (p >> np.uint32(8)) & np.uint32(255)
-            p = _add(p, (green << np.uint32(16)) | green)
-    return p
+    file = _Open(r, inner, height, undo)
+    begin = r.at
+    if not r.read(2):  # no colour cache, one group of codes
+        green, *others, far = (r.lengths(n) for n in (LITERALS + LENGTHS, 256, 256, 256, DISTANCES))
+        far = _written(far, DISTANCES)
+        if all(isinstance(c, tuple) and len(c) == 1 for c in others) and isinstance(green, list) and sum(map(bool, green)) > 1 and max(max(green), max(far)) <= LONGEST:
+            file.lengths, file.others = (green, far), tuple(c[0] for c in others)
+            return file
+    r.at = begin
+    file.pixels = _image(r, inner, height, True)
+    return file
+
+
+def decode_all(files: list[bytes], grey: bool = False) -> list[np.ndarray]:
+    """The pixels of lossless WebP files, or as 8-bit samples those of opaque grey images."""
+    opened = [_opened(f) for f in files]
+    several = [f for f in opened if f.lengths is not None]
+    for f, green in zip(several, _greens(several), strict=True):
+        red, blue, alpha = f.others
+        if grey and (red, blue, alpha) == (0, 0, 255) and [kind for kind, *_ in f.undo] == [SUBTRACT_GREEN]:
+            f.pixels, f.undo = green, []  # red and blue are green
+            continue
+        f.pixels = (green.astype(np.uint32) << np.uint32(8)) | np.uint32((alpha << 24) | (red << 16) | blue)
+    return [f.pixels if f.pixels.dtype == np.uint8 else _samples(f.finished()) if grey else f.finished() for f in opened]
+
+
+def _samples(p: np.ndarray) -> np.ndarray:
+    grey = p & np.uint32(255)
+    if (p != grey * np.uint32(0x010101) + np.uint32(0xFF000000)).any():
+        raise ValueError("not an opaque grey image")
+    return grey.astype(np.uint8)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The pixels of a lossless WebP file."""
+    return decode_all([data])[0]
 
 
 # -- writing --------------------------------------------------------------------------------------
 
 
+def _words(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``n`` 32-bit words of values at ascending bits."""
+    word = at >> 5
+    shifted = values.astype(np.uint64) << (at & 31).astype(np.uint64)
+    total = np.zeros(n + 1, np.uint64)
+    if len(values):
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        total[word[first]] = np.add.reduceat(shifted, first)
+    out = (total & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out[1:] |= (total[:-1] >> np.uint64(32)).astype(np.uint32)
+    return out[:n]
+
+
 class Writer:
     def __init__(self):
         self.values, self.sizes = [], []
@@ -464,17 +669,17 @@ class Writer:
         """All values, least bit first: sums over 32-bit words, whose upper halves carry into the next."""
         values, sizes = (np.concatenate([np.atleast_1d(np.asarray(x, np.int64)) for x in xs]) for xs in (_grouped(self.values), _grouped(self.sizes)))
         some = sizes > 0
-        values, sizes = values[some].astype(np.uint64), sizes[some]
+        values, sizes = values[some], sizes[some]
         end = np.cumsum(sizes)
-        at = end - sizes
-        word = at >> 5
-        shifted = values << (at & 31).astype(np.uint64)
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        total = np.zeros((int(end[-1]) >> 5) + 2, np.uint64)
-        total[word[first]] = np.add.reduceat(shifted, first)
-        out = (total & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        out[1:] |= (total[:-1] >> np.uint64(32)).astype(np.uint32)
-        return out.tobytes()[: (int(end[-1]) + 7) >> 3]
+        return _words(values, end - sizes, (int(end[-1]) >> 5) + 1).tobytes()[: (int(end[-1]) + 7) >> 3]
+
+    def number(self) -> tuple[int, int]:
+        """All values as one number, and its bits; for few."""
+        total = at = 0
+        for value, n in zip(self.values, self.sizes, strict=True):
+            total |= value << at
+            at += n
+        return total, at
 
     def short(self, first: int, *second: int) -> None:
         self.put(1 | len(second) << 1 | (first > 1) << 2, 3)
@@ -490,20 +695,19 @@ class Writer:
             return
         runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
         i = 0
-        while i < len(lengths):
-            n, j = lengths[i], i
-            while j < len(lengths) and lengths[j] == n:
-                j += 1
-            if n == 0:
-                while j - i >= 11:
-                    k = min(j - i, 138)
-                    runs.append((18, k - 11, 7))
-                    i += k
-                if j - i >= 3:
-                    runs.append((17, j - i - 3, 3))
-                    i = j
-            runs += [(n, 0, 0)] * (j - i)
-            i = j
+        for s in [*used, len(lengths)]:
+            k = s - i
+            while k >= 11:
+                m = min(k, 138)
+                runs.append((18, m - 11, 7))
+                k -= m
+            if k >= 3:
+                runs.append((17, k - 3, 3))
+            elif k:
+                runs += [(0, 0, 0)] * k
+            if s < len(lengths):
+                runs.append((lengths[s], 0, 0))
+            i = s + 1
         counts = [0] * 19
         for s, _, _ in runs:
             counts[s] += 1
@@ -517,9 +721,8 @@ class Writer:
         self.put(0, 1)
         alone = sum(c > 0 for c in counts) == 1
         for s, extra, bits in runs:
-            if not alone:
-                self.put(int(codes[s]), inner[s])
-            self.put(extra, bits)
+            n = 0 if alone else inner[s]
+            self.put((0 if alone else codes[s]) | extra << n, n + bits)
 
 
 def _grouped(xs: list) -> list:
@@ -545,32 +748,167 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * n + 2 + ((v >> n) & 1), v & ((1 << n) - 1), n
 
 
-def _put_grey(w: Writer, green: np.ndarray) -> None:
-    """A topmost image with only its green channel coded; a run of one value at its end is a copy of the
-    pixel before."""
-    differs = np.flatnonzero(green != green[-1])
-    plain = int(differs[-1]) + 2 if len(differs) else 1
-    tail = len(green) - plain
-    counts = np.bincount(green[:plain], minlength=LITERALS + LENGTHS)
-    copies = []
-    while tail:
-        k = min(tail, MOST_COPY)
-        copies.append(_prefix(k))
-        counts[LITERALS + copies[-1][0]] += 1
-        tail -= k
-    w.put(0, 2)
-    if np.count_nonzero(counts) == 1:
-        counts[0 if counts[0] == 0 else 1] = 1  # so that every pixel takes a bit
-    lengths = code_lengths(counts.tolist())
-    w.code(lengths)
-    for s in (0, 0, 255):
-        w.short(s)
-    w.short(1)  # the pixel before: distance code 2
-    codes, sizes = canonical(lengths), np.array(lengths)
-    w.put_all(codes[green[:plain]], sizes[green[:plain]])
-    for s, extra, bits in copies:
-        w.put(int(codes[LITERALS + s]), int(sizes[LITERALS + s]))
-        w.put(extra, bits)
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefix`` of many."""
+    v = values - 1
+    n = np.maximum(np.frexp(v.astype(float))[1] - 2, 0).astype(np.int64)
+    return np.where(v < 2, v, 2 * n + 2 + ((v >> n) & 1)), v & ((1 << n) - 1), n
+
+
+@lru_cache(maxsize=64)
+def _codes_back(width: int) -> np.ndarray:
+    """The distance code of each distance that is not too far for a short one."""
+    codes = np.arange(9 + 7 * width) + len(NEAR)
+    for code, (x, y) in reversed(list(enumerate(NEAR, 1))):
+        if x + y * width >= 1:
+            codes[x + y * width] = code
+    return codes
+
+
+def _repeats(g: np.ndarray, starts: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of images one after the other the distance to the last one of the same image from which four samples
+    or more are equal, and how many are (MOST_COPY at most, and no more than lie at the same distance); 0 where there is
+    none. Unless ``exact``, only the last place whose four samples have the same digest is looked at."""
+    n = len(g)
+    back, size, stops = np.zeros(n, np.int64), np.zeros(n, np.int64), np.append(starts[1:], n)
+    if n < 5:
+        return back, size
+    four = np.ndarray((n - 3,), "<u4", g.tobytes(), strides=(1,)).copy()
+    order = np.argsort(four if exact else ((four * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16), kind="stable")
+    late, early = order[1:], order[:-1]
+    same = np.flatnonzero((four[late] == four[early]) & (early >= np.repeat(starts, stops - starts)[late]) & (late - early <= MOST_BACK))
+    back[late[same]] = (late - early)[same]
+    for k in (1, 2, 3):
+        back[np.maximum(stops - k, 0)] = 0  # four samples from here reach the next image
+    ends = np.flatnonzero(np.append(back[1:] != back[:-1], True))
+    last = np.repeat(ends, np.diff(ends, prepend=-1))
+    return back, np.where(back > 0, np.minimum(last - np.arange(n) + 4, MOST_COPY), 0)
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """About how many bits symbols take that are as frequent; in rows."""
+    total = counts.sum(-1, keepdims=True)
+    return np.where(counts > 0, counts * np.log2(np.maximum(total, 1) / np.maximum(counts, 1)) + 5, 0.0).sum(-1)
+
+
+@dataclass
+class _Grey:
+    """A topmost image of samples in the green channel, the other channels constant, and the bits before it."""
+
+    head: Writer
+    samples: np.ndarray
+    alpha: int = 255
+    cache_bits: int = 0
+
+
+class _Tokens:
+    """Images' samples as literals and back references, all images' one after the other."""
+
+    def __init__(self, images: list[_Grey]):
+        self.images = images
+        sizes = np.array([i.samples.size for i in images])
+        self.stops = np.cumsum(sizes)
+        self.starts = self.stops - sizes
+        self.flat = g = np.concatenate([i.samples.reshape(-1) for i in images])
+        back, size = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+        long = sizes >= LONG
+        for a, b in zip(self.starts[long].tolist(), self.stops[long].tolist(), strict=True):
+            back[a:b], size[a:b] = _repeats(g[a:b], np.array([0]), True)
+        if not long.all():
+            short = np.repeat(~long, sizes)
+            back[short], size[short] = _repeats(g[short], np.cumsum(sizes[~long]) - sizes[~long], False)
+        places = np.flatnonzero(size >= LEAST_COPY)
+        ends = places + size[places]
+        following, taken, k = np.searchsorted(places, ends).tolist(), [], 0  # none reaches the next image
+        while k < len(places):
+            taken.append(k)
+            k = following[k]
+        covered = np.zeros(len(g) + 1, np.int8)
+        covered[places[taken] + 1] += 1
+        covered[ends[taken]] -= 1
+        is_copy = np.zeros(len(g), bool)
+        is_copy[places[taken]] = True
+        self.at = np.flatnonzero(np.cumsum(covered[:-1], dtype=np.int8) == 0)
+        self.of = np.searchsorted(self.stops, self.at, "right")
+        self.copy = np.flatnonzero(is_copy[self.at])
+        there = self.at[self.copy]
+        self.size, self.extra, self.size_bits = _prefixes(size[there])
+        self.symbol = g[self.at].astype(np.int64)
+        self.symbol[self.copy] = LITERALS + self.size
+        d, code = back[there], back[there] + len(NEAR)
+        widths = np.array([i.samples.shape[1] for i in images])[self.of[self.copy]]
+        for width in np.unique(widths).tolist():
+            codes = _codes_back(width)
+            near = np.flatnonzero((widths == width) & (d < len(codes)))
+            code[near] = codes[d[near]]
+        self.far, self.far_extra, self.far_bits = _prefixes(code)
+
+    def cached(self, bits: int) -> np.ndarray:
+        """The symbols with colour caches of that size (images with the same alpha)."""
+        argb = np.uint32(self.images[0].alpha << 24) | (np.arange(256, dtype=np.uint32) << np.uint32(8))
+        keys = ((argb * np.uint32(_HASH)) >> np.uint32(32 - bits)).astype(np.uint16)[self.flat]
+        order = np.argsort(keys, kind="stable")
+        late, early = order[1:], order[:-1]
+        hit = np.zeros(len(keys), bool)
+        hit[late] = (self.flat[late] == self.flat[early]) & (early >= np.repeat(self.starts, self.stops - self.starts)[late])  # of other keys other colours
+        return np.where((self.symbol < LITERALS) & hit[self.at], LITERALS + LENGTHS + keys[self.at], self.symbol)
+
+    def counted(self, symbol: np.ndarray, n: int) -> np.ndarray:
+        """By image how often each symbol occurs."""
+        return np.bincount(self.of * n + symbol, minlength=len(self.images) * n).reshape(-1, n)
+
+    def files(self) -> list[bytes]:
+        """The images' files; they have caches of one size, or none."""
+        cache_bits, count = self.images[0].cache_bits, len(self.images)
+        symbol = self.cached(cache_bits) if cache_bits else self.symbol
+        n = LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)
+        counts = self.counted(symbol, n)
+        single = np.flatnonzero(np.count_nonzero(counts, 1) == 1)
+        counts[single, (counts[single, 0] > 0).astype(int)] += 1  # so that every pixel takes a bit
+        far_counts = np.bincount(self.of[self.copy] * DISTANCES + self.far, minlength=count * DISTANCES).reshape(-1, DISTANCES)
+        sizes, far_sizes = np.zeros((count, n), np.int64), np.zeros((count, DISTANCES), np.int64)
+        heads = []
+        for k, image in enumerate(self.images):
+            w = image.head
+            w.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+            w.put(0, 1)
+            lengths = code_lengths(counts[k].tolist(), LONGEST)
+            w.code(lengths)
+            sizes[k] = lengths
+            for s in (0, 0, image.alpha):
+                w.short(s)
+            lengths = code_lengths(far_counts[k].tolist(), LONGEST)
+            w.code(lengths)
+            if sum(x > 0 for x in lengths) > 1:
+                far_sizes[k] = lengths
+            heads.append(w.number())
+        codes, far_codes = canonical_all(sizes), canonical_all(far_sizes)
+        values, bits = np.zeros((len(symbol), 2), np.int64), np.zeros((len(symbol), 2), np.int64)
+        values[:, 0], bits[:, 0] = codes[self.of, symbol], sizes[self.of, symbol]
+        values[self.copy, 0] |= self.extra << bits[self.copy, 0]
+        bits[self.copy, 0] += self.size_bits
+        of = self.of[self.copy]
+        values[self.copy, 1] = far_codes[of, self.far] | self.far_extra << far_sizes[of, self.far]
+        bits[self.copy, 1] = far_sizes[of, self.far] + self.far_bits
+        each = bits.sum(1)
+        ends = np.cumsum(each)
+        before = np.append(0, ends)[np.searchsorted(self.of, np.arange(count + 1))]
+        head_bits = np.array([size for _, size in heads])
+        words = (head_bits + np.diff(before)) // 32 + 1
+        first = np.cumsum(words) - words
+        at = np.repeat(first * 32 + head_bits - before[:-1], np.bincount(self.of, minlength=count)) + ends - each
+        places = np.stack([at, at + bits[:, 0]], 1).reshape(-1)
+        values, bits = values.reshape(-1), bits.reshape(-1)
+        some = np.flatnonzero(bits)
+        packed = _words(values[some], places[some], int(words.sum())).tobytes()
+        out = []
+        for (head, size), a, m in zip(heads, (first * 4).tolist(), (head_bits + np.diff(before)).tolist(), strict=True):
+            body = bytearray(packed[a : a + (m + 7) // 8])
+            start = head.to_bytes((size + 7) // 8, "little")
+            last = body[len(start) - 1] | start[-1]
+            body[: len(start)] = start[:-1] + bytes([last])
+            out.append(_riff(bytes(body)))
+        return out
 
 
 def _put_image(w: Writer, p: np.ndarray, top: bool, cache_bits: int = 0) -> None:
@@ -612,8 +950,10 @@ def _put_image(w: Writer, p: np.ndarray, top: bool, cache_bits: int = 0) -> None
     w.code([0, 1])
     codes = [canonical(x) for x in lengths]
 
+    several = [sum(x > 0 for x in one) > 1 for one in lengths]
+
     def put(channel: int, s: int) -> None:
-        if sum(x > 0 for x in lengths[channel]) > 1:
+        if several[channel]:
             w.put(int(codes[channel][s]), lengths[channel][s])
 
     for s, v in tokens:
@@ -628,7 +968,11 @@ def _put_image(w: Writer, p: np.ndarray, top: bool, cache_bits: int = 0) -> None
 
 
 def _file(w: Writer) -> bytes:
-    body = b"\x2f" + w.bytes()
+    return _riff(w.bytes())
+
+
+def _riff(stream: bytes) -> bytes:
+    body = b"\x2f" + stream
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
@@ -644,14 +988,102 @@ def _head(width: int, height: int, alpha: bool) -> Writer:
     return w
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """8-bit samples of shape (height, width) as an opaque grey image: red and blue less green are 0 and
-    take no bits."""
+def _plain(samples: np.ndarray, cache_bits: int = 0) -> _Grey:
     w = _head(samples.shape[1], samples.shape[0], False)
     w.put(1 | SUBTRACT_GREEN << 1, 3)
     w.put(0, 1)
-    _put_grey(w, samples.reshape(-1))
-    return _file(w)
+    return _Grey(w, samples, 255, cache_bits)
+
+
+def _predicted(samples: np.ndarray) -> _Grey:
+    """With the left, the top or the top left pixel as prediction, whichever leaves least in a block."""
+    height, width = samples.shape
+    side, rows, columns = 1 << PREDICTED, range(0, height, 1 << PREDICTED), range(0, width, 1 << PREDICTED)
+    left, top, corner = (np.zeros_like(samples) for _ in range(3))
+    left[:, 1:], top[1:], corner[1:, 1:] = samples[:, :-1], samples[:-1], samples[:-1, :-1]
+    top[0], corner[0], left[1:, 0], corner[:, 0] = left[0], left[0], samples[:-1, 0], top[:, 0]
+    rest = np.stack([samples - g for g in (left, top, corner)])
+    off = np.abs(rest.view(np.int8).astype(np.int32))
+    best = np.add.reduceat(np.add.reduceat(off, rows, 1), columns, 2).argmin(0)
+    modes = np.uint32(0xFF000000) | (np.array([1, 2, 4], np.uint32)[best] << np.uint32(8))
+    w = _head(width, height, False)
+    w.put(1 | PREDICTOR << 1 | (PREDICTED - 2) << 3, 6)
+    _put_image(w, modes, False)
+    w.put(1 | SUBTRACT_GREEN << 1, 3)
+    w.put(0, 1)
+    chosen = np.repeat(np.repeat(best, side, 0), side, 1)[:height, :width]
+    return _Grey(w, np.take_along_axis(rest, chosen[None], 0)[0], 0)
+
+
+def _bundled(samples: np.ndarray) -> _Grey:
+    """With a palette of 16 colours at most, several pixels in one."""
+    grey, index = np.unique(samples, return_inverse=True)
+    w = _head(samples.shape[1], samples.shape[0], False)
+    _put_palette(w, grey.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000))
+    w.put(0, 1)
+    return _Grey(w, _packed(index.reshape(samples.shape).astype(np.uint32), len(grey)).astype(np.uint8))
+
+
+def _tried(images: list[np.ndarray], plain: _Tokens) -> list[tuple[int, _Grey]]:
+    """Other forms of images whose estimates are shorter."""
+    literal = np.flatnonzero(plain.symbol < LITERALS)  # repeats are found whatever the form
+    at, of, g = plain.at[literal], plain.of[literal], plain.flat
+    counted = lambda values, of: np.bincount(of * 256 + values, minlength=len(images) * 256).reshape(-1, 256)
+    counts = counted(g[at], of)
+    distinct, least = np.count_nonzero(counts, 1), _bits(counts) - WORTH
+    out = [(k, _bundled(images[k])) for k in np.flatnonzero((distinct > 1) & (distinct <= 16)).tolist()]
+    widths = np.array([i.shape[1] for i in images])[of]
+    shorter = np.zeros(len(images), bool)
+    for far in (np.ones_like(widths), widths):
+        back = np.where(at - far >= plain.starts[of], at - far, plain.starts[of])
+        shorter |= _bits(counted(g[at] - g[back], of)) < least
+    out += [(k, _predicted(images[k])) for k in np.flatnonzero(shorter).tolist()]
+    least = _bits(plain.counted(plain.symbol, LITERALS + LENGTHS)) - WORTH
+    for bits in CACHES:
+        n = LITERALS + LENGTHS + (1 << bits)
+        out += [(k, _plain(images[k], bits)) for k in np.flatnonzero(_bits(plain.counted(plain.cached(bits), n)) < least).tolist()]
+    return out
+
+
+def encode_greys(images: list[np.ndarray]) -> list[bytes]:
+    """8-bit samples of shapes (height, width) as opaque grey images: red and blue less green are 0 and take no bits. Of each
+    the shortest of the plain file and those whose estimates were shorter; it doesn't depend on the other images."""
+    ends = np.cumsum([i.size for i in images])
+    out = []
+    for group in np.split(np.arange(len(images)), np.flatnonzero(np.diff(ends // GROUPED)) + 1) if images else []:
+        out += _encoded([images[k] for k in group.tolist()])
+    return out
+
+
+def _encoded(images: list[np.ndarray]) -> list[bytes]:
+    plain = _Tokens([_plain(i) for i in images])
+    files = plain.files()
+    others = _tried(images, plain)
+    for bits in (0, *CACHES):
+        for alpha in (0, 255):
+            some = [(k, i) for k, i in others if i.cache_bits == bits and i.alpha == alpha]
+            for (k, _), f in zip(some, _Tokens([i for _, i in some]).files() if some else [], strict=True):
+                files[k] = min(files[k], f, key=len)
+    return files
+
+
+def encode_grey(samples: np.ndarray) -> bytes:
+    return encode_greys([samples])[0]
+
+
+def _put_palette(w: Writer, colours: np.ndarray) -> None:
+    w.put(1 | PALETTE << 1, 3)
+    w.put(len(colours) - 1, 8)
+    _put_image(w, _minus(colours, np.concatenate(([0], colours[:-1])).astype(np.uint32))[None], False)
+
+
+def _packed(index: np.ndarray, size: int) -> np.ndarray:
+    """Indexes of a palette of that size, as many in one pixel as it allows."""
+    bits = _bundle(size)
+    if not bits:
+        return index
+    index = np.pad(index, ((0, 0), (0, -index.shape[1] % (1 << bits)))).reshape(len(index), -1, 1 << bits)
+    return (index << (np.arange(1 << bits, dtype=np.uint32) * np.uint32(8 >> bits))).sum(2, dtype=np.uint32)
 
 
 def encode(p: np.ndarray, modes: np.ndarray | None = None, cross: np.ndarray | None = None, green: bool = False, palette: bool = False, cache_bits: int = 0, shift: int = 2) -> bytes:
@@ -663,15 +1095,8 @@ def encode(p: np.ndarray, modes: np.ndarray | None = None, cross: np.ndarray | N
         colours, index = np.unique(p, return_inverse=True)
         if len(colours) > 256:
             raise ValueError("more than 256 colours")
-        w.put(1 | PALETTE << 1, 3)
-        w.put(len(colours) - 1, 8)
-        _put_image(w, _minus(colours, np.concatenate(([0], colours[:-1])).astype(np.uint32))[None], False)
-        bits = _bundle(len(colours))
-        index = index.reshape(p.shape).astype(np.uint32)
-        if bits:
-            pad = -width % (1 << bits)
-            index = np.pad(index, ((0, 0), (0, pad))).reshape(height, -1, 1 << bits)
-            index = (index << (np.arange(1 << bits, dtype=np.uint32) * np.uint32(8 >> bits))).sum(2, dtype=np.uint32)
+        _put_palette(w, colours)
+        index = _packed(index.reshape(p.shape).astype(np.uint32), len(colours))
         p = (index << np.uint32(8)) | np.uint32(0xFF000000)
     else:
         if modes is not None:

@@ -38,3 +38,37 @@ def test_palettes(colours):
 def test_cache_sizes(bits):
     few = RNG.integers(0, 1 << 32, 9, dtype=np.uint32)
     _same(few[RNG.integers(0, 9, (11, 13))], cache_bits=bits)
+
+
+def test_grey_images_refer_back():
+    """Repeats are stored once: literals alone take four bits a sample of this text at least."""
+    text = b" ".join(RNG.choice([b"alder", b"birch", b"cedar", b"maple", b"willow"], 40)) * 9
+    samples = np.resize(np.frombuffer(text, np.uint8), (8, 576))
+    file = webp.encode_grey(samples)
+    assert (webp.decode_all([file], grey=True)[0] == samples).all()
+    assert len(file) * 8 < samples.size
+
+
+def test_grey_images_of_all_forms():
+    slope = (np.arange(300)[:, None] * 3 + np.arange(300) * 5 + RNG.integers(0, 2, (300, 300))).astype(np.uint8)
+    few = (RNG.random((60, 101)) < 0.1).astype(np.uint8) * 7
+    tiny = [RNG.integers(0, 256, (h, w), dtype=np.uint8) for h, w in ((1, 1), (1, 2), (2, 1), (3, 1), (1, 5))]
+    flat = np.full((40, 576), 255, np.uint8)
+    images = [slope, few, flat, *tiny, *(RNG.integers(0, 9, (2, 40 + k), dtype=np.uint8) for k in range(150))]
+    files = webp.encode_greys(images)
+    assert all((a == b).all() for a, b in zip(webp.decode_all(files, grey=True), images, strict=True))
+    assert files == [webp.encode_grey(i) for i in images]  # whatever is encoded beside it
+    plain = webp._Tokens([webp._plain(i) for i in (slope, few)]).files()
+    assert len(files[0]) < len(plain[0]) and len(files[1]) < len(plain[1])  # a predictor, a bundled palette
+    for bits in range(1, 12):
+        for image in (few, images[-1]):
+            for file in (webp._Tokens([webp._plain(image, bits)]).files()[0], webp._Tokens([webp._predicted(image)]).files()[0]):
+                assert (webp.decode_all([file], grey=True)[0] == image).all()
+
+
+def test_cut_streams_are_refused():
+    files = webp.encode_greys([RNG.integers(0, 99, (3, 90), dtype=np.uint8) for _ in range(200)])
+    cut = lambda f: f[:16] + (int.from_bytes(f[16:20], "little") - 40).to_bytes(4, "little") + f[20:]
+    for some in ([cut(files[0])], [*files, cut(files[0])]):
+        with pytest.raises(ValueError, match="ends early"):
+            webp.decode_all(some)
