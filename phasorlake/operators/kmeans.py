@@ -85,19 +85,21 @@ def pass_over(df: DataFrame, centres: np.ndarray, before: np.ndarray | None, met
     wide = ("c_sum" if np.iscomplexobj(centres) else "sum") + ("_h" if full else "")
 
     def kernel(x: np.ndarray, _: pa.RecordBatch) -> dict[str, np.ndarray]:
-        s = similarities(x, centres, method)
+        if method == "diametrical":  # the rows are read twice: for products with all centres, old ones too, and for the sums
+            y = x @ (centres if before is None else np.concatenate([centres, before])).conj().T
+            s, last = np.abs(y[:, :k]) ** 2, np.abs(y[:, k:]) ** 2
+        else:
+            s, last = similarities(x, centres, method), None if before is None else similarities(x, before, method)
         part = s.argmax(1)
-        changed = len(x) if before is None else (part != similarities(x, before, method).argmax(1)).sum()
-        out = []
-        for j in range(k):
-            rows = x[part == j]
-            if full:
-                out.append(_gram(rows))
-            elif method == "diametrical":
-                out.append(rows.T @ (rows.conj() @ centres[j]))
-            else:
-                out.append(rows.sum(0))
-        return {"scalars": np.array([s.max(1).sum(), len(x), changed], float), "size": np.bincount(part, minlength=k).astype(float), wide: np.stack(out)}
+        changed = len(x) if before is None else (part != last.argmax(1)).sum()
+        if method == "diametrical":
+            weight = np.zeros((len(x), k), y.dtype)
+            weight[np.arange(len(x)), part] = y[np.arange(len(x)), part].conj()
+            sums = (x.T @ weight).T
+        else:
+            rows = [x[part == j] for j in range(k)]
+            sums = np.stack([_gram(r) if full else r.sum(0) for r in rows])
+        return {"scalars": np.array([s.max(1).sum(), len(x), changed], float), "size": np.bincount(part, minlength=k).astype(float), wide: sums}
 
     moment = (k, shape[0], shape[0]) if full else (k, *shape)
     got = summed(df, kernel, {"scalars": (3,), "size": (k,), wide: moment})

@@ -3,7 +3,7 @@ import pytest
 from conftest import SF
 from pyspark import RDD
 
-from phasorlake.operators import kernels, mixture
+from phasorlake.operators import kernels, kmeans, mixture
 from phasorlake.operators.families import Family
 from phasorlake.plans import fixtures
 
@@ -57,3 +57,18 @@ def test_a_fit_sends_few_numbers_to_the_driver(spark, monkeypatch):
     fitted = mixture.fit(o, Family("ACG", (64,)), 3, max_iter=4, num_comparison=50)
     assert len(fitted.curve) == 4
     assert max(sum(len(raw) // 8 for _, raw in part) for part in seen) == 3 * 64 * 65 // 2 + 3 + 1  # once, not by partition
+
+
+@pytest.mark.parametrize("is_complex", [False, True])
+def test_a_pass_over_lines_reads_the_rows_for_all_centres_at_once(spark, is_complex, monkeypatch):
+    rng = np.random.default_rng(3)
+    draw = lambda n: kmeans._normal(rng.normal(size=(n, 5)) + (1j * rng.normal(size=(n, 5)) if is_complex else 0))
+    x, centres, before = draw(60), draw(4), draw(4)
+    cells = [((v.real.tolist(), v.imag.tolist()),) if is_complex else (v.tolist(),) for v in x]
+    df = spark.createDataFrame(cells, "x struct<re: array<double>, im: array<double>>" if is_complex else "x array<double>")
+    parts = [(np.abs(x @ c.conj().T) ** 2).argmax(1) for c in (centres, before)]
+    sums = np.stack([x[parts[0] == j].T @ (x[parts[0] == j].conj() @ centres[j]) for j in range(4)])
+    monkeypatch.setattr(kmeans, "similarities", None)  # one product gives both centres' parts
+    got = kmeans.pass_over(df, centres, before, "diametrical")
+    assert np.allclose(got["sum"], sums) and got["n"] == 60 and got["changed"] == (parts[0] != parts[1]).sum()
+    assert np.isclose(got["obj"], (np.abs(x @ centres.conj().T) ** 2).max(1).sum()) and (got["size"] == np.bincount(parts[0], minlength=4)).all()
