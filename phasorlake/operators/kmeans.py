@@ -31,18 +31,20 @@ def similarities(x: np.ndarray, centres: np.ndarray, method: str) -> np.ndarray:
     if method == "least_squares":
         return -((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1))
     q = x.shape[2]
-    shared = np.einsum("npq,kpr->nkqr", x, centres, optimize=True)
-    shared = (shared**2).sum((2, 3))
+    wide = np.moveaxis(centres, 1, 0).reshape(x.shape[1], -1)  # one product for each column, with all centres' columns
+    shared = sum((x[:, :, a] @ wide) ** 2 for a in range(q)).reshape(len(x), len(centres), -1).sum(2)
     if method == "grassmann":
         return -(2 * q - 2 * shared) / np.sqrt(2)
     weight = lambda a: ((a**2).sum(1) ** 2).sum(1)
     return -(weight(x)[:, None] + weight(centres) - 2 * shared) / np.sqrt(2)
 
 
-def _gram(x: np.ndarray) -> np.ndarray:
-    """Sum of x x^H; frames count all their columns."""
-    rows = x if x.ndim == 2 else np.moveaxis(x, 2, 1).reshape(-1, x.shape[1])
-    return rows.T @ rows.conj()
+def _gram(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sum of x x^H over rows; frames count all their columns, one after the other."""
+    if x.ndim == 3:
+        return sum(_gram(x[:, :, a], of) for a in range(x.shape[2]))
+    rows = x[of]
+    return rows.T @ (rows.conj() if np.iscomplexobj(rows) else rows)
 
 
 @dataclass
@@ -85,11 +87,13 @@ def pass_over(df: DataFrame, centres: np.ndarray, before: np.ndarray | None, met
     wide = ("c_sum" if np.iscomplexobj(centres) else "sum") + ("_h" if full else "")
 
     def kernel(x: np.ndarray, _: pa.RecordBatch) -> dict[str, np.ndarray]:
+        both = centres if before is None else np.concatenate([centres, before])
         if method == "diametrical":  # the rows are read twice: for products with all centres, old ones too, and for the sums
-            y = x @ (centres if before is None else np.concatenate([centres, before])).conj().T
-            s, last = np.abs(y[:, :k]) ** 2, np.abs(y[:, k:]) ** 2
+            y = x @ both.conj().T
+            s = np.abs(y) ** 2
         else:
-            s, last = similarities(x, centres, method), None if before is None else similarities(x, before, method)
+            s = similarities(x, both, method)
+        s, last = s[:, :k], s[:, k:]
         part = s.argmax(1)
         changed = len(x) if before is None else (part != last.argmax(1)).sum()
         if method == "diametrical":
@@ -97,8 +101,7 @@ def pass_over(df: DataFrame, centres: np.ndarray, before: np.ndarray | None, met
             weight[np.arange(len(x)), part] = y[np.arange(len(x)), part].conj()
             sums = (x.T @ weight).T
         else:
-            rows = [x[part == j] for j in range(k)]
-            sums = np.stack([_gram(r) if full else r.sum(0) for r in rows])
+            sums = np.stack([_gram(x, part == j) if full else x[part == j].sum(0) for j in range(k)])
         return {"scalars": np.array([s.max(1).sum(), len(x), changed], float), "size": np.bincount(part, minlength=k).astype(float), wide: sums}
 
     moment = (k, shape[0], shape[0]) if full else (k, *shape)

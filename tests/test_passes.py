@@ -72,3 +72,31 @@ def test_a_pass_over_lines_reads_the_rows_for_all_centres_at_once(spark, is_comp
     got = kmeans.pass_over(df, centres, before, "diametrical")
     assert np.allclose(got["sum"], sums) and got["n"] == 60 and got["changed"] == (parts[0] != parts[1]).sum()
     assert np.isclose(got["obj"], (np.abs(x @ centres.conj().T) ** 2).max(1).sum()) and (got["size"] == np.bincount(parts[0], minlength=4)).all()
+
+
+@pytest.mark.parametrize("method", ["grassmann", "weighted_grassmann", "hyperplane"])
+def test_a_pass_with_moments_compares_the_rows_with_all_centres_at_once(method, monkeypatch):
+    rng = np.random.default_rng(4)
+    shape = (5,) if method == "hyperplane" else (5, 2)
+    draw = lambda n: kmeans._normal(rng.normal(size=(n, 5))) if method == "hyperplane" else np.linalg.qr(rng.normal(size=(n, *shape)))[0]
+    x, centres, before = draw(60), draw(4), draw(4)
+    parts = [kmeans.similarities(x, c, method).argmax(1) for c in (centres, before)]
+    frames = x.reshape(60, 5, -1)
+    shared = np.array([[(np.array(f.T @ c) ** 2).sum() for c in centres.reshape(4, 5, -1)] for f in frames])
+    if method == "hyperplane":
+        assert np.allclose(kmeans.similarities(x, centres, method), shared)
+    else:
+        assert np.allclose(kmeans.similarities(x, centres, method), -(4 - 2 * shared) / np.sqrt(2))
+    seen, real = [], kmeans.similarities
+    monkeypatch.setattr(kmeans, "similarities", lambda x, c, m: seen.append(len(c)) or real(x, c, m))
+
+    def summed(_, kernel, shapes):
+        assert set(shapes) == {"scalars", "size", "sum_h"}
+        return kernel(x, None)
+
+    monkeypatch.setattr(kmeans, "summed", summed)
+    got = kmeans.pass_over(None, centres, before, method)
+    assert seen == [8]
+    expected = [sum(np.outer(c, c) for f in frames[parts[0] == j] for c in f.T) for j in range(4)]
+    assert np.allclose(got["sum"], np.stack([e if np.ndim(e) else np.zeros((5, 5)) for e in expected]))
+    assert got["changed"] == (parts[0] != parts[1]).sum() and (got["size"] == np.bincount(parts[0], minlength=4)).all()
