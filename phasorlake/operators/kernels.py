@@ -31,6 +31,7 @@ MEET, PIECE, SPREAD = 64, 1 << 17, 4
 #: Numbers that a pass sums up in each task; fits beyond wait for their turn.
 WIDE = 1 << 24
 Kernel = Callable[[np.ndarray, pa.RecordBatch], dict[str, np.ndarray]]
+Joint = Callable[[np.ndarray, pa.RecordBatch, list[Any]], list[dict[str, np.ndarray]]]
 
 
 def numbers_in(name: str, shape: tuple[int, ...]) -> int:
@@ -41,10 +42,13 @@ def numbers_in(name: str, shape: tuple[int, ...]) -> int:
 @dataclass
 class Ask:
     """The sums over all rows of what ``kernel`` gives for a batch: arrays of the shapes; complex ones under
-    names that begin with ``c_``. Of Hermitian matrices, under names that end in ``_h``, one triangle is summed."""
+    names that begin with ``c_``. Of Hermitian matrices, under names that end in ``_h``, one triangle is summed.
+    Asks with ``given`` and the same kernel are answered together: it takes a batch and the list of what is given, and
+    gives the list of their arrays."""
 
-    kernel: Kernel
+    kernel: Kernel | Joint
     shapes: dict[str, tuple[int, ...]]
+    given: Any = None
 
     @property
     def size(self) -> int:
@@ -221,6 +225,19 @@ def of_blocks(blocks: RDD, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray
     return total
 
 
+def answers(asks: list[Ask], x: np.ndarray, batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The flat sums of each ask for a batch."""
+    out: list[Any] = [None if a.given is not None else flat(a.kernel(x, batch), a.shapes) for a in asks]
+    alike: dict[int, list[int]] = {}
+    for i, a in enumerate(asks):
+        if a.given is not None:
+            alike.setdefault(id(a.kernel), []).append(i)
+    for places in alike.values():
+        for i, sums in zip(places, asks[places[0]].kernel(x, batch, [asks[i].given for i in places]), strict=True):
+            out[i] = flat(sums, asks[i].shapes)
+    return out
+
+
 def asked(df: DataFrame, asks: list[Ask], extra: tuple[str, ...] = ()) -> list[Sums]:
     """The sums that each asks for, in one pass. ``extra``: columns that kernels read from the batch."""
     kind, columns = kind_of(df), columns_of(df)
@@ -231,7 +248,7 @@ def asked(df: DataFrame, asks: list[Ask], extra: tuple[str, ...] = ()) -> list[S
         for batch in batches:
             if batch.num_rows:
                 x = observations(batch, kind, columns)
-                got = np.concatenate([flat(a.kernel(x, batch), a.shapes) for a in asks])
+                got = np.concatenate(answers(asks, x, batch))
                 total = got if total is None else total + got
         return total
 

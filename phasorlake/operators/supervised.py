@@ -13,19 +13,22 @@ own, which leaves its optimum where it is."""
 
 from __future__ import annotations
 
-from collections.abc import Generator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, landmarks
-from .kernels import Ask, Fit, Sums, mapped
+from .kernels import Ask, Fit, Joint, Sums, mapped
 
 ROUND = 0.05
+#: Rows that are looked at together within a task.
+ROWS = 4096
 KINDS = ("logistic", "linear-svm", "rbf-svm")
 _WIDE = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 PENALTIES = {"logistic": _WIDE, "linear-svm": _WIDE[:-1], "rbf-svm": (0.01, 0.1, 1.0, 10.0, 100.0)}
@@ -110,15 +113,26 @@ class Model:
 
     def prob(self, x: np.ndarray) -> np.ndarray:
         """(n, classes): probabilities, of machines 1 for the class with the most votes."""
-        m = self.wide(x) @ self.beta
-        if self.kind == "logistic":
-            e = np.exp(m - m.max(1, keepdims=True))
-            return e / e.sum(1, keepdims=True)
-        votes = np.zeros((len(x), self.classes))
-        for i, (a, b) in enumerate(combinations(range(self.classes), 2)):
-            votes[:, a] += m[:, i] > 0
-            votes[:, b] += m[:, i] <= 0
-        return np.eye(self.classes)[votes.argmax(1)]
+        return decided(self.kind, self.wide(x) @ self.beta, self.classes)
+
+
+def decided(kind: str, m: np.ndarray, classes: int) -> np.ndarray:
+    """(n, classes): what scores decide."""
+    if kind == "logistic":
+        e = np.exp(m - m.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+    votes = np.zeros((len(m), classes))
+    for i, (a, b) in enumerate(combinations(range(classes), 2)):
+        votes[:, a] += m[:, i] > 0
+        votes[:, b] += m[:, i] <= 0
+    return np.eye(classes)[votes.argmax(1)]
+
+
+def hinge(m: np.ndarray, sign: np.ndarray, weight: float, corner: float) -> tuple[float, np.ndarray]:
+    """The weighted loss of the scores of rows of one class, and its gradient by them; ``sign``: its side in each machine."""
+    short = 1 - sign * m
+    bent = np.clip(short, 0, corner)
+    return weight * float((bent**2 / (2 * corner) + np.maximum(short - corner, 0)).sum()), bent * (-weight / corner * sign)
 
 
 def loss(kind: str, m: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int, corner: float = ROUND) -> tuple[float, np.ndarray]:
@@ -139,35 +153,124 @@ def loss(kind: str, m: np.ndarray, label: np.ndarray, weight: np.ndarray, classe
     return float((weight[:, None] * value).sum()), -weight[:, None] * sign * bent / corner
 
 
-def fitting(data: Data, kind: str, penalty: float, fold: int | None, max_iter: int, tol: float, label: str, marks: landmarks.Landmarks | None, corner: float = ROUND) -> Fit:
-    """A model that learns from the rows outside of ``fold``: half the squared coefficients plus ``penalty`` times the
-    sum of the losses is smallest."""
-    mean, scale, weight = data.without(fold)
-    columns = data.classes if kind == "logistic" else data.classes * (data.classes - 1) // 2
-    features = None if marks is None else marks.features(mean, scale)
-    shape = ((len(mean) if features is None else features.width) + 1, columns)
-    model = Model("logistic" if kind == "logistic" else "machine", data.classes, mean, scale, np.zeros(shape), features)
-    per = 1 / (penalty * sum(data.count[f] @ weight for f in range(len(data.count)) if f != fold))
+@dataclass
+class Space:
+    """Where fits that leave out the same fold (none: None) look at rows: their scale, the classes' weights, and the kernel."""
+
+    fold: int | None
+    mean: np.ndarray
+    scale: np.ndarray
+    weight: np.ndarray
+    features: landmarks.Features | None
+
+    @property
+    def width(self) -> int:
+        return (len(self.mean) if self.features is None else self.features.width) + 1
+
+    def on_columns(self, beta: np.ndarray) -> np.ndarray:
+        """Coefficients of features as those of ``columns``."""
+        return beta if self.features is None else np.concatenate([self.features.turn @ beta[:-1], beta[-1:]])
 
-    def ask(beta: np.ndarray) -> Ask:
-        def kernel(x: np.ndarray, batch: pa.RecordBatch) -> Sums:
-            of, kind_ = np.asarray(batch.column(label)).astype(int), np.asarray(batch.column("fold"))
-            keep = kind_ != (-1 if fold is None else fold)
-            z = model.wide(x[keep])
-            value, g = loss(kind, z @ beta, of[keep], weight[of[keep]], data.classes, corner)
-            return {"value": np.array([value]), "slope": z.T @ g}
+    def on_features(self, slope: np.ndarray) -> np.ndarray:
+        return slope if self.features is None else np.concatenate([self.features.turn.T @ slope[:-1], slope[-1:]])
 
-        return Ask(kernel, {"value": (1,), "slope": shape})
 
+@dataclass
+class Machines:
+    """What the fits of all candidates and folds share: ``seen`` (mean, scale, landmarks, width of the kernel) by (gamma,
+    fold). A pass works out a row's kernel once for each of them, whatever the penalties, and takes it past the fits without
+    turning it: coefficients are turned instead. Machines of two classes see the rows of these classes alone."""
+
+    kind: str
+    classes: int
+    label: str
+    corner: float
+    seen: Broadcast
+
+    def columns(self, x: np.ndarray, key: tuple) -> np.ndarray:
+        mean, scale, z, gamma = self.seen.value[key]
+        x = (x - mean) * scale
+        return np.concatenate([x if z is None else landmarks.radial(x, z, gamma), np.ones((len(x), 1))], 1)
+
+    def split(self, batch: pa.RecordBatch, given: list[tuple]) -> tuple[np.ndarray, np.ndarray, dict[tuple, list[int]]]:
+        """Labels, folds, and the places of fits by what they see."""
+        alike: dict[tuple, list[int]] = {}
+        for i, (key, *_) in enumerate(given):
+            alike.setdefault(key, []).append(i)
+        return np.asarray(batch.column(self.label)).astype(int), np.asarray(batch.column("fold")), alike
+
+    def slopes(self, x: np.ndarray, batch: pa.RecordBatch, given: list[tuple]) -> list[Sums]:
+        """value and slope of each fit; ``given``: what it sees, the classes' weights, its coefficients of columns."""
+        label, fold, alike = self.split(batch, given)
+        values, slopes = [0.0] * len(given), [np.zeros(beta.shape) for *_, beta in given]
+        order = np.argsort(label, kind="stable")
+        for key, fits in alike.items():
+            kept = order if key[1] is None else order[fold[order] != key[1]]
+            for start in range(0, len(kept), ROWS):
+                at = kept[start : start + ROWS]
+                wide, of, weight = self.columns(x[at], key), label[at], given[fits[0]][1]
+                for c, rows, beta in self.parts(of, [given[i][2] for i in fits]):
+                    m = (wide[rows] @ beta.reshape(beta.shape[0], -1)).reshape(-1, *beta.shape[1:])
+                    g = np.empty_like(m)
+                    for j, i in enumerate(fits):
+                        value, g[:, j] = self.loss(m[:, j], of[rows], weight, c)
+                        values[i] += value
+                    back = (wide[rows].T @ g.reshape(len(g), -1)).reshape(beta.shape)
+                    for j, i in enumerate(fits):
+                        slopes[i][:, self.facing(c)] += back[:, j]
+        return [{"value": np.array([v]), "slope": s} for v, s in zip(values, slopes, strict=True)]
+
+    def facing(self, c: int | None) -> slice | np.ndarray:
+        """The machines that a class has a side in."""
+        return slice(None) if c is None else np.array([i for i, pair in enumerate(combinations(range(self.classes), 2)) if c in pair], int)
+
+    def parts(self, of: np.ndarray, betas: list[np.ndarray]) -> Iterator[tuple[int | None, slice, np.ndarray]]:
+        """Rows in the order of labels, as slices of one class (of all, for logistic), with (columns, fits, machines) of coefficients."""
+        if self.kind == "logistic":
+            yield None, slice(None), np.stack(betas, 1)
+            return
+        ends = np.searchsorted(of, np.arange(self.classes + 1))
+        for c in range(self.classes):
+            if ends[c] < ends[c + 1]:
+                facing = self.facing(c)
+                yield c, slice(ends[c], ends[c + 1]), np.stack([b[:, facing] for b in betas], 1)
+
+    def loss(self, m: np.ndarray, label: np.ndarray, weight: np.ndarray, c: int | None) -> tuple[float, np.ndarray]:
+        if c is None:
+            return loss(self.kind, m, label, weight[label], self.classes, self.corner)
+        return hinge(m, np.where(np.arange(self.classes) > c, 1.0, -1.0)[np.arange(self.classes) != c], weight[c], self.corner)
+
+    def hits(self, x: np.ndarray, batch: pa.RecordBatch, given: list[tuple]) -> list[Sums]:
+        """Right answers of each fit on the fold that it hasn't seen; ``given``: what it sees, its coefficients of columns."""
+        label, fold, alike = self.split(batch, given)
+        right = np.zeros((len(given), 1))
+        for key, fits in alike.items():
+            kept = np.flatnonzero(fold == key[1])
+            for start in range(0, len(kept), ROWS):
+                at = kept[start : start + ROWS]
+                wide = self.columns(x[at], key)
+                for i in fits:
+                    right[i] += (decided(self.kind, wide @ given[i][1], self.classes).argmax(1) == label[at]).sum()
+        return [{"right": r} for r in right]
+
+
+def fitting(data: Data, kind: str, penalty: float, space: Space, key: tuple, kernel: Joint, max_iter: int, tol: float) -> Fit:
+    """A model that learns from the rows outside of a fold: half the squared coefficients plus ``penalty`` times the
+    sum of the losses is smallest."""
+    columns = data.classes if kind == "logistic" else data.classes * (data.classes - 1) // 2
+    shape = (space.width, columns)
+    model = Model("logistic" if kind == "logistic" else "machine", data.classes, space.mean, space.scale, np.zeros(shape), space.features)
+    per = 1 / (penalty * sum(data.count[f] @ space.weight for f in range(len(data.count)) if f != space.fold))
     walk = descent(np.zeros(shape[0] * shape[1]), max_iter, tol)
     at = next(walk)
     while True:
         beta = at.reshape(shape)
-        got = yield ask(beta)
+        turned = space.on_columns(beta)
+        got = yield Ask(kernel, {"value": (1,), "slope": turned.shape}, (key, space.weight, turned))
         held = np.concatenate([beta[:-1], np.zeros((1, columns))])
         try:
             # divided by the penalty and the weights, so that steps are alike whatever they are
-            at = walk.send((float(got["value"][0]) * per * penalty + per * (held**2).sum() / 2, (got["slope"] * per * penalty + per * held).reshape(-1)))
+            at = walk.send((float(got["value"][0]) * per * penalty + per * (held**2).sum() / 2, (space.on_features(got["slope"]) * per * penalty + per * held).reshape(-1)))
         except StopIteration as end:
             model.beta = end.value.reshape(shape)
             return model
@@ -182,20 +285,6 @@ def described(rows: DataFrame, classes: int, n_folds: int, label: str, p: int) -
     return Data(classes, got["count"], got["total"], got["square"])
 
 
-def hits(rows: DataFrame, models: list[Model], of: list[int], label: str) -> np.ndarray:
-    """Right answers of each model on the fold that it hasn't seen, in one pass."""
-
-    def ask(m: Model, fold: int) -> Ask:
-        def kernel(x: np.ndarray, batch: pa.RecordBatch) -> Sums:
-            held = np.asarray(batch.column("fold")) == fold
-            return {"right": np.array([(m.prob(x[held]).argmax(1) == np.asarray(batch.column(label))[held]).sum()], float)}
-
-        return Ask(kernel, {"right": (1,)})
-
-    got = kernels.asked(rows, [ask(m, f) for m, f in zip(models, of, strict=True)], ("fold", label))
-    return np.array([g["right"][0] for g in got])
-
-
 def fit(train: DataFrame, kind: str, label: str = "truth", id_column: str = "obs_id", grid: tuple[float, ...] | None = None, gammas: tuple[float | str, ...] = WIDTHS, n_folds: int = 5, max_iter: int = 50, tol: float = 1e-6, width: int = 256, corner: float = ROUND) -> tuple[dict, Model]:
     """The best parameters (C, of the radial kernel gamma and its error with ``width`` landmarks at most; accuracy over the
     folds) and the model fitted with them on all rows. Of equal candidates the first counts. A gamma of ``scale`` is 1 / the number of columns."""
@@ -216,17 +305,27 @@ def fit(train: DataFrame, kind: str, label: str = "truth", id_column: str = "obs
             maps = dict(zip(gammas, landmarks.pick(rows, [1 / ends["p"] if g == "scale" else float(g) for g in gammas], mean, scale, width), strict=True))
         sizes = data.count.sum(1)
         seen = [f for f in range(n_folds) if 0 < sizes[f] < ends["n"]]
+        spaces: dict[tuple, Space] = {}
+        for g, marks in maps.items():
+            for f in (*seen, None):
+                mean, scale, weight = data.without(f)
+                spaces[g, f] = Space(f, mean, scale, weight, None if marks is None else marks.features(mean, scale))
+        sent = rows.sparkSession.sparkContext.broadcast({k: (s.mean, s.scale, *((None, None) if s.features is None else (s.features.z, s.features.gamma))) for k, s in spaces.items()})
+        machines = Machines(kind, data.classes, label, corner, sent)
+        slopes, hits = machines.slopes, machines.hits  # one object each, by which the passes know alike fits
         best: dict = {"C": grid[0], "gamma": next(iter(maps)), "accuracy": None}
         if len(grid) * len(maps) > 1 and seen:
             every = [(g, c, f) for g in maps for c in grid for f in seen]
-            models = kernels.together(rows, [fitting(data, kind, c, f, max_iter, tol, label, maps[g], corner) for g, c, f in every], ("fold", label))
-            right = hits(rows, models, [f for *_, f in every], label).reshape(-1, len(seen))
+            models = kernels.together(rows, [fitting(data, kind, c, spaces[g, f], (g, f), slopes, max_iter, tol) for g, c, f in every], ("fold", label))
+            got = kernels.asked(rows, [Ask(hits, {"right": (1,)}, ((g, f), spaces[g, f].on_columns(m.beta))) for m, (g, _, f) in zip(models, every, strict=True)], ("fold", label))
+            right = np.array([g["right"][0] for g in got]).reshape(-1, len(seen))
             mean = np.round((right / sizes[seen]).mean(1), 9)
             g, c, _ = every[int(mean.argmax()) * len(seen)]
             best = {"C": c, "gamma": g, "accuracy": float(mean.max())}
         if kind == "rbf-svm":
             best["error"] = maps[best["gamma"]].error
-        return best, kernels.together(rows, [fitting(data, kind, best["C"], None, max_iter, tol, label, maps[best["gamma"]], corner)], ("fold", label))[0]
+        chosen = best["gamma"], None
+        return best, kernels.together(rows, [fitting(data, kind, best["C"], spaces[chosen], chosen, slopes, max_iter, tol)], ("fold", label))[0]
     finally:
         kernels.release(rows)
 

@@ -1,9 +1,12 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark import RDD
 
-from phasorlake.operators import kernels, kmeans, mixture
+from phasorlake.operators import kernels, kmeans, landmarks, mixture, supervised
 from phasorlake.operators.families import Family
 from phasorlake.plans import fixtures
 
@@ -100,3 +103,32 @@ def test_a_pass_with_moments_compares_the_rows_with_all_centres_at_once(method,
     expected = [sum(np.outer(c, c) for f in frames[parts[0] == j] for c in f.T) for j in range(4)]
     assert np.allclose(got["sum"], np.stack([e if np.ndim(e) else np.zeros((5, 5)) for e in expected]))
     assert got["changed"] == (parts[0] != parts[1]).sum() and (got["size"] == np.bincount(parts[0], minlength=4)).all()
+
+
+@pytest.mark.parametrize("kind", ["logistic", "linear-svm", "rbf-svm"])
+def test_a_pass_works_out_the_kernel_once_for_all_penalties(kind, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, label, fold = rng.normal(size=(90, 6)), rng.integers(0, 4, 90), rng.integers(0, 3, 90)
+    batch = pa.record_batch([pa.array(label), pa.array(fold)], names=["truth", "fold"])
+    one = lambda at, n: np.eye(n)[at]
+    data = supervised.Data(4, one(fold, 3).T @ one(label, 4), one(fold, 3).T @ x, one(fold, 3).T @ x**2)
+    marks = landmarks.Landmarks(x[:8], 0.1) if kind == "rbf-svm" else None
+    spaces = {(0.1, f): supervised.Space(f, *(d := data.without(f)), None if marks is None else marks.features(*d[:2])) for f in (0, 1, None)}
+    sent = SimpleNamespace(value={k: (s.mean, s.scale, *((None, None) if marks is None else (s.features.z, 0.1))) for k, s in spaces.items()})
+    machines = supervised.Machines(kind, 4, "truth", 0.05, sent)
+    seen, radial = [], landmarks.radial
+    monkeypatch.setattr(landmarks, "radial", lambda *a: seen.append(len(a[0])) or radial(*a))
+    slopes, betas = machines.slopes, [rng.normal(size=(spaces[0.1, None].width, 4 if kind == "logistic" else 6)) for _ in range(6)]
+    keys = [(0.1, f) for f in (0, 1, None) for _ in range(2)]
+    asks = [kernels.Ask(slopes, {"value": (1,), "slope": b.shape}, (k, spaces[k].weight, spaces[k].on_columns(b))) for k, b in zip(keys, betas, strict=True)]
+    got = [kernels.shaped(v, a.shapes) for v, a in zip(kernels.answers(asks, x, batch), asks, strict=True)]
+    assert len(seen) == (3 if marks else 0)
+    rights = machines.hits(x, batch, [(k, spaces[k].on_columns(b)) for k, b in zip(keys[:4], betas, strict=False)])
+    for i, (key, beta) in enumerate(zip(keys, betas, strict=True)):
+        s, keep = spaces[key], fold != (-1 if key[1] is None else key[1])
+        model = supervised.Model("logistic" if kind == "logistic" else "machine", 4, s.mean, s.scale, beta, s.features)
+        z = model.wide(x[keep])
+        value, g = supervised.loss(kind, z @ beta, label[keep], s.weight[label[keep]], 4)
+        assert np.isclose(got[i]["value"][0], value) and np.allclose(s.on_features(got[i]["slope"]), z.T @ g)
+        if i < 4:
+            assert rights[i]["right"][0] == (model.prob(x[~keep]).argmax(1) == label[~keep]).sum()
