@@ -28,7 +28,7 @@ from .fitting import slices
 from .webp import decode_all, encode_greys
 
 WIDTH, ROWS, PARTS = 576, 1820, 64
-TOGETHER = 1 << 23
+TOGETHER = 1 << 25
 
 
 def pack_all(texts: list[str | None]) -> list[list[bytes]]:

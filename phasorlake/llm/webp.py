@@ -2,7 +2,7 @@
 
 Pixels are uint32 arrays of shape (height, width), alpha in the top byte, then red, green, blue. A stream
 is read least bit first; prefix codes are canonical. Where only the green channel takes bits and there is
-no colour cache (most grey images), many images are read side by side, a symbol of each at a time; else a plain
+no colour cache (most grey images), many images are read side by side, one or two symbols of each at a time; else a plain
 loop reads symbol by symbol.
 
 Grey images are written with subtract-green, literals and back references. A predictor by blocks, a palette
@@ -12,7 +12,7 @@ files are.
 
 from __future__ import annotations
 
-import heapq
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,15 +33,15 @@ NEAR = (
 LITERALS, LENGTHS, DISTANCES, MOST_COPY = 256, 24, 40, 4096
 #: The farthest back reference of the format, the shortest that grey images take, and the longest code that they have.
 MOST_BACK, LEAST_COPY, LONGEST = (1 << 20) - 120, 5, 11
-#: Images that are no longer read side by side, but one after the other. Samples of an image from which repeats are found by
-#: all four.
-FEW, LONG = 256, 1 << 15
+#: Images that are read side by side at most, and those that no longer are, but one after the other. Samples of an image
+#: from which repeats are found by all four.
+LANES, FEW, LONG = 1024, 128, 1 << 15
 #: Blocks of the predictor are 2^PREDICTED a side; colour caches that are tried; a file's bits that an estimate has to save.
 PREDICTED, CACHES, WORTH = 5, (2,), 64
 #: Samples that are split into tokens together: what they need has to stay near the core.
 GROUPED = 1 << 17
 #: Above any two literals of a table's entry.
-COPIED = 1 << 22
+COPIED = 1 << 23
 _HASH, _NEAR = 0x1E35A7BD, np.array(NEAR)
 
 
@@ -56,24 +56,38 @@ def code_lengths(counts: list[int], limit: int = 15) -> list[int]:
         for s in used:
             lengths[s] = 1
         return lengths
-    weights = {s: counts[s] for s in used}
-    while True:
-        heap = [(w, s) for s, w in weights.items()]
-        heapq.heapify(heap)
-        parent, top = {}, len(counts)
-        while len(heap) > 1:
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i] = parent[j] = top
-            heapq.heappush(heap, (a + b, top))
-            top += 1
-        depth = {top - 1: 0}
-        for node in range(top - 2, len(counts) - 1, -1):
-            depth[node] = depth[parent[node]] + 1
-        for s in used:
-            lengths[s] = depth[parent[s]] + 1
-        if max(lengths) <= limit:
+    used.sort(key=counts.__getitem__)
+    weights, n = [counts[s] for s in used], len(used)
+    while True:  # leaves and inner nodes ascend, each in a row of its own; of equal ones the leaf goes first
+        leaves, inner = [*weights, math.inf], []
+        i = j = 0
+        of_leaf, of_inner = [0] * n, [0] * n
+        for top in range(n - 1):
+            a = leaves[i]
+            if j == top or a <= inner[j]:
+                of_leaf[i] = top
+                i += 1
+            else:
+                a = inner[j]
+                of_inner[j] = top
+                j += 1
+            b = leaves[i]
+            if j == top or b <= inner[j]:
+                of_leaf[i] = top
+                i += 1
+            else:
+                b = inner[j]
+                of_inner[j] = top
+                j += 1
+            inner.append(a + b)
+        depth = [1] * (n - 1)
+        for node in range(n - 3, -1, -1):
+            depth[node] = depth[of_inner[node]] + 1
+        if max(depth) <= limit:
+            for s, top in zip(used, of_leaf, strict=True):
+                lengths[s] = depth[top]
             return lengths
-        weights = {s: (w >> 1) + 1 for s, w in weights.items()}
+        weights = [(w >> 1) + 1 for w in weights]
 
 
 def _reversed(bits: int) -> np.ndarray:
@@ -199,23 +213,27 @@ class Reader:
         left = 2 + self.read(2 + 2 * self.read(3)) if self.read(1) else symbols
         table = _inner(tuple(order))
         entries, mask, data = table.entries, (1 << table.bits) - 1, self.data
-        at, place, last, got = self.at, 0, 8, []
+        at, place, last, got, held, window = self.at, 0, 8, [], 0, 0
         while place < symbols and left:
             left -= 1
-            window = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+            if held < 14:  # as many bits as one step takes
+                window = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+                held = 56
             entry = entries[window & mask]
             n, s = entry & 15, entry >> 4
-            at += n
             if s < 16:
                 got.append(s)
                 place += 1
                 last = s or last
-                continue
-            extra, base = ((2, 3), (3, 3), (7, 11))[s - 16]
-            run = base + ((window >> n) & ((1 << extra) - 1))
-            at += extra
-            got += [last if s == 16 else 0] * run
-            place += run
+            else:
+                extra, base = ((2, 3), (3, 3), (7, 11))[s - 16]
+                run = base + ((window >> n) & ((1 << extra) - 1))
+                n += extra
+                got += [last if s == 16 else 0] * run
+                place += run
+            at += n
+            window >>= n
+            held -= n
         if place > symbols:
             raise ValueError("too many code lengths")
         self.at = at
@@ -287,102 +305,126 @@ def _pixels(r: Reader, tables: list[list[Table]], width: int, height: int, cache
 
 
 def _greens(files: list[_Open]) -> list[np.ndarray]:
-    """The green channels of topmost images, which end their streams, where no other channel takes bits: a symbol of each
-    image at a time, and those of the last FEW images one image after the other."""
+    """The green channels of topmost images, which end their streams, where no other channel takes bits. LANES images are
+    read side by side, a step of each at a time, the longest first, and others take the places of those that end; the last
+    FEW are read one after the other. Images lie one sample apart: the second of two literals may be outside."""
     if not files:
         return []
     data = [f.reader.data for f in files]
     sizes = np.array([f.width * f.height for f in files])
     raw = b"".join(data)
-    words = np.ndarray((len(raw) - 3,), "<u4", raw, strides=(1,))
+    words = np.ndarray((len(raw) - 3,), "<u4", raw, strides=(1,)).copy()
     byte = np.cumsum([0, *map(len, data)])
-    p = byte[:-1] * 8 + [f.reader.at for f in files]
-    stream = byte[1:] * 8 - 64
-    tables = np.concatenate([_tables(np.array([f.lengths[k] for f in files])) for k in (0, 1)]).reshape(-1)
-    mask = (1 << LONGEST) - 1
-    green = np.arange(len(files)) << LONGEST
-    far = green + (len(files) << LONGEST)
-    stop = np.cumsum(sizes)
-    begin, width = stop - sizes, np.array([f.width for f in files])
-    out, o = np.zeros(int(stop[-1]), np.uint8), begin.copy()
-    lanes = np.arange(len(files))
+    firsts, streams = byte[:-1] * 8 + [f.reader.at for f in files], byte[1:] * 8 - 64
+    ends, widths = np.cumsum(sizes + 1) - 1, np.array([f.width for f in files])
+    out = np.zeros(int(ends[-1]) + 2, np.uint8)
+    waiting, mask = np.argsort(-sizes, kind="stable"), (1 << LONGEST) - 1
     bits_of, base_of = np.array(_EXTRA).T
     read, most = lambda at: words[at >> 3].astype(np.int64) >> (at & 7), len(words) * 8 - 1
-    while len(lanes) >= FEW:
-        entry = tables[green + (read(p) & mask)]
-        p = p + (entry & 15)
-        symbol = entry >> 4
-        copy = np.flatnonzero(symbol >= LITERALS)
-        if len(copy):
-            size, here, q = symbol[copy] - LITERALS, o[copy], p[copy]
-            length = base_of[size] + (read(q) & ((1 << bits_of[size]) - 1))
-            q = q + bits_of[size]
-            entry = tables[far[copy] + (read(np.minimum(q, most)) & mask)]
-            q = q + (entry & 15)
-            code = entry >> 4
-            d = base_of[code] + (read(np.minimum(q, most)) & ((1 << bits_of[code]) - 1))
-            p[copy] = q + bits_of[code]
-            near = np.minimum(d, len(NEAR)) - 1
-            d = np.where(d > len(NEAR), d - len(NEAR), np.maximum(1, _NEAR[near, 0] + _NEAR[near, 1] * width[copy]))
-            if (d > here - begin[copy]).any() or (here + length > stop[copy]).any():
-                raise ValueError("a copy reaches outside the image")
-            k = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-            back = np.repeat(d, length)
-            to = np.repeat(here, length)
-            plain = symbol < LITERALS
-            out[o[plain]] = symbol[plain]
-            out[to + k] = out[to - back + k % back]
-            o = o + 1
-            o[copy] += length - 1
-        else:
-            out[o] = symbol
-            o = o + 1
-        if (p > stream).any():
-            raise ValueError("the stream ends early")
-        left = o < stop
-        if not left.all():
+    many = min(len(files), LANES)
+    idle, running = many << LONGEST, 0
+    tables, fars = np.zeros((many + 1, 1 << LONGEST), np.int32), np.zeros((many, 1 << LONGEST), np.int16)
+    entries, far_entries = tables.reshape(-1), fars.reshape(-1)
+    lanes, place = np.zeros(many, np.int64), np.arange(many) << LONGEST
+    green, far = np.full(many, idle), place.copy()
+    p, o, begin, stop, width, stream = (np.zeros(many, np.int64) for _ in range(6))
+    while True:
+        free = np.flatnonzero(green == idle)
+        if len(waiting) and len(free) * 8 >= many:
+            new, waiting = waiting[: len(free)], waiting[len(free) :]
+            free = free[: len(new)]
+            tables[free] = _paired(_tables(np.array([files[k].lengths[0] for k in new.tolist()])))
+            fars[free] = _tables(np.array([files[k].lengths[1] for k in new.tolist()]))
+            lanes[free], green[free], p[free], o[free], begin[free] = new, place[free], firsts[new], ends[new] - sizes[new], ends[new] - sizes[new]
+            stop[free], width[free], stream[free] = ends[new], widths[new], streams[new]
+            running += len(new)
+        if not len(waiting):
+            left = np.flatnonzero(green < idle)
             lanes, p, o, green, far, begin, stop, width, stream = (v[left] for v in (lanes, p, o, green, far, begin, stop, width, stream))
-    for i, lane in enumerate(lanes.tolist()):
+        if running < FEW and not len(waiting):
+            break
+        enough = max(FEW - 1, running - len(green) // 8 if not len(waiting) else many - -(-many // 8))
+        while running > enough:
+            entry = entries[green + (read(p) & mask)]
+            p += entry & 15
+            out[o] = entry >> 6
+            out[o + 1] = entry >> 15
+            copy = np.flatnonzero(entry >= COPIED)
+            if len(copy):
+                size, here, q = (entry[copy] >> 6 & 511) - LITERALS, o[copy], p[copy]
+                length = base_of[size] + (read(q) & ((1 << bits_of[size]) - 1))
+                q += bits_of[size]
+                code = far_entries[far[copy] + (read(np.minimum(q, most)) & mask)]
+                q += code & 15
+                code >>= 4
+                d = base_of[code] + (read(np.minimum(q, most)) & ((1 << bits_of[code]) - 1))
+                p[copy] = q + bits_of[code]
+                near = np.flatnonzero(d <= len(NEAR))
+                d -= len(NEAR)
+                if len(near):
+                    x, y = _NEAR[d[near] - 1].T  # from the end
+                    d[near] = np.maximum(1, x + y * width[copy[near]])
+                if (d > here - begin[copy]).any() or (here + length > stop[copy]).any():
+                    raise ValueError("a copy reaches outside the image")
+                total = np.cumsum(length)
+                k = np.arange(int(total[-1]))
+                k -= np.repeat(total - length, length)
+                to = np.repeat(here, length)
+                to += k
+                if (length > d).any():
+                    k %= np.repeat(d, length)
+                k += np.repeat(here - d, length)
+                out[to] = out[k]
+                o[copy] += length
+            o += entry >> 4 & 3
+            over = np.flatnonzero(o >= stop)
+            if len(over):  # they stay where they are until the places of many are free
+                if (p[over] > stream[over] + LONGEST * (o[over] > stop[over])).any():
+                    raise ValueError("the stream ends early")
+                running -= len(over)
+                green[over], stop[over], o[over], stream[over] = idle, len(out), len(out) - 2, len(raw) * 8
+            if (p >= stream).any():
+                raise ValueError("the stream ends early")
+    for i, lane in enumerate(lanes.tolist() if running else []):
         f = files[lane]
         f.reader.at = int(p[i] - byte[lane] * 8)
-        _rest(f, *(tables[t[i] : t[i] + mask + 1].tolist() for t in (green, far)), out[begin[i] : stop[i]], int(o[i] - begin[i]))
-    stop = np.cumsum(sizes)
-    return [out[b - n : b].reshape(f.height, f.width) for f, n, b in zip(files, sizes.tolist(), stop.tolist(), strict=True)]
+        _rest(f, *(t[at[i] : at[i] + mask + 1].tolist() for t, at in ((entries, green), (far_entries, far))), out[begin[i] : stop[i]], int(o[i] - begin[i]))
+    return [out[b - n : b].reshape(f.height, f.width) for f, n, b in zip(files, sizes.tolist(), ends.tolist(), strict=True)]
 
 
-def _pairs(entries: list[int]) -> list[int]:
-    """A table of LONGEST bits with a second literal where both codes are within them: the length of both, 16 if there are
-    two, the symbol * 32 and the second * 16384; COPIED more for symbols that are no literals."""
-    one = np.array(entries)
-    size, symbol = one & 15, one >> 4
-    then = one[np.arange(len(one)) >> size]
-    two = (symbol < LITERALS) & (then >> 4 < LITERALS) & (size + (then & 15) <= LONGEST)
-    whole = size + symbol * 32 + np.where(symbol < LITERALS, 0, COPIED)
-    return np.where(two, whole + (then & 15) + 16 + (then >> 4 << 14), whole).tolist()
+def _paired(tables: np.ndarray) -> np.ndarray:
+    """Tables of LONGEST bits with a second literal where both codes are within them: the length of both, 16 times how many
+    literals, the symbol * 64 and the second * 32768; COPIED more for symbols that are no literals."""
+    size, symbol = tables & 15, tables >> 4
+    then = np.take_along_axis(tables, np.arange(1 << LONGEST) >> size, 1)
+    literal = symbol < LITERALS
+    both = size + (then & 15)
+    two = literal & (then < LITERALS << 4) & (both <= LONGEST)
+    return np.where(two, both + 32 + (then >> 4 << 15), size + np.where(literal, 16, COPIED)).astype(np.int32) + (symbol << 6)
 
 
 def _rest(f: _Open, entries: list[int], near: list[int], out: np.ndarray, done: int) -> None:
     """What is left of a green channel after its first ``done`` pixels."""
-    data, p, n, mask = f.reader.data, f.reader.at, len(out), (1 << LONGEST) - 1
+    skipped = f.reader.at >> 3
+    data, p, n, mask = f.reader.data[skipped:], f.reader.at & 7, len(out), (1 << LONGEST) - 1
     raw = np.frombuffer(data, np.uint8).astype(np.uint32)
     words = (raw[:-2] | (raw[1:-1] << np.uint32(8)) | (raw[2:] << np.uint32(16))).tolist()
     held, end = bytearray(out[:done]), (len(data) - 8) * 8
     add = held.append
-    entries = _pairs(entries)
     while done < n:
         if p >= end:
             raise ValueError("the stream ends early")
         e = entries[words[p >> 3] >> (p & 7) & mask]
         p += e & 15
         if e < COPIED:
-            add(e >> 5 & 511)
-            if e & 16:
-                add(e >> 14)
+            add(e >> 6 & 511)
+            if e & 32:
+                add(e >> 15)
                 done += 2
             else:
                 done += 1
             continue
-        s = (e >> 5) & 511
+        s = (e >> 6) & 511
         bits, base = _EXTRA[s - LITERALS]
         length = base + (words[p >> 3] >> (p & 7) & ((1 << bits) - 1))
         p += bits
@@ -693,24 +735,17 @@ class Writer:
         if len(used) <= 2 and all(s < 256 for s in used):
             self.short(*(used or [0]))
             return
-        runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
+        runs: list[int] = []  # symbol, and 32 times the extra value
         i = 0
-        for s in [*used, len(lengths)]:
-            k = s - i
-            while k >= 11:
-                m = min(k, 138)
-                runs.append((18, m - 11, 7))
-                k -= m
-            if k >= 3:
-                runs.append((17, k - 3, 3))
-            elif k:
-                runs += [(0, 0, 0)] * k
-            if s < len(lengths):
-                runs.append((lengths[s], 0, 0))
+        for s in used:
+            if s > i:
+                runs += _zeros(s - i)
+            runs.append(lengths[s])
             i = s + 1
+        runs += _zeros(len(lengths) - i)
         counts = [0] * 19
-        for s, _, _ in runs:
-            counts[s] += 1
+        for s in runs:
+            counts[s & 31] += 1
         inner = code_lengths(counts, 7)
         codes = canonical(inner)
         shown = max(k for k, s in enumerate(LENGTH_ORDER) if inner[s]) + 1
@@ -719,10 +754,29 @@ class Writer:
         for s in LENGTH_ORDER[: max(shown, 4)]:
             self.put(inner[s], 3)
         self.put(0, 1)
-        alone = sum(c > 0 for c in counts) == 1
-        for s, extra, bits in runs:
-            n = 0 if alone else inner[s]
-            self.put((0 if alone else codes[s]) | extra << n, n + bits)
+        if sum(c > 0 for c in counts) == 1:
+            codes = inner = [0] * 19
+        bits = [*inner[:17], inner[17] + 3, inner[18] + 7]
+        value = held = 0
+        for run in runs:
+            s = run & 31
+            value |= (codes[s] | run >> 5 << inner[s]) << held
+            held += bits[s]
+            if held > 18:  # another one would reach beyond 32 bits
+                self.put(value, held)
+                value = held = 0
+        self.put(value, held)
+
+
+@lru_cache(maxsize=512)
+def _zeros(k: int) -> tuple[int, ...]:
+    """Symbols of the code-length code, with 32 times their extra values, for so many zeros."""
+    runs = []
+    while k >= 11:
+        m = min(k, 138)
+        runs.append(18 | m - 11 << 5)
+        k -= m
+    return (*runs, 17 | k - 3 << 5) if k >= 3 else (*runs, *[0] * k)
 
 
 def _grouped(xs: list) -> list:
@@ -810,18 +864,22 @@ class _Tokens:
         self.stops = np.cumsum(sizes)
         self.starts = self.stops - sizes
         self.flat = g = np.concatenate([i.samples.reshape(-1) for i in images])
-        back, size = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
         long = sizes >= LONG
-        for a, b in zip(self.starts[long].tolist(), self.stops[long].tolist(), strict=True):
-            back[a:b], size[a:b] = _repeats(g[a:b], np.array([0]), True)
-        if not long.all():
-            short = np.repeat(~long, sizes)
-            back[short], size[short] = _repeats(g[short], np.cumsum(sizes[~long]) - sizes[~long], False)
+        if not long.any():
+            back, size = _repeats(g, self.starts, False)
+        else:
+            back, size = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+            for a, b in zip(self.starts[long].tolist(), self.stops[long].tolist(), strict=True):
+                back[a:b], size[a:b] = _repeats(g[a:b], np.array([0]), True)
+            if not long.all():
+                short = np.repeat(~long, sizes)
+                back[short], size[short] = _repeats(g[short], np.cumsum(sizes[~long]) - sizes[~long], False)
         places = np.flatnonzero(size >= LEAST_COPY)
         ends = places + size[places]
         following, taken, k = np.searchsorted(places, ends).tolist(), [], 0  # none reaches the next image
-        while k < len(places):
-            taken.append(k)
+        most, add = len(places), taken.append
+        while k < most:
+            add(k)
             k = following[k]
         covered = np.zeros(len(g) + 1, np.int8)
         covered[places[taken] + 1] += 1
@@ -829,7 +887,8 @@ class _Tokens:
         is_copy = np.zeros(len(g), bool)
         is_copy[places[taken]] = True
         self.at = np.flatnonzero(np.cumsum(covered[:-1], dtype=np.int8) == 0)
-        self.of = np.searchsorted(self.stops, self.at, "right")
+        self.each = np.diff(np.searchsorted(self.at, self.stops), prepend=0)
+        self.of = np.repeat(np.arange(len(images)), self.each)
         self.copy = np.flatnonzero(is_copy[self.at])
         there = self.at[self.copy]
         self.size, self.extra, self.size_bits = _prefixes(size[there])
@@ -884,7 +943,8 @@ class _Tokens:
             heads.append(w.number())
         codes, far_codes = canonical_all(sizes), canonical_all(far_sizes)
         values, bits = np.zeros((len(symbol), 2), np.int64), np.zeros((len(symbol), 2), np.int64)
-        values[:, 0], bits[:, 0] = codes[self.of, symbol], sizes[self.of, symbol]
+        chosen = (codes << 4 | sizes).reshape(-1)[self.of * n + symbol]
+        values[:, 0], bits[:, 0] = chosen >> 4, chosen & 15
         values[self.copy, 0] |= self.extra << bits[self.copy, 0]
         bits[self.copy, 0] += self.size_bits
         of = self.of[self.copy]
@@ -892,11 +952,11 @@ class _Tokens:
         bits[self.copy, 1] = far_sizes[of, self.far] + self.far_bits
         each = bits.sum(1)
         ends = np.cumsum(each)
-        before = np.append(0, ends)[np.searchsorted(self.of, np.arange(count + 1))]
+        before = np.append(0, ends)[np.cumsum([0, *self.each])]
         head_bits = np.array([size for _, size in heads])
         words = (head_bits + np.diff(before)) // 32 + 1
         first = np.cumsum(words) - words
-        at = np.repeat(first * 32 + head_bits - before[:-1], np.bincount(self.of, minlength=count)) + ends - each
+        at = np.repeat(first * 32 + head_bits - before[:-1], self.each) + ends - each
         places = np.stack([at, at + bits[:, 0]], 1).reshape(-1)
         values, bits = values.reshape(-1), bits.reshape(-1)
         some = np.flatnonzero(bits)

@@ -66,6 +66,24 @@ def test_grey_images_of_all_forms():
                 assert (webp.decode_all([file], grey=True)[0] == image).all()
 
 
+def test_long_images_are_read_beside_short_ones(monkeypatch):
+    """Of images of very different sizes hardly a sample is left to be read one image after the other."""
+    images = [RNG.integers(0, 40, (1 + (k % 50) ** 3 // 2000, 64), dtype=np.uint8) for k in range(1500)]
+    alone, rest = [], webp._rest
+    monkeypatch.setattr(webp, "_rest", lambda *given: (alone.append(len(given[-2]) - given[-1]), rest(*given))[1])
+    got = webp.decode_all(webp.encode_greys(images), grey=True)
+    assert all((a == b).all() for a, b in zip(got, images, strict=True))
+    assert sum(alone) < 0.05 * sum(i.size for i in images)
+
+
+def test_flattened_codes_are_full():
+    """Longer codes than allowed are flattened; what occurs more often keeps the shorter code."""
+    counts = [int(1.6**k) for k in range(30)]
+    lengths = webp.code_lengths(counts, 11)
+    assert max(lengths) <= 11 and sum(2.0**-n for n in lengths) == 1
+    assert lengths == sorted(lengths, reverse=True)
+
+
 def test_cut_streams_are_refused():
     files = webp.encode_greys([RNG.integers(0, 99, (3, 90), dtype=np.uint8) for _ in range(200)])
     cut = lambda f: f[:16] + (int.from_bytes(f[16:20], "little") - 40).to_bytes(4, "little") + f[20:]
