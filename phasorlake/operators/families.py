@@ -54,6 +54,21 @@ def covariance(theta: Params, k: int) -> np.ndarray:
     return full * (len(m) / np.trace(full).real)
 
 
+def squared(y: np.ndarray) -> np.ndarray:
+    """The squares of absolute values."""
+    return y.real**2 + y.imag**2 if np.iscomplexobj(y) else y**2
+
+
+def gram(x: np.ndarray) -> np.ndarray:
+    """The sum of x x^H over rows, as a symmetric product of real numbers: of the real and imaginary parts in turn."""
+    if not np.iscomplexobj(x):
+        return x.T @ x
+    parts = np.ascontiguousarray(x).view(float)
+    both = parts.T @ parts
+    re, im = both[::2], both[1::2]
+    return re[:, ::2] + im[:, 1::2] + 1j * (im[:, ::2] - re[:, 1::2])
+
+
 def _turned(x: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
     """The frames' columns in the coordinates w."""
     return [x[:, :, a] @ w for a in range(x.shape[2])]
@@ -151,7 +166,7 @@ class Family:
         p, q, a, c = self.p, self.q, self.a, self.c
         if self.name == "Watson":
             kappa = float(theta["kappa"][k])
-            return log_sphere(p, self.is_complex) - log_kummer(a, c, kappa) + kappa * np.abs(x @ theta["mu"][k].conj()) ** 2
+            return log_sphere(p, self.is_complex) - log_kummer(a, c, kappa) + kappa * squared(x @ theta["mu"][k].conj())
         form, log_det = known
         if self.name == "ACG":
             return log_sphere(p, self.is_complex) - a * log_det - c * np.log(form)
@@ -182,7 +197,7 @@ class Family:
                 w = beta[:, k]
                 if inner is not None and self.name == "ACG":
                     w = w / form(k)
-                out.append((x * w[:, None]).T @ x.conj())
+                out.append(gram(x * np.sqrt(w)[:, None]))
                 continue
             columns = [x[:, :, a] for a in range(x.shape[2])]
             left = columns

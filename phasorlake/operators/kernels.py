@@ -88,6 +88,8 @@ def observations(batch: pa.RecordBatch, kind: str, columns: list[str]) -> np.nda
         return np.moveaxis(np.stack([_matrix(batch.column(c)) for c in columns]), 0, 2)  # each column in one piece
     x = batch.column("x")
     if kind == "complex":
+        if pa.types.is_fixed_size_list(x.type):  # a block's
+            return _matrix(x).view(complex)
         return _matrix(x.field("re")) + 1j * _matrix(x.field("im"))
     return _matrix(x)
 
@@ -155,10 +157,19 @@ def shaped(values: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> Sums:
     return out
 
 
+def side_by_side(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch with complex observations as lists of their real and imaginary parts in turn, which are read in place."""
+    x = observations(batch, "complex", ["x"])
+    cells = pa.FixedSizeListArray.from_arrays(pa.array(x.view(float).reshape(-1)), 2 * x.shape[1])
+    return batch.set_column(batch.schema.get_field_index("x"), "x", cells)
+
+
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each batch as the bytes of one cell."""
     for batch in batches:
         if batch.num_rows:
+            if "x" in batch.schema.names and pa.types.is_struct(batch.schema.field("x").type):
+                batch = side_by_side(batch)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as stream:
                 stream.write_batch(batch)

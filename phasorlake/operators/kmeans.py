@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from .families import squared
 from .kernels import columns_of, kind_of, mapped, observations, release, size_of, summed
 
 METHODS = ("diametrical", "hyperplane", "grassmann", "weighted_grassmann", "least_squares")
@@ -90,7 +91,7 @@ def pass_over(df: DataFrame, centres: np.ndarray, before: np.ndarray | None, met
         both = centres if before is None else np.concatenate([centres, before])
         if method == "diametrical":  # the rows are read twice: for products with all centres, old ones too, and for the sums
             y = x @ both.conj().T
-            s = np.abs(y) ** 2
+            s = squared(y)
         else:
             s = similarities(x, both, method)
         s, last = s[:, :k], s[:, k:]

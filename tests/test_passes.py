@@ -132,3 +132,26 @@ def test_a_pass_works_out_the_kernel_once_for_all_penalties(kind, monkeypatch):
         assert np.isclose(got[i]["value"][0], value) and np.allclose(s.on_features(got[i]["slope"]), z.T @ g)
         if i < 4:
             assert rights[i]["right"][0] == (model.prob(x[~keep]).argmax(1) == label[~keep]).sum()
+
+
+def test_complex_blocks_are_read_in_place(spark):
+    df = fixtures.complex_observations(spark, SF).cache()
+    x = kernels.observations(df.select("x").toArrow().to_batches()[0], "complex", ["x"])
+    blocks = [pa.ipc.open_stream(b).read_next_batch() for b in kernels.blocks_of(df, ("x",)).collect()]
+    seen = [kernels.observations(b, "complex", ["x"]) for b in blocks]
+    assert all(np.shares_memory(s, b.column("x").flatten().to_numpy()) for s, b in zip(seen, blocks, strict=True))
+    assert (seen[0][: len(x)] == x[: len(seen[0])]).all() and sum(map(len, seen)) == df.count()
+    kernels.release(df)
+
+
+@pytest.mark.parametrize("is_complex", [False, True])
+def test_moments_are_hermitian_to_the_last_bit(is_complex):
+    """One symmetric product of real numbers gives them, of rows that are views too."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 7)) + (1j * rng.normal(size=(90, 7)) if is_complex else 0)
+    beta = rng.uniform(size=(90, 2)) * (np.arange(90) % 3 > 0)[:, None]
+    for rows in (x, x[::2], np.asfortranarray(x)):
+        b = beta[: len(rows)]
+        got = Family("Normal", (7,), is_complex).moments(rows, b, None)
+        assert np.allclose(got, np.stack([(rows * b[:, [k]]).T @ rows.conj() for k in (0, 1)]))
+        assert (got == got.conj().transpose(0, 2, 1)).all()
