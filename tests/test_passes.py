@@ -155,3 +155,52 @@ def test_moments_are_hermitian_to_the_last_bit(is_complex):
         got = Family("Normal", (7,), is_complex).moments(rows, b, None)
         assert np.allclose(got, np.stack([(rows * b[:, [k]]).T @ rows.conj() for k in (0, 1)]))
         assert (got == got.conj().transpose(0, 2, 1)).all()
+
+
+def test_small_blocks_make_a_pass_of_one_stage(spark, monkeypatch):
+    """Partitions' sums that are too many for the driver don't meet in tasks where few tasks can read all blocks."""
+    rows = np.random.default_rng(6).normal(size=(90, 5))
+    ask = kernels.Ask(lambda x, _: {"gram_h": (x.T @ x)[None], "n": np.array([float(len(x))])}, {"gram_h": (1, 5, 5), "n": (1,)})
+    seen, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: seen.append((self.getNumPartitions(), collect(self))) or seen[-1][1])
+    monkeypatch.setattr(kernels, "FEW", 0)
+    for worth, taken, tasks in ((1 << 22, 1 << 15, 1), (3_000, 1 << 15, 3), (3_000, 2 * ask.size, None), (1, 1 << 15, None)):
+        monkeypatch.setattr(kernels, "WORTH", worth)
+        monkeypatch.setattr(kernels, "TAKEN", taken)
+        df = spark.createDataFrame([(v.tolist(),) for v in rows], "x array<double>").repartition(9).cache()
+        with monkeypatch.context() as m:
+            if tasks:
+                m.setattr(RDD, "partitionBy", None)  # a second stage
+            seen.clear()
+            for _ in range(2):
+                got = kernels.asked(df, [ask])[0]
+                assert np.allclose(got["gram_h"], rows.T @ rows) and got["n"] == 90
+        assert [n for n, _ in seen] == [tasks or 1] * 2
+        assert all(sum(len(raw) // 8 for _, raw in parts) == ask.size * (tasks or 1) for _, parts in seen)
+        kernels.release(df)
+        assert not df.is_cached and not {"_blocks", "_gathered"} & set(df.__dict__)
+
+
+def test_joined_blocks_hold_all_rows_in_their_order(monkeypatch):
+    monkeypatch.setattr(kernels, "WORTH", 1_000)
+    batches = [pa.record_batch([pa.array([[float(i), 1.0]] * (1 + i % 3)), pa.array([i] * (1 + i % 3))], names=["x", "truth"]) for i in range(9)]
+    cells = [kernels.serialised(b) for b in batches]
+    blocks = [pa.ipc.open_stream(c).read_next_batch() for c in kernels.joined(iter(cells))]
+    assert 1 < len(blocks) < len(batches) and list(kernels.joined(iter([]))) == []
+    assert [r for b in blocks for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("name,rank", [("MACG", 0), ("MACG", 2), ("SingularWishart", 0)])
+def test_moments_of_frames_are_symmetric_to_the_last_bit(name, rank):
+    rng = np.random.default_rng(8)
+    x, beta = rng.normal(size=(90, 7, 3)), rng.uniform(size=(90, 2)) * (np.arange(90) % 3 > 0)[:, None]
+    family = Family(name, (7, 3), rank=rank)
+    theta = family.uniform(2, 0)
+    got = family.moments(x, beta, theta)
+    left = [x @ np.linalg.inv(family.form(x, theta, k)[0]) if name == "MACG" else x for k in (0, 1)]
+    assert np.allclose(got, np.stack([np.einsum("n,npa,nqa->pq", beta[:, k], left[k], x) for k in (0, 1)]))
+    assert (got == got.transpose(0, 2, 1)).all()
+    form = np.linalg.inv(np.eye(3) - 0.5 * np.ones((3, 3)))  # not definite, as rounding may leave one
+    got = family.moments(x, beta, theta, [(np.repeat(form[None], 90, 0), 0.0)] * 2)
+    expected = np.einsum("nk,npa,ab,nqb->kpq", beta, x, np.linalg.inv(form) if name == "MACG" else np.eye(3), x)
+    assert np.allclose(got, expected)
